@@ -36,7 +36,9 @@ def computation_column(computation: str, run_values: Mapping[str, object],
         return record_hash(list(hash_columns), strict=strict_hash)
     if _NOW_FORM.match(text):
         ts = run_values.get("run_ts")
-        return F.lit(ts) if ts is not None else F.current_timestamp()
+        if ts is None:
+            return F.current_timestamp()
+        return ts if isinstance(ts, Column) else F.lit(ts)
     if text in RUN_TOKENS:
         if text not in run_values:
             raise ValueError(f"run value {text!r} not supplied")

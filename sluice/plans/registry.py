@@ -1,13 +1,21 @@
-"""Registered queries: one per operator, each ``(spark, sf_dir) -> DataFrame``."""
+"""Registered queries: one per operator, each ``(spark, sf_dir) -> DataFrame``.
+
+Every query reads whole tables from ``sf_dir`` (or data Spark derives from
+them, see ``scenarios``).  Config rows (rules, metadata specs) are inline,
+as they would be read from the control tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sluice.operators import ingest
+from sluice.functions.hashing import record_hash, with_record_hash
+from sluice.operators import audit, config, dq, drift, ingest, seed
 from sluice.plans import scenarios as sc
+from sluice.sources.objects import CLOUD_STORAGE, read_object
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -20,6 +28,311 @@ def register(name: str):
     return deco
 
 
+def _t(spark, sf_dir, name):
+    return sc.table(spark, sf_dir, name)
+
+
+# ---- N1, N2: record hash --------------------------------------------------
+
+@register("record_hash")
+def record_hash_q(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    return o.select("o_orderkey", record_hash(sc.ORDER_HASH_COLUMNS).alias("record_hash"))
+
+
+@register("record_hash_all_columns")
+def record_hash_all_columns(spark, sf_dir):
+    return with_record_hash(_t(spark, sf_dir, "events"), None).select("event_id", "record_hash")
+
+
+@register("record_hash_strict")
+def record_hash_strict(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").withColumn("o_orderpriority", F.nullif("o_orderpriority", F.lit("5-LOW")))
+    return o.select("o_orderkey", record_hash(sc.ORDER_HASH_COLUMNS, strict=True).alias("record_hash"))
+
+
+# ---- N3-N6: classify, merge, soft delete, counts ----------------------------
+
 @register("change_classify")
 def change_classify(spark, sf_dir):
     return ingest.classify(sc.orders_source(spark, sf_dir), sc.orders_target(spark, sf_dir), ["o_orderkey"])
+
+
+@register("merge_upsert")
+def merge_upsert(spark, sf_dir):
+    return ingest.merge_snapshot(sc.orders_source(spark, sf_dir), sc.orders_target(spark, sf_dir),
+                                 ["o_orderkey"], update_unchanged=True)
+
+
+@register("merge_keep_metadata")
+def merge_keep_metadata(spark, sf_dir):
+    src = sc.orders_with_run(sc.orders_source(spark, sf_dir), "run_2")
+    tgt = sc.orders_with_run(sc.orders_target(spark, sf_dir), "run_1")
+    return ingest.merge_snapshot(src, tgt, ["o_orderkey"]).select("o_orderkey", "o_totalprice", "load_run_id")
+
+
+@register("merge_metrics")
+def merge_metrics(spark, sf_dir):
+    c = ingest.classify(sc.orders_source(spark, sf_dir), sc.orders_target(spark, sf_dir), ["o_orderkey"])
+    return ingest.change_counts(c)
+
+
+@register("soft_delete")
+def soft_delete(spark, sf_dir):
+    return ingest.soft_delete_flags(sc.orders_source(spark, sf_dir), sc.orders_target(spark, sf_dir), ["o_orderkey"])
+
+
+@register("merge_soft_delete")
+def merge_soft_delete(spark, sf_dir):
+    src = sc.orders_with_run(sc.orders_source(spark, sf_dir), "run_2")
+    tgt = sc.orders_with_run(sc.orders_target(spark, sf_dir), "run_1")
+    m = ingest.merge_snapshot(src, tgt, ["o_orderkey"], soft_delete=True, change_col="change_type")
+    return m.select("o_orderkey", "load_run_id", "is_deleted", "change_type")
+
+
+# ---- N7-N12: watermarks, metadata, full load -------------------------------
+
+@register("watermark_advance")
+def watermark_advance(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").filter(F.col("event_type") != "error")
+    w = ingest.next_watermarks(e, ["user_id"], "ts", "event_id")
+    return w.withColumnRenamed("user_id", "object_id")
+
+
+@register("incremental_extract")
+def incremental_extract(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    wm = (e.filter((F.col("event_type") == "purchase") & (F.col("user_id") % 5 != 0))
+          .groupBy("user_id").agg(F.max("ts").alias("watermark_value")))
+    out = ingest.extract_since(e, "ts", watermarks=wm, object_keys=["user_id"])
+    return out.select("event_id", "user_id", "ts")
+
+
+@register("incremental_extract_single")
+def incremental_extract_single(spark, sf_dir):
+    import datetime as dt
+    e = _t(spark, sf_dir, "events")
+    return ingest.extract_since(e, "ts", watermark=dt.datetime(2024, 1, 15, 12, 0, 0)).select("event_id", "ts")
+
+
+@register("watermark_hash")
+def watermark_hash(spark, sf_dir):
+    w = ingest.watermark_values(_t(spark, sf_dir, "orders"), ["o_custkey"], "o_orderdate")
+    return w.withColumnRenamed("o_custkey", "object_id")
+
+
+@register("metadata_inject")
+def metadata_inject(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    specs = ingest.specs_for("hash_incremental", sc.DEFAULT_METADATA)
+    out = ingest.inject_metadata(o, specs, sc.run_values("run_1", "orders"), sc.ORDER_HASH_COLUMNS)
+    return out.select("o_orderkey", "record_hash", "ingestion_timestamp", "load_run_id", "source_system",
+                      "source_object")
+
+
+@register("full_load_snapshot")
+def full_load_snapshot(spark, sf_dir):
+    obj = {"source_type": CLOUD_STORAGE, "source_schema": sf_dir, "source_object": "customer.parquet"}
+    df = read_object(spark, obj)
+    specs = ingest.specs_for("full_load", sc.DEFAULT_METADATA)
+    return ingest.inject_metadata(df, specs, sc.run_values("run_1", "customer"))
+
+
+# ---- C1-C8: configuration --------------------------------------------------
+
+@register("active_objects")
+def active_objects(spark, sf_dir):
+    return config.active_objects(sc.supplier_objects(spark, sf_dir)).select("pipeline_id", "object_id", "load_order")
+
+
+@register("pipeline_config_pivot")
+def pipeline_config_pivot(spark, sf_dir):
+    return config.pipeline_settings(sc.event_settings(spark, sf_dir),
+                                    {"click": "int", "purchase": "int", "error": "int"},
+                                    order_cols=["ts", "event_id"])
+
+
+@register("metadata_override")
+def metadata_override(spark, sf_dir):
+    cfg = sc.order_metadata_overrides(spark, sf_dir).unionByName(sc.default_metadata_rows(spark))
+    pipes = _t(spark, sf_dir, "customer").select(
+        F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("pipeline_id"))
+    return config.effective_metadata(cfg, pipes, "full_load").select("pipeline_id", "column_name", "column_order")
+
+
+@register("resolve_object_id")
+def resolve_object_id(spark, sf_dir):
+    lookup = _t(spark, sf_dir, "supplier").filter(F.col("s_nationkey") < 10)
+    resolved, _ = config.resolve_ids(_t(spark, sf_dir, "lineitem"), lookup, {"l_suppkey": "s_suppkey"}, "s_suppkey")
+    return resolved.select("l_orderkey", "l_linenumber", "l_partkey", "object_id")
+
+
+@register("resolve_dropped")
+def resolve_dropped(spark, sf_dir):
+    lookup = _t(spark, sf_dir, "supplier").filter(F.col("s_nationkey") < 10)
+    _, dropped = config.resolve_ids(_t(spark, sf_dir, "lineitem"), lookup, {"l_suppkey": "s_suppkey"}, "s_suppkey")
+    return dropped.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("dropped"))
+
+
+@register("expand_list_columns")
+def expand_list_columns(spark, sf_dir):
+    p = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("object_id"),
+                                         F.regexp_replace("p_name", " ", ", ").alias("hash_columns"))
+    return config.expand_list_column(p, "hash_columns", ["object_id"])
+
+
+# ---- I1-I8: seeding --------------------------------------------------------
+
+def _seed_inputs(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    return o.filter(F.col("o_orderkey") % 3 != 0), o.filter(F.col("o_orderkey") % 3 == 0)
+
+
+@register("seed_insert_new")
+def seed_insert_new(spark, sf_dir):
+    batch, existing = _seed_inputs(spark, sf_dir)
+    return seed.insert_if_absent(batch, existing, ["o_custkey", "o_orderpriority"], "o_orderkey")
+
+
+@register("seed_outcome")
+def seed_outcome(spark, sf_dir):
+    batch, existing = _seed_inputs(spark, sf_dir)
+    return seed.seed_outcome(batch, existing, ["o_custkey", "o_orderpriority"])
+
+
+# ---- Q1-Q12: data quality --------------------------------------------------
+
+_COUNTS = ["rows_checked", "rows_passed", "rows_failed"]
+
+
+@register("dq_not_null")
+def dq_not_null(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").withColumn("o_orderpriority", F.nullif("o_orderpriority", F.lit("5-LOW")))
+    r = dq.Rule("priority_not_null", "NOT_NULL", column_name="o_orderpriority")
+    return dq.evaluate_rules(o, [r]).select(*_COUNTS)
+
+
+@register("dq_unique")
+def dq_unique(spark, sf_dir):
+    r = dq.Rule("line_unique", "UNIQUE", column_name="l_orderkey,l_linenumber")
+    return dq.evaluate_rules(_t(spark, sf_dir, "lineitem"), [r]).select(*_COUNTS)
+
+
+@register("dq_row_count")
+def dq_row_count(spark, sf_dir):
+    r = dq.Rule("min_rows", "ROW_COUNT", rule_expression="COUNT(*) > 0", expected_value="1")
+    return dq.evaluate_rules(_t(spark, sf_dir, "orders"), [r]).select("rows_checked", "status")
+
+
+@register("dq_value_range")
+def dq_value_range(spark, sf_dir):
+    r = dq.Rule("acctbal_positive", "RANGE", "c_acctbal > 0", "c_acctbal", "0", "WARN")
+    return dq.evaluate_rules(_t(spark, sf_dir, "customer"), [r]).select(*_COUNTS, "pass_rate")
+
+
+@register("dq_regex")
+def dq_regex(spark, sf_dir):
+    r = dq.Rule("priority_pattern", "REGEX", column_name="o_orderpriority", expected_value="^[1-3]-")
+    return dq.evaluate_rules(_t(spark, sf_dir, "orders"), [r]).select("rows_checked", "rows_passed")
+
+
+@register("dq_referential")
+def dq_referential(spark, sf_dir):
+    r = dq.Rule("doc_labelled", "REFERENTIAL", "labels.doc_id", "doc_id")
+    return dq.evaluate_rules(_t(spark, sf_dir, "documents"), [r],
+                             parents={"labels": _t(spark, sf_dir, "labels")}).select(*_COUNTS)
+
+
+# The customer rule set used by the results and quarantine queries.
+CUSTOMER_RULES = [
+    dq.Rule("name_not_null", "NOT_NULL", column_name="c_name", severity="ERROR"),
+    dq.Rule("acctbal_positive", "RANGE", "c_acctbal > 0", "c_acctbal", "0", "WARN"),
+    dq.Rule("acctbal_range", "VALUE_RANGE", None, "c_acctbal", "-500|5000", "ERROR"),
+    dq.Rule("min_rows", "ROW_COUNT", "COUNT(*) > 0", None, "1", "ERROR"),
+]
+
+
+@register("dq_results")
+def dq_results(spark, sf_dir):
+    res = dq.evaluate_rules(_t(spark, sf_dir, "customer"), CUSTOMER_RULES, failure_action="HALT")
+    return res.select("rule_id", *_COUNTS, "pass_rate", "status", "action_taken")
+
+
+@register("dq_quarantine")
+def dq_quarantine(spark, sf_dir):
+    rules = [dq.Rule("acctbal_positive", "RANGE", "c_acctbal > 0", "c_acctbal", "0", "WARN"),
+             dq.Rule("segment_allowed", "CUSTOM", "c_mktsegment <> 'BUILDING'", "c_mktsegment", None, "WARN")]
+    _, rejected = dq.quarantine(_t(spark, sf_dir, "customer"), rules)
+    return rejected.select("c_custkey", "failed_rules")
+
+
+@register("range_from_config")
+def range_from_config(spark, sf_dir):
+    rules = [dq.Rule("a", "VALUE_RANGE", None, "value", "0|100"), dq.Rule("b", "VALUE_RANGE", None, "value", "50|500")]
+    return dq.evaluate_rules(_t(spark, sf_dir, "events"), rules).select("rule_id", "rows_checked", "rows_passed")
+
+
+# ---- R1-R7: schema registry and drift ---------------------------------------
+
+@register("drift_detect")
+def drift_detect(spark, sf_dir):
+    return drift.detect_drift(sc.part_registry(spark, sf_dir), sc.part_current(spark, sf_dir))
+
+
+@register("drift_action")
+def drift_action(spark, sf_dir):
+    ev = drift.detect_drift(sc.part_registry(spark, sf_dir), sc.part_current(spark, sf_dir))
+    return drift.drift_actions(ev, "EVOLVE").select("object_id", "column_name", "drift_type", "action_taken")
+
+
+@register("drift_action_halt")
+def drift_action_halt(spark, sf_dir):
+    ev = drift.detect_drift(sc.part_registry(spark, sf_dir), sc.part_current(spark, sf_dir))
+    return drift.drift_actions(ev, "HALT").select("object_id", "column_name", "drift_type", "action_taken")
+
+
+@register("schema_reregister")
+def schema_reregister(spark, sf_dir):
+    out = drift.reregister(sc.part_registry(spark, sf_dir), sc.part_current(spark, sf_dir), sc.run_ts_literal())
+    return out.select("object_id", "column_name", "data_type", "is_nullable", "column_order", "active_flag", "is_new")
+
+
+@register("evolve_union")
+def evolve_union(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    old = o.filter(F.col("o_orderkey") % 2 == 0).select("o_orderkey", "o_totalprice", "o_orderpriority")
+    new = o.filter(F.col("o_orderkey") % 2 == 1).select("o_orderkey", "o_totalprice")
+    return drift.evolve_union(old, new)
+
+
+# ---- A1-A6: audit ----------------------------------------------------------
+
+@register("run_status_rollup")
+def run_status_rollup(spark, sf_dir):
+    return audit.run_rollup(_t(spark, sf_dir, "events"), "user_id", F.col("event_type") == "error")
+
+
+@register("run_lifecycle")
+def run_lifecycle(spark, sf_dir):
+    return audit.run_state(_t(spark, sf_dir, "events"), "user_id", "ts")
+
+
+@register("object_metrics")
+def object_metrics(spark, sf_dir):
+    return audit.object_metrics(_t(spark, sf_dir, "events"), {"run_id": "user_id", "object_id": "event_type"},
+                                F.col("value") <= 0.05)
+
+
+@register("error_log")
+def error_log(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").filter(F.col("event_type") == "error") \
+        .withColumn("_day", F.to_date("ts"))
+    ranked = audit.error_attempts(e, ["user_id", "_day"], ["ts", "event_id"])
+    return ranked.select(F.col("event_id").alias("error_id"), F.col("user_id").alias("run_id"),
+                         audit.normalise_error_type(F.col("event_type")).alias("error_type"),
+                         F.col("props").alias("error_message"), "retry_attempt", F.col("ts").alias("error_ts"))
+
+
+@register("table_counts")
+def table_counts(spark, sf_dir):
+    return audit.table_counts({n: _t(spark, sf_dir, n) for n in ("orders", "lineitem", "events")})
