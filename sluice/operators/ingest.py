@@ -48,10 +48,11 @@ def classify(src: DataFrame, tgt: DataFrame, pk: Sequence[str],
     so the full-outer join moves keys and 64-char hashes, never payload.
     """
     pk = list(pk)
-    s = src.select(*pk, F.col(hash_col).alias("_s_hash"), F.lit(1).alias("_s_seen"))
-    t = tgt.select(*pk, F.col(hash_col).alias("_t_hash"), F.lit(1).alias("_t_seen"))
+    # the (never NULL) hash doubles as the side marker: no extra column in the shuffle
+    s = src.select(*pk, F.coalesce(F.col(hash_col), F.lit("")).alias("_s_hash"))
+    t = tgt.select(*pk, F.coalesce(F.col(hash_col), F.lit("")).alias("_t_hash"))
     j = s.join(t, pk, "full_outer")
-    change = _change_expr(F.col("_s_seen"), F.col("_t_seen"), F.col("_s_hash"), F.col("_t_hash"))
+    change = _change_expr(F.col("_s_hash"), F.col("_t_hash"), F.col("_s_hash"), F.col("_t_hash"))
     return j.select(*pk, change.alias(out_col))
 
 

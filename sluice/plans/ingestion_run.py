@@ -117,8 +117,10 @@ def ingest_object(cp: ControlPlane, obj: Mapping, run_id: str, settings: Mapping
         observed.append(F.max(wm_col).alias("wm"))
     data = data.observe(obs_src, *observed)
 
+    buckets = settings.get("target_buckets") or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    layout = {"bucket_cols": pk, "buckets": buckets} if load_type == "hash_incremental" else {}
     if load_type == "full_load" or not spark.catalog.tableExists(target):
-        write_table(data, target, mode="overwrite")
+        write_table(data, target, mode="overwrite", **layout)
         loaded = obs_src.get
         counts = {"rows_inserted": loaded["rows"], "rows_updated": 0, "rows_deleted": 0}
     else:
@@ -128,7 +130,7 @@ def ingest_object(cp: ControlPlane, obj: Mapping, run_id: str, settings: Mapping
         c = F.col("_change")
         merged = merged.observe(obs, F.count_if(c == ingest.INSERT).alias("ins"),
                                 F.count_if(c == ingest.UPDATE).alias("upd")).drop("_change")
-        overwrite_via_staging(merged, target, staging)
+        overwrite_via_staging(merged, target, staging, **layout)
         m, loaded = obs.get, obs_src.get
         counts = {"rows_inserted": m["ins"], "rows_updated": m["upd"], "rows_deleted": 0}
     clean_rows = loaded["rows"]

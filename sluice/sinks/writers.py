@@ -40,25 +40,41 @@ def conform(df: DataFrame, schema, required: Sequence[str] = ()) -> DataFrame:
 
 
 def write_table(df: DataFrame, table: str, mode: str = "append", partition_cols: Sequence[str] = (),
-                rebalance: bool = True) -> None:
+                rebalance: bool = True, bucket_cols: Sequence[str] = (), buckets: int | None = None) -> None:
     """Write to a catalog table: insert when it exists, create otherwise.
 
     ``REBALANCE`` lets AQE size the output files (fewer, fuller files instead
     of one per shuffle partition); partitioned overwrites replace only the
     partitions written (dynamic partition overwrite).
+
+    ``bucket_cols``/``buckets`` create the table bucketed by its primary key.
+    A merge then joins the stored target without shuffling it: only the
+    incoming batch moves, not the whole target.  Bucketed output is
+    not rebalanced, since the buckets already fix the file layout.
     """
     spark = df.sparkSession
-    out = df.hint("rebalance", *partition_cols) if rebalance and partition_cols else (
-        df.hint("rebalance") if rebalance else df)
-    if spark.catalog.tableExists(table):
+    exists = spark.catalog.tableExists(table)
+    bucketed = bool(bucket_cols and buckets) or (exists and _is_bucketed(spark, table))
+    if bucketed or not rebalance:
+        out = df
+    else:
+        out = df.hint("rebalance", *partition_cols) if partition_cols else df.hint("rebalance")
+    if exists:
         out.write.insertInto(table, overwrite=(mode == "overwrite"))
     else:
         w = out.write.mode(mode).format("parquet")
         if partition_cols:
             w = w.partitionBy(*partition_cols)
+        if bucket_cols and buckets:
+            w = w.bucketBy(int(buckets), *bucket_cols)
         w.saveAsTable(table)
 
 
+def _is_bucketed(spark: SparkSession, table: str) -> bool:
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").filter("col_name = 'Num Buckets'").collect()
+    return bool(rows) and rows[0].data_type not in ("", "-1", "0")
+
+
 def append_log(df: DataFrame, database: str, table: str) -> bool:
     """Append rows to a control log table after the required-column check.
 
@@ -83,7 +99,8 @@ def insert_columns(df: DataFrame, database: str, table: str) -> None:
 
 
 def overwrite_via_staging(df: DataFrame, target: str, staging: str,
-                          partition_cols: Sequence[str] = ()) -> None:
+                          partition_cols: Sequence[str] = (), bucket_cols: Sequence[str] = (),
+                          buckets: int | None = None) -> None:
     """Replace ``target`` with ``df`` when ``df`` reads ``target`` itself (a merge).
 
     Spark refuses to overwrite a table it is reading, and a Parquet target
@@ -91,6 +108,8 @@ def overwrite_via_staging(df: DataFrame, target: str, staging: str,
     overwrites the target.  If a crash comes between the two steps the
     staging copy is complete, and a rerun finishes from it.
     """
-    write_table(df, staging, mode="overwrite", partition_cols=partition_cols)
+    write_table(df, staging, mode="overwrite", partition_cols=partition_cols, bucket_cols=bucket_cols,
+                buckets=buckets)
     spark: SparkSession = df.sparkSession
-    write_table(spark.table(staging), target, mode="overwrite", partition_cols=partition_cols)
+    write_table(spark.table(staging), target, mode="overwrite", partition_cols=partition_cols,
+                bucket_cols=bucket_cols, buckets=buckets)

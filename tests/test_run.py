@@ -76,3 +76,21 @@ def test_run_rerun_and_halt(spark, db):
     drift_rows = spark.table(f"{db}.schema_drift_log").filter(F.col("run_id") == r3["run_id"]).collect()
     assert [(d.column_name, d.drift_type, d.action_taken) for d in drift_rows] == [
         ("o_comment", "NEW_COLUMN", "EVOLVED")]
+
+
+def test_bucketed_target_merge_shuffles_source_only(spark, db):
+    _setup(spark, db)
+    seed_from_document(spark, db, DOC, target_catalog="lake")
+    cp = ControlPlane(spark, db, "orders_pipeline")
+    assert run_pipeline(cp)["status"] == "SUCCESS"
+    info = {r.col_name: r.data_type for r in spark.sql("DESCRIBE TABLE EXTENDED raw.orders").collect()}
+    assert info["Bucket Columns"] == "[`o_orderkey`]"
+    from sluice.operators.ingest import merge_snapshot
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        src = spark.table("srcdb.orders").withColumn("record_hash", F.lit("x"))
+        plan = merge_snapshot(src, spark.table("raw.orders"), ["o_orderkey"])._jdf.queryExecution() \
+            .executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("Exchange hashpartitioning") == 1
