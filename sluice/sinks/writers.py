@@ -113,3 +113,4 @@ def overwrite_via_staging(df: DataFrame, target: str, staging: str,
     spark: SparkSession = df.sparkSession
     write_table(spark.table(staging), target, mode="overwrite", partition_cols=partition_cols,
                 bucket_cols=bucket_cols, buckets=buckets)
+    spark.catalog.refreshTable(target)

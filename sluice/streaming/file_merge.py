@@ -21,14 +21,17 @@ def merge_stream(spark: SparkSession, path: str, schema: T.StructType, target: s
     folder on a cluster; ``available_now`` processes what is there and stops.
     """
     pk = list(primary_key)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def merge_batch(batch: DataFrame, _epoch: int) -> None:
+        session = batch.sparkSession  # the micro-batch runs in its own session
         hashed = with_record_hash(batch, hash_columns)
-        if not spark.catalog.tableExists(target):
-            write_table(hashed, target, mode="overwrite")
-            return
-        merged = merge_snapshot(hashed, spark.table(target), pk)
-        overwrite_via_staging(merged, target, staging)
+        if not session.catalog.tableExists(target):
+            write_table(hashed, target, mode="overwrite", bucket_cols=pk, buckets=buckets)
+        else:
+            merged = merge_snapshot(hashed, session.table(target), pk)
+            overwrite_via_staging(merged, target, staging, bucket_cols=pk, buckets=buckets)
+        spark.catalog.refreshTable(target)  # the caller's session lists the new files
 
     stream = spark.readStream.format(fmt).schema(schema).load(path)
     writer = stream.writeStream.foreachBatch(merge_batch).option("checkpointLocation", checkpoint)
