@@ -7,13 +7,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.functions.joins import broadcast_if_small
+from sluice.functions.joins import CONFIG_BROADCAST_MAX_ROWS, broadcast_if_small
 from sluice.functions.lists import explode_list
 
 DEFAULT_PIPELINE = "default"
 # A metadata default set larger than this is inherited by a salted join instead of a generator.
 _INLINE_DEFAULTS_MAX = 1_000
-_SALTS = 64
+_SALTS = 256
 
 
 def active_objects(cfg: DataFrame, pipeline_id: str | None = None) -> DataFrame:
@@ -87,7 +87,7 @@ def _inherit(pipes: DataFrame, defaults: DataFrame) -> DataFrame:
     rows = defaults.limit(_INLINE_DEFAULTS_MAX + 1).collect()
     if len(rows) <= _INLINE_DEFAULTS_MAX:
         if not rows:
-            return pipes.join(defaults, F.lit(False), "left_semi").select("pipeline_id", *defaults.columns)
+            return defaults.select(F.lit(None).cast("string").alias("pipeline_id"), *defaults.columns).limit(0)
         fields = defaults.schema.fields
         structs = [F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in fields]) for r in rows]
         return pipes.select("pipeline_id", F.inline(F.array(*structs)))
@@ -105,15 +105,20 @@ def resolve_ids(rows: DataFrame, lookup: DataFrame, on: Mapping[str, str], id_co
     they come back as the second frame for the report.  When the lookup has
     several ids for one key the first by ``order_cols`` (then id) wins;
     that reduction is a partial aggregate.  The lookup side is broadcast only
-    when its row count is proven small.
+    when its row count is proven small: the raw lookup is probed with
+    ``limit(n + 1)``, a scan that stops early, and the deduplicated side can
+    only be smaller.  A larger lookup is left to the planner (AQE may still
+    broadcast it once its real size is known).
     """
     lkeys = list(on.values())
+    small = lookup.limit(CONFIG_BROADCAST_MAX_ROWS + 1).count() <= CONFIG_BROADCAST_MAX_ROWS
     order = [F.col(c) for c in order_cols] + [F.col(id_col)]
     dedup = (lookup.groupBy(*lkeys)
              .agg(F.min(F.struct(*order)).alias("_w"))
              .select(*[F.col(k).alias(f"_k_{i}") for i, k in enumerate(lkeys)],
                      F.col(f"_w.{id_col}").alias(out_col)))
-    dedup = broadcast_if_small(dedup)
+    if small:
+        dedup = F.broadcast(dedup)
     cond = None
     for i, (left, _) in enumerate(on.items()):
         c = rows[left] == dedup[f"_k_{i}"]

@@ -166,20 +166,31 @@ class ControlPlane:
     def update_watermark(self, object_id: str, watermark_value, run_id: str | None = None,
                          rows_loaded: int | None = None, watermark_col: str | None = None) -> None:
         """Upsert the object's watermark row; call only after a successful load."""
-        oid = self.resolve_object_id(object_id)
+        self.update_watermarks([{"object_id": self.resolve_object_id(object_id), "watermark_value": watermark_value,
+                                 "run_id": run_id, "rows_loaded": rows_loaded, "watermark_col": watermark_col}])
+
+    def update_watermarks(self, entries: Sequence[Mapping]) -> None:
+        """Upsert many objects' watermarks with one rewrite of the table (not one per object)."""
+        if not entries:
+            return
         now = utcnow()
-        text = None if watermark_value is None else (
-            watermark_value.isoformat(sep=" ") if isinstance(watermark_value, dt.datetime) else str(watermark_value))
-        new = self.spark.createDataFrame([(oid, self.pipeline_id, now, run_id, rows_loaded, now, watermark_col, text)],
-                                         "object_id string, pipeline_id string, last_run_ts timestamp, "
-                                         "last_run_id string, rows_last_loaded bigint, updated_at timestamp, "
-                                         "watermark_col string, watermark_col_value string")
+
+        def text(v):
+            if v is None:
+                return None
+            return v.isoformat(sep=" ") if isinstance(v, dt.datetime) else str(v)
+
+        rows = [(e["object_id"], self.pipeline_id, now, e.get("run_id"), e.get("rows_loaded"), now,
+                 e.get("watermark_col"), text(e.get("watermark_value"))) for e in entries]
+        new = self.spark.createDataFrame(rows, "object_id string, pipeline_id string, last_run_ts timestamp, "
+                                               "last_run_id string, rows_last_loaded bigint, updated_at timestamp, "
+                                               "watermark_col string, watermark_col_value string")
         new = new.withColumn("watermark_col_hash", F.sha2(F.col("watermark_col_value"), 256))
         keys = ["object_id", "pipeline_id"]
         old = self.table("watermark_control")
         merged = old.join(new.select(*keys), keys, "left_anti").unionByName(new)
-        name = f"{self.database}.watermark_control"
-        overwrite_via_staging(merged, name, f"{self.database}.watermark_control__staging")
+        overwrite_via_staging(merged, f"{self.database}.watermark_control",
+                              f"{self.database}.watermark_control__staging")
 
     # ---- schema registry and drift (R1-R7) -----------------------------------
     def current_schema_rows(self, object_id: str, schema: T.StructType, primary_key: Iterable[str] = ()) -> DataFrame:
@@ -199,14 +210,24 @@ class ControlPlane:
         return drift.drift_actions(events, setting, ignore)
 
     def register_schema(self, object_id: str, schema: T.StructType, primary_key: Iterable[str] = ()) -> None:
-        """Re-register: current columns active, first registration time kept,
-        vanished columns kept inactive.  The registry is rewritten via staging."""
-        oid = self.resolve_object_id(object_id)
+        """Re-register one object's schema (see ``register_schemas``)."""
+        self.register_schemas([(object_id, schema, list(primary_key))])
+
+    def register_schemas(self, entries: Sequence[tuple[str, T.StructType, Sequence[str]]]) -> None:
+        """Re-register schemas: current columns active, first registration time
+        kept, vanished columns kept inactive.  One full-outer join and one
+        rewrite of the registry for all objects of a run."""
+        if not entries:
+            return
         now = utcnow()
+        oids = [self.resolve_object_id(o) for o, _, _ in entries]
+        cur = None
+        for oid, (_, schema, pk) in zip(oids, entries):
+            rows = drift.describe_schema(self.spark, schema, oid, self.pipeline_id, pk)
+            cur = rows if cur is None else cur.unionByName(rows)
         reg_all = self.table("object_schema_registry")
-        mine = (F.col("object_id") == oid) & (F.col("pipeline_id") == self.pipeline_id)
-        cur = self.current_schema_rows(object_id, schema, primary_key)
-        old = reg_all.filter(mine).drop("schema_id", "updated_at", "active_flag")
+        mine = F.col("object_id").isin(oids) & (F.col("pipeline_id") == self.pipeline_id)
+        old = reg_all.filter(mine).drop("schema_id", "updated_at", "active_flag", "pipeline_id")
         new = drift.reregister(old, cur.drop("pipeline_id"), F.lit(now).cast("timestamp"),
                                keys=["object_id", "column_name"])
         ids = reg_all.filter(mine).select("object_id", "column_name", "schema_id")
@@ -214,8 +235,7 @@ class ControlPlane:
                .withColumn("schema_id", F.coalesce("schema_id", F.expr("uuid()")))
                .withColumn("pipeline_id", F.lit(self.pipeline_id))
                .drop("is_new"))
-        keep = reg_all.filter(~mine)
-        merged = keep.unionByName(new.select(*reg_all.columns))
+        merged = reg_all.filter(~mine).unionByName(new.select(*reg_all.columns))
         overwrite_via_staging(merged, f"{self.database}.object_schema_registry",
                               f"{self.database}.object_schema_registry__staging")
 

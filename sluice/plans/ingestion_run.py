@@ -43,6 +43,8 @@ class ObjectResult:
     status: str
     counts: dict = field(default_factory=dict)
     error: str | None = None
+    watermark: dict | None = None          # to advance at the end of the run
+    schema_entry: tuple | None = None      # (object_id, schema, primary key) to re-register
 
 
 def _two_part(name: str | None) -> str | None:
@@ -53,9 +55,17 @@ def _two_part(name: str | None) -> str | None:
     return ".".join(parts[-2:])
 
 
+def _land(src: DataFrame, table: str) -> DataFrame:
+    """Write the extract once and read it back: later passes (DQ, key check,
+    merge) see one consistent snapshot and the source system is read once."""
+    src.write.mode("overwrite").format("parquet").saveAsTable(table)
+    return src.sparkSession.table(table)
+
+
 def ingest_object(cp: ControlPlane, obj: Mapping, run_id: str, settings: Mapping,
                   read: Callable[[Mapping], DataFrame] | None = None,
-                  parents: Mapping[str, DataFrame] | None = None) -> ObjectResult:
+                  parents: Mapping[str, DataFrame] | None = None,
+                  defer_control_updates: bool = False) -> ObjectResult:
     spark = cp.spark
     oid, name = obj["object_id"], obj["source_object"]
     load_type = str(obj["load_type"]).strip().lower()
@@ -73,6 +83,10 @@ def ingest_object(cp: ControlPlane, obj: Mapping, run_id: str, settings: Mapping
         if wm and wm.get("watermark_col_value"):
             src = ingest.extract_since(src, wm_col, watermark=wm["watermark_col_value"])
 
+    # live sources (JDBC, or when asked) are landed once; file and table sources are re-read as they are
+    if str(obj.get("source_type", "")).lower() == "jdbc" or settings.get("land_extract"):
+        src = _land(src, f"{staging}__extract")
+
     # R3-R6: drift against the stored registry
     events = cp.detect_drift(oid, src.schema, setting=settings.get("schema_drift_action"))
     found = events.collect()  # one row per drifted column of one object
@@ -139,10 +153,21 @@ def ingest_object(cp: ControlPlane, obj: Mapping, run_id: str, settings: Mapping
     duration = int(time.time() - t0)
     cp.log_metrics(run_id, oid, counts["rows_read"], counts["rows_inserted"], counts["rows_updated"],
                    counts["rows_rejected"], counts["rows_deleted"], duration, "SUCCESS")
+    result = ObjectResult(oid, name, "SUCCESS", counts, schema_entry=(oid, src.schema, pk))
     if wm_col and loaded.get("wm") is not None:
-        cp.update_watermark(oid, loaded["wm"], run_id=run_id, rows_loaded=clean_rows, watermark_col=wm_col)
-    cp.register_schema(oid, src.schema, pk)
-    return ObjectResult(oid, name, "SUCCESS", counts)
+        result.watermark = {"object_id": oid, "watermark_value": loaded["wm"], "run_id": run_id,
+                            "rows_loaded": clean_rows, "watermark_col": wm_col}
+    if not defer_control_updates:
+        apply_control_updates(cp, [result])
+    return result
+
+
+def apply_control_updates(cp: ControlPlane, results: list[ObjectResult]) -> None:
+    """Advance watermarks and re-register schemas of successful objects: one
+    rewrite of each control table per run, not one per object."""
+    ok = [r for r in results if r.status == "SUCCESS"]
+    cp.update_watermarks([r.watermark for r in ok if r.watermark])
+    cp.register_schemas([r.schema_entry for r in ok if r.schema_entry])
 
 
 def run_pipeline(cp: ControlPlane, read: Callable[[Mapping], DataFrame] | None = None,
@@ -156,7 +181,7 @@ def run_pipeline(cp: ControlPlane, read: Callable[[Mapping], DataFrame] | None =
     results: list[ObjectResult] = []
     for obj in objects:
         try:
-            results.append(ingest_object(cp, obj, run_id, settings, read, parents))
+            results.append(ingest_object(cp, obj, run_id, settings, read, parents, defer_control_updates=True))
         except Exception as e:
             kind = e.error_type if isinstance(e, RunHalted) else (
                 "MERGE_ERROR" if isinstance(e, ingest.MergeKeyError) else "UNKNOWN")
@@ -164,6 +189,12 @@ def run_pipeline(cp: ControlPlane, read: Callable[[Mapping], DataFrame] | None =
                          traceback.format_exc())
             cp.log_metrics(run_id, obj["object_id"], status="FAILED")
             results.append(ObjectResult(obj["object_id"], obj["source_object"], "FAILED", error=str(e)))
+    try:
+        apply_control_updates(cp, results)
+    except Exception as e:  # the loads are done; report the bookkeeping failure, do not lose the run
+        log.error("control table update failed: %s", e)
+        cp.log_error(run_id, objects[0]["object_id"] if objects else "-", "UNKNOWN", str(e).splitlines()[0],
+                     traceback.format_exc())
     ok = sum(r.status == "SUCCESS" for r in results)
     bad = len(results) - ok
     status = "SUCCESS" if bad == 0 else ("FAILED" if ok == 0 else "PARTIAL")
@@ -171,4 +202,4 @@ def run_pipeline(cp: ControlPlane, read: Callable[[Mapping], DataFrame] | None =
     return {"run_id": run_id, "status": status, "objects": results}
 
 
-__all__ = ["run_pipeline", "ingest_object", "RunHalted", "ObjectResult", "final_status"]
+__all__ = ["run_pipeline", "ingest_object", "apply_control_updates", "RunHalted", "ObjectResult", "final_status"]

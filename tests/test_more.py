@@ -83,3 +83,40 @@ def test_stream_front_end_merges_files(spark, db, tmp_path):
                      ["o_orderkey"], str(tmp_path / "ckpt"))
     q.awaitTermination(120)
     assert spark.table(f"{db}.orders").count() == orders.count()
+
+
+def test_watermark_run_narrows_second_extract(spark, db):
+    create_control_tables(spark, db)
+    spark.sql("CREATE DATABASE IF NOT EXISTS rawwm")
+    spark.sql("DROP TABLE IF EXISTS rawwm.orders")
+    spark.sql("DROP TABLE IF EXISTS rawwm.orders__staging")
+    now = F.current_timestamp()
+    obj = spark.createDataFrame([("obj-w", "p_wm", "tpch", "cloud_storage", SF001, "orders.parquet", "lake",
+                                  "rawwm", "orders", None, "hash_incremental", "merge", "o_orderkey", "o_orderdate",
+                                  None, True, 1, "t", "t")],
+                                "object_id string, pipeline_id string, source_system string, source_type string, "
+                                "source_schema string, source_object string, target_catalog string, "
+                                "target_schema string, target_table string, staging_table string, "
+                                "load_type string, write_mode string, primary_key string, "
+                                "watermark_column string, hash_columns string, active_flag boolean, "
+                                "load_order int, created_by string, updated_by string") \
+        .withColumn("created_at", now).withColumn("updated_at", now)
+    insert_columns(obj, db, "source_object_config")
+    meta = spark.createDataFrame([("m1", "default", "load_run_id", "STRING", "all", "load_run_id", 1, False, True)],
+                                 "config_id string, pipeline_id string, column_name string, data_type string, "
+                                 "applies_to string, computation string, column_order int, is_merge_key boolean, "
+                                 "active_flag boolean").withColumn("created_at", now)
+    insert_columns(meta, db, "metadata_column_config")
+    cp = ControlPlane(spark, db, "p_wm")
+    r1 = run_pipeline(cp)
+    assert r1["status"] == "SUCCESS", r1
+    orders = spark.read.parquet(f"{SF001}/orders.parquet")
+    top = orders.agg(F.max("o_orderdate")).first()[0]
+    wm = cp.get_watermark("obj-w")
+    assert wm["watermark_col"] == "o_orderdate" and wm["watermark_col_value"].startswith(str(top.date()))
+    assert wm["watermark_col_hash"] and wm["rows_last_loaded"] == orders.count()
+    r2 = run_pipeline(cp)
+    c = r2["objects"][0].counts
+    assert c["rows_read"] == orders.filter(F.col("o_orderdate") >= top).count()
+    assert (c["rows_inserted"], c["rows_updated"]) == (0, 0)
+    assert spark.table("rawwm.orders").count() == orders.count()
