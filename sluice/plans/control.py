@@ -22,7 +22,7 @@ from sluice.operators import audit, config, dq, drift
 from sluice.operators.ingest import MetadataSpec
 from sluice.schemas import TABLES
 from sluice.sinks.ddl import check_identifier
-from sluice.sinks.writers import append_log, overwrite_via_staging
+from sluice.sinks.writers import append_log, replace_table
 
 log = logging.getLogger(__name__)
 
@@ -189,7 +189,7 @@ class ControlPlane:
         keys = ["object_id", "pipeline_id"]
         old = self.table("watermark_control")
         merged = old.join(new.select(*keys), keys, "left_anti").unionByName(new)
-        overwrite_via_staging(merged, f"{self.database}.watermark_control",
+        replace_table(merged, f"{self.database}.watermark_control",
                               f"{self.database}.watermark_control__staging")
 
     # ---- schema registry and drift (R1-R7) -----------------------------------
@@ -236,7 +236,7 @@ class ControlPlane:
                .withColumn("pipeline_id", F.lit(self.pipeline_id))
                .drop("is_new"))
         merged = reg_all.filter(~mine).unionByName(new.select(*reg_all.columns))
-        overwrite_via_staging(merged, f"{self.database}.object_schema_registry",
+        replace_table(merged, f"{self.database}.object_schema_registry",
                               f"{self.database}.object_schema_registry__staging")
 
     def log_drift(self, run_id: str, object_id: str, drift_events: DataFrame) -> bool:

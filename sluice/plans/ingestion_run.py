@@ -24,7 +24,7 @@ from sluice.functions.lists import parse_list
 from sluice.operators import dq, drift, ingest
 from sluice.operators.audit import final_status
 from sluice.plans.control import ControlPlane, utcnow
-from sluice.sinks.writers import overwrite_via_staging, write_table
+from sluice.sinks.writers import replace_table, write_table
 from sluice.sources.objects import read_object
 
 log = logging.getLogger(__name__)
@@ -144,7 +144,7 @@ def ingest_object(cp: ControlPlane, obj: Mapping, run_id: str, settings: Mapping
         c = F.col("_change")
         merged = merged.observe(obs, F.count_if(c == ingest.INSERT).alias("ins"),
                                 F.count_if(c == ingest.UPDATE).alias("upd")).drop("_change")
-        overwrite_via_staging(merged, target, staging, **layout)
+        replace_table(merged, target, staging, **layout)
         m, loaded = obs.get, obs_src.get
         counts = {"rows_inserted": m["ins"], "rows_updated": m["upd"], "rows_deleted": 0}
     clean_rows = loaded["rows"]

@@ -114,3 +114,61 @@ def overwrite_via_staging(df: DataFrame, target: str, staging: str,
     write_table(spark.table(staging), target, mode="overwrite", partition_cols=partition_cols,
                 bucket_cols=bucket_cols, buckets=buckets)
     spark.catalog.refreshTable(target)
+
+
+def table_location(spark: SparkSession, table: str) -> str:
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").filter("col_name = 'Location'").collect()
+    return rows[0].data_type
+
+
+def _partition_columns(spark: SparkSession, table: str) -> list[str]:
+    return [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
+
+
+def _delete_path(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def replace_table(df: DataFrame, target: str, staging: str, bucket_cols: Sequence[str] = (),
+                  buckets: int | None = None, keep_previous: bool = False) -> None:
+    """Replace ``target``'s data with ``df`` (which may read ``target``), writing it once.
+
+    The result goes to a fresh folder next to the target's, through an
+    external ``staging`` table that carries the bucketing; the target is then
+    repointed there with ``ALTER TABLE ... SET LOCATION``, a metadata-only
+    switch, and the previous folder is deleted.  Compared with a staged copy
+    this halves the bytes written per merge.  A crash before the switch
+    leaves the target untouched; after it, the new version is complete.
+    Partitioned targets keep the staged copy (partitions are catalogued
+    one by one).
+    """
+    import uuid
+    spark: SparkSession = df.sparkSession
+    if not spark.catalog.tableExists(target):
+        write_table(df, target, mode="overwrite", bucket_cols=bucket_cols, buckets=buckets)
+        return
+    if _partition_columns(spark, target):
+        overwrite_via_staging(df, target, staging, bucket_cols=bucket_cols, buckets=buckets)
+        return
+    old = table_location(spark, target)
+    parent, name = old.rstrip("/").rsplit("/", 1)
+    new = f"{parent}/{name.split('__v')[0]}__v{uuid.uuid4().hex[:12]}"
+    if not (bucket_cols and buckets) and _is_bucketed(spark, target):
+        info = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {target}").collect()}
+        buckets = int(info["Num Buckets"])
+        bucket_cols = [c.strip(" `") for c in info["Bucket Columns"].strip("[]").split(",")]
+    spark.sql(f"DROP TABLE IF EXISTS {staging}")
+    w = df.write.option("path", new).format("parquet").mode("overwrite")
+    if bucket_cols and buckets:
+        w = w.bucketBy(int(buckets), *bucket_cols)
+    else:
+        df = df.hint("rebalance")
+        w = df.write.option("path", new).format("parquet").mode("overwrite")
+    w.saveAsTable(staging)
+    spark.sql(f"ALTER TABLE {target} SET LOCATION '{new}'")
+    spark.sql(f"DROP TABLE {staging}")  # external: the folder stays, now the target's
+    spark.catalog.refreshTable(target)
+    if not keep_previous:
+        _delete_path(spark, old)

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sluice.functions.hashing import with_record_hash
 from sluice.operators.ingest import merge_snapshot
-from sluice.sinks.writers import overwrite_via_staging, write_table
+from sluice.sinks.writers import replace_table, write_table
 
 
 def merge_stream(spark: SparkSession, path: str, schema: T.StructType, target: str, staging: str,
@@ -30,7 +30,7 @@ def merge_stream(spark: SparkSession, path: str, schema: T.StructType, target: s
             write_table(hashed, target, mode="overwrite", bucket_cols=pk, buckets=buckets)
         else:
             merged = merge_snapshot(hashed, session.table(target), pk)
-            overwrite_via_staging(merged, target, staging, bucket_cols=pk, buckets=buckets)
+            replace_table(merged, target, staging, bucket_cols=pk, buckets=buckets)
         spark.catalog.refreshTable(target)  # the caller's session lists the new files
 
     stream = spark.readStream.format(fmt).schema(schema).load(path)

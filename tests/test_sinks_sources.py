@@ -98,3 +98,22 @@ def test_jdbc_source_embedded_derby(spark):
     assert df.rdd.getNumPartitions() == 4
     assert df.count() == 50
     assert jdbc_options({**conn, "extra_jdbc_options": "test"}, "t").get("queryTimeout") is None
+
+
+def test_replace_table_swaps_location_once(spark, db):
+    t, s = f"{db}.swap_t", f"{db}.swap_stg"
+    spark.range(6).withColumn("v", F.lit("a")).write.bucketBy(4, "id").format("parquet").saveAsTable(t)
+    before = writers.table_location(spark, t)
+    merged = spark.table(t).withColumn("v", F.lit("b")).unionByName(spark.range(6, 8).withColumn("v", F.lit("c")))
+    writers.replace_table(merged, t, s)
+    after = writers.table_location(spark, t)
+    assert after != before and "__v" in after
+    got = {r.v: r["count"] for r in spark.table(t).groupBy("v").count().collect()}
+    assert got == {"b": 6, "c": 2}
+    assert not spark.catalog.tableExists(s)
+    info = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {t}").collect()}
+    assert info["Num Buckets"] == "4"
+    import os
+    assert not os.path.exists(before.replace("file:", ""))
+    writers.replace_table(spark.table(t).filter("id < 3"), t, s)
+    assert spark.table(t).count() == 3
