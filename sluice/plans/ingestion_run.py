@@ -110,9 +110,14 @@ def ingest_object(cp: ControlPlane, obj: Mapping, run_id: str, settings: Mapping
                             + ", ".join(r.rule_id for r in got if r.action_taken == dq.HALTED))
         checked = [r.rows_checked for r in got if r.rows_checked is not None]
         rows_read = max(checked) if checked else None
-        row_rules = [r for r in rules if r.severity.upper() == "ERROR" and r.kind != "ROW_COUNT"]
+        # rows failing ERROR rules are set aside (only reached when the failure action lets the run go on);
+        # rules that failed no row add nothing to the write
+        failed_ids = {r.rule_id for r in got if r.rows_failed}
+        row_rules = [r for r in rules if r.severity.upper() == "ERROR" and r.kind != "ROW_COUNT"
+                     and r.rule_id in failed_ids]
         if row_rules:
-            clean, _rejected = dq.quarantine(src, row_rules, parents)
+            clean, rejected = dq.quarantine(src, row_rules, parents)
+            write_table(rejected.withColumn("load_run_id", F.lit(run_id)), f"{target}__rejected", mode="append")
 
     # N11: metadata columns
     specs = cp.get_metadata_columns(load_type)

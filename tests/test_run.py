@@ -94,3 +94,27 @@ def test_bucketed_target_merge_shuffles_source_only(spark, db):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_warn_action_sets_failing_rows_aside(spark, db):
+    _setup(spark, db)
+    spark.sql("DROP TABLE IF EXISTS raw.orders__rejected")
+    seed_from_document(spark, db, DOC, target_catalog="lake")
+    cfg = spark.table(f"{db}.pipeline_config").withColumn(
+        "config_value", F.when(F.col("config_key") == "dq_failure_action", "WARN").otherwise(F.col("config_value")))
+    cfg.write.saveAsTable(f"{db}.pc_tmp")
+    spark.sql(f"INSERT OVERWRITE {db}.pipeline_config SELECT * FROM {db}.pc_tmp")
+    src = spark.read.parquet(f"{SF001}/orders.parquet")
+    bad = src.withColumn("o_custkey", F.when(F.col("o_orderkey") < 10, None).otherwise(F.col("o_custkey")))
+    spark.sql("DROP TABLE srcdb.orders")
+    bad.write.saveAsTable("srcdb.orders")
+    cp = ControlPlane(spark, db, "orders_pipeline")
+    assert cp.get_pipeline_config()["dq_failure_action"] == "WARN"
+    res = run_pipeline(cp)
+    assert res["status"] == "SUCCESS", res
+    n_bad = src.filter("o_orderkey < 10").count()
+    c = res["objects"][0].counts
+    assert c["rows_rejected"] == n_bad and c["rows_read"] == src.count()
+    rej = spark.table("raw.orders__rejected")
+    assert rej.count() == n_bad and rej.filter("failed_rules = 'cust_not_null'").count() == n_bad
+    assert spark.table("raw.orders").count() == src.count() - n_bad
