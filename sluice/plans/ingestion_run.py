@@ -184,16 +184,24 @@ def run_pipeline(cp: ControlPlane, read: Callable[[Mapping], DataFrame] | None =
     settings = cp.get_pipeline_config()
     objects = [r.asDict() for r in cp.get_source_objects().collect()]  # config rows of one pipeline
     results: list[ObjectResult] = []
+    attempts = max(1, int(settings.get("max_retry") or 1))
+    delay = float(settings.get("retry_delay_seconds") or 0)
     for obj in objects:
-        try:
-            results.append(ingest_object(cp, obj, run_id, settings, read, parents, defer_control_updates=True))
-        except Exception as e:
-            kind = e.error_type if isinstance(e, RunHalted) else (
-                "MERGE_ERROR" if isinstance(e, ingest.MergeKeyError) else "UNKNOWN")
-            cp.log_error(run_id, obj["object_id"], kind, str(e).splitlines()[0] if str(e) else repr(e),
-                         traceback.format_exc())
-            cp.log_metrics(run_id, obj["object_id"], status="FAILED")
-            results.append(ObjectResult(obj["object_id"], obj["source_object"], "FAILED", error=str(e)))
+        for attempt in range(1, attempts + 1):
+            try:
+                results.append(ingest_object(cp, obj, run_id, settings, read, parents, defer_control_updates=True))
+                break
+            except Exception as e:
+                halted = isinstance(e, (RunHalted, ingest.MergeKeyError))
+                kind = e.error_type if isinstance(e, RunHalted) else (
+                    "MERGE_ERROR" if isinstance(e, ingest.MergeKeyError) else "UNKNOWN")
+                cp.log_error(run_id, obj["object_id"], kind, str(e).splitlines()[0] if str(e) else repr(e),
+                             traceback.format_exc(), retry_attempt=attempt)
+                if halted or attempt == attempts:  # halts are decisions, not transient faults
+                    cp.log_metrics(run_id, obj["object_id"], status="FAILED")
+                    results.append(ObjectResult(obj["object_id"], obj["source_object"], "FAILED", error=str(e)))
+                    break
+                time.sleep(delay)
     try:
         apply_control_updates(cp, results)
     except Exception as e:  # the loads are done; report the bookkeeping failure, do not lose the run

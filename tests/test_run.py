@@ -118,3 +118,56 @@ def test_warn_action_sets_failing_rows_aside(spark, db):
     rej = spark.table("raw.orders__rejected")
     assert rej.count() == n_bad and rej.filter("failed_rules = 'cust_not_null'").count() == n_bad
     assert spark.table("raw.orders").count() == src.count() - n_bad
+
+
+def _add_object(spark, db, object_id, source_object, load_order):
+    base = spark.table(f"{db}.source_object_config").limit(1)
+    row = (base.withColumn("object_id", F.lit(object_id)).withColumn("source_object", F.lit(source_object))
+           .withColumn("target_table", F.lit(source_object)).withColumn("staging_table", F.lit(None).cast("string"))
+           .withColumn("load_order", F.lit(load_order)))
+    row.write.saveAsTable(f"{db}.so_tmp_{load_order}")
+    spark.sql(f"INSERT INTO {db}.source_object_config SELECT * FROM {db}.so_tmp_{load_order}")
+
+
+def test_partial_run_with_retries(spark, db):
+    _setup(spark, db)
+    spark.sql("DROP TABLE IF EXISTS raw.missing_src")
+    seed_from_document(spark, db, DOC, target_catalog="lake")
+    _add_object(spark, db, "obj-missing", "missing_src", 2)
+    cp = ControlPlane(spark, db, "orders_pipeline")
+    res = run_pipeline(cp)
+    assert res["status"] == "PARTIAL"
+    errs = spark.table(f"{db}.job_run_error").filter(F.col("run_id") == res["run_id"]).orderBy("retry_attempt").collect()
+    assert [(e.object_id, e.error_type, e.retry_attempt) for e in errs] == [
+        ("obj-missing", "UNKNOWN", 1), ("obj-missing", "UNKNOWN", 2)]
+    end = {r.run_id: r for r in cp.run_states().collect()}[res["run_id"]]
+    assert (end.status, end.total_objects, end.success_objects, end.failed_objects) == ("PARTIAL", 2, 1, 1)
+
+
+def test_duplicate_source_keys_are_merge_error(spark, db):
+    _setup(spark, db)
+    seed_from_document(spark, db, DOC, target_catalog="lake")
+    cp = ControlPlane(spark, db, "orders_pipeline")
+    assert run_pipeline(cp)["status"] == "SUCCESS"
+    src = spark.read.parquet(f"{SF001}/orders.parquet")
+    spark.sql("DROP TABLE srcdb.orders")
+    src.unionByName(src.limit(3)).write.saveAsTable("srcdb.orders")
+    res = run_pipeline(cp)
+    assert res["status"] == "FAILED"
+    errs = spark.table(f"{db}.job_run_error").filter(F.col("run_id") == res["run_id"]).collect()
+    assert [(e.error_type, e.retry_attempt) for e in errs] == [("MERGE_ERROR", 1)]
+    assert spark.table("raw.orders").count() == src.count()  # target untouched
+
+
+def test_seed_document_first_row_wins(spark, db, tmp_path):
+    import json
+    doc = json.load(open(DOC))
+    dup = dict(doc["pipeline_config"][0], config_value="99")
+    doc["pipeline_config"].append(dup)
+    p = tmp_path / "doc.json"
+    p.write_text(json.dumps(doc))
+    create_control_tables(spark, db)
+    rep = seed_from_document(spark, db, str(p))
+    assert rep["pipeline_config"] == {"inserted": 8, "skipped": 1}
+    got = spark.table(f"{db}.pipeline_config").filter("config_key = 'max_retry'").first()
+    assert got.config_value == "2"
