@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import datetime as dt
 import logging
+import threading
 import uuid
 from collections.abc import Iterable, Mapping, Sequence
 
@@ -46,6 +47,16 @@ class ControlPlane:
         self.pipeline_id = pipeline_id
         self.environment = environment
         self._run_starts: dict[str, dt.datetime] = {}
+        # objects may load in parallel threads; writes to the shared control tables go one at a time
+        self._write_lock = threading.RLock()
+
+    def _append(self, df: DataFrame, table: str) -> bool:
+        with self._write_lock:
+            return append_log(df, self.database, table)
+
+    def _replace(self, df: DataFrame, table: str) -> None:
+        with self._write_lock:
+            replace_table(df, f"{self.database}.{table}", f"{self.database}.{table}__staging")
 
     # ---- tables -----------------------------------------------------------
     def table(self, name: str) -> DataFrame:
@@ -101,7 +112,7 @@ class ControlPlane:
         ev = audit.run_event(self.spark, run_id, self.pipeline_id, audit.RUNNING, start, self.environment,
                              triggered_by=triggered_by, triggered_mode=triggered_mode, job_id=job_id,
                              job_run_id=job_run_id)
-        append_log(ev, self.database, "job_run_audit")
+        self._append(ev, "job_run_audit")
         return run_id
 
     def log_run_end(self, run_id: str, status: str, counts: tuple[int, int, int] | None = None,
@@ -113,7 +124,7 @@ class ControlPlane:
         ev = audit.run_event(self.spark, run_id, self.pipeline_id, status.upper(), start, self.environment,
                              end_time=utcnow(), counts=counts, triggered_by=triggered_by,
                              triggered_mode=triggered_mode)
-        return append_log(ev, self.database, "job_run_audit")
+        return self._append(ev, "job_run_audit")
 
     def run_states(self) -> DataFrame:
         """Latest state per run from the appended events (no in-place update)."""
@@ -134,8 +145,7 @@ class ControlPlane:
                 retry_attempt = prior + 1
             row = (str(uuid.uuid4()), run_id, self.pipeline_id, obj["object_id"], obj["source_object"], kind,
                    message, stack_trace, int(retry_attempt), utcnow(), self.environment)
-            return append_log(self.spark.createDataFrame([row], TABLES["job_run_error"]), self.database,
-                              "job_run_error")
+            return self._append(self.spark.createDataFrame([row], TABLES["job_run_error"]), "job_run_error")
         except Exception as e:  # never crash on logging
             log.error("log_error failed: %s", e)
             return False
@@ -149,8 +159,7 @@ class ControlPlane:
             row = (str(uuid.uuid4()), run_id, self.pipeline_id, obj["object_id"], obj["source_object"],
                    obj["target_table"], obj["load_type"], obj["write_mode"], rows_read, rows_inserted,
                    rows_updated, rows_deleted, rows_rejected, duration_seconds, status, utcnow(), self.environment)
-            return append_log(self.spark.createDataFrame([row], TABLES["ingestion_metrics"]), self.database,
-                              "ingestion_metrics")
+            return self._append(self.spark.createDataFrame([row], TABLES["ingestion_metrics"]), "ingestion_metrics")
         except Exception as e:
             log.error("log_metrics failed: %s", e)
             return False
@@ -189,8 +198,7 @@ class ControlPlane:
         keys = ["object_id", "pipeline_id"]
         old = self.table("watermark_control")
         merged = old.join(new.select(*keys), keys, "left_anti").unionByName(new)
-        replace_table(merged, f"{self.database}.watermark_control",
-                              f"{self.database}.watermark_control__staging")
+        self._replace(merged, "watermark_control")
 
     # ---- schema registry and drift (R1-R7) -----------------------------------
     def current_schema_rows(self, object_id: str, schema: T.StructType, primary_key: Iterable[str] = ()) -> DataFrame:
@@ -236,8 +244,7 @@ class ControlPlane:
                .withColumn("pipeline_id", F.lit(self.pipeline_id))
                .drop("is_new"))
         merged = reg_all.filter(~mine).unionByName(new.select(*reg_all.columns))
-        replace_table(merged, f"{self.database}.object_schema_registry",
-                              f"{self.database}.object_schema_registry__staging")
+        self._replace(merged, "object_schema_registry")
 
     def log_drift(self, run_id: str, object_id: str, drift_events: DataFrame) -> bool:
         obj = self._object_row(object_id)
@@ -246,7 +253,7 @@ class ControlPlane:
             F.lit(self.pipeline_id).alias("pipeline_id"), F.lit(obj["source_object"]).alias("source_object"),
             "column_name", "drift_type", "old_value", "new_value", "action_taken",
             F.lit(utcnow()).cast("timestamp").alias("detected_at"), F.lit(self.environment).alias("environment"))
-        return append_log(rows, self.database, "schema_drift_log")
+        return self._append(rows, "schema_drift_log")
 
     def evolve_table(self, target_table: str, drift_events: DataFrame, schema: T.StructType) -> list[str]:
         events = [r.asDict() for r in drift_events.collect()]  # one row per drifted column
@@ -264,4 +271,4 @@ class ControlPlane:
         oid = self.resolve_object_id(object_id)
         rows = dq.check_result_rows(results, run_id, oid, self.pipeline_id, utcnow(), self.environment) \
             .withColumn("result_id", F.expr("uuid()"))
-        return append_log(rows, self.database, "dq_check_results")
+        return self._append(rows, "dq_check_results")

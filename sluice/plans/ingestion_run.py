@@ -10,9 +10,11 @@ changed schema cannot hide its own drift.
 
 from __future__ import annotations
 
+import itertools
 import logging
 import time
 import traceback
+from concurrent.futures import ThreadPoolExecutor
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
@@ -186,11 +188,12 @@ def run_pipeline(cp: ControlPlane, read: Callable[[Mapping], DataFrame] | None =
     results: list[ObjectResult] = []
     attempts = max(1, int(settings.get("max_retry") or 1))
     delay = float(settings.get("retry_delay_seconds") or 0)
-    for obj in objects:
+    parallel = max(1, int(settings.get("max_parallel_objects") or 1))
+
+    def load(obj: dict) -> ObjectResult:
         for attempt in range(1, attempts + 1):
             try:
-                results.append(ingest_object(cp, obj, run_id, settings, read, parents, defer_control_updates=True))
-                break
+                return ingest_object(cp, obj, run_id, settings, read, parents, defer_control_updates=True)
             except Exception as e:
                 halted = isinstance(e, (RunHalted, ingest.MergeKeyError))
                 kind = e.error_type if isinstance(e, RunHalted) else (
@@ -199,9 +202,19 @@ def run_pipeline(cp: ControlPlane, read: Callable[[Mapping], DataFrame] | None =
                              traceback.format_exc(), retry_attempt=attempt)
                 if halted or attempt == attempts:  # halts are decisions, not transient faults
                     cp.log_metrics(run_id, obj["object_id"], status="FAILED")
-                    results.append(ObjectResult(obj["object_id"], obj["source_object"], "FAILED", error=str(e)))
-                    break
+                    return ObjectResult(obj["object_id"], obj["source_object"], "FAILED", error=str(e))
                 time.sleep(delay)
+        raise AssertionError("unreachable")
+
+    # objects of one load_order are independent: up to max_parallel_objects run as concurrent Spark jobs;
+    # the next load_order starts when the previous one is done
+    for _, group in itertools.groupby(objects, key=lambda o: o["load_order"]):
+        group = list(group)
+        if parallel == 1 or len(group) == 1:
+            results.extend(load(o) for o in group)
+        else:
+            with ThreadPoolExecutor(max_workers=min(parallel, len(group))) as pool:
+                results.extend(pool.map(load, group))
     try:
         apply_control_updates(cp, results)
     except Exception as e:  # the loads are done; report the bookkeeping failure, do not lose the run

@@ -171,3 +171,24 @@ def test_seed_document_first_row_wins(spark, db, tmp_path):
     assert rep["pipeline_config"] == {"inserted": 8, "skipped": 1}
     got = spark.table(f"{db}.pipeline_config").filter("config_key = 'max_retry'").first()
     assert got.config_value == "2"
+
+
+def test_parallel_objects_same_load_order(spark, db):
+    _setup(spark, db)
+    spark.sql("DROP TABLE IF EXISTS raw.orders_copy")
+    spark.sql("DROP TABLE IF EXISTS srcdb.orders_copy")
+    spark.table("srcdb.orders").write.saveAsTable("srcdb.orders_copy")
+    seed_from_document(spark, db, DOC, target_catalog="lake")
+    _add_object(spark, db, "obj-copy", "orders_copy", 1)   # same load_order as orders
+    cfg = spark.table(f"{db}.pipeline_config").withColumn(
+        "config_value", F.when(F.col("config_key") == "max_parallel_objects", "2").otherwise(F.col("config_value")))
+    cfg.write.saveAsTable(f"{db}.pc_tmp2")
+    spark.sql(f"INSERT OVERWRITE {db}.pipeline_config SELECT * FROM {db}.pc_tmp2")
+    cp = ControlPlane(spark, db, "orders_pipeline")
+    res = run_pipeline(cp)
+    assert res["status"] == "SUCCESS", res
+    n = spark.table("srcdb.orders").count()
+    assert spark.table("raw.orders").count() == n and spark.table("raw.orders_copy").count() == n
+    assert spark.table(f"{db}.ingestion_metrics").filter(F.col("run_id") == res["run_id"]).count() == 2
+    # the rules belong to the orders object only
+    assert spark.table(f"{db}.dq_check_results").filter(F.col("run_id") == res["run_id"]).count() == 5
