@@ -7,6 +7,7 @@ key-equality joins here have no hot key by construction.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -142,6 +143,8 @@ def extract_since(src: DataFrame, column: str, watermark=None,
         if watermark is None:
             return src
         dtype = src.schema[column].dataType
+        if isinstance(watermark, (dt.datetime, dt.date)):
+            watermark = watermark.isoformat(sep=" ") if isinstance(watermark, dt.datetime) else watermark.isoformat()
         return src.filter(F.col(column) >= F.lit(watermark).cast(dtype))
     keys = list(object_keys)
     wm = watermarks.select(*keys, F.col(watermark_col).alias("_wm"))

@@ -38,7 +38,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def run_ts_literal():
-    return F.lit(RUN_TS).cast("timestamp_ntz")
+    # from text: no dependence on the Python process's time zone
+    return F.lit(RUN_TS.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def run_values(run_id: str, source_object: str, source_system: str = "tpch") -> dict:
