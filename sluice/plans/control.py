@@ -49,6 +49,8 @@ class ControlPlane:
         self._run_starts: dict[str, dt.datetime] = {}
         # objects may load in parallel threads; writes to the shared control tables go one at a time
         self._write_lock = threading.RLock()
+        self._ids: dict[str, str] = {}
+        self._rows: dict[str, dict] = {}
 
     def _append(self, df: DataFrame, table: str) -> bool:
         with self._write_lock:
@@ -88,20 +90,32 @@ class ControlPlane:
                        for r in rows), key=lambda s: (s.column_order, s.column_name))
 
     def resolve_object_id(self, object_or_name: str) -> str:
-        """Accept an object id or its source object name (both occur in practice)."""
+        """Accept an object id or its source object name (both occur in practice).
+
+        Config does not change during a run, so answers are remembered.
+        """
+        if object_or_name in self._ids:
+            return self._ids[object_or_name]
         objs = self._mine("source_object_config")
         hit = (objs.filter((F.col("object_id") == object_or_name) | (F.col("source_object") == object_or_name))
                .orderBy("created_at", "object_id").select("object_id").limit(1).collect())
-        return hit[0].object_id if hit else object_or_name
+        oid = hit[0].object_id if hit else object_or_name
+        if hit:
+            self._ids[object_or_name] = oid
+        return oid
 
     def get_dq_rules(self, object_id: str) -> list[dq.Rule]:
         return dq.rules_from_config(self._mine("dq_rule_config"), self.resolve_object_id(object_id))
 
     def _object_row(self, object_id: str) -> dict:
         oid = self.resolve_object_id(object_id)
+        if oid in self._rows:
+            return self._rows[oid]
         rows = self._mine("source_object_config").filter(F.col("object_id") == oid).limit(1).collect()
-        return rows[0].asDict() if rows else {"object_id": oid, "source_object": object_id,
-                                              "target_table": "", "load_type": "", "write_mode": ""}
+        if rows:
+            self._rows[oid] = rows[0].asDict()
+            return self._rows[oid]
+        return {"object_id": oid, "source_object": object_id, "target_table": "", "load_type": "", "write_mode": ""}
 
     # ---- run lifecycle (A1, A2) -------------------------------------------
     def log_run_start(self, triggered_by: str = "api", triggered_mode: str = "manual",
@@ -213,6 +227,8 @@ class ControlPlane:
                      ignore: Sequence[str] = ()) -> DataFrame:
         reg = self.registered(object_id).select("object_id", "column_name", "data_type", "is_nullable")
         cur = self.current_schema_rows(object_id, schema)
+        if reg.limit(1).count() == 0:  # first registration is not drift
+            cur = cur.limit(0)
         events = drift.detect_drift(reg, cur)
         setting = setting or self.get_pipeline_config().get("schema_drift_action", "EVOLVE")
         return drift.drift_actions(events, setting, ignore)
