@@ -31,7 +31,7 @@ log = logging.getLogger(__name__)
 SETTING_TYPES = {
     "max_retry": "int", "retry_delay_seconds": "int", "batch_size": "int", "max_parallel_objects": "int",
     "schema_drift_action": "string", "dq_failure_action": "string", "alert_on_failure": "boolean",
-    "alert_email": "string", "target_buckets": "int",
+    "alert_email": "string", "target_buckets": "int", "soft_delete": "boolean", "land_extract": "boolean",
 }
 SETTING_DEFAULTS = {"schema_drift_action": "EVOLVE", "dq_failure_action": "HALT", "max_retry": 3}
 

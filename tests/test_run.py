@@ -192,3 +192,20 @@ def test_parallel_objects_same_load_order(spark, db):
     assert spark.table(f"{db}.ingestion_metrics").filter(F.col("run_id") == res["run_id"]).count() == 2
     # the rules belong to the orders object only
     assert spark.table(f"{db}.dq_check_results").filter(F.col("run_id") == res["run_id"]).count() == 5
+
+
+def test_soft_delete_run(spark, db):
+    _setup(spark, db)
+    seed_from_document(spark, db, DOC, target_catalog="lake")
+    spark.sql(f"INSERT INTO {db}.pipeline_config SELECT 'cfg-sd', 'orders_pipeline', 'soft_delete', 'true', "
+              f"'flag absent rows', true, current_timestamp(), current_timestamp()")
+    cp = ControlPlane(spark, db, "orders_pipeline")
+    assert run_pipeline(cp)["status"] == "SUCCESS"
+    src = spark.read.parquet(f"{SF001}/orders.parquet")
+    spark.sql("DROP TABLE srcdb.orders")
+    src.filter("o_orderkey % 7 <> 0").write.saveAsTable("srcdb.orders")
+    res = run_pipeline(cp)
+    gone = src.filter("o_orderkey % 7 = 0").count()
+    assert res["objects"][0].counts["rows_deleted"] == gone
+    tgt = spark.table("raw.orders")
+    assert tgt.count() == src.count() and tgt.filter("is_deleted").count() == gone
