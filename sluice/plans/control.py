@@ -41,8 +41,11 @@ def utcnow() -> dt.datetime:
 
 
 class ControlPlane:
-    def __init__(self, spark: SparkSession, database: str, pipeline_id: str, environment: str = "dev"):
+    def __init__(self, spark: SparkSession, database: str, pipeline_id: str, environment: str = "dev",
+                 secret=None):
+        """``secret(scope, key) -> value`` resolves JDBC credentials named by connection rows."""
         self.spark = spark
+        self.secret = secret
         self.database = check_identifier(database)
         self.pipeline_id = pipeline_id
         self.environment = environment
@@ -82,6 +85,12 @@ class ControlPlane:
     def get_connection_config(self) -> DataFrame:
         return config.connections_for(self.get_source_objects(), self.table("connection_config"))
 
+    def connection_for(self, object_id: str) -> dict | None:
+        """The active connection row of one object (by pipeline and source system), or None."""
+        oid = self.resolve_object_id(object_id)
+        rows = self.get_connection_config().filter(F.col("object_id") == oid).limit(1).collect()
+        return rows[0].asDict() if rows and rows[0]["connection_name"] is not None else None
+
     def get_metadata_columns(self, load_type: str | None = None) -> list[MetadataSpec]:
         pipes = self.spark.createDataFrame([(self.pipeline_id,)], "pipeline_id string")
         cfg = self.table("metadata_column_config").drop("config_id", "created_at", "is_merge_key")

@@ -77,7 +77,13 @@ def ingest_object(cp: ControlPlane, obj: Mapping, run_id: str, settings: Mapping
     wm_col = obj.get("watermark_column")
     t0 = time.time()
 
-    src = read(obj) if read else read_object(spark, obj)
+    if read:
+        src = read(obj)
+    elif str(obj.get("source_type", "")).lower() == "jdbc":
+        src = read_object(spark, obj, connection=cp.connection_for(oid), secret=cp.secret,
+                          fetchsize=settings.get("batch_size"))
+    else:
+        src = read_object(spark, obj)
 
     # N7/N8: narrow by the stored watermark (literal cast to the column type -> pushed to the scan)
     if load_type == "hash_incremental" and wm_col:

@@ -209,3 +209,45 @@ def test_soft_delete_run(spark, db):
     assert res["objects"][0].counts["rows_deleted"] == gone
     tgt = spark.table("raw.orders")
     assert tgt.count() == src.count() and tgt.filter("is_deleted").count() == gone
+
+
+def test_jdbc_object_run_lands_extract(spark, db):
+    import json
+    url = "jdbc:derby:memory:sluice_run;create=true"
+    drv = "org.apache.derby.jdbc.EmbeddedDriver"
+    src = spark.read.parquet(f"{SF001}/orders.parquet")
+    src.write.format("jdbc").options(url=url, driver=drv, dbtable="APP.ORDERS_J").mode("overwrite").save()
+    create_control_tables(spark, db)
+    spark.sql("CREATE DATABASE IF NOT EXISTS rawj")
+    for t in ("orders_j", "orders_j__staging__extract"):
+        spark.sql(f"DROP TABLE IF EXISTS rawj.{t}")
+    now = F.current_timestamp()
+    obj = spark.createDataFrame([("obj-j", "p_j", "derby", "jdbc", "APP", "ORDERS_J", "lake", "rawj", "orders_j",
+                                  None, "hash_incremental", "merge", "o_orderkey", None, None, True, 1, "t", "t")],
+                                "object_id string, pipeline_id string, source_system string, source_type string, "
+                                "source_schema string, source_object string, target_catalog string, "
+                                "target_schema string, target_table string, staging_table string, "
+                                "load_type string, write_mode string, primary_key string, "
+                                "watermark_column string, hash_columns string, active_flag boolean, "
+                                "load_order int, created_by string, updated_by string") \
+        .withColumn("created_at", now).withColumn("updated_at", now)
+    from sluice.sinks.writers import insert_columns
+    insert_columns(obj, db, "source_object_config")
+    opts = json.dumps({"partitionColumn": '"o_orderkey"', "lowerBound": "0", "upperBound": "6000",
+                       "numPartitions": "3"})
+    conn = spark.createDataFrame([("c-j", "p_j", "derby", "derby_mem", "scope", "URL", "USER", "PWD", drv, opts,
+                                   True)],
+                                 "connection_id string, pipeline_id string, source_system string, "
+                                 "connection_name string, secret_scope string, jdbc_url_secret_key string, "
+                                 "jdbc_user_secret_key string, jdbc_password_secret_key string, "
+                                 "driver_class string, extra_jdbc_options string, active_flag boolean") \
+        .withColumn("created_at", now).withColumn("updated_at", now)
+    insert_columns(conn, db, "connection_config")
+    secrets = {"URL": url, "USER": "app", "PWD": "app"}
+    cp = ControlPlane(spark, db, "p_j", secret=lambda scope, key: secrets[key])
+    res = run_pipeline(cp)
+    assert res["status"] == "SUCCESS", res
+    assert spark.table("rawj.orders_j").count() == src.count()
+    assert spark.table("rawj.orders_j__staging__extract").count() == src.count()
+    again = run_pipeline(cp)["objects"][0].counts
+    assert (again["rows_inserted"], again["rows_updated"]) == (0, 0)
