@@ -144,6 +144,18 @@ SELECT coalesce(c.object_id, r.object_id) AS object_id, coalesce(c.column_name,
 
     "error_log": "SELECT event_id AS error_id, user_id AS run_id, 'UNKNOWN' AS error_type, props AS error_message, CAST(row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS INT) AS retry_attempt, ts AS error_ts FROM events WHERE event_type = 'error'",
 
+    "connection_lookup": """WITH c(pipeline_id, source_system, connection_name, active_flag) AS (VALUES ('p0', 'erp', 'erp_p0', true), ('p1', 'erp', 'erp_p1_old', false), ('p1', 'erp', 'erp_p1', true), ('p2', 'crm', 'crm_p2', true), ('p3', 'crm', 'crm_p3', true)),
+  o AS (SELECT s_suppkey AS object_id, 'p' || s_nationkey AS pipeline_id, CASE WHEN CAST(floor(s_acctbal / 1000) AS INT) + 1 > 5 THEN 'crm' ELSE 'erp' END AS source_system FROM supplier)
+SELECT o.object_id, o.pipeline_id, o.source_system, c.connection_name FROM o LEFT JOIN (SELECT * FROM c WHERE active_flag) c ON o.pipeline_id = c.pipeline_id AND o.source_system = c.source_system""",
+
+    "dq_gate": """WITH r AS (SELECT count(*) AS n, count(*) FILTER (WHERE c_name IS NOT NULL) AS p1, count(*) FILTER (WHERE c_acctbal >= -500 AND c_acctbal <= 5000) AS p3 FROM customer),
+  h AS (SELECT (CASE WHEN p1 < n THEN 1 ELSE 0 END) + (CASE WHEN p3 < n THEN 1 ELSE 0 END) + (CASE WHEN n < 1 THEN 1 ELSE 0 END) AS k FROM r)
+SELECT CAST(k AS BIGINT) AS halted_rules, k = 0 AS may_write FROM h""",
+
+    "evolve_align": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate, o_totalprice, CAST(NULL AS INTEGER) AS o_shippriority, o_orderstatus FROM orders",
+
+    "run_latest_status": "SELECT user_id AS run_id, min(ts) AS start_time, max(ts) AS end_time, max_by(event_type, ts) AS status, CAST(floor(epoch(max(ts)) - epoch(min(ts))) AS BIGINT) AS duration_seconds FROM events GROUP BY user_id",
+
     "table_counts": """SELECT 'orders' AS table_name, count(*) AS n FROM orders
   UNION ALL SELECT 'lineitem', count(*) FROM lineitem
   UNION ALL SELECT 'events', count(*) FROM events""",

@@ -174,6 +174,21 @@ def resolve_dropped(spark, sf_dir):
     return dropped.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("dropped"))
 
 
+# Connection rows of the supplier pipelines (one inactive).
+SUPPLIER_CONNECTIONS = [("p0", "erp", "erp_p0", True), ("p1", "erp", "erp_p1_old", False),
+                        ("p1", "erp", "erp_p1", True), ("p2", "crm", "crm_p2", True), ("p3", "crm", "crm_p3", True)]
+
+
+@register("connection_lookup")
+def connection_lookup(spark, sf_dir):
+    objs = sc.supplier_objects(spark, sf_dir).withColumn(
+        "source_system", F.when(F.col("load_order") > 5, F.lit("crm")).otherwise(F.lit("erp")))
+    conns = spark.createDataFrame(SUPPLIER_CONNECTIONS, "pipeline_id string, source_system string, "
+                                                        "connection_name string, active_flag boolean")
+    return config.connections_for(objs.drop("active_flag"), conns).select(
+        "object_id", "pipeline_id", "source_system", "connection_name")
+
+
 @register("expand_list_columns")
 def expand_list_columns(spark, sf_dir):
     p = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("object_id"),
@@ -258,6 +273,13 @@ def dq_results(spark, sf_dir):
     return res.select("rule_id", *_COUNTS, "pass_rate", "status", "action_taken")
 
 
+@register("dq_gate")
+def dq_gate(spark, sf_dir):
+    res = dq.evaluate_rules(_t(spark, sf_dir, "customer"), CUSTOMER_RULES, failure_action="HALT")
+    halted = F.count_if(F.col("action_taken") == dq.HALTED)
+    return res.agg(halted.alias("halted_rules"), (halted == 0).alias("may_write"))
+
+
 @register("dq_quarantine")
 def dq_quarantine(spark, sf_dir):
     rules = [dq.Rule("acctbal_positive", "RANGE", "c_acctbal > 0", "c_acctbal", "0", "WARN"),
@@ -297,6 +319,16 @@ def schema_reregister(spark, sf_dir):
     return out.select("object_id", "column_name", "data_type", "is_nullable", "column_order", "active_flag", "is_new")
 
 
+@register("evolve_align")
+def evolve_align(spark, sf_dir):
+    from pyspark.sql import types as T
+    evolved = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("o_orderdate", T.DateType()),
+                            T.StructField("o_totalprice", T.DoubleType()),
+                            T.StructField("o_shippriority", T.IntegerType()),
+                            T.StructField("o_orderstatus", T.StringType())])
+    return drift.align_to(_t(spark, sf_dir, "orders"), evolved)
+
+
 @register("evolve_union")
 def evolve_union(spark, sf_dir):
     o = _t(spark, sf_dir, "orders")
@@ -317,6 +349,11 @@ def run_lifecycle(spark, sf_dir):
     return audit.run_state(_t(spark, sf_dir, "events"), "user_id", "ts")
 
 
+@register("run_latest_status")
+def run_latest_status(spark, sf_dir):
+    return audit.run_state(_t(spark, sf_dir, "events"), "user_id", "ts", status_col="event_type")
+
+
 @register("object_metrics")
 def object_metrics(spark, sf_dir):
     return audit.object_metrics(_t(spark, sf_dir, "events"), {"run_id": "user_id", "object_id": "event_type"},
