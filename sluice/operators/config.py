@@ -71,12 +71,17 @@ def effective_metadata(cfg: DataFrame, pipelines: DataFrame, load_type: str | No
     default set is spread over salted buckets and equi-joined instead.
     """
     cols = cfg.columns
+    keys = ["pipeline_id", "column_name"]
+    others = [c for c in cols if c not in keys]
     pipes = pipelines.select("pipeline_id").distinct()
     own = cfg.filter(F.col("pipeline_id") != DEFAULT_PIPELINE).join(pipes, "pipeline_id", "left_semi")
     defaults = cfg.filter(F.col("pipeline_id") == DEFAULT_PIPELINE).drop("pipeline_id")
     inherited = _inherit(pipes, defaults)
-    inherited = inherited.join(own.select("pipeline_id", "column_name"), ["pipeline_id", "column_name"], "left_anti")
-    eff = own.select(*cols).unionByName(inherited.select(*cols))
+    # one aggregate picks, per (pipeline, column), the pipeline's own row over the default
+    # (each group holds at most two rows); no second pass over the pipeline rows for an anti-join
+    both = own.select(*cols, F.lit(0).alias("_rank")).unionByName(inherited.select(*cols, F.lit(1).alias("_rank")))
+    best = both.groupBy(*keys).agg(F.min(F.struct("_rank", *others)).alias("_w"))
+    eff = best.select(*keys, *[F.col(f"_w.{c}").alias(c) for c in others]).select(*cols)
     eff = eff.filter(F.col("active_flag"))
     if load_type is not None:
         eff = eff.filter(F.col("applies_to").isin("all", load_type))
