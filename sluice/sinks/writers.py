@@ -159,16 +159,24 @@ def replace_table(df: DataFrame, target: str, staging: str, bucket_cols: Sequenc
         info = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {target}").collect()}
         buckets = int(info["Num Buckets"])
         bucket_cols = [c.strip(" `") for c in info["Bucket Columns"].strip("[]").split(",")]
+    # a changed schema (new column, widened type) must reach the catalog too: then the new version is
+    # created next to the target in its own database and renamed over it, instead of repointing
+    stored = [(f.name, f.dataType) for f in spark.table(target).schema.fields]
+    evolved = [(f.name, f.dataType) for f in df.schema.fields] != stored
+    if evolved:
+        staging = f"{target}__next"
     spark.sql(f"DROP TABLE IF EXISTS {staging}")
-    w = df.write.option("path", new).format("parquet").mode("overwrite")
+    out = df if bucket_cols and buckets else df.hint("rebalance")
+    w = out.write.option("path", new).format("parquet").mode("overwrite")
     if bucket_cols and buckets:
         w = w.bucketBy(int(buckets), *bucket_cols)
-    else:
-        df = df.hint("rebalance")
-        w = df.write.option("path", new).format("parquet").mode("overwrite")
     w.saveAsTable(staging)
-    spark.sql(f"ALTER TABLE {target} SET LOCATION '{new}'")
-    spark.sql(f"DROP TABLE {staging}")  # external: the folder stays, now the target's
+    if evolved:
+        spark.sql(f"DROP TABLE {target}")
+        spark.sql(f"ALTER TABLE {staging} RENAME TO {target.split('.')[-1]}")
+    else:
+        spark.sql(f"ALTER TABLE {target} SET LOCATION '{new}'")
+        spark.sql(f"DROP TABLE {staging}")  # external: the folder stays, now the target's
     spark.catalog.refreshTable(target)
     if not keep_previous:
         _delete_path(spark, old)

@@ -251,3 +251,28 @@ def test_jdbc_object_run_lands_extract(spark, db):
     assert spark.table("rawj.orders_j__staging__extract").count() == src.count()
     again = run_pipeline(cp)["objects"][0].counts
     assert (again["rows_inserted"], again["rows_updated"]) == (0, 0)
+
+
+def test_evolved_source_reaches_target(spark, db):
+    _setup(spark, db)
+    src = spark.read.parquet(f"{SF001}/orders.parquet")
+    spark.sql("DROP TABLE srcdb.orders")
+    src.withColumn("o_custkey", F.col("o_custkey").cast("int")).write.saveAsTable("srcdb.orders")
+    seed_from_document(spark, db, DOC, target_catalog="lake")
+    cp = ControlPlane(spark, db, "orders_pipeline")
+    assert run_pipeline(cp)["status"] == "SUCCESS"
+    assert dict(spark.table("raw.orders").dtypes)["o_custkey"] == "int"
+    spark.sql("DROP TABLE srcdb.orders")
+    src.withColumn("o_comment", F.lit("new")).write.saveAsTable("srcdb.orders")  # o_custkey back to bigint
+    res = run_pipeline(cp)
+    assert res["status"] == "SUCCESS", res
+    drift_rows = {(d.column_name, d.drift_type, d.action_taken)
+                  for d in spark.table(f"{db}.schema_drift_log").filter(F.col("run_id") == res["run_id"]).collect()}
+    assert drift_rows == {("o_comment", "NEW_COLUMN", "EVOLVED"), ("o_custkey", "TYPE_CHANGE", "EVOLVED")}
+    tgt = spark.table("raw.orders")
+    assert dict(tgt.dtypes)["o_custkey"] == "bigint" and "o_comment" in tgt.columns
+    assert tgt.count() == src.count() and tgt.filter("o_comment = 'new'").count() == src.count()
+    info = {r.col_name: r.data_type for r in spark.sql("DESCRIBE TABLE EXTENDED raw.orders").collect()}
+    assert info["Bucket Columns"] == "[`o_orderkey`]"
+    again = run_pipeline(cp)["objects"][0].counts
+    assert (again["rows_inserted"], again["rows_updated"]) == (0, 0)
