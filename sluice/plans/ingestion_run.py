@@ -96,7 +96,8 @@ def ingest_object(cp: ControlPlane, obj: Mapping, run_id: str, settings: Mapping
         src = _land(src, f"{staging}__extract")
 
     # R3-R6: drift against the stored registry
-    events = cp.detect_drift(oid, src.schema, setting=settings.get("schema_drift_action"))
+    events = cp.detect_drift(oid, src.schema, setting=settings.get("schema_drift_action"),
+                             ignore=parse_list(settings.get("schema_drift_ignore")))
     found = events.collect()  # one row per drifted column of one object
     if found:
         cp.log_drift(run_id, oid, spark.createDataFrame(found, events.schema))

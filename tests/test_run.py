@@ -276,3 +276,19 @@ def test_evolved_source_reaches_target(spark, db):
     assert info["Bucket Columns"] == "[`o_orderkey`]"
     again = run_pipeline(cp)["objects"][0].counts
     assert (again["rows_inserted"], again["rows_updated"]) == (0, 0)
+
+
+def test_drift_ignore_list_setting(spark, db):
+    _setup(spark, db)
+    seed_from_document(spark, db, DOC, target_catalog="lake")
+    spark.sql(f"INSERT INTO {db}.pipeline_config SELECT 'cfg-ig', 'orders_pipeline', 'schema_drift_ignore', "
+              f"'o_comment', 'ignored columns', true, current_timestamp(), current_timestamp()")
+    cp = ControlPlane(spark, db, "orders_pipeline")
+    assert run_pipeline(cp)["status"] == "SUCCESS"
+    src = spark.read.parquet(f"{SF001}/orders.parquet")
+    spark.sql("DROP TABLE srcdb.orders")
+    src.withColumn("o_comment", F.lit("x")).write.saveAsTable("srcdb.orders")
+    res = run_pipeline(cp)
+    got = [(d.column_name, d.action_taken) for d in
+           spark.table(f"{db}.schema_drift_log").filter(F.col("run_id") == res["run_id"]).collect()]
+    assert got == [("o_comment", "IGNORED")]
