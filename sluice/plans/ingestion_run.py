@@ -104,6 +104,10 @@ def ingest_object(cp: ControlPlane, obj: Mapping, run_id: str, settings: Mapping
         if any(r.action_taken == drift.HALTED for r in found):
             raise RunHalted("SCHEMA_MISMATCH", f"schema drift halted {name}: "
                             + ", ".join(f"{r.column_name}:{r.drift_type}" for r in found if r.action_taken == drift.HALTED))
+    source_schema = src.schema  # registered as seen, ignored columns included
+    ignored_new = [r.column_name for r in found if r.action_taken == drift.IGNORED and r.drift_type == drift.NEW]
+    if ignored_new:  # an ignored new column does not evolve the target
+        src = src.drop(*ignored_new)
 
     # Q7-Q12: quality before the write (one aggregate job; results are one row per rule)
     rules = cp.get_dq_rules(oid)
@@ -178,7 +182,7 @@ def ingest_object(cp: ControlPlane, obj: Mapping, run_id: str, settings: Mapping
     duration = int(time.time() - t0)
     cp.log_metrics(run_id, oid, counts["rows_read"], counts["rows_inserted"], counts["rows_updated"],
                    counts["rows_rejected"], counts["rows_deleted"], duration, "SUCCESS")
-    result = ObjectResult(oid, name, "SUCCESS", counts, schema_entry=(oid, src.schema, pk))
+    result = ObjectResult(oid, name, "SUCCESS", counts, schema_entry=(oid, source_schema, pk))
     if wm_col and loaded.get("wm") is not None:
         result.watermark = {"object_id": oid, "watermark_value": loaded["wm"], "run_id": run_id,
                             "rows_loaded": clean_rows, "watermark_col": wm_col}

@@ -292,3 +292,6 @@ def test_drift_ignore_list_setting(spark, db):
     got = [(d.column_name, d.action_taken) for d in
            spark.table(f"{db}.schema_drift_log").filter(F.col("run_id") == res["run_id"]).collect()]
     assert got == [("o_comment", "IGNORED")]
+    assert "o_comment" not in spark.table("raw.orders").columns
+    third = run_pipeline(cp)  # registered as seen: no drift again
+    assert spark.table(f"{db}.schema_drift_log").filter(F.col("run_id") == third["run_id"]).count() == 0
