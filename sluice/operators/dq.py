@@ -67,17 +67,14 @@ def _blank(s: str | None) -> bool:
 
 
 def _bounds(rule: Rule, df: DataFrame) -> tuple[Column | None, Column | None]:
+    """``min|max`` text to literals of the column's type (``try_cast``: a bad bound is NULL)."""
     lo, _, hi = (rule.expected_value or "").partition("|")
-    dtype = df.schema[rule.column_name].dataType.simpleString()
-    lo_c = F.expr(f"try_cast({_sql_str(lo.strip())} AS {dtype})") if lo.strip() else None
-    hi_c = F.expr(f"try_cast({_sql_str(hi.strip())} AS {dtype})") if hi.strip() else None
+    dtype = df.schema[rule.column_name].dataType
+    lo_c = F.lit(lo.strip()).try_cast(dtype) if lo.strip() else None
+    hi_c = F.lit(hi.strip()).try_cast(dtype) if hi.strip() else None
     return lo_c, hi_c
 
 
-def _sql_str(s: str) -> str:
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def pass_predicate(rule: Rule, df: DataFrame) -> Column:
     """The row-level pass predicate of a rule.
 
@@ -160,7 +157,15 @@ def evaluate_rules(df: DataFrame, rules: Sequence[Rule], parents: Mapping[str, D
             if need is not None:
                 ok = F.count(F.lit(1)) >= F.lit(need)
             else:
-                ok = F.expr(r.rule_expression)
+                try:
+                    ok = F.expr(r.rule_expression)
+                    dtype = df.agg(ok.alias("_x")).schema["_x"].dataType.simpleString()  # analysis only
+                    err = None if dtype == "boolean" else f"expression is {dtype}, not boolean"
+                except Exception as e:
+                    err = str(e).splitlines()[0][:500]
+                if err:
+                    broken.append(r)
+                    continue
             aggs.append(ok.alias(f"_ok{i}"))
             structs.append(F.struct(*_meta(r), F.col("_n").alias("rows_checked"),
                                     F.when(F.col(f"_ok{i}"), F.col("_n")).otherwise(F.lit(0)).cast("long").alias("rows_passed"),
@@ -182,10 +187,14 @@ def evaluate_rules(df: DataFrame, rules: Sequence[Rule], parents: Mapping[str, D
     if structs:
         parts.append(df.agg(*aggs).select(F.inline(F.array(*structs))))
     for r in rules:
-        if r.kind == "UNIQUE":
-            parts.append(_unique_result(df, r))
-        elif r.kind == "REFERENTIAL":
-            parts.append(_referential_result(df, r, parents))
+        if r.kind not in ("UNIQUE", "REFERENTIAL"):
+            continue
+        try:
+            part = _unique_result(df, r) if r.kind == "UNIQUE" else _referential_result(df, r, parents)
+            part.schema  # analysis only: a missing column or parent table makes this rule FAILED
+            parts.append(part)
+        except Exception:
+            broken.append(r)
     for r in broken:
         parts.append(spark.range(1).select(*_meta(r), F.lit(None).cast("long").alias("rows_checked"),
                                            F.lit(None).cast("long").alias("rows_passed"),

@@ -77,3 +77,13 @@ def test_quarantine_and_gate(spark):
     assert dq.gate(res) is False
     res_ok = dq.evaluate_rules(cust, [dq.Rule("acct", "CUSTOM", "c_acctbal > 0", severity="WARN")])
     assert dq.gate(res_ok) is True
+
+
+def test_broken_aggregate_and_keyed_rules_isolated(spark):
+    df = spark.createDataFrame([(1,), (2,)], "a int")
+    rules = [dq.Rule("rc_bad", "ROW_COUNT", "COUNT(nope) > 0"), dq.Rule("u_bad", "UNIQUE", column_name="zz"),
+             dq.Rule("ref_bad", "REFERENTIAL", "missing_parent.k", "a"), dq.Rule("rc", "ROW_COUNT", "COUNT(*) > 1"),
+             dq.Rule("ok", "NOT_NULL", column_name="a")]
+    got = _by_id(dq.evaluate_rules(df, rules, {}))
+    assert {k: v.status for k, v in got.items()} == {"rc_bad": "FAILED", "u_bad": "FAILED", "ref_bad": "FAILED",
+                                                   "rc": "PASSED", "ok": "PASSED"}
