@@ -49,9 +49,19 @@ def seed_table(spark: SparkSession, database: str, table: str, batch: DataFrame,
     return outcome
 
 
+class SeedFailed(RuntimeError):
+    def __init__(self, report: dict):
+        super().__init__(f"{report['failed']} seed rows failed: {report}")
+        self.report = report
+
+
 def seed_from_document(spark: SparkSession, database: str, path: str, target_catalog: str | None = None,
-                       run_ts: dt.datetime | None = None) -> dict:
-    """Seed all five tables; returns {table: outcome counts, 'failed': total}."""
+                       run_ts: dt.datetime | None = None, raise_on_failure: bool = False) -> dict:
+    """Seed all five tables; returns {table: outcome counts, 'failed': total}.
+
+    A failed row never stops the other rows or tables.  With
+    ``raise_on_failure`` the job still fails at the end when any row failed.
+    """
     run_ts = run_ts or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     sections = load_config_document(spark, path)
     report: dict = {}
@@ -81,4 +91,6 @@ def seed_from_document(spark: SparkSession, database: str, path: str, target_cat
         failures += outcome.get(seed.FAILED, 0)
         report[table] = outcome
     report["failed"] = failures
+    if raise_on_failure and failures:
+        raise SeedFailed(report)
     return report

@@ -295,3 +295,24 @@ def test_drift_ignore_list_setting(spark, db):
     assert "o_comment" not in spark.table("raw.orders").columns
     third = run_pipeline(cp)  # registered as seen: no drift again
     assert spark.table(f"{db}.schema_drift_log").filter(F.col("run_id") == third["run_id"]).count() == 0
+
+
+def test_seed_failures_reported_then_raised(spark, db, tmp_path):
+    import json
+
+    import pytest
+
+    from sluice.plans.seed_job import SeedFailed
+    doc = json.load(open(DOC))
+    doc["pipeline_config"].append({"pipeline_id": "orders_pipeline", "config_key": None, "config_value": "1",
+                                   "active_flag": True})
+    doc["dq_rule_config"].append(dict(doc["dq_rule_config"][0], rule_id="orphan", source_object="nowhere"))
+    p = tmp_path / "doc.json"
+    p.write_text(json.dumps(doc))
+    create_control_tables(spark, db)
+    rep = seed_from_document(spark, db, str(p))
+    assert rep["pipeline_config"] == {"inserted": 8, "failed": 1}
+    assert rep["dq_rule_config"] == {"inserted": 5, "dropped": 1}
+    assert rep["failed"] == 1
+    with pytest.raises(SeedFailed):
+        seed_from_document(spark, db, str(p), raise_on_failure=True)
