@@ -32,7 +32,7 @@ SETTING_TYPES = {
     "max_retry": "int", "retry_delay_seconds": "int", "batch_size": "int", "max_parallel_objects": "int",
     "schema_drift_action": "string", "dq_failure_action": "string", "alert_on_failure": "boolean",
     "alert_email": "string", "target_buckets": "int", "soft_delete": "boolean", "land_extract": "boolean",
-    "schema_drift_ignore": "string",
+    "schema_drift_ignore": "string", "target_partition_columns": "string",
 }
 SETTING_DEFAULTS = {"schema_drift_action": "EVOLVE", "dq_failure_action": "HALT", "max_retry": 3}
 

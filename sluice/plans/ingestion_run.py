@@ -26,7 +26,7 @@ from sluice.functions.lists import parse_list
 from sluice.operators import dq, drift, ingest
 from sluice.operators.audit import final_status
 from sluice.plans.control import ControlPlane, utcnow
-from sluice.sinks.writers import replace_table, write_table
+from sluice.sinks.writers import overwrite_via_staging, replace_table, schema_changed, write_table
 from sluice.sources.objects import read_object
 
 log = logging.getLogger(__name__)
@@ -159,21 +159,31 @@ def ingest_object(cp: ControlPlane, obj: Mapping, run_id: str, settings: Mapping
         soft = False
     if load_type == "hash_incremental":
         ingest.assert_unique_keys(clean, pk)  # D13: NULL or repeated keys would make the merge ambiguous
+    part_cols = [c for c in parse_list(settings.get("target_partition_columns")) if c in clean.columns] \
+        if load_type == "hash_incremental" else []
     if load_type == "full_load" or not spark.catalog.tableExists(target):
         if soft:
             data = data.withColumn("is_deleted", F.lit(False))
-        write_table(data, target, mode="overwrite", **layout)
+        write_table(data, target, mode="overwrite", partition_cols=part_cols, **layout)
         loaded = obs_src.get
         counts = {"rows_inserted": loaded["rows"], "rows_updated": 0, "rows_deleted": 0}
     else:
-        merged = ingest.merge_snapshot(data, spark.table(target), pk, "record_hash", soft_delete=soft,
-                                       change_col="_change")
+        tgt = spark.table(target)
+        stored_parts = [c.name for c in spark.catalog.listColumns(target) if c.isPartition]
+        confined = bool(stored_parts) and not schema_changed(data, target)  # evolved: whole table
+        scope = touched_partitions(clean, tgt, pk, stored_parts) if confined else None
+        if scope is not None:  # merge confined to the partitions the batch touches (ABSENT too)
+            tgt = tgt.filter(scope)
+        merged = ingest.merge_snapshot(data, tgt, pk, "record_hash", soft_delete=soft, change_col="_change")
         obs = Observation(f"merge_{oid}")
         c = F.col("_change")
         merged = merged.observe(obs, F.count_if(c == ingest.INSERT).alias("ins"),
                                 F.count_if(c == ingest.UPDATE).alias("upd"),
                                 F.count_if(c == ingest.ABSENT).alias("absent")).drop("_change")
-        replace_table(merged, target, staging, **layout)
+        if scope is not None:
+            overwrite_via_staging(merged, target, staging, partition_cols=stored_parts, **layout)
+        else:
+            replace_table(merged, target, staging, **layout)
         m, loaded = obs.get, obs_src.get
         counts = {"rows_inserted": m["ins"], "rows_updated": m["upd"], "rows_deleted": m["absent"] if soft else 0}
     clean_rows = loaded["rows"]
@@ -191,6 +201,42 @@ def ingest_object(cp: ControlPlane, obj: Mapping, run_id: str, settings: Mapping
     return result
 
 
+# More touched partitions than this and the merge covers the whole target.
+MAX_TOUCHED_PARTITIONS = 10_000
+
+
+def touched_partitions(batch: DataFrame, target: DataFrame, pk: list[str], part_cols: list[str]):
+    """Filter selecting the target partitions a merge of ``batch`` must rewrite, or None for all.
+
+    Those are the partitions holding batch rows, plus the partitions where a batch key
+    lives today (a key whose partition value changed must leave its old partition).
+    The second set costs a semi-join of the batch keys against the target's key and
+    partition columns only, far less than rewriting untouched partitions.
+    """
+    if not all(c in batch.columns for c in part_cols):
+        return None
+    here = batch.select(*part_cols).distinct()
+    there = target.select(*pk, *part_cols).join(batch.select(*pk), pk, "left_semi").select(*part_cols).distinct()
+    values = here.unionByName(there).distinct().limit(MAX_TOUCHED_PARTITIONS + 1).collect()
+    if len(values) > MAX_TOUCHED_PARTITIONS:
+        return None
+    if not values:
+        return F.lit(False)
+    if len(part_cols) == 1:
+        c = part_cols[0]
+        vals = [r[c] for r in values]
+        cond = F.col(c).isin([v for v in vals if v is not None])
+        return cond | F.col(c).isNull() if None in vals else cond
+    cond = None
+    for row in values:
+        term = None
+        for c in part_cols:
+            t = F.col(c).eqNullSafe(F.lit(row[c]))
+            term = t if term is None else term & t
+        cond = term if cond is None else cond | term
+    return cond
+
+
 def apply_control_updates(cp: ControlPlane, results: list[ObjectResult]) -> None:
     """Advance watermarks and re-register schemas of successful objects: one
     rewrite of each control table per run, not one per object."""

@@ -60,7 +60,8 @@ def write_table(df: DataFrame, table: str, mode: str = "append", partition_cols:
     else:
         out = df.hint("rebalance", *partition_cols) if partition_cols else df.hint("rebalance")
     if exists:
-        out.write.insertInto(table, overwrite=(mode == "overwrite"))
+        # partitioned tables: replace only the partitions present in ``df``
+        out.write.option("partitionOverwriteMode", "dynamic").insertInto(table, overwrite=(mode == "overwrite"))
     else:
         w = out.write.mode(mode).format("parquet")
         if partition_cols:
@@ -108,9 +109,10 @@ def overwrite_via_staging(df: DataFrame, target: str, staging: str,
     overwrites the target.  If a crash comes between the two steps the
     staging copy is complete, and a rerun finishes from it.
     """
+    spark: SparkSession = df.sparkSession
+    spark.sql(f"DROP TABLE IF EXISTS {staging}")  # staging always takes the shape of this result
     write_table(df, staging, mode="overwrite", partition_cols=partition_cols, bucket_cols=bucket_cols,
                 buckets=buckets)
-    spark: SparkSession = df.sparkSession
     write_table(spark.table(staging), target, mode="overwrite", partition_cols=partition_cols,
                 bucket_cols=bucket_cols, buckets=buckets)
     spark.catalog.refreshTable(target)
@@ -131,6 +133,12 @@ def _delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def schema_changed(df: DataFrame, table: str) -> bool:
+    """True when ``df`` has columns or types the table does not (by name; order aside)."""
+    stored = {f.name: f.dataType for f in df.sparkSession.table(table).schema.fields}
+    return any(stored.get(f.name) != f.dataType for f in df.schema.fields)
+
+
 def replace_table(df: DataFrame, target: str, staging: str, bucket_cols: Sequence[str] = (),
                   buckets: int | None = None, keep_previous: bool = False) -> None:
     """Replace ``target``'s data with ``df`` (which may read ``target``), writing it once.
@@ -141,16 +149,22 @@ def replace_table(df: DataFrame, target: str, staging: str, bucket_cols: Sequenc
     switch, and the previous folder is deleted.  Compared with a staged copy
     this halves the bytes written per merge.  A crash before the switch
     leaves the target untouched; after it, the new version is complete.
-    Partitioned targets keep the staged copy (partitions are catalogued
-    one by one).
+
+    A changed schema (new column, widened type) must reach the catalog too:
+    the new version is then created as ``<target>__next`` in the target's
+    database and renamed over the target.  A partitioned target with an
+    unchanged schema keeps the staged copy with dynamic partition overwrite
+    (its partitions are catalogued one by one).
     """
     import uuid
     spark: SparkSession = df.sparkSession
     if not spark.catalog.tableExists(target):
         write_table(df, target, mode="overwrite", bucket_cols=bucket_cols, buckets=buckets)
         return
-    if _partition_columns(spark, target):
-        overwrite_via_staging(df, target, staging, bucket_cols=bucket_cols, buckets=buckets)
+    parts = _partition_columns(spark, target)
+    evolved = schema_changed(df, target)
+    if parts and not evolved:
+        overwrite_via_staging(df, target, staging, partition_cols=parts, bucket_cols=bucket_cols, buckets=buckets)
         return
     old = table_location(spark, target)
     parent, name = old.rstrip("/").rsplit("/", 1)
@@ -159,15 +173,15 @@ def replace_table(df: DataFrame, target: str, staging: str, bucket_cols: Sequenc
         info = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {target}").collect()}
         buckets = int(info["Num Buckets"])
         bucket_cols = [c.strip(" `") for c in info["Bucket Columns"].strip("[]").split(",")]
-    # a changed schema (new column, widened type) must reach the catalog too: then the new version is
-    # created next to the target in its own database and renamed over it, instead of repointing
-    stored = [(f.name, f.dataType) for f in spark.table(target).schema.fields]
-    evolved = [(f.name, f.dataType) for f in df.schema.fields] != stored
     if evolved:
         staging = f"{target}__next"
     spark.sql(f"DROP TABLE IF EXISTS {staging}")
     out = df if bucket_cols and buckets else df.hint("rebalance")
+    if parts:
+        out = out.select(*[c for c in out.columns if c not in parts], *parts)
     w = out.write.option("path", new).format("parquet").mode("overwrite")
+    if parts:
+        w = w.partitionBy(*parts)
     if bucket_cols and buckets:
         w = w.bucketBy(int(buckets), *bucket_cols)
     w.saveAsTable(staging)
