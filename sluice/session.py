@@ -59,6 +59,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="sluice-ckpt-")
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: name a shared folder for the cluster")
+        configured = tempfile.mkdtemp(prefix="sluice-ckpt-")  # local mode (tests) only
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
