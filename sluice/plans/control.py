@@ -55,6 +55,13 @@ class ControlPlane:
         self._write_lock = threading.RLock()
         self._ids: dict[str, str] = {}
         self._rows: dict[str, dict] = {}
+        self._memo: dict = {}
+
+    def refresh(self) -> None:
+        """Forget remembered config; a run calls this once at its start."""
+        self._ids.clear()
+        self._rows.clear()
+        self._memo.clear()
 
     def _append(self, df: DataFrame, table: str) -> bool:
         with self._write_lock:
@@ -76,11 +83,16 @@ class ControlPlane:
         return config.active_objects(self.table("source_object_config"), self.pipeline_id)
 
     def get_pipeline_config(self, types: Mapping[str, str] | None = None) -> dict:
+        if types is None and "settings" in self._memo:
+            return dict(self._memo["settings"])
+        memo = types is None
         types = dict(types or SETTING_TYPES)
         wide = config.pipeline_settings(self._mine("pipeline_config"), types).collect()  # one row
         values = dict(SETTING_DEFAULTS)
         if wide:
             values.update({k: v for k, v in wide[0].asDict().items() if k != "pipeline_id" and v is not None})
+        if memo:
+            self._memo["settings"] = dict(values)
         return values
 
     def get_connection_config(self) -> DataFrame:
@@ -93,6 +105,12 @@ class ControlPlane:
         return rows[0].asDict() if rows and rows[0]["connection_name"] is not None else None
 
     def get_metadata_columns(self, load_type: str | None = None) -> list[MetadataSpec]:
+        key = ("metadata", load_type)
+        if key not in self._memo:
+            self._memo[key] = self._metadata_columns(load_type)
+        return list(self._memo[key])
+
+    def _metadata_columns(self, load_type: str | None) -> list[MetadataSpec]:
         pipes = self.spark.createDataFrame([(self.pipeline_id,)], "pipeline_id string")
         cfg = self.table("metadata_column_config").drop("config_id", "created_at", "is_merge_key")
         rows = config.effective_metadata(cfg, pipes, load_type).collect()  # config: a few rows
@@ -115,7 +133,10 @@ class ControlPlane:
         return oid
 
     def get_dq_rules(self, object_id: str) -> list[dq.Rule]:
-        return dq.rules_from_config(self._mine("dq_rule_config"), self.resolve_object_id(object_id))
+        key = ("rules", self.resolve_object_id(object_id))
+        if key not in self._memo:
+            self._memo[key] = dq.rules_from_config(self._mine("dq_rule_config"), key[1])
+        return list(self._memo[key])
 
     def _object_row(self, object_id: str) -> dict:
         oid = self.resolve_object_id(object_id)

@@ -250,6 +250,7 @@ def run_pipeline(cp: ControlPlane, read: Callable[[Mapping], DataFrame] | None =
                  triggered_mode: str = "manual") -> dict:
     """Run every active object in load order; an object failure is logged and
     the run goes on; the run ends SUCCESS, FAILED or PARTIAL."""
+    cp.refresh()  # config is read fresh once per run, then remembered for its objects
     run_id = cp.log_run_start(triggered_by=triggered_by, triggered_mode=triggered_mode)
     settings = cp.get_pipeline_config()
     objects = [r.asDict() for r in cp.get_source_objects().collect()]  # config rows of one pipeline
