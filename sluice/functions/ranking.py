@@ -1,64 +1,52 @@
 """Position of a row within its group, without putting a hot group in one task.
 
 ``row_number() OVER (PARTITION BY g ORDER BY o)`` sends every row of a group
-to one task.  If one group holds a third of the data that task holds a third
-of the data.  Here the sort key ``(g, o)`` is cut into ranges at sampled
-boundaries, so a large group spans many ranges.  Each (group, range) piece is
-numbered by its own small window, and each piece gets the count of the
-earlier pieces of its group added as an offset.  The result equals
-``row_number()`` exactly when ``o`` ends with a unique column.
+to one task: if one group holds a third of the data, so does that task.
+Here the rows are sorted globally by ``(g, o)``.  Spark's range partitioner
+cuts the sort into many partitions (a hot group spans many of them), and
+each row gets its position within its partition (``monotonically_increasing_id``
+keeps the partition in the high bits).  The tagged rows are written once to
+the session's checkpoint folder, so the positions are fixed and the lineage
+is cut.  A small aggregate then counts each group's rows per partition, and
+a running sum over those counts gives each (group, partition) piece its
+offset.  The result equals ``row_number()`` exactly when ``o`` ends with a
+unique column.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_SAMPLES_PER_RANGE = 20
+from sluice.session import ensure_checkpoint_dir
 
-
-def _struct_literal(row, fields):
-    return F.struct(*[F.lit(row[i]).cast(f.dataType).alias(f.name) for i, f in enumerate(fields)])
+_PART_SHIFT = 33  # monotonically_increasing_id: partition index in the upper 31 bits
 
 
 def sequence_within_groups(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
-                           out_col: str = "seq", ranges: int | None = None) -> DataFrame:
+                           out_col: str = "seq") -> DataFrame:
     group_cols, order_cols = list(group_cols), list(order_cols)
     spark = df.sparkSession
-    if ranges is None:
-        ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    key_cols = group_cols + order_cols
-    fields = [df.schema[c] for c in key_cols]
-
-    total = df.count()
-    want = ranges * _SAMPLES_PER_RANGE
-    sample = df.select(*key_cols)
-    if total > want:
-        sample = sample.sample(withReplacement=False, fraction=min(1.0, 2.0 * want / total), seed=17)
-    picked = sample.orderBy(*key_cols).collect()  # bounded: about 2 * ranges * 20 rows
-    step = max(1, len(picked) // ranges)
-    bounds = [picked[i] for i in range(step, len(picked), step)][: ranges - 1]
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sluice-seq-{uuid.uuid4().hex}"
 
-    key = F.struct(*[F.col(c) for c in key_cols])
-    if bounds:
-        arr = F.array(*[_struct_literal(b, fields) for b in bounds])
-        part = F.size(F.filter(arr, lambda b: b <= key))
-    else:
-        part = F.lit(0)
-    parted = df.withColumn("_rng", part.cast("int"))
+    tagged = (df.orderBy(*group_cols, *order_cols)
+              .withColumn("_pos", F.monotonically_increasing_id()))
+    tagged.write.parquet(folder)  # positions fixed once; every later read sees the same ones
+    tagged = spark.read.parquet(folder).withColumn("_part", F.shiftright("_pos", _PART_SHIFT))
 
-    local = parted.withColumn(
-        "_local", F.row_number().over(Window.partitionBy(*group_cols, "_rng").orderBy(*order_cols)))
-    pieces = parted.groupBy(*group_cols, "_rng").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*group_cols).orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = tagged.groupBy(*group_cols, "_part").agg(F.count(F.lit(1)).alias("_n"),
+                                                       F.min("_pos").alias("_first"))
+    earlier = Window.partitionBy(*group_cols).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = pieces.select(*[F.col(c).alias(f"_o_{i}") for i, c in enumerate(group_cols)],
-                            F.col("_rng").alias("_o_rng"),
+                            F.col("_part").alias("_o_part"), "_first",
                             F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    cond = local["_rng"] == offsets["_o_rng"]
+    cond = tagged["_part"] == offsets["_o_part"]
     for i, c in enumerate(group_cols):
-        cond = cond & local[c].eqNullSafe(offsets[f"_o_{i}"])
-    joined = local.join(offsets, cond, "inner")
-    out = joined.withColumn(out_col, (F.col("_before") + F.col("_local")).cast("int"))
-    return out.drop("_rng", "_local", "_before", "_o_rng", *[f"_o_{i}" for i in range(len(group_cols))])
+        cond = cond & tagged[c].eqNullSafe(offsets[f"_o_{i}"])
+    joined = tagged.join(offsets, cond, "inner")
+    seq = F.col("_before") + F.col("_pos") - F.col("_first") + F.lit(1)
+    out = joined.withColumn(out_col, seq.cast("int"))
+    return out.drop("_pos", "_part", "_first", "_before", "_o_part", *[f"_o_{i}" for i in range(len(group_cols))])
