@@ -161,7 +161,11 @@ def ingest_object(cp: ControlPlane, obj: Mapping, run_id: str, settings: Mapping
         ingest.assert_unique_keys(clean, pk)  # D13: NULL or repeated keys would make the merge ambiguous
     part_cols = [c for c in parse_list(settings.get("target_partition_columns")) if c in clean.columns] \
         if load_type == "hash_incremental" else []
-    if load_type == "full_load" or not spark.catalog.tableExists(target):
+    if load_type == "full_load" and spark.catalog.tableExists(target):
+        replace_table(data, target, staging)  # new version written once, then switched (schema may evolve)
+        loaded = obs_src.get
+        counts = {"rows_inserted": loaded["rows"], "rows_updated": 0, "rows_deleted": 0}
+    elif load_type == "full_load" or not spark.catalog.tableExists(target):
         if soft:
             data = data.withColumn("is_deleted", F.lit(False))
         write_table(data, target, mode="overwrite", partition_cols=part_cols, **layout)

@@ -38,7 +38,7 @@ def test_evolve_table_adds_column(spark, db):
     assert spark.table(f"{db}.t").columns == ["a", "b"]
 
 
-def test_full_load_run(spark, db):
+def test_full_load_run(spark, db, tmp_path):
     create_control_tables(spark, db)
     spark.sql("CREATE DATABASE IF NOT EXISTS rawfl")
     spark.sql("DROP TABLE IF EXISTS rawfl.nation")
@@ -68,6 +68,17 @@ def test_full_load_run(spark, db):
     out = spark.table("rawfl.nation")
     assert out.count() == 25 and "record_hash" not in out.columns
     assert out.select("load_run_id").distinct().first()[0] == res["run_id"]
+    # the source gains a column: the next full load carries it into the target
+    scratch = str(tmp_path)
+    spark.read.parquet(f"{SF001}/nation.parquet").withColumn("n_comment", F.lit("c")) \
+        .write.parquet(os.path.join(scratch, "nation.parquet"))
+    obj2 = spark.table(f"{db}.source_object_config").withColumn("source_schema", F.lit(scratch))
+    obj2.write.saveAsTable(f"{db}.so_fl_tmp")
+    spark.sql(f"INSERT OVERWRITE {db}.source_object_config SELECT * FROM {db}.so_fl_tmp")
+    res3 = run_pipeline(cp)
+    assert res3["status"] == "SUCCESS", res3
+    out = spark.table("rawfl.nation")
+    assert out.count() == 25 and out.filter("n_comment = 'c'").count() == 25
 
 
 def test_stream_front_end_merges_files(spark, db, tmp_path):
