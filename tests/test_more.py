@@ -204,3 +204,18 @@ def test_partition_confined_merge(spark, db):
             assert after[part] == files, part  # untouched partitions were not rewritten
         else:
             assert after[part] != files, part
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from sluice.__main__ import main
+    name = "cli_ctl"
+    spark.sql(f"DROP DATABASE IF EXISTS {name} CASCADE")
+    assert main(["ddl", "--control-schema", name, "--raw-schema", "cli_raw", "--staging-schema", "cli_stg"]) == 0
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["created"] == 12
+    assert main(["seed", "--control-schema", name, "--config-path",
+                 os.path.join(os.path.dirname(__file__), "fixtures", "seed_document.json")]) == 0
+    rep = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert rep["failed"] == 0 and rep["pipeline_config"] == {"inserted": 8}
+    spark.sql(f"DROP DATABASE IF EXISTS {name} CASCADE")
