@@ -76,6 +76,22 @@ _TABLE_DDL = {
         updated_at TIMESTAMP NOT NULL""",
 }
 
+# What each control table holds (table comments).
+TABLE_COMMENTS = {
+    "source_object_config": "One row per source object and pipeline: what to load, where, and how.",
+    "watermark_control": "High-water mark of the last successful load per object and pipeline.",
+    "pipeline_config": "Key-value settings per pipeline; values are text, typed by the reader.",
+    "job_run_audit": "Append-only run events; the latest event per run is its state.",
+    "job_run_error": "Errors per object and run, one row per attempt.",
+    "ingestion_metrics": "Row counts per object and run.",
+    "object_schema_registry": "Registered schema per object, one row per column.",
+    "schema_drift_log": "Detected schema changes and the action taken.",
+    "dq_rule_config": "Data-quality rules per object; expressions are Spark SQL.",
+    "dq_check_results": "Result of every rule per object and run.",
+    "metadata_column_config": "Metadata columns added to loaded rows; 'default' rows apply to every pipeline.",
+    "connection_config": "Connection settings per pipeline and source system; credentials by secret key.",
+}
+
 # Tables partitioned by environment (the drift log has the column but is not partitioned).
 PARTITION_COLUMNS = {
     "job_run_audit": ["environment"],

@@ -9,7 +9,7 @@ from collections.abc import Mapping
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
-from sluice.schemas import PARTITION_COLUMNS, TABLES
+from sluice.schemas import PARTITION_COLUMNS, TABLE_COMMENTS, TABLES
 
 log = logging.getLogger(__name__)
 _IDENT = re.compile(r"^[A-Za-z0-9_]+$")
@@ -50,6 +50,8 @@ def table_ddl(database: str, table: str, schema: T.StructType | None = None,
     sql = f"CREATE TABLE IF NOT EXISTS `{check_identifier(database)}`.`{check_identifier(table)}` ({cols}) USING parquet"
     if parts:
         sql += " PARTITIONED BY (" + ", ".join(f"`{p}`" for p in parts) + ")"
+    if table in TABLE_COMMENTS:
+        sql += f" COMMENT {_quote(TABLE_COMMENTS[table])}"
     if location:
         sql += f" LOCATION {_quote(location)}"
     return sql
