@@ -1,10 +1,8 @@
-"""Join helpers: size-checked broadcast and null-safe equi-join conditions."""
+"""Join helper: broadcast only with a proven size bound."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Config tables (rules, settings, connections, metadata specs) stay far below this.
@@ -23,11 +21,3 @@ def broadcast_if_small(df: DataFrame, max_rows: int = CONFIG_BROADCAST_MAX_ROWS,
     n = known_rows if known_rows is not None else df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 
-
-def null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """``left.k <=> right.k`` for every key, ANDed."""
-    cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(right[k])
-        cond = c if cond is None else cond & c
-    return cond

@@ -28,7 +28,3 @@ def is_widening(old: str | Column, new: str | Column) -> Column:
     pairs = F.array(*[F.lit(f"{a}>{b}") for a, b in WIDENING])
     return F.coalesce(F.array_contains(pairs, F.concat_ws(">", o, n)), F.lit(False))
 
-
-def ddl_type(name: str) -> T.DataType:
-    """Parse a registry type name back to a Spark type."""
-    return T._parse_datatype_string(name.lower())

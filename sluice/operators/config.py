@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.joins import CONFIG_BROADCAST_MAX_ROWS, broadcast_if_small
@@ -141,7 +141,3 @@ def expand_list_column(df: DataFrame, list_col: str, keep: Sequence[str], out_co
     """``primary_key`` / ``hash_columns`` text to one row per column name."""
     return explode_list(df, list_col, keep, out_col=out_col, position_col=position_col)
 
-
-def typed_setting(settings: DataFrame, key: str, default: Column | None = None) -> Column:
-    c = F.col(key)
-    return F.coalesce(c, default) if default is not None else c

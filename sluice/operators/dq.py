@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from sluice.functions.lists import parse_list
 
-ROW_TYPES = {"NOT_NULL", "VALUE_RANGE", "RANGE", "REGEX", "CUSTOM"}
 PASSED, FAILED, WARNING = "PASSED", "FAILED", "WARNING"
 CONTINUED, HALTED = "CONTINUED", "HALTED"
 
@@ -146,7 +145,7 @@ def evaluate_rules(df: DataFrame, rules: Sequence[Rule], parents: Mapping[str, D
     """
     parents = parents or {}
     spark = df.sparkSession
-    structs, extra, broken = [], [], []
+    structs, broken = [], []
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, r in enumerate(rules):
         kind = r.kind

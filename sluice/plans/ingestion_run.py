@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from sluice.functions.hashing import hash_columns_for, record_hash
 from sluice.functions.lists import parse_list
 from sluice.operators import dq, drift, ingest
-from sluice.operators.audit import final_status
 from sluice.plans.control import ControlPlane, utcnow
 from sluice.sinks.writers import overwrite_via_staging, replace_table, schema_changed, write_table
 from sluice.sources.objects import read_object
@@ -301,4 +300,4 @@ def run_pipeline(cp: ControlPlane, read: Callable[[Mapping], DataFrame] | None =
     return {"run_id": run_id, "status": status, "objects": results}
 
 
-__all__ = ["run_pipeline", "ingest_object", "apply_control_updates", "RunHalted", "ObjectResult", "final_status"]
+__all__ = ["run_pipeline", "ingest_object", "apply_control_updates", "touched_partitions", "RunHalted", "ObjectResult"]
