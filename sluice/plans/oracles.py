@@ -118,6 +118,26 @@ SELECT rule_id, n AS rows_checked, p AS rows_passed, n - p AS rows_failed, round
 
     "dq_quarantine": "SELECT c_custkey, concat_ws(',', CASE WHEN coalesce(c_acctbal > 0, false) THEN NULL ELSE 'acctbal_positive' END, CASE WHEN coalesce(c_mktsegment <> 'BUILDING', false) THEN NULL ELSE 'segment_allowed' END) AS failed_rules FROM customer WHERE NOT coalesce(c_acctbal > 0, false) OR NOT coalesce(c_mktsegment <> 'BUILDING', false)",
 
+    "dq_results_all_types": """WITH s AS (SELECT (SELECT count(*) FROM lineitem) AS n,
+    (SELECT count(*) FROM lineitem WHERE l_shipdate IS NOT NULL) AS p1,
+    (SELECT coalesce(CAST(sum(c) AS BIGINT), 0) FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_orderkey, l_linenumber) WHERE c = 1) AS p2,
+    (SELECT count(*) FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 20)) AS p3,
+    (SELECT count(*) FROM lineitem WHERE regexp_matches(l_returnflag, '^[AR]$')) AS p4,
+    (SELECT count(*) FROM lineitem WHERE l_discount >= 0 AND l_discount <= 0.08) AS p5),
+  r AS (SELECT 'r1_shipdate_present' AS rule_id, 'ERROR' AS severity, n, p1 AS p, p1 = n AS ok FROM s
+    UNION ALL SELECT 'r2_line_unique', 'ERROR', n, p2, p2 = n FROM s
+    UNION ALL SELECT 'r3_known_supplier', 'WARN', n, p3, p3 = n FROM s
+    UNION ALL SELECT 'r4_flag_pattern', 'WARN', n, p4, p4 = n FROM s
+    UNION ALL SELECT 'r5_discount_range', 'WARN', n, p5, p5 = n FROM s
+    UNION ALL SELECT 'r6_min_rows', 'ERROR', n, CASE WHEN n >= 1000 THEN n ELSE 0 END, n >= 1000 FROM s)
+SELECT rule_id, n AS rows_checked, p AS rows_passed, n - p AS rows_failed, round(100.0::DOUBLE * p / nullif(n, 0), 4) AS pass_rate, CASE WHEN ok THEN 'PASSED' WHEN severity = 'WARN' THEN 'WARNING' ELSE 'FAILED' END AS status, CASE WHEN NOT ok AND severity = 'ERROR' THEN 'HALTED' ELSE 'CONTINUED' END AS action_taken FROM r""",
+
+    "dq_quarantine_keys": """WITH c AS (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber),
+  p AS (SELECT DISTINCT s_suppkey FROM supplier WHERE s_nationkey < 20),
+  f AS (SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, concat_ws(',', CASE WHEN c.n > 1 THEN 'dup_line' END, CASE WHEN p.s_suppkey IS NULL THEN 'known_supplier' END, CASE WHEN coalesce(l.l_quantity <= 45, false) THEN NULL ELSE 'qty_cap' END) AS failed_rules
+    FROM lineitem l JOIN c ON l.l_orderkey = c.l_orderkey AND l.l_linenumber = c.l_linenumber LEFT JOIN p ON l.l_suppkey = p.s_suppkey)
+SELECT * FROM f WHERE failed_rules <> ''""",
+
     "range_from_config": """SELECT 'a' AS rule_id, count(*) AS rows_checked, count(*) FILTER (WHERE value >= 0 AND value <= 100) AS rows_passed FROM events
   UNION ALL SELECT 'b', count(*), count(*) FILTER (WHERE value >= 50 AND value <= 500) FROM events""",
 

@@ -288,6 +288,36 @@ def dq_quarantine(spark, sf_dir):
     return rejected.select("c_custkey", "failed_rules")
 
 
+# A rule of every type on lineitem; the referential parent is the suppliers of nations below 20.
+LINEITEM_RULES = [
+    dq.Rule("r1_shipdate_present", "NOT_NULL", column_name="l_shipdate", severity="ERROR"),
+    dq.Rule("r2_line_unique", "UNIQUE", column_name="l_orderkey,l_linenumber", severity="ERROR"),
+    dq.Rule("r3_known_supplier", "REFERENTIAL", "supplier_main.s_suppkey", "l_suppkey", severity="WARN"),
+    dq.Rule("r4_flag_pattern", "REGEX", column_name="l_returnflag", expected_value="^[AR]$", severity="WARN"),
+    dq.Rule("r5_discount_range", "VALUE_RANGE", None, "l_discount", "0|0.08", severity="WARN"),
+    dq.Rule("r6_min_rows", "ROW_COUNT", "COUNT(*) > 0", None, "1000", severity="ERROR"),
+]
+
+
+def _supplier_main(spark, sf_dir):
+    return {"supplier_main": _t(spark, sf_dir, "supplier").filter(F.col("s_nationkey") < 20)}
+
+
+@register("dq_results_all_types")
+def dq_results_all_types(spark, sf_dir):
+    res = dq.evaluate_rules(_t(spark, sf_dir, "lineitem"), LINEITEM_RULES, _supplier_main(spark, sf_dir))
+    return res.select("rule_id", *_COUNTS, "pass_rate", "status", "action_taken")
+
+
+@register("dq_quarantine_keys")
+def dq_quarantine_keys(spark, sf_dir):
+    rules = [dq.Rule("dup_line", "UNIQUE", column_name="l_orderkey,l_linenumber"),
+             dq.Rule("known_supplier", "REFERENTIAL", "supplier_main.s_suppkey", "l_suppkey"),
+             dq.Rule("qty_cap", "CUSTOM", "l_quantity <= 45")]
+    _, rejected = dq.quarantine(_t(spark, sf_dir, "lineitem"), rules, _supplier_main(spark, sf_dir))
+    return rejected.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "failed_rules")
+
+
 @register("range_from_config")
 def range_from_config(spark, sf_dir):
     rules = [dq.Rule("a", "VALUE_RANGE", None, "value", "0|100"), dq.Rule("b", "VALUE_RANGE", None, "value", "50|500")]
