@@ -35,6 +35,8 @@ SETTING_TYPES = {
     "schema_drift_ignore": "string", "target_partition_columns": "string",
 }
 SETTING_DEFAULTS = {"schema_drift_action": "EVOLVE", "dq_failure_action": "HALT", "max_retry": 3}
+# Log tables whose rows a run may hold and append once at its end.
+BUFFERED_LOGS = {"ingestion_metrics", "dq_check_results", "schema_drift_log"}
 
 
 def utcnow() -> dt.datetime:
@@ -56,6 +58,7 @@ class ControlPlane:
         self._ids: dict[str, str] = {}
         self._rows: dict[str, dict] = {}
         self._memo: dict = {}
+        self._buffer: dict[str, list[DataFrame]] | None = None
 
     def refresh(self) -> None:
         """Forget remembered config; a run calls this once at its start."""
@@ -65,8 +68,28 @@ class ControlPlane:
 
     def _append(self, df: DataFrame, table: str) -> bool:
         with self._write_lock:
+            if self._buffer is not None and table in BUFFERED_LOGS:
+                self._buffer.setdefault(table, []).append(df)
+                return True
             return append_log(df, self.database, table)
 
+    def buffer_logs(self) -> None:
+        """Hold metric, DQ-result and drift rows until ``flush_logs``: one append (and one set of
+        files) per log table and run instead of one per object.  Errors and run events are not held."""
+        with self._write_lock:
+            self._buffer = {}
+
+    def flush_logs(self) -> bool:
+        with self._write_lock:
+            buf, self._buffer = self._buffer or {}, None
+        ok = True
+        for table, frames in buf.items():
+            df = frames[0]
+            for f in frames[1:]:
+                df = df.unionByName(f, allowMissingColumns=True)
+            ok = self._append(df.coalesce(1), table) and ok  # a run's log rows are few: one file
+        return ok
+
     def _replace(self, df: DataFrame, table: str) -> None:
         with self._write_lock:
             replace_table(df, f"{self.database}.{table}", f"{self.database}.{table}__staging")

@@ -255,44 +255,49 @@ def run_pipeline(cp: ControlPlane, read: Callable[[Mapping], DataFrame] | None =
     the run goes on; the run ends SUCCESS, FAILED or PARTIAL."""
     cp.refresh()  # config is read fresh once per run, then remembered for its objects
     run_id = cp.log_run_start(triggered_by=triggered_by, triggered_mode=triggered_mode)
-    settings = cp.get_pipeline_config()
-    objects = [r.asDict() for r in cp.get_source_objects().collect()]  # config rows of one pipeline
+    cp.buffer_logs()  # metric, DQ and drift rows of all objects go out in one append per table
     results: list[ObjectResult] = []
-    attempts = max(1, int(settings.get("max_retry") or 1))
-    delay = float(settings.get("retry_delay_seconds") or 0)
-    parallel = max(1, int(settings.get("max_parallel_objects") or 1))
-
-    def load(obj: dict) -> ObjectResult:
-        for attempt in range(1, attempts + 1):
-            try:
-                return ingest_object(cp, obj, run_id, settings, read, parents, defer_control_updates=True)
-            except Exception as e:
-                halted = isinstance(e, (RunHalted, ingest.MergeKeyError))
-                kind = e.error_type if isinstance(e, RunHalted) else (
-                    "MERGE_ERROR" if isinstance(e, ingest.MergeKeyError) else "UNKNOWN")
-                cp.log_error(run_id, obj["object_id"], kind, str(e).splitlines()[0] if str(e) else repr(e),
-                             traceback.format_exc(), retry_attempt=attempt)
-                if halted or attempt == attempts:  # halts are decisions, not transient faults
-                    cp.log_metrics(run_id, obj["object_id"], status="FAILED")
-                    return ObjectResult(obj["object_id"], obj["source_object"], "FAILED", error=str(e))
-                time.sleep(delay)
-        raise AssertionError("unreachable")
-
-    # objects of one load_order are independent: up to max_parallel_objects run as concurrent Spark jobs;
-    # the next load_order starts when the previous one is done
-    for _, group in itertools.groupby(objects, key=lambda o: o["load_order"]):
-        group = list(group)
-        if parallel == 1 or len(group) == 1:
-            results.extend(load(o) for o in group)
-        else:
-            with ThreadPoolExecutor(max_workers=min(parallel, len(group))) as pool:
-                results.extend(pool.map(load, group))
+    objects: list[dict] = []
     try:
-        apply_control_updates(cp, results)
-    except Exception as e:  # the loads are done; report the bookkeeping failure, do not lose the run
-        log.error("control table update failed: %s", e)
-        cp.log_error(run_id, objects[0]["object_id"] if objects else "-", "UNKNOWN", str(e).splitlines()[0],
-                     traceback.format_exc())
+        settings = cp.get_pipeline_config()
+        objects = [r.asDict() for r in cp.get_source_objects().collect()]  # config rows of one pipeline
+        attempts = max(1, int(settings.get("max_retry") or 1))
+        delay = float(settings.get("retry_delay_seconds") or 0)
+        parallel = max(1, int(settings.get("max_parallel_objects") or 1))
+
+        def load(obj: dict) -> ObjectResult:
+            for attempt in range(1, attempts + 1):
+                try:
+                    return ingest_object(cp, obj, run_id, settings, read, parents, defer_control_updates=True)
+                except Exception as e:
+                    halted = isinstance(e, (RunHalted, ingest.MergeKeyError))
+                    kind = e.error_type if isinstance(e, RunHalted) else (
+                        "MERGE_ERROR" if isinstance(e, ingest.MergeKeyError) else "UNKNOWN")
+                    cp.log_error(run_id, obj["object_id"], kind, str(e).splitlines()[0] if str(e) else repr(e),
+                                 traceback.format_exc(), retry_attempt=attempt)
+                    if halted or attempt == attempts:  # halts are decisions, not transient faults
+                        cp.log_metrics(run_id, obj["object_id"], status="FAILED")
+                        return ObjectResult(obj["object_id"], obj["source_object"], "FAILED", error=str(e))
+                    time.sleep(delay)
+            raise AssertionError("unreachable")
+
+        # objects of one load_order are independent: up to max_parallel_objects run as concurrent Spark
+        # jobs; the next load_order starts when the previous one is done
+        for _, group in itertools.groupby(objects, key=lambda o: o["load_order"]):
+            group = list(group)
+            if parallel == 1 or len(group) == 1:
+                results.extend(load(o) for o in group)
+            else:
+                with ThreadPoolExecutor(max_workers=min(parallel, len(group))) as pool:
+                    results.extend(pool.map(load, group))
+        try:
+            apply_control_updates(cp, results)
+        except Exception as e:  # the loads are done; report the bookkeeping failure, do not lose the run
+            log.error("control table update failed: %s", e)
+            cp.log_error(run_id, objects[0]["object_id"] if objects else "-", "UNKNOWN", str(e).splitlines()[0],
+                         traceback.format_exc())
+    finally:
+        cp.flush_logs()
     ok = sum(r.status == "SUCCESS" for r in results)
     bad = len(results) - ok
     status = "SUCCESS" if bad == 0 else ("FAILED" if ok == 0 else "PARTIAL")
