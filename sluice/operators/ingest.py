@@ -24,12 +24,18 @@ class MergeKeyError(ValueError):
     """Source keys are NULL or duplicated; a merge would be ambiguous (MERGE_ERROR)."""
 
 
-def assert_unique_keys(df: DataFrame, pk: Sequence[str]) -> None:
-    """Raise if any key is NULL or repeated.  One aggregate job, one row back at most."""
+def bad_keys(df: DataFrame, pk: Sequence[str]) -> DataFrame:
+    """Keys that are NULL or repeated, with their counts.  Reads the key columns only; the count is a
+    partial aggregate, so even a key repeated in a third of the rows leaves each task as one row."""
     null_key = F.greatest(*[F.col(k).isNull().cast("int") for k in pk]) if len(pk) > 1 \
         else F.col(pk[0]).isNull().cast("int")
-    bad = (df.groupBy(*pk).agg(F.count(F.lit(1)).alias("_n"))
-           .filter((F.col("_n") > 1) | (null_key == 1)).limit(1).collect())
+    return (df.groupBy(*pk).agg(F.count(F.lit(1)).alias("_n"))
+            .filter((F.col("_n") > 1) | (null_key == 1)))
+
+
+def assert_unique_keys(df: DataFrame, pk: Sequence[str]) -> None:
+    """Raise if any key is NULL or repeated.  One aggregate job, one row back at most."""
+    bad = bad_keys(df, pk).limit(1).collect()
     if bad:
         raise MergeKeyError(f"primary key {pk} is NULL or duplicated, e.g. {bad[0].asDict()}")
 

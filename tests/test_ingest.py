@@ -113,3 +113,11 @@ def test_merge_adds_new_source_columns(spark):
                                 "k int, v string, record_hash string, extra int")
     out = {r.k: r for r in ingest.merge_snapshot(src, tgt, ["k"]).collect()}
     assert out[1].v == "b" and out[1].extra == 5 and out[2].extra == 6
+
+
+def test_key_check_reads_key_columns_only(spark):
+    o = spark.read.parquet(f"{SF01}/orders.parquet")
+    plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(
+        ingest.bad_keys(o, ["o_orderkey"])._jdf.queryExecution(), "formatted")
+    assert "ReadSchema: struct<o_orderkey:bigint>" in plan
+    assert ingest.bad_keys(o, ["o_orderkey"]).count() == 0
