@@ -37,6 +37,8 @@ SELECT o_orderkey, sha256(concat_ws(chr(1), coalesce(CAST(o_custkey AS VARCHAR),
     "change_classify": f"""WITH {_SRC_TGT}
 SELECT coalesce(s.o_orderkey, t.o_orderkey) AS o_orderkey, CASE WHEN t.o_orderkey IS NULL THEN 'INSERT' WHEN s.o_orderkey IS NULL THEN 'ABSENT' WHEN s.record_hash <> t.record_hash THEN 'UPDATE' ELSE 'UNCHANGED' END AS change_type FROM s FULL OUTER JOIN t ON s.o_orderkey = t.o_orderkey""",
 
+    "merge_key_check": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1 OR l_orderkey IS NULL OR l_linenumber IS NULL",
+
     "merge_upsert": f"""WITH {_SRC_TGT}
 SELECT * FROM s
   UNION ALL SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.o_orderkey = t.o_orderkey)""",

@@ -58,6 +58,12 @@ def change_classify(spark, sf_dir):
     return ingest.classify(sc.orders_source(spark, sf_dir), sc.orders_target(spark, sf_dir), ["o_orderkey"])
 
 
+@register("merge_key_check")
+def merge_key_check(spark, sf_dir):
+    bad = ingest.bad_keys(_t(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+    return bad.select("l_orderkey", "l_linenumber", F.col("_n").alias("n"))
+
+
 @register("merge_upsert")
 def merge_upsert(spark, sf_dir):
     return ingest.merge_snapshot(sc.orders_source(spark, sf_dir), sc.orders_target(spark, sf_dir),
