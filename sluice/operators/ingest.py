@@ -112,8 +112,8 @@ def merge_snapshot(src: DataFrame, tgt: DataFrame, pk: Sequence[str], hash_col:
             out.append(s_key.isNull().alias(c))
         elif c in src_cols:
             out.append(F.when(take_src, F.col(f"_s.{c}")).otherwise(F.col(f"_t.{c}")).alias(c))
-        else:
-            out.append(F.when(take_src & t_key.isNull(), F.lit(None)).otherwise(F.col(f"_t.{c}")).alias(c))
+        else:  # a column the source no longer has: kept for existing rows, NULL for new ones
+            out.append(F.col(f"_t.{c}").alias(c))
     for c in src_cols:
         if c not in tgt_cols:
             out.append(F.when(s_key.isNotNull(), F.col(f"_s.{c}")).alias(c))
