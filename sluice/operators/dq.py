@@ -258,9 +258,14 @@ def quarantine(df: DataFrame, rules: Sequence[Rule], parents: Mapping[str, DataF
     """Split rows into (clean, rejected); rejected rows carry the comma list of
     the row-level rules they fail.  Aggregate rules (ROW_COUNT) judge the table,
     not rows, and are skipped here.
+
+    UNIQUE joins each row to its key's count and REFERENTIAL to the parent's
+    distinct values.  Both small sides are unique per key, so a hot key sits
+    on the big side, where AQE's skew join can split it.
     """
     parents = parents or {}
     names: list[Column] = []
+    helpers: list[str] = []
     work = df
     for i, r in enumerate(rules):
         kind = r.kind
@@ -268,26 +273,34 @@ def quarantine(df: DataFrame, rules: Sequence[Rule], parents: Mapping[str, DataF
             continue
         if kind == "UNIQUE":
             keys = _unique_keys(r)
-            counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"_u{i}"))
-            work = work.join(counts, [work[k].eqNullSafe(counts[k]) for k in keys], "left") \
-                .drop(*[counts[k] for k in keys])
+            n_col = f"__sluice_u{i}"
+            key_alias = [f"{n_col}_k{j}" for j in range(len(keys))]
+            counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n_col)) \
+                .select(*[F.col(k).alias(a) for k, a in zip(keys, key_alias)], n_col)
+            cond = None
+            for k, a in zip(keys, key_alias):
+                c = work[k].eqNullSafe(counts[a])
+                cond = c if cond is None else cond & c
+            work = work.join(counts, cond, "left")
             any_null = F.lit(False)
             for k in keys:
                 any_null = any_null | F.col(k).isNull()
-            bad = ~any_null & (F.col(f"_u{i}") > 1)
+            bad = ~any_null & (F.col(n_col) > 1)
+            helpers += [n_col, *key_alias]
         elif kind == "REFERENTIAL":
             table, pcol = _parent_ref(r)
             parent = parents.get(table)
             if parent is None:
                 parent = df.sparkSession.table(table)
-            keys = parent.select(F.col(pcol).alias(f"_r{i}")).where(F.col(f"_r{i}").isNotNull()).distinct()
-            work = work.join(keys, work[r.column_name] == keys[f"_r{i}"], "left")
-            bad = F.col(f"_r{i}").isNull()
+            ref_col = f"__sluice_r{i}"
+            keys = parent.select(F.col(pcol).alias(ref_col)).where(F.col(ref_col).isNotNull()).distinct()
+            work = work.join(keys, work[r.column_name] == keys[ref_col], "left")
+            bad = F.col(ref_col).isNull()
+            helpers.append(ref_col)
         else:
             bad = ~F.coalesce(pass_predicate(r, df), F.lit(False))
         names.append(F.when(bad, F.lit(r.name)))
-    helper = [c for c in work.columns if c.startswith("_u") or c.startswith("_r")]
-    flagged = work.withColumn(out_col, F.concat_ws(",", *names)).drop(*helper)
+    flagged = work.withColumn(out_col, F.concat_ws(",", *names)).drop(*helpers)
     rejected = flagged.filter(F.col(out_col) != "")
     clean = flagged.filter(F.col(out_col) == "").drop(out_col)
     return clean, rejected

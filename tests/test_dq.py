@@ -87,3 +87,11 @@ def test_broken_aggregate_and_keyed_rules_isolated(spark):
     got = _by_id(dq.evaluate_rules(df, rules, {}))
     assert {k: v.status for k, v in got.items()} == {"rc_bad": "FAILED", "u_bad": "FAILED", "ref_bad": "FAILED",
                                                    "rc": "PASSED", "ok": "PASSED"}
+
+
+def test_quarantine_keeps_columns_named_like_helpers(spark):
+    df = spark.createDataFrame([(1, "a", 5), (1, "a", 6), (2, "b", -1)], "_run int, _u string, v int")
+    clean, rejected = dq.quarantine(df, [dq.Rule("dup", "UNIQUE", column_name="_run,_u"),
+                                         dq.Rule("pos", "CUSTOM", "v > 0")])
+    assert clean.columns == ["_run", "_u", "v"] and clean.count() == 0
+    assert {r.v: r.failed_rules for r in rejected.collect()} == {5: "dup", 6: "dup", -1: "pos"}
