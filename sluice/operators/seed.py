@@ -53,9 +53,13 @@ def seed_outcome(batch: DataFrame, existing: DataFrame, keys: Sequence[str]) ->
     """
     keys = list(keys)
     per_key = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    present = existing_keys(existing, keys).withColumn("_present", F.lit(1))
-    j = per_key.join(present, [per_key[k].eqNullSafe(present[k]) for k in keys], "left") \
-        .select(*[per_key[k] for k in keys], "_n", "_present")
+    present = existing_keys(existing, keys).select(*[F.col(k).alias(f"_e{i}") for i, k in enumerate(keys)],
+                                                   F.lit(1).alias("_present"))
+    cond = None
+    for i, k in enumerate(keys):
+        c = per_key[k].eqNullSafe(present[f"_e{i}"])
+        cond = c if cond is None else cond & c
+    j = per_key.join(present, cond, "left").select(*keys, "_n", "_present")
     nullk = _any_null(keys)
     new = ~nullk & F.col("_present").isNull()
     tot = j.agg(
