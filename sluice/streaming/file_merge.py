@@ -19,6 +19,10 @@ def merge_stream(spark: SparkSession, path: str, schema: T.StructType, target: s
     """Start a stream over ``path``; each micro-batch is hashed and merged into
     ``target`` (first batch creates it).  ``checkpoint`` must be a shared
     folder on a cluster; ``available_now`` processes what is there and stops.
+
+    ``foreachBatch`` delivers a micro-batch at least once.  The merge is
+    idempotent, so a batch replayed after a failure classifies as UNCHANGED and
+    leaves the target as it was.
     """
     pk = list(primary_key)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
