@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions.ranking import sequence_within_groups
-from sluice.schemas import ERROR_TYPES
+from sluice.schemas import ERROR_TYPES, schema_of
 
 SUCCESS, FAILED, PARTIAL, RUNNING = "SUCCESS", "FAILED", "PARTIAL", "RUNNING"
 
@@ -83,5 +83,4 @@ def run_event(spark: SparkSession, run_id: str, pipeline_id: str, status: str, s
     dur = int((end_time - start_time).total_seconds()) if end_time is not None else None
     row = (run_id, pipeline_id, job_id, job_run_id, triggered_by, triggered_mode, start_time, end_time,
            dur, status, total, ok, bad, environment, created_at or end_time or start_time)
-    from sluice.schemas import schema_of
     return spark.createDataFrame([row], schema_of("job_run_audit"))
