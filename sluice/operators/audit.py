@@ -58,8 +58,8 @@ def error_attempts(errors: DataFrame, group_cols: Sequence[str], order_cols: Seq
                    out_col: str = "retry_attempt") -> DataFrame:
     """1-based attempt number of each error within its (run, object), by time.
 
-    Uses the range-split numbering, so a run/object with a huge number of
-    errors is spread over many tasks.
+    Uses the sort-based numbering of ``sequence_within_groups``, so a
+    run/object with a huge number of errors is spread over many tasks.
     """
     return sequence_within_groups(errors, group_cols, order_cols, out_col=out_col)
 
