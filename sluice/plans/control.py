@@ -33,6 +33,7 @@ SETTING_TYPES = {
     "schema_drift_action": "string", "dq_failure_action": "string", "alert_on_failure": "boolean",
     "alert_email": "string", "target_buckets": "int", "soft_delete": "boolean", "land_extract": "boolean",
     "schema_drift_ignore": "string", "target_partition_columns": "string",
+    "partition_values_fixed": "boolean",
 }
 SETTING_DEFAULTS = {"schema_drift_action": "EVOLVE", "dq_failure_action": "HALT", "max_retry": 3}
 # Log tables whose rows a run may hold and append once at its end.

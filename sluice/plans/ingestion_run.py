@@ -174,7 +174,8 @@ def ingest_object(cp: ControlPlane, obj: Mapping, run_id: str, settings: Mapping
         tgt = spark.table(target)
         stored_parts = [c.name for c in spark.catalog.listColumns(target) if c.isPartition]
         confined = bool(stored_parts) and not schema_changed(data, target)  # evolved: whole table
-        scope = touched_partitions(clean, tgt, pk, stored_parts) if confined else None
+        scope = touched_partitions(clean, tgt, pk, stored_parts,
+                                   values_fixed=bool(settings.get("partition_values_fixed"))) if confined else None
         if scope is not None:  # merge confined to the partitions the batch touches (ABSENT too)
             tgt = tgt.filter(scope)
         merged = ingest.merge_snapshot(data, tgt, pk, "record_hash", soft_delete=soft, change_col="_change")
@@ -208,19 +209,24 @@ def ingest_object(cp: ControlPlane, obj: Mapping, run_id: str, settings: Mapping
 MAX_TOUCHED_PARTITIONS = 10_000
 
 
-def touched_partitions(batch: DataFrame, target: DataFrame, pk: list[str], part_cols: list[str]):
+def touched_partitions(batch: DataFrame, target: DataFrame, pk: list[str], part_cols: list[str],
+                       values_fixed: bool = False):
     """Filter selecting the target partitions a merge of ``batch`` must rewrite, or None for all.
 
     Those are the partitions holding batch rows, plus the partitions where a batch key
     lives today (a key whose partition value changed must leave its old partition).
     The second set costs a semi-join of the batch keys against the target's key and
-    partition columns only, far less than rewriting untouched partitions.
+    partition columns only, far less than rewriting untouched partitions.  When a key's
+    partition value can never change (``values_fixed``, e.g. the date of an immutable
+    event) that check is skipped and untouched partitions are not read at all.
     """
     if not all(c in batch.columns for c in part_cols):
         return None
-    here = batch.select(*part_cols).distinct()
-    there = target.select(*pk, *part_cols).join(batch.select(*pk), pk, "left_semi").select(*part_cols).distinct()
-    values = here.unionByName(there).distinct().limit(MAX_TOUCHED_PARTITIONS + 1).collect()
+    found = batch.select(*part_cols).distinct()
+    if not values_fixed:
+        there = target.select(*pk, *part_cols).join(batch.select(*pk), pk, "left_semi").select(*part_cols)
+        found = found.unionByName(there).distinct()
+    values = found.limit(MAX_TOUCHED_PARTITIONS + 1).collect()
     if len(values) > MAX_TOUCHED_PARTITIONS:
         return None
     if not values:

@@ -219,3 +219,13 @@ def test_command_line(spark, tmp_path, capsys):
     rep = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert rep["failed"] == 0 and rep["pipeline_config"] == {"inserted": 8}
     spark.sql(f"DROP DATABASE IF EXISTS {name} CASCADE")
+
+
+def test_touched_partitions_fixed_values_reads_batch_only(spark):
+    from sluice.plans.ingestion_run import touched_partitions
+    tgt = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, p string")
+    batch = spark.createDataFrame([(2, "c")], "k int, p string")  # key 2 moved from b to c
+    moved = tgt.filter(touched_partitions(batch, tgt, ["k"], ["p"]))
+    assert sorted(r.p for r in moved.collect()) == ["b", "c"]
+    fixed = tgt.filter(touched_partitions(batch, tgt, ["k"], ["p"], values_fixed=True))
+    assert [r.p for r in fixed.collect()] == ["c"]
