@@ -21,3 +21,42 @@ def broadcast_if_small(df: DataFrame, max_rows: int = CONFIG_BROADCAST_MAX_ROWS,
     n = known_rows if known_rows is not None else df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 
+
+
+# Keys with more rows than this are "hot": they are served by broadcast, never by a shuffle.
+HOT_KEY_ROWS = 1_000_000
+
+
+def join_per_key(rows: DataFrame, per_key: DataFrame, keys: list[str], key_counts: DataFrame | None = None,
+                 hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+    """Left-join ``rows`` to ``per_key`` (one row per key, NULL-safe key equality) without sending a hot key
+    to one task.
+
+    Keys holding more than ``hot_rows`` rows are few (at most ``rows / hot_rows``), so their ``per_key``
+    rows go to every task by broadcast and the hot rows are never shuffled.  Every other key has at
+    most ``hot_rows`` rows, so the shuffle join of the remaining rows has no hot partition.
+    ``key_counts`` (keys + ``_n``) may be passed when already computed.
+    """
+    counts = key_counts if key_counts is not None else rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.filter(F.col("_n") > hot_rows).select(*keys)
+    hot_alias = [f"__hot_k{i}" for i in range(len(keys))]
+    hot_info = (per_key.join(F.broadcast(hot), _nse(per_key, hot, keys, keys), "left_semi")
+                .withColumn("__hot", F.lit(True)))
+    info_cols = [c for c in per_key.columns if c not in keys]
+    hot_side = F.broadcast(hot_info.select(*[F.col(k).alias(a) for k, a in zip(keys, hot_alias)],
+                                           "__hot", *info_cols))
+    tagged = rows.join(hot_side, _nse(rows, hot_side, keys, hot_alias), "left").drop(*hot_alias)
+    hot_rows_df = tagged.filter(F.col("__hot").isNotNull()).drop("__hot")
+    cold = tagged.filter(F.col("__hot").isNull()).drop("__hot", *info_cols)
+    cold_alias = [f"__cold_k{i}" for i in range(len(keys))]
+    cold_side = per_key.select(*[F.col(k).alias(a) for k, a in zip(keys, cold_alias)], *info_cols)
+    cold_joined = cold.join(cold_side, _nse(cold, cold_side, keys, cold_alias), "left").drop(*cold_alias)
+    return cold_joined.unionByName(hot_rows_df.select(*cold_joined.columns))
+
+
+def _nse(left: DataFrame, right: DataFrame, lkeys, rkeys):
+    cond = None
+    for a, b in zip(lkeys, rkeys):
+        c = left[a].eqNullSafe(right[b])
+        cond = c if cond is None else cond & c
+    return cond

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.functions.joins import HOT_KEY_ROWS, join_per_key
 from sluice.functions.lists import parse_list
 
 PASSED, FAILED, WARNING = "PASSED", "FAILED", "WARNING"
@@ -254,14 +255,15 @@ def _finish(out: DataFrame, failure_action: str) -> DataFrame:
 
 
 def quarantine(df: DataFrame, rules: Sequence[Rule], parents: Mapping[str, DataFrame] | None = None,
-               out_col: str = "failed_rules") -> tuple[DataFrame, DataFrame]:
+               out_col: str = "failed_rules", hot_rows: int = HOT_KEY_ROWS) -> tuple[DataFrame, DataFrame]:
     """Split rows into (clean, rejected); rejected rows carry the comma list of
     the row-level rules they fail.  Aggregate rules (ROW_COUNT) judge the table,
     not rows, and are skipped here.
 
     UNIQUE joins each row to its key's count and REFERENTIAL to the parent's
-    distinct values.  Both small sides are unique per key, so a hot key sits
-    on the big side, where AQE's skew join can split it.
+    distinct values, through ``join_per_key``: keys with more than ``hot_rows``
+    rows are answered by broadcast and never shuffled, so no task receives a
+    hot key's rows.
     """
     parents = parents or {}
     names: list[Column] = []
@@ -274,27 +276,23 @@ def quarantine(df: DataFrame, rules: Sequence[Rule], parents: Mapping[str, DataF
         if kind == "UNIQUE":
             keys = _unique_keys(r)
             n_col = f"__sluice_u{i}"
-            key_alias = [f"{n_col}_k{j}" for j in range(len(keys))]
-            counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n_col)) \
-                .select(*[F.col(k).alias(a) for k, a in zip(keys, key_alias)], n_col)
-            cond = None
-            for k, a in zip(keys, key_alias):
-                c = work[k].eqNullSafe(counts[a])
-                cond = c if cond is None else cond & c
-            work = work.join(counts, cond, "left")
+            counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+            work = join_per_key(work, counts.withColumnRenamed("_n", n_col), keys, key_counts=counts,
+                                hot_rows=hot_rows)
             any_null = F.lit(False)
             for k in keys:
                 any_null = any_null | F.col(k).isNull()
             bad = ~any_null & (F.col(n_col) > 1)
-            helpers += [n_col, *key_alias]
+            helpers.append(n_col)
         elif kind == "REFERENTIAL":
             table, pcol = _parent_ref(r)
             parent = parents.get(table)
             if parent is None:
                 parent = df.sparkSession.table(table)
             ref_col = f"__sluice_r{i}"
-            keys = parent.select(F.col(pcol).alias(ref_col)).where(F.col(ref_col).isNotNull()).distinct()
-            work = work.join(keys, work[r.column_name] == keys[ref_col], "left")
+            known = (parent.select(F.col(pcol).alias(r.column_name)).where(F.col(r.column_name).isNotNull())
+                     .distinct().withColumn(ref_col, F.lit(True)))
+            work = join_per_key(work, known, [r.column_name], hot_rows=hot_rows)
             bad = F.col(ref_col).isNull()
             helpers.append(ref_col)
         else:

@@ -21,6 +21,8 @@ import sys
 import tempfile
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+# Hot-key threshold scaled like the partition size: 1 MB partitions here, so 10,000 rows instead of 1,000,000.
+HOT = 10_000
 sys.path.insert(0, ROOT)
 
 
@@ -85,12 +87,17 @@ def main(sf_dir: str = "/root/testdata/sf0.1", out: str = os.path.join(ROOT, "SK
         "resolve_ids (lookup join)": lambda: config.resolve_ids(rows, supplier, {"l_suppkey": "s_suppkey"},
                                                                 "s_suppkey")[0],
         "quarantine UNIQUE join-back": lambda: dq.quarantine(
-            rows, [dq.Rule("u", "UNIQUE", column_name="l_suppkey")])[1],
+            rows, [dq.Rule("u", "UNIQUE", column_name="l_suppkey")], hot_rows=HOT)[1],
+        "quarantine UNIQUE join-back, broadcast off (shuffle join)": lambda: dq.quarantine(
+            rows, [dq.Rule("u", "UNIQUE", column_name="l_suppkey")], hot_rows=HOT)[1],
         "next_watermarks (per-object max)": lambda: rows.groupBy("l_suppkey").agg(
             F.max("l_shipdate").alias("w"), F.max_by("l_orderkey", "l_shipdate").alias("r")),
     }
     for name, build in cases.items():
         spark.sparkContext.setJobGroup(name, name)  # before building: eager jobs count too
+        off = "broadcast off" in name
+        for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.set(key, "-1" if off else "10485760")
         build().write.format("noop").mode("overwrite").save()
     spark.stop()
 
@@ -114,9 +121,10 @@ def main(sf_dir: str = "/root/testdata/sf0.1", out: str = os.path.join(ROOT, "SK
               "- partial aggregation sends one row per task and key across the shuffle;",
               "- the sort-based numbering splits the hot group over range partitions;",
               "- the lookup join broadcasts the size-checked supplier table, so its hot key is never shuffled;",
-              "- the UNIQUE join-back meets per-key counts, one row per key; here AQE broadcast them at runtime, so "
-              "the rows were not shuffled.  Counts too large to broadcast would join by shuffle, with the hot key "
-              "on the big side, where AQE's skew join splits it.",
+              "- the UNIQUE join-back (`functions.joins.join_per_key`) serves keys above a row threshold (here "
+              f"{HOT:,}, scaled like the partitions; default 1,000,000) from a broadcast table and shuffles only "
+              "the other keys.  A plain shuffle join with broadcasting off is not split by AQE here (the count side "
+              "is an aggregate, not a plain shuffle stage), so the hot path is handled explicitly.",
               ""]
     with open(out, "w") as f:
         f.write("\n".join(lines))
