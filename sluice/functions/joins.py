@@ -28,7 +28,7 @@ HOT_KEY_ROWS = 1_000_000
 
 
 def join_per_key(rows: DataFrame, per_key: DataFrame, keys: list[str], key_counts: DataFrame | None = None,
-                 hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+                 hot_rows: int | None = None) -> DataFrame:
     """Left-join ``rows`` to ``per_key`` (one row per key, NULL-safe key equality) without sending a hot key
     to one task.
 
@@ -37,6 +37,7 @@ def join_per_key(rows: DataFrame, per_key: DataFrame, keys: list[str], key_count
     most ``hot_rows`` rows, so the shuffle join of the remaining rows has no hot partition.
     ``key_counts`` (keys + ``_n``) may be passed when already computed.
     """
+    hot_rows = HOT_KEY_ROWS if hot_rows is None else hot_rows
     counts = key_counts if key_counts is not None else rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     hot = counts.filter(F.col("_n") > hot_rows).select(*keys)
     hot_alias = [f"__hot_k{i}" for i in range(len(keys))]

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.functions.joins import CONFIG_BROADCAST_MAX_ROWS, broadcast_if_small
+from sluice.functions.joins import CONFIG_BROADCAST_MAX_ROWS, broadcast_if_small, join_per_key
 from sluice.functions.lists import explode_list
 
 DEFAULT_PIPELINE = "default"
@@ -122,17 +122,25 @@ def resolve_ids(rows: DataFrame, lookup: DataFrame, on: Mapping[str, str], id_co
              .agg(F.min(F.struct(*order)).alias("_w"))
              .select(*[F.col(k).alias(f"_k_{i}") for i, k in enumerate(lkeys)],
                      F.col(f"_w.{id_col}").alias(out_col)))
+    helper = [f"_k_{i}" for i in range(len(lkeys))]
     if small:
         dedup = F.broadcast(dedup)
-    cond = None
-    for i, (left, _) in enumerate(on.items()):
-        c = rows[left] == dedup[f"_k_{i}"]
-        cond = c if cond is None else cond & c
-    helper = [f"_k_{i}" for i in range(len(lkeys))]
-    resolved = rows.join(dedup, cond, "inner").drop(*helper)
+        cond = None
+        for i, (left, _) in enumerate(on.items()):
+            c = rows[left] == dedup[f"_k_{i}"]
+            cond = c if cond is None else cond & c
+        resolved = rows.join(dedup, cond, "inner").drop(*helper)
+        dropped = rows.join(dedup, cond, "left_anti")
+    else:
+        # a large lookup: hot row keys are served by broadcast, the others by shuffle (join_per_key)
+        per_key = dedup.select(*[F.col(h).alias(k) for h, k in zip(helper, on.keys())], out_col)
+        for k in on.keys():  # equality, as on the broadcast path: a NULL key resolves nothing
+            per_key = per_key.where(F.col(k).isNotNull())
+        joined = join_per_key(rows, per_key.where(F.col(out_col).isNotNull()), list(on.keys()))
+        resolved = joined.filter(F.col(out_col).isNotNull())
+        dropped = joined.filter(F.col(out_col).isNull()).drop(out_col)
     if drop_on:
         resolved = resolved.drop(*on.keys())
-    dropped = rows.join(dedup, cond, "left_anti")
     return resolved, dropped
 
 

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.functions.joins import HOT_KEY_ROWS, join_per_key
+from sluice.functions.joins import join_per_key
 from sluice.functions.lists import parse_list
 
 PASSED, FAILED, WARNING = "PASSED", "FAILED", "WARNING"
@@ -255,7 +255,7 @@ def _finish(out: DataFrame, failure_action: str) -> DataFrame:
 
 
 def quarantine(df: DataFrame, rules: Sequence[Rule], parents: Mapping[str, DataFrame] | None = None,
-               out_col: str = "failed_rules", hot_rows: int = HOT_KEY_ROWS) -> tuple[DataFrame, DataFrame]:
+               out_col: str = "failed_rules", hot_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Split rows into (clean, rejected); rejected rows carry the comma list of
     the row-level rules they fail.  Aggregate rules (ROW_COUNT) judge the table,
     not rows, and are skipped here.

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.functions.expressions import computation_column
+from sluice.functions.joins import join_per_key
 
 INSERT, UPDATE, UNCHANGED, ABSENT = "INSERT", "UPDATE", "UNCHANGED", "ABSENT"
 
@@ -143,7 +144,8 @@ def extract_since(src: DataFrame, column: str, watermark=None,
     type as a literal, so the comparison reaches the Parquet scan as a
     pushed filter.  Many objects in one source: ``watermarks`` holds one row
     per ``object_keys`` value; it is joined (left, so objects without a
-    watermark pass whole) and the planner broadcasts it when small.
+    watermark pass whole).  An object holding a large share of the rows is
+    served by broadcast (``join_per_key``), so its rows are never shuffled.
     """
     if watermarks is None:
         if watermark is None:
@@ -154,7 +156,7 @@ def extract_since(src: DataFrame, column: str, watermark=None,
         return src.filter(F.col(column) >= F.lit(watermark).cast(dtype))
     keys = list(object_keys)
     wm = watermarks.select(*keys, F.col(watermark_col).alias("_wm"))
-    j = src.join(wm, keys, "left")
+    j = join_per_key(src, wm, keys)  # an object with a third of the rows is served by broadcast
     return j.filter(F.col("_wm").isNull() | (F.col(column) >= F.col("_wm"))).drop("_wm")
 
 

@@ -120,3 +120,23 @@ def test_sequence_matches_row_number_on_hot_group(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert spread > 1
+
+
+def test_resolve_ids_large_lookup_path_same_result(spark, monkeypatch):
+    rows = spark.createDataFrame([("p", "a", 1), ("p", "b", 2), ("p", None, 3), ("q", "a", 4)] +
+                                 [("p", "a", 10 + i) for i in range(30)],
+                                 "pipeline_id string, source_object string, n int")
+    lookup = spark.createDataFrame([("p", "a", "id2", 2), ("p", "a", "id1", 1), ("q", "a", "id9", 1),
+                                    ("p", None, "idn", 1)],
+                                   "pipeline_id string, source_object string, object_id string, created_at int")
+    on = {"pipeline_id": "pipeline_id", "source_object": "source_object"}
+
+    def run():
+        res, dropped = config.resolve_ids(rows, lookup, on, "object_id", order_cols=["created_at"])
+        return sorted(map(tuple, res.select("n", "object_id").collect())), sorted(r.n for r in dropped.collect())
+    small = run()
+    monkeypatch.setattr(config, "CONFIG_BROADCAST_MAX_ROWS", 1)
+    from sluice.functions import joins
+    monkeypatch.setattr(joins, "HOT_KEY_ROWS", 5)
+    assert run() == small
+    assert small[1] == [2, 3]
