@@ -28,7 +28,7 @@ HOT_KEY_ROWS = 1_000_000
 
 
 def join_per_key(rows: DataFrame, per_key: DataFrame, keys: list[str], key_counts: DataFrame | None = None,
-                 hot_rows: int | None = None) -> DataFrame:
+                 hot_rows: int | None = None, per_key_small: bool | None = None) -> DataFrame:
     """Left-join ``rows`` to ``per_key`` (one row per key, NULL-safe key equality) without sending a hot key
     to one task.
 
@@ -36,7 +36,18 @@ def join_per_key(rows: DataFrame, per_key: DataFrame, keys: list[str], key_count
     rows go to every task by broadcast and the hot rows are never shuffled.  Every other key has at
     most ``hot_rows`` rows, so the shuffle join of the remaining rows has no hot partition.
     ``key_counts`` (keys + ``_n``) may be passed when already computed.
+
+    When ``per_key`` itself is small, one broadcast join serves every key and no count is needed.
+    ``per_key_small``: True to broadcast, False to skip the check (per-key tables as large as the
+    data, e.g. per-key counts), None to prove it with ``limit(n + 1).count()``.
     """
+    if per_key_small is None:
+        per_key_small = per_key.limit(CONFIG_BROADCAST_MAX_ROWS + 1).count() <= CONFIG_BROADCAST_MAX_ROWS
+    if per_key_small:
+        alias = [f"__pk_k{i}" for i in range(len(keys))]
+        side = F.broadcast(per_key.select(*[F.col(k).alias(a) for k, a in zip(keys, alias)],
+                                          *[c for c in per_key.columns if c not in keys]))
+        return rows.join(side, _nse(rows, side, keys, alias), "left").drop(*alias)
     hot_rows = HOT_KEY_ROWS if hot_rows is None else hot_rows
     counts = key_counts if key_counts is not None else rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     hot = counts.filter(F.col("_n") > hot_rows).select(*keys)

@@ -136,7 +136,8 @@ def resolve_ids(rows: DataFrame, lookup: DataFrame, on: Mapping[str, str], id_co
         per_key = dedup.select(*[F.col(h).alias(k) for h, k in zip(helper, on.keys())], out_col)
         for k in on.keys():  # equality, as on the broadcast path: a NULL key resolves nothing
             per_key = per_key.where(F.col(k).isNotNull())
-        joined = join_per_key(rows, per_key.where(F.col(out_col).isNotNull()), list(on.keys()))
+        joined = join_per_key(rows, per_key.where(F.col(out_col).isNotNull()), list(on.keys()),
+                              per_key_small=False)
         resolved = joined.filter(F.col(out_col).isNotNull())
         dropped = joined.filter(F.col(out_col).isNull()).drop(out_col)
     if drop_on:

@@ -278,7 +278,7 @@ def quarantine(df: DataFrame, rules: Sequence[Rule], parents: Mapping[str, DataF
             n_col = f"__sluice_u{i}"
             counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
             work = join_per_key(work, counts.withColumnRenamed("_n", n_col), keys, key_counts=counts,
-                                hot_rows=hot_rows)
+                                hot_rows=hot_rows, per_key_small=False)
             any_null = F.lit(False)
             for k in keys:
                 any_null = any_null | F.col(k).isNull()
