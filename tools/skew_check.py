@@ -124,7 +124,8 @@ def main(sf_dir: str = "/root/testdata/sf0.1", out: str = os.path.join(ROOT, "SK
               "- the UNIQUE join-back (`functions.joins.join_per_key`) serves keys above a row threshold (here "
               f"{HOT:,}, scaled like the partitions; default 1,000,000) from a broadcast table and shuffles only "
               "the other keys.  A plain shuffle join with broadcasting off is not split by AQE here (the count side "
-              "is an aggregate, not a plain shuffle stage), so the hot path is handled explicitly.",
+              "is an aggregate, not a plain shuffle stage), so the hot path is handled explicitly.  With broadcasting "
+              "off, the largest task above holds rows of cold keys only: one coalesced partition, no hot-key row.",
               ""]
     with open(out, "w") as f:
         f.write("\n".join(lines))
