@@ -81,3 +81,54 @@ def test_dq_counts_match_brute_force(spark, data):
     assert got["pos"] == (n, int((pdf["n"] > 0).sum()) if n else 0)
     assert got["rng"] == (n, int(pdf["n"].between(-2, 2).sum()) if n else 0)
     assert got["u"] == (n, unique_ok)
+
+
+cols = st.dictionaries(st.sampled_from(["a", "b", "c", "d", "e"]),
+                       st.tuples(st.sampled_from(["INT", "BIGINT", "STRING", "FLOAT", "DOUBLE"]), st.booleans()),
+                       max_size=5)
+
+
+@SETTINGS
+@given(reg=cols, cur=cols)
+def test_drift_events_match_brute_force(spark, reg, cur):
+    from sluice.operators import drift
+    schema = "object_id string, column_name string, data_type string, is_nullable boolean"
+    r = spark.createDataFrame([("o", c, t, n) for c, (t, n) in reg.items()], schema)
+    c_ = spark.createDataFrame([("o", c, t, n) for c, (t, n) in cur.items()], schema)
+    got = {(x.column_name, x.drift_type, x.old_value, x.new_value) for x in drift.detect_drift(r, c_).collect()}
+    want = set()
+    for name in set(reg) | set(cur):
+        if name not in reg:
+            want.add((name, "NEW_COLUMN", None, cur[name][0]))
+        elif name not in cur:
+            want.add((name, "DROPPED_COLUMN", reg[name][0], None))
+        else:
+            if reg[name][0] != cur[name][0]:
+                want.add((name, "TYPE_CHANGE", reg[name][0], cur[name][0]))
+            if reg[name][1] != cur[name][1]:
+                want.add((name, "NULLABLE_CHANGE", str(reg[name][1]).lower(), str(cur[name][1]).lower()))
+    assert got == want
+
+
+specs = st.dictionaries(st.sampled_from(["m1", "m2", "m3", "m4"]),
+                        st.tuples(st.sampled_from(["all", "full_load", "hash_incremental"]), st.booleans()),
+                        max_size=4)
+
+
+@SETTINGS
+@given(defaults=specs, own=st.dictionaries(st.sampled_from(["p1", "p2"]), specs, max_size=2),
+       load_type=st.sampled_from(["full_load", "hash_incremental"]))
+def test_metadata_override_matches_brute_force(spark, defaults, own, load_type):
+    from sluice.operators import config
+    rows = [("default", c, a, 1, act) for c, (a, act) in defaults.items()]
+    rows += [(p, c, a, 2, act) for p, cs in own.items() for c, (a, act) in cs.items()]
+    cfg = spark.createDataFrame(rows, "pipeline_id string, column_name string, applies_to string, "
+                                      "column_order int, active_flag boolean")
+    pipes = spark.createDataFrame([("p1",), ("p2",), ("p3",)], "pipeline_id string")
+    got = {(r.pipeline_id, r.column_name) for r in config.effective_metadata(cfg, pipes, load_type).collect()}
+    want = set()
+    for p in ("p1", "p2", "p3"):
+        merged = dict(defaults)
+        merged.update(own.get(p, {}))  # the pipeline's own row wins, active or not
+        want |= {(p, c) for c, (a, act) in merged.items() if act and a in ("all", load_type)}
+    assert got == want
