@@ -132,3 +132,27 @@ def test_metadata_override_matches_brute_force(spark, defaults, own, load_type):
         merged.update(own.get(p, {}))  # the pipeline's own row wins, active or not
         want |= {(p, c) for c, (a, act) in merged.items() if act and a in ("all", load_type)}
     assert got == want
+
+
+@SETTINGS
+@given(events=st.lists(st.tuples(st.sampled_from(["p", "q"]), st.sampled_from(["a", "b"]),
+                                 st.sampled_from(["1", "22", "x", " 7"]), st.booleans(), st.integers(0, 50)),
+                       max_size=25, unique_by=lambda e: (e[0], e[1], e[4])))
+def test_settings_latest_active_value_wins(spark, events):
+    from sluice.operators import config
+    df = spark.createDataFrame(events, "pipeline_id string, config_key string, config_value string, "
+                                       "active_flag boolean, ts int")
+    got = {r.pipeline_id: (r.a, r.b) for r in
+           config.pipeline_settings(df, {"a": "int", "b": "int"}, order_cols=["ts"]).collect()}
+    latest = {}
+    for p, k, v, act, ts in events:
+        if act and ((p, k) not in latest or ts > latest[(p, k)][0]):
+            latest[(p, k)] = (ts, v)
+
+    def typed(v):
+        v = v.strip()
+        return int(v) if v.lstrip("-").isdigit() else None
+    want = {}
+    for (p, k), (_, v) in latest.items():
+        want.setdefault(p, {"a": None, "b": None})[k] = typed(v)
+    assert got == {p: (d["a"], d["b"]) for p, d in want.items()}
