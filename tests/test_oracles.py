@@ -31,3 +31,21 @@ def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.columns == ["o_orderkey", "change_type"]
     assert df.count() > 0
+
+
+FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
+             "FlatMapGroupsInPandas", "MapInPandas")
+
+
+def test_no_cross_joins_or_python_in_any_plan(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        bad = {}
+        for name, fn in sorted(entry.queries().items()):
+            plan = fn(spark, SF01)._jdf.queryExecution().executedPlan().toString()
+            hits = [f for f in FORBIDDEN if f in plan]
+            if hits:
+                bad[name] = hits
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert bad == {}
