@@ -54,4 +54,20 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.c, d.doc_id)
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN component c ON c.a = d.doc_id
 """
 
-ORACLE_SQL = {"op1_embedding_dedup": OP1, "op3_substring_dedup": OP3, "op4_ngram_join": OP4}
+OP5 = """
+WITH cut AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^#?]*') ELSE '' END AS rest FROM pages
+), part AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         substr(rest, length(regexp_extract(rest, '^[^/]*')) + 1) AS path FROM cut
+), rules(h, p, v) AS (
+  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), fit AS (
+  SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
+  FROM part JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id
+)
+SELECT part.page_id, host, path, rule, coalesce(v, CASE WHEN regexp_matches(host || path, '^[^/]*(spam|casino|-pills)') THEN 'block' ELSE 'allow' END) AS verdict
+FROM part LEFT JOIN fit ON part.page_id = fit.page_id
+"""
+
+ORACLE_SQL = {"op5_url_filter": OP5, "op1_embedding_dedup": OP1, "op3_substring_dedup": OP3, "op4_ngram_join": OP4}

@@ -4,14 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from sluice.llm.chunk_prints import compare_fingerprints
 from sluice.llm.embeddings import embedding_components
 from sluice.llm.ngram_join import ngram_components
+from sluice.llm.packing import pack_documents
 from sluice.llm.substrings import substring_dedup
+from sluice.llm.url_rules import Rule, judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
+URL_RULES = [
+    Rule("com", "/", "allow"), Rule("example.com", "/en/", "block"), Rule("www.example.com", "/en/", "allow"),
+    Rule("net", "/es/", "block"), Rule("net", "/fr/", "block"),
+]
+#: Globs over host and path, for pages that no rule fits.
+JUNK_GLOBS = [("*spam**", "block"), ("*casino**", "block"), ("*-pills**", "block")]
+
 
 def register(fn):
     QUERIES[fn.__name__] = fn
@@ -35,3 +46,19 @@ def op3_substring_dedup(spark, sf_dir):
 @register
 def op4_ngram_join(spark, sf_dir):
     return ngram_components(_table(spark, sf_dir, "documents"))
+
+
+@register
+def op5_url_filter(spark, sf_dir):
+    return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES, JUNK_GLOBS)
+
+
+@register
+def op8_chunk_fingerprints(spark, sf_dir):
+    return compare_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+@register
+def op9_best_fit_packing(spark, sf_dir, documents: DataFrame | None = None):
+    docs = _table(spark, sf_dir, "documents") if documents is None else documents
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
