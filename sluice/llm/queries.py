@@ -11,7 +11,9 @@ from sluice.llm.chunk_prints import compare_fingerprints
 from sluice.llm.embeddings import embedding_components
 from sluice.llm.ngram_join import ngram_components
 from sluice.llm.packing import pack_documents
+from sluice.llm.pu_quality import quality
 from sluice.llm.substrings import substring_dedup
+from sluice.llm.toxicity import toxicity
 from sluice.llm.url_rules import Rule, judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +64,13 @@ def op8_chunk_fingerprints(spark, sf_dir):
 def op9_best_fit_packing(spark, sf_dir, documents: DataFrame | None = None):
     docs = _table(spark, sf_dir, "documents") if documents is None else documents
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@register
+def op2_pu_quality(spark, sf_dir):
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@register
+def op10_zstd_toxicity(spark, sf_dir):
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
