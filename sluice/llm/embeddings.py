@@ -123,6 +123,8 @@ def _join_labels(threshold):
     """Of two tiles of one bucket, the pairs of unlike labels that a link joins, each once."""
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
+        if left.empty or right.empty:
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         cos = _stack(left["vec"]) @ _stack(right["vec"]).T >= threshold
         i, j = np.nonzero(cos)
         a, b = left["label"].to_numpy()[i], right["label"].to_numpy()[j]
