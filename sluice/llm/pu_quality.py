@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sluice.llm.arrays import chunks, lists, words
 from sluice.llm.labelled import held_out, sample, trained
@@ -182,26 +183,31 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", seed
     return (lambda f: sigmoid((binned(f) @ w[:-1] + w[-1]) * slope[0] + slope[1])), prior
 
 
-def _scored(score):
+def _scored(score, at: int, name: str):
     def run(batches):
         for batch in batches:
-            out = [score(features(data, starts)) for _, data, starts in chunks(batch.column("text"))]
+            out = [score(features(data, starts)) for _, data, starts in chunks(batch.column(at))]
             column = pa.array(np.concatenate(out) if out else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, name])
     return run
 
 
-def score_quality(docs: DataFrame, corpus: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
-    """(doc_id, text, score): every row of ``docs`` with a score from 0 to 1, learned from ``corpus`` and ``labels``.
+def with_score(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, label: str = "quality") -> tuple[DataFrame, str]:
+    """``docs`` with a score from 0 to 1 for every row, learned from ``corpus`` (else ``docs``) and ``labels``, and the new column's
+    name (``score``, with underscores in front while ``docs`` has such a column).
 
     A null text scores as an empty one.  Rows without id are scored and never learned from; repeated rows score alike.
     """
-    score, _ = fit_quality(corpus.select("doc_id", "text"), labels, label)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_scored(score), "doc_id long, text string, score double")
+    corpus = docs if corpus is None else corpus
+    score, _ = fit_quality(corpus.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, label)
+    name = "score"
+    while name.lower() in [c.lower() for c in docs.columns]:
+        name = "_" + name
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    return docs.mapInArrow(_scored(score, docs.columns.index("text"), name), schema), name
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row."""
-    return score_quality(docs, docs, labels).select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored, name = with_score(docs.select("doc_id", "text"), labels)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), name, (F.col(name) >= threshold).cast("int").alias("predicted"))

@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sluice.llm.chunk_prints import compare_fingerprints
 from sluice.llm.embeddings import embedding_components
+from sluice.llm.line_dedup import line_dedup
 from sluice.llm.ngram_join import ngram_components
 from sluice.llm.packing import pack_documents
 from sluice.llm.pu_quality import quality
+from sluice.llm.source_mix import mixing_rates
 from sluice.llm.substrings import substring_dedup
 from sluice.llm.toxicity import toxicity
 from sluice.llm.url_rules import Rule, judge_urls
@@ -74,3 +77,14 @@ def op2_pu_quality(spark, sf_dir):
 @register
 def op10_zstd_toxicity(spark, sf_dir):
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@register
+def op6_line_dedup(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n", -1)).alias("n_lines"))
+    return line_dedup(docs)
+
+
+@register
+def op7_source_mixing(spark, sf_dir):
+    return mixing_rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("row")
