@@ -126,13 +126,21 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     above_p = 1 - np.searchsorted(p, at, side="left") / len(p)
     above_u = 1 - np.searchsorted(u, at, side="left") / len(u)
     margin = np.sqrt(np.log(20) / (2 * len(p))) + np.sqrt(np.log(20) / (2 * len(u)))
-    ok = above_p > 4 * margin
+    ok = above_p > 8 * margin
     if not ok.any():
         return 0.5
     best = np.argmin(((above_u + margin) / above_p)[ok])
     return float(np.clip(above_u[ok][best] / above_p[ok][best], 0.05, 0.98))
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The prior from rows that the ranking classifier was not fitted on: it is fitted on every second one."""
+    a, b = positive[::2], unlabelled[::2]
+    w = logistic(np.concatenate([a, b]), np.concatenate([np.ones(len(a)), np.zeros(len(b))]), ridge=5.0)[:-1]
+    rest_p, rest_u = (positive[1::2], unlabelled[1::2]) if min(len(positive), len(unlabelled)) > 1 else (a, b)
+    return class_prior(rest_p @ w, rest_u @ w)
+
+
 def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
     """Weights that minimise the non-negative unbiased risk with the sigmoid loss (Adam, whole batches)."""
     a, b = np.c_[positive, np.ones(len(positive))], np.c_[unlabelled, np.ones(len(unlabelled))]
@@ -170,8 +178,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", seed
         return (lambda f: np.zeros(len(f))), 0.0
     binned = Binned(u)
     xp, xu = binned(p), binned(u)
-    rank = logistic(np.concatenate([xp, xu]), np.concatenate([np.ones(len(xp)), np.zeros(len(xu))]), ridge=5.0)
-    prior = class_prior(xp @ rank[:-1], xu @ rank[:-1])
+    prior = estimated_prior(xp, xu)
     w = fit_pu(xp, xu, prior)
     one, none = got.get("scale1"), got.get("scale0")
     slope = np.array([1.0, 0.0])
