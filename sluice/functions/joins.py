@@ -1,69 +1,21 @@
-"""Join helper: broadcast only with a proven size bound."""
+"""Join of rows to per-key values that adaptive execution can broadcast or split."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Config tables (rules, settings, connections, metadata specs) stay far below this.
-CONFIG_BROADCAST_MAX_ROWS = 100_000
 
+def join_per_key(rows: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
+    """Left-join ``rows`` to ``per_key`` (one row per key, NULL-safe key equality) without a job while planning.
 
-def broadcast_if_small(df: DataFrame, max_rows: int = CONFIG_BROADCAST_MAX_ROWS,
-                       known_rows: int | None = None) -> DataFrame:
-    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
-
-    The proof is ``limit(max_rows + 1).count()`` (stops early), or the row
-    count of locally built config.  Beyond the bound the DataFrame is returned
-    unhinted, so the planner shuffles it (and AQE may still broadcast it once
-    the real size is known at runtime).
-    """
-    n = known_rows if known_rows is not None else df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-
-# Keys with more rows than this are "hot": they are served by broadcast, never by a shuffle.
-HOT_KEY_ROWS = 1_000_000
-
-
-def join_per_key(rows: DataFrame, per_key: DataFrame, keys: list[str], key_counts: DataFrame | None = None,
-                 hot_rows: int | None = None, per_key_small: bool | None = None) -> DataFrame:
-    """Left-join ``rows`` to ``per_key`` (one row per key, NULL-safe key equality) without sending a hot key
-    to one task.
-
-    Keys holding more than ``hot_rows`` rows are few (at most ``rows / hot_rows``), so their ``per_key``
-    rows go to every task by broadcast and the hot rows are never shuffled.  Every other key has at
-    most ``hot_rows`` rows, so the shuffle join of the remaining rows has no hot partition.
-    ``key_counts`` (keys + ``_n``) may be passed when already computed.
-
-    When ``per_key`` itself is small, one broadcast join serves every key and no count is needed.
-    ``per_key_small``: True to broadcast, False to skip the check (per-key tables as large as the
-    data, e.g. per-key counts), None to prove it with ``limit(n + 1).count()``.
+    NULL-safe equality hashes both sides by expressions of the keys, so both are shuffled for this
+    join even where ``per_key`` is an aggregate by the same keys.  Adaptive execution then sees the real sizes: it
+    broadcasts a small ``per_key``, and splits the partition of a hot key, whose rows all meet one ``per_key`` row.
     """
-    if per_key_small is None:
-        per_key_small = per_key.limit(CONFIG_BROADCAST_MAX_ROWS + 1).count() <= CONFIG_BROADCAST_MAX_ROWS
-    if per_key_small:
-        alias = [f"__pk_k{i}" for i in range(len(keys))]
-        side = F.broadcast(per_key.select(*[F.col(k).alias(a) for k, a in zip(keys, alias)],
-                                          *[c for c in per_key.columns if c not in keys]))
-        return rows.join(side, _nse(rows, side, keys, alias), "left").drop(*alias)
-    hot_rows = HOT_KEY_ROWS if hot_rows is None else hot_rows
-    counts = key_counts if key_counts is not None else rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.filter(F.col("_n") > hot_rows).select(*keys)
-    hot_alias = [f"__hot_k{i}" for i in range(len(keys))]
-    hot_info = (per_key.join(F.broadcast(hot), _nse(per_key, hot, keys, keys), "left_semi")
-                .withColumn("__hot", F.lit(True)))
-    info_cols = [c for c in per_key.columns if c not in keys]
-    hot_side = F.broadcast(hot_info.select(*[F.col(k).alias(a) for k, a in zip(keys, hot_alias)],
-                                           "__hot", *info_cols))
-    tagged = rows.join(hot_side, _nse(rows, hot_side, keys, hot_alias), "left").drop(*hot_alias)
-    hot_rows_df = tagged.filter(F.col("__hot").isNotNull()).drop("__hot")
-    cold = tagged.filter(F.col("__hot").isNull()).drop("__hot", *info_cols)
-    cold_alias = [f"__cold_k{i}" for i in range(len(keys))]
-    cold_side = per_key.select(*[F.col(k).alias(a) for k, a in zip(keys, cold_alias)], *info_cols)
-    cold_joined = cold.join(cold_side, _nse(cold, cold_side, keys, cold_alias), "left").drop(*cold_alias)
-    return cold_joined.unionByName(hot_rows_df.select(*cold_joined.columns))
+    alias = [f"__pk_k{i}" for i in range(len(keys))]
+    side = per_key.select(*[F.col(k).alias(a) for k, a in zip(keys, alias)], *[c for c in per_key.columns if c not in keys])
+    return rows.join(side, _nse(rows, side, keys, alias), "left").drop(*alias)
 
 
 def _nse(left: DataFrame, right: DataFrame, lkeys, rkeys):

@@ -26,5 +26,11 @@ def is_widening(old: str | Column, new: str | Column) -> Column:
     o = F.upper(F.col(old) if isinstance(old, str) else old)
     n = F.upper(F.col(new) if isinstance(new, str) else new)
     pairs = F.array(*[F.lit(f"{a}>{b}") for a, b in WIDENING])
-    return F.coalesce(F.array_contains(pairs, F.concat_ws(">", o, n)), F.lit(False))
-
+    listed = F.coalesce(F.array_contains(pairs, F.concat_ws(">", o, n)), F.lit(False))
+
+    def digits(c, group):
+        return F.regexp_extract(c, r"^DECIMAL\((\d+),\s*(\d+)\)$", group).try_cast("int")
+    # a decimal widens if neither its scale nor the digits before the point shrink
+    scale = digits(n, 2) - digits(o, 2)
+    whole = (digits(n, 1) - digits(n, 2)) - (digits(o, 1) - digits(o, 2))
+    return listed | F.coalesce((scale >= 0) & (whole >= 0) & (o != n), F.lit(False))

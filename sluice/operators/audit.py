@@ -19,7 +19,9 @@ def final_status(success: Column, failed: Column) -> Column:
 
 
 def run_rollup(object_results: DataFrame, run_col: str, failed: Column) -> DataFrame:
-    """Objects of each run rolled up: total, succeeded, failed, final status."""
+    """Objects of each run rolled up: total, succeeded, failed, final status.  An object whose outcome is NULL
+    is not known to have succeeded: it counts as failed."""
+    failed = F.coalesce(failed, F.lit(True))
     g = object_results.groupBy(F.col(run_col).alias("run_id")).agg(
         F.count(F.lit(1)).alias("total_objects"),
         F.count_if(~failed).alias("success_objects"),
@@ -27,15 +29,18 @@ def run_rollup(object_results: DataFrame, run_col: str, failed: Column) -> DataF
     return g.withColumn("status", final_status(F.col("success_objects"), F.col("failed_objects")))
 
 
-def run_state(events: DataFrame, run_col: str, ts_col: str, status_col: str | None = None) -> DataFrame:
+def run_state(events: DataFrame, run_col: str, ts_col: str, status_col: str | None = None,
+              identity_cols: Sequence[str] = (), tie_col: str | None = None) -> DataFrame:
     """Latest state of each run from its appended events (start, end, ...).
 
     No in-place update: start is the first event, end the last, the status
-    the one of the last event; duration in whole seconds.
+    the one of the last event; duration in whole seconds.  ``identity_cols`` (who started the run, and how) are
+    those of the first event.  ``tie_col`` orders events of one time; without it the status itself does.
     """
     aggs = [F.min(ts_col).alias("start_time"), F.max(ts_col).alias("end_time")]
     if status_col:
-        aggs.append(F.max_by(status_col, ts_col).alias("status"))
+        aggs.append(F.max_by(status_col, F.struct(ts_col, tie_col or status_col)).alias("status"))
+    aggs += [F.min_by(c, F.struct(ts_col, tie_col) if tie_col else F.col(ts_col)).alias(c) for c in identity_cols]
     g = events.groupBy(F.col(run_col).alias("run_id")).agg(*aggs)
     return g.withColumn("duration_seconds",
                         F.expr("timestampdiff(SECOND, start_time, end_time)").cast("long"))

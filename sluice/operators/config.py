@@ -7,13 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.functions.joins import CONFIG_BROADCAST_MAX_ROWS, broadcast_if_small, join_per_key
+from sluice.functions.joins import join_per_key
 from sluice.functions.lists import explode_list
 
 DEFAULT_PIPELINE = "default"
-# A metadata default set larger than this is inherited by a salted join instead of a generator.
-_INLINE_DEFAULTS_MAX = 1_000
-_SALTS = 256
 
 
 def active_objects(cfg: DataFrame, pipeline_id: str | None = None) -> DataFrame:
@@ -53,9 +50,16 @@ def pipeline_settings(cfg: DataFrame, types: Mapping[str, str], order_cols: Sequ
 
 
 def connections_for(objects: DataFrame, connections: DataFrame) -> DataFrame:
-    """Each object with its pipeline's active connection for its source system."""
-    conn = connections.filter(F.col("active_flag")).drop("active_flag", "created_at", "updated_at")
-    return objects.join(broadcast_if_small(conn), ["pipeline_id", "source_system"], "left")
+    """Each object with its pipeline's active connection for its source system.
+
+    Of several active ones the newest counts (``created_at``, where the table has it), then the least name.
+    """
+    keys = ["pipeline_id", "source_system"]
+    active = connections.filter(F.col("active_flag"))
+    info = [c for c in active.columns if c not in (*keys, "active_flag", "created_at", "updated_at")]
+    age = -F.unix_micros(F.col("created_at").cast("timestamp")) if "created_at" in active.columns else F.lit(0)
+    one = active.groupBy(*keys).agg(F.min_by(F.struct(*info), F.struct(age, "connection_name")).alias("_c"))
+    return objects.join(one.select(*keys, "_c.*"), keys, "left")
 
 
 def effective_metadata(cfg: DataFrame, pipelines: DataFrame, load_type: str | None = None) -> DataFrame:
@@ -66,9 +70,7 @@ def effective_metadata(cfg: DataFrame, pipelines: DataFrame, load_type: str | No
     pipeline row switches the default off.  With ``load_type`` only rows that
     apply to it (``all`` or the type) remain.
 
-    Defaults are inherited without a join when the default set is small:
-    every pipeline row generates the defaults from an inline array.  A large
-    default set is spread over salted buckets and equi-joined instead.
+    Every pipeline row generates the defaults from one array of them.
     """
     cols = cfg.columns
     keys = ["pipeline_id", "column_name"]
@@ -89,16 +91,9 @@ def effective_metadata(cfg: DataFrame, pipelines: DataFrame, load_type: str | No
 
 
 def _inherit(pipes: DataFrame, defaults: DataFrame) -> DataFrame:
-    rows = defaults.limit(_INLINE_DEFAULTS_MAX + 1).collect()
-    if len(rows) <= _INLINE_DEFAULTS_MAX:
-        if not rows:
-            return defaults.select(F.lit(None).cast("string").alias("pipeline_id"), *defaults.columns).limit(0)
-        fields = defaults.schema.fields
-        structs = [F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in fields]) for r in rows]
-        return pipes.select("pipeline_id", F.inline(F.array(*structs)))
-    salted_pipes = pipes.select("pipeline_id", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("_salt"))
-    salted_defaults = defaults.withColumn("_salt", F.pmod(F.hash("column_name"), F.lit(_SALTS)))
-    return salted_pipes.join(salted_defaults, "_salt").drop("_salt")
+    """Every default for every pipeline: a scalar subquery gives the defaults as one array of config rows."""
+    rows = defaults.agg(F.collect_list(F.struct(*defaults.columns)).alias("_d")).scalar()
+    return pipes.select("pipeline_id", rows.alias("_d")).select("pipeline_id", F.inline("_d"))
 
 
 def resolve_ids(rows: DataFrame, lookup: DataFrame, on: Mapping[str, str], id_col: str,
@@ -109,37 +104,19 @@ def resolve_ids(rows: DataFrame, lookup: DataFrame, on: Mapping[str, str], id_co
     Returns ``(resolved, dropped)``: rows without a match are not an error,
     they come back as the second frame for the report.  When the lookup has
     several ids for one key the first by ``order_cols`` (then id) wins;
-    that reduction is a partial aggregate.  The lookup side is broadcast only
-    when its row count is proven small: the raw lookup is probed with
-    ``limit(n + 1)``, a scan that stops early, and the deduplicated side can
-    only be smaller.  A larger lookup is left to the planner (AQE may still
-    broadcast it once its real size is known).
+    that reduction is a partial aggregate.  A lookup row without an id matches nothing, and neither does
+    a NULL key, however large the lookup is.
     """
     lkeys = list(on.values())
-    small = lookup.limit(CONFIG_BROADCAST_MAX_ROWS + 1).count() <= CONFIG_BROADCAST_MAX_ROWS
     order = [F.col(c) for c in order_cols] + [F.col(id_col)]
-    dedup = (lookup.groupBy(*lkeys)
-             .agg(F.min(F.struct(*order)).alias("_w"))
-             .select(*[F.col(k).alias(f"_k_{i}") for i, k in enumerate(lkeys)],
-                     F.col(f"_w.{id_col}").alias(out_col)))
-    helper = [f"_k_{i}" for i in range(len(lkeys))]
-    if small:
-        dedup = F.broadcast(dedup)
-        cond = None
-        for i, (left, _) in enumerate(on.items()):
-            c = rows[left] == dedup[f"_k_{i}"]
-            cond = c if cond is None else cond & c
-        resolved = rows.join(dedup, cond, "inner").drop(*helper)
-        dropped = rows.join(dedup, cond, "left_anti")
-    else:
-        # a large lookup: hot row keys are served by broadcast, the others by shuffle (join_per_key)
-        per_key = dedup.select(*[F.col(h).alias(k) for h, k in zip(helper, on.keys())], out_col)
-        for k in on.keys():  # equality, as on the broadcast path: a NULL key resolves nothing
-            per_key = per_key.where(F.col(k).isNotNull())
-        joined = join_per_key(rows, per_key.where(F.col(out_col).isNotNull()), list(on.keys()),
-                              per_key_small=False)
-        resolved = joined.filter(F.col(out_col).isNotNull())
-        dropped = joined.filter(F.col(out_col).isNull()).drop(out_col)
+    usable = lookup.where(F.col(id_col).isNotNull())
+    for k in lkeys:
+        usable = usable.where(F.col(k).isNotNull())
+    per_key = (usable.groupBy(*lkeys).agg(F.min(F.struct(*order)).alias("_w"))
+               .select(*[F.col(k).alias(row_key) for row_key, k in on.items()], F.col(f"_w.{id_col}").alias(out_col)))
+    joined = join_per_key(rows, per_key, list(on.keys()))
+    resolved = joined.filter(F.col(out_col).isNotNull())
+    dropped = joined.filter(F.col(out_col).isNull()).drop(out_col)
     if drop_on:
         resolved = resolved.drop(*on.keys())
     return resolved, dropped

@@ -89,11 +89,6 @@ def drift_actions(events: DataFrame, setting: str | Column, ignore: Iterable[str
     return events.withColumn("action_taken", action)
 
 
-def must_halt(actions: DataFrame) -> bool:
-    """True when any event is HALTED.  Reads one row at most."""
-    return actions.filter(F.col("action_taken") == HALTED).limit(1).count() > 0
-
-
 def reregister(reg: DataFrame, cur: DataFrame, run_ts, keys: Sequence[str] = KEYS) -> DataFrame:
     """The registry after this run: current columns active with their current
     definition; first ``registered_at`` kept; ``updated_at`` refreshed;

@@ -85,7 +85,9 @@ def merge_snapshot(src: DataFrame, tgt: DataFrame, pk: Sequence[str], hash_col:
     - unchanged rows keep the **target** row, so their metadata (load run id,
       ingestion time) is left alone, unless ``update_unchanged`` (plain upsert);
     - keys absent from the source keep the target row; with ``soft_delete``
-      they are flagged in ``deleted_col`` (rows are never removed).
+      they are flagged in ``deleted_col`` (rows are never removed).  A key that was
+      flagged before is UNCHANGED, so ABSENT counts the newly deleted.
+    - a target column that the source no longer has is NULL on new and changed rows.
 
     Columns: the target's in order, then columns new in the source.
     ``change_col`` adds the change type so a write can observe counts.
@@ -113,15 +115,21 @@ def merge_snapshot(src: DataFrame, tgt: DataFrame, pk: Sequence[str], hash_col:
             out.append(s_key.isNull().alias(c))
         elif c in src_cols:
             out.append(F.when(take_src, F.col(f"_s.{c}")).otherwise(F.col(f"_t.{c}")).alias(c))
-        else:  # a column the source no longer has: kept for existing rows, NULL for new ones
+        elif c == deleted_col:  # the target's own flag, not a dropped source column
             out.append(F.col(f"_t.{c}").alias(c))
+        else:  # a column the source no longer has: kept where the target row stands, else NULL
+            out.append(F.when(~take_src, F.col(f"_t.{c}")).alias(c))
     for c in src_cols:
         if c not in tgt_cols:
             out.append(F.when(s_key.isNotNull(), F.col(f"_s.{c}")).alias(c))
     if soft_delete and deleted_col not in tgt_cols:
         out.append(s_key.isNull().alias(deleted_col))
     if change_col:
-        out.append(_change_expr(s_key, t_key, s_hash, t_hash).alias(change_col))
+        change = _change_expr(s_key, t_key, s_hash, t_hash)
+        if soft_delete and deleted_col in tgt_cols:  # deleted before: nothing changes now
+            before = s_key.isNull() & F.coalesce(F.col(f"_t.{deleted_col}"), F.lit(False))
+            change = F.when(before, F.lit(UNCHANGED)).otherwise(change)
+        out.append(change.alias(change_col))
     return j.select(*out)
 
 
@@ -144,8 +152,10 @@ def extract_since(src: DataFrame, column: str, watermark=None,
     type as a literal, so the comparison reaches the Parquet scan as a
     pushed filter.  Many objects in one source: ``watermarks`` holds one row
     per ``object_keys`` value; it is joined (left, so objects without a
-    watermark pass whole).  An object holding a large share of the rows is
-    served by broadcast (``join_per_key``), so its rows are never shuffled.
+    watermark pass whole); an object with a large share of the rows is left to ``join_per_key``.
+
+    Rows whose watermark column is NULL are always loaded: nothing says they were seen before, and the
+    merge drops them as UNCHANGED if they were.
     """
     if watermarks is None:
         if watermark is None:
@@ -153,11 +163,11 @@ def extract_since(src: DataFrame, column: str, watermark=None,
         dtype = src.schema[column].dataType
         if isinstance(watermark, (dt.datetime, dt.date)):
             watermark = watermark.isoformat(sep=" ") if isinstance(watermark, dt.datetime) else watermark.isoformat()
-        return src.filter(F.col(column) >= F.lit(watermark).cast(dtype))
+        return src.filter((F.col(column) >= F.lit(watermark).cast(dtype)) | F.col(column).isNull())
     keys = list(object_keys)
     wm = watermarks.select(*keys, F.col(watermark_col).alias("_wm"))
-    j = join_per_key(src, wm, keys)  # an object with a third of the rows is served by broadcast
-    return j.filter(F.col("_wm").isNull() | (F.col(column) >= F.col("_wm"))).drop("_wm")
+    j = join_per_key(src, wm, keys)
+    return j.filter(F.col("_wm").isNull() | F.col(column).isNull() | (F.col(column) >= F.col("_wm"))).drop("_wm")
 
 
 def next_watermarks(loaded: DataFrame, key_cols: Sequence[str], ts_col: str, run_col: str) -> DataFrame:
@@ -168,7 +178,7 @@ def next_watermarks(loaded: DataFrame, key_cols: Sequence[str], ts_col: str, run
     """
     return loaded.groupBy(*key_cols).agg(
         F.max(ts_col).alias("last_run_ts"),
-        F.max_by(run_col, ts_col).alias("last_run_id"),
+        F.max_by(run_col, F.struct(ts_col, run_col)).alias("last_run_id"),  # of equal times the greatest run
         F.count(F.lit(1)).alias("rows_last_loaded"),
     )
 

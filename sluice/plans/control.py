@@ -23,7 +23,7 @@ from sluice.operators import audit, config, dq, drift
 from sluice.operators.ingest import MetadataSpec
 from sluice.schemas import TABLES
 from sluice.sinks.ddl import check_identifier
-from sluice.sinks.writers import append_log, replace_table
+from sluice.sinks.writers import append_log, insert_columns
 
 log = logging.getLogger(__name__)
 
@@ -41,7 +41,8 @@ BUFFERED_LOGS = {"ingestion_metrics", "dq_check_results", "schema_drift_log"}
 
 
 def utcnow() -> dt.datetime:
-    return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    """Now, with its zone: Spark takes a naive time as one in the driver's zone."""
+    return dt.datetime.now(dt.timezone.utc)
 
 
 class ControlPlane:
@@ -53,7 +54,7 @@ class ControlPlane:
         self.database = check_identifier(database)
         self.pipeline_id = pipeline_id
         self.environment = environment
-        self._run_starts: dict[str, dt.datetime] = {}
+        self._runs: dict[str, dict] = {}  # start time and identity of the runs started here
         # objects may load in parallel threads; writes to the shared control tables go one at a time
         self._write_lock = threading.RLock()
         self._ids: dict[str, str] = {}
@@ -91,9 +92,10 @@ class ControlPlane:
             ok = self._append(df.coalesce(1), table) and ok  # a run's log rows are few: one file
         return ok
 
-    def _replace(self, df: DataFrame, table: str) -> None:
+    def _insert(self, df: DataFrame, table: str) -> None:
+        """Append rows that must not get lost: a failure is raised."""
         with self._write_lock:
-            replace_table(df, f"{self.database}.{table}", f"{self.database}.{table}__staging")
+            insert_columns(df, self.database, table)
 
     # ---- tables -----------------------------------------------------------
     def table(self, name: str) -> DataFrame:
@@ -177,28 +179,35 @@ class ControlPlane:
                       job_id: str | None = None, job_run_id: str | None = None) -> str:
         run_id = str(uuid.uuid4())
         start = utcnow()
-        self._run_starts[run_id] = start
-        ev = audit.run_event(self.spark, run_id, self.pipeline_id, audit.RUNNING, start, self.environment,
-                             triggered_by=triggered_by, triggered_mode=triggered_mode, job_id=job_id,
-                             job_run_id=job_run_id)
+        who = {"triggered_by": triggered_by, "triggered_mode": triggered_mode, "job_id": job_id, "job_run_id": job_run_id}
+        self._runs[run_id] = {"start": start, **who}
+        ev = audit.run_event(self.spark, run_id, self.pipeline_id, audit.RUNNING, start, self.environment, **who)
         self._append(ev, "job_run_audit")
         return run_id
 
-    def log_run_end(self, run_id: str, status: str, counts: tuple[int, int, int] | None = None,
-                    triggered_by: str = "api", triggered_mode: str = "manual") -> bool:
-        start = self._run_starts.get(run_id)
-        if start is None:
-            got = self.table("job_run_audit").filter(F.col("run_id") == run_id).agg(F.min("start_time")).first()
-            start = got[0] if got and got[0] else utcnow()
-        ev = audit.run_event(self.spark, run_id, self.pipeline_id, status.upper(), start, self.environment,
-                             end_time=utcnow(), counts=counts, triggered_by=triggered_by,
-                             triggered_mode=triggered_mode)
+    def _started(self, run_id: str) -> dict:
+        """Start time and identity of a run, from its start event if another client began it."""
+        if run_id not in self._runs:
+            who = ["triggered_by", "triggered_mode", "job_id", "job_run_id"]
+            first = F.min_by(F.struct(F.unix_micros("start_time").alias("us"), *who), "created_at").alias("f")
+            got = self.table("job_run_audit").filter(F.col("run_id") == run_id).agg(first).select("f.*").first()
+            known = got is not None and got["us"] is not None
+            start = dt.datetime.fromtimestamp(got["us"] / 1e6, dt.timezone.utc) if known else utcnow()
+            self._runs[run_id] = {"start": start, **({c: got[c] for c in who} if known else {})}
+        return dict(self._runs[run_id])
+
+    def log_run_end(self, run_id: str, status: str, counts: tuple[int, int, int] | None = None) -> bool:
+        """The end event; who started the run, and how, is what the start event says."""
+        who = self._started(run_id)
+        ev = audit.run_event(self.spark, run_id, self.pipeline_id, status.upper(), who.pop("start"), self.environment,
+                             end_time=utcnow(), counts=counts, **who)
         return self._append(ev, "job_run_audit")
 
     def run_states(self) -> DataFrame:
-        """Latest state per run from the appended events (no in-place update)."""
+        """Latest state per run from the appended events (no in-place update).  Of two events of one time the final one counts."""
         a = self.table("job_run_audit")
-        latest = F.max_by(F.struct(*[c for c in a.columns if c != "run_id"]), "created_at")
+        order = F.struct("created_at", F.col("end_time").isNotNull())
+        latest = F.max_by(F.struct(*[c for c in a.columns if c != "run_id"]), order)
         return a.groupBy("run_id").agg(latest.alias("_l")).select("run_id", "_l.*")
 
     # ---- errors and metrics (A4, A5) --------------------------------------
@@ -234,21 +243,27 @@ class ControlPlane:
             return False
 
     # ---- watermarks (N7, N9, N10) -------------------------------------------
+    def watermarks(self) -> DataFrame:
+        """The latest watermark row of each object: rows are appended, never rewritten."""
+        w = self.table("watermark_control")
+        keys = ["object_id", "pipeline_id"]
+        latest = F.max_by(F.struct(*[c for c in w.columns if c not in keys]), F.struct("updated_at", "last_run_id", "watermark_col_value"))
+        return w.groupBy(*keys).agg(latest.alias("_l")).select(*keys, "_l.*").select(*w.columns)
+
     def get_watermark(self, object_id: str) -> dict | None:
         """The stored watermark row, or None on the first run (full extract)."""
         oid = self.resolve_object_id(object_id)
-        rows = self._mine("watermark_control").filter(F.col("object_id") == oid) \
-            .orderBy(F.col("updated_at").desc()).limit(1).collect()
+        rows = self.watermarks().filter((F.col("pipeline_id") == self.pipeline_id) & (F.col("object_id") == oid)).collect()
         return rows[0].asDict() if rows else None
 
     def update_watermark(self, object_id: str, watermark_value, run_id: str | None = None,
                          rows_loaded: int | None = None, watermark_col: str | None = None) -> None:
-        """Upsert the object's watermark row; call only after a successful load."""
+        """Advance the object's watermark; call only after a successful load."""
         self.update_watermarks([{"object_id": self.resolve_object_id(object_id), "watermark_value": watermark_value,
                                  "run_id": run_id, "rows_loaded": rows_loaded, "watermark_col": watermark_col}])
 
     def update_watermarks(self, entries: Sequence[Mapping]) -> None:
-        """Upsert many objects' watermarks with one rewrite of the table (not one per object)."""
+        """Append one row per object.  Clients that advance different objects at once cannot undo each other."""
         if not entries:
             return
         now = utcnow()
@@ -263,20 +278,23 @@ class ControlPlane:
         new = self.spark.createDataFrame(rows, "object_id string, pipeline_id string, last_run_ts timestamp, "
                                                "last_run_id string, rows_last_loaded bigint, updated_at timestamp, "
                                                "watermark_col string, watermark_col_value string")
-        new = new.withColumn("watermark_col_hash", F.sha2(F.col("watermark_col_value"), 256))
-        keys = ["object_id", "pipeline_id"]
-        old = self.table("watermark_control")
-        merged = old.join(new.select(*keys), keys, "left_anti").unionByName(new)
-        self._replace(merged, "watermark_control")
+        self._insert(new.withColumn("watermark_col_hash", F.sha2(F.col("watermark_col_value"), 256)).coalesce(1), "watermark_control")
 
     # ---- schema registry and drift (R1-R7) -----------------------------------
     def current_schema_rows(self, object_id: str, schema: T.StructType, primary_key: Iterable[str] = ()) -> DataFrame:
         return drift.describe_schema(self.spark, schema, self.resolve_object_id(object_id), self.pipeline_id,
                                      primary_key)
 
+    def registry(self) -> DataFrame:
+        """The latest registry row of each column: rows are appended, never rewritten."""
+        r = self.table("object_schema_registry")
+        keys = ["object_id", "pipeline_id", "column_name"]
+        latest = F.max_by(F.struct(*[c for c in r.columns if c not in keys]), F.struct("updated_at", "schema_id"))
+        return r.groupBy(*keys).agg(latest.alias("_l")).select(*keys, "_l.*").select(*r.columns)
+
     def registered(self, object_id: str) -> DataFrame:
         oid = self.resolve_object_id(object_id)
-        return self._mine("object_schema_registry").filter((F.col("object_id") == oid) & F.col("active_flag"))
+        return self.registry().filter((F.col("pipeline_id") == self.pipeline_id) & (F.col("object_id") == oid) & F.col("active_flag"))
 
     def detect_drift(self, object_id: str, schema: T.StructType, setting: str | None = None,
                      ignore: Sequence[str] = ()) -> DataFrame:
@@ -295,7 +313,7 @@ class ControlPlane:
     def register_schemas(self, entries: Sequence[tuple[str, T.StructType, Sequence[str]]]) -> None:
         """Re-register schemas: current columns active, first registration time
         kept, vanished columns kept inactive.  One full-outer join and one
-        rewrite of the registry for all objects of a run."""
+        append for all objects of a run."""
         if not entries:
             return
         now = utcnow()
@@ -304,7 +322,7 @@ class ControlPlane:
         for oid, (_, schema, pk) in zip(oids, entries):
             rows = drift.describe_schema(self.spark, schema, oid, self.pipeline_id, pk)
             cur = rows if cur is None else cur.unionByName(rows)
-        reg_all = self.table("object_schema_registry")
+        reg_all = self.registry()
         mine = F.col("object_id").isin(oids) & (F.col("pipeline_id") == self.pipeline_id)
         old = reg_all.filter(mine).drop("schema_id", "updated_at", "active_flag", "pipeline_id")
         new = drift.reregister(old, cur.drop("pipeline_id"), F.lit(now).cast("timestamp"),
@@ -314,10 +332,16 @@ class ControlPlane:
                .withColumn("schema_id", F.coalesce("schema_id", F.expr("uuid()")))
                .withColumn("pipeline_id", F.lit(self.pipeline_id))
                .drop("is_new"))
-        merged = reg_all.filter(~mine).unionByName(new.select(*reg_all.columns))
-        self._replace(merged, "object_schema_registry")
-
-    def log_drift(self, run_id: str, object_id: str, drift_events: DataFrame) -> bool:
+        self._insert(new.select(*reg_all.columns).coalesce(1), "object_schema_registry")
+
+    def log_drift(self, drift_events: DataFrame, run_id: str | None = None, object_id: str | None = None) -> bool:
+        """Append drift events.  Without ``run_id`` they belong to the run started last, without ``object_id`` to the object they name."""
+        run_id = run_id or next(reversed(self._runs), None)
+        if object_id is None:
+            first = drift_events.select("object_id").limit(1).collect()
+            if not first:
+                return True
+            object_id = first[0]["object_id"]
         obj = self._object_row(object_id)
         rows = drift_events.select(
             F.expr("uuid()").alias("drift_id"), F.lit(run_id).alias("run_id"), F.lit(obj["object_id"]).alias("object_id"),
@@ -326,8 +350,12 @@ class ControlPlane:
             F.lit(utcnow()).cast("timestamp").alias("detected_at"), F.lit(self.environment).alias("environment"))
         return self._append(rows, "schema_drift_log")
 
-    def evolve_table(self, target_table: str, drift_events: DataFrame, schema: T.StructType) -> list[str]:
+    def evolve_table(self, target_table: str, drift_events: DataFrame, schema: T.StructType | None = None) -> list[str]:
+        """Add the new columns of the events to a table; without ``schema`` their types are those the events name."""
         events = [r.asDict() for r in drift_events.collect()]  # one row per drifted column
+        if schema is None:
+            new = {e["column_name"]: e["new_value"] for e in events if e["drift_type"] == drift.NEW}
+            schema = T.StructType([T.StructField(c, T._parse_datatype_string(t.lower())) for c, t in new.items()])
         if not self.spark.catalog.tableExists(target_table):
             return []
         return drift.evolve_table(self.spark, target_table, events, schema)

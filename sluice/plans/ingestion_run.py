@@ -25,18 +25,26 @@ from sluice.functions.hashing import hash_columns_for, record_hash
 from sluice.functions.lists import parse_list
 from sluice.operators import dq, drift, ingest
 from sluice.plans.control import ControlPlane, utcnow
-from sluice.sinks.writers import overwrite_via_staging, replace_table, schema_changed, write_table
+from sluice.sinks.writers import overwrite_via_staging, recover, replace_table, schema_changed, write_table
 from sluice.sources.objects import read_object
 
 log = logging.getLogger(__name__)
 
 
 class RunHalted(RuntimeError):
+    """A decision to stop this object (drift, quality, a bad definition): not retried."""
+
     def __init__(self, error_type: str, message: str):
         super().__init__(message)
         self.error_type = error_type
 
 
+class SourceError(RuntimeError):
+    """The source system failed: retried."""
+
+    error_type = "JDBC_ERROR"
+
+
 @dataclass
 class ObjectResult:
     object_id: str
@@ -48,12 +56,15 @@ class ObjectResult:
     schema_entry: tuple | None = None      # (object_id, schema, primary key) to re-register
 
 
-def _two_part(name: str | None) -> str | None:
-    """Catalog-qualified names resolve only as ``db.table`` here: keep the last two parts."""
+def qualified(spark, catalog: str | None, name: str | None) -> str | None:
+    """``catalog.db.table`` where the session has that catalog configured, else ``db.table``."""
     if not name:
         return None
     parts = name.split(".")
-    return ".".join(parts[-2:])
+    if len(parts) > 2:
+        catalog, parts = parts[0], parts[-2:]
+    known = catalog and catalog != "spark_catalog" and spark.conf.get(f"spark.sql.catalog.{catalog}", None)
+    return ".".join([catalog, *parts] if known else parts)
 
 
 def _land(src: DataFrame, table: str) -> DataFrame:
@@ -71,16 +82,23 @@ def ingest_object(cp: ControlPlane, obj: Mapping, run_id: str, settings: Mapping
     oid, name = obj["object_id"], obj["source_object"]
     load_type = str(obj["load_type"]).strip().lower()
     pk = parse_list(obj["primary_key"])
-    target = _two_part(f"{obj['target_schema']}.{obj['target_table']}")
-    staging = _two_part(obj.get("staging_table")) or f"{obj['target_schema']}.{obj['target_table']}__staging"
+    catalog = obj.get("target_catalog")
+    target = qualified(spark, catalog, f"{obj['target_schema']}.{obj['target_table']}")
+    staging = qualified(spark, catalog, obj.get("staging_table")) or f"{target}__staging"
+    if load_type == "hash_incremental" and not pk:
+        raise RunHalted("VALIDATION_ERROR", f"{name} is loaded by hash and names no primary key")
+    recover(spark, target, staging)
     wm_col = obj.get("watermark_column")
     t0 = time.time()
 
     if read:
         src = read(obj)
     elif str(obj.get("source_type", "")).lower() == "jdbc":
-        src = read_object(spark, obj, connection=cp.connection_for(oid), secret=cp.secret,
-                          fetchsize=settings.get("batch_size"))
+        try:  # a partitioned read is asked for in the connection's options (partitionColumn, bounds, numPartitions)
+            src = read_object(spark, obj, connection=cp.connection_for(oid), secret=cp.secret,
+                              fetchsize=settings.get("batch_size"))
+        except Exception as e:
+            raise SourceError(str(e)) from e
     else:
         src = read_object(spark, obj)
 
@@ -92,14 +110,17 @@ def ingest_object(cp: ControlPlane, obj: Mapping, run_id: str, settings: Mapping
 
     # live sources (JDBC, or when asked) are landed once; file and table sources are re-read as they are
     if str(obj.get("source_type", "")).lower() == "jdbc" or settings.get("land_extract"):
-        src = _land(src, f"{staging}__extract")
+        try:
+            src = _land(src, f"{staging}__extract")
+        except Exception as e:
+            raise (SourceError(str(e)) if str(obj.get("source_type", "")).lower() == "jdbc" else e) from e
 
     # R3-R6: drift against the stored registry
     events = cp.detect_drift(oid, src.schema, setting=settings.get("schema_drift_action"),
                              ignore=parse_list(settings.get("schema_drift_ignore")))
     found = events.collect()  # one row per drifted column of one object
     if found:
-        cp.log_drift(run_id, oid, spark.createDataFrame(found, events.schema))
+        cp.log_drift(spark.createDataFrame(found, events.schema), run_id, oid)
         if any(r.action_taken == drift.HALTED for r in found):
             raise RunHalted("SCHEMA_MISMATCH", f"schema drift halted {name}: "
                             + ", ".join(f"{r.column_name}:{r.drift_type}" for r in found if r.action_taken == drift.HALTED))
@@ -144,8 +165,8 @@ def ingest_object(cp: ControlPlane, obj: Mapping, run_id: str, settings: Mapping
     # counts ride on the write: no extra pass over the data
     obs_src = Observation(f"loaded_{oid}")
     observed = [F.count(F.lit(1)).alias("rows")]
-    if wm_col:
-        observed.append(F.max(wm_col).alias("wm"))
+    if wm_col:  # as text, in Spark: a value brought to Python would take the driver's time zone
+        observed.append(F.max(wm_col).cast("string").alias("wm"))
     data = data.observe(obs_src, *observed)
 
     buckets = settings.get("target_buckets") or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -174,18 +195,22 @@ def ingest_object(cp: ControlPlane, obj: Mapping, run_id: str, settings: Mapping
         tgt = spark.table(target)
         stored_parts = [c.name for c in spark.catalog.listColumns(target) if c.isPartition]
         confined = bool(stored_parts) and not schema_changed(data, target)  # evolved: whole table
-        scope = touched_partitions(clean, tgt, pk, stored_parts,
-                                   values_fixed=bool(settings.get("partition_values_fixed"))) if confined else None
-        if scope is not None:  # merge confined to the partitions the batch touches (ABSENT too)
-            tgt = tgt.filter(scope)
+        confined = confined and not soft and all(c in clean.columns for c in stored_parts)
+        touched = None
+        if confined:  # only these partitions are read and rewritten; soft delete needs the whole target
+            touched = touched_partitions(clean, tgt, pk, stored_parts, values_fixed=bool(settings.get("partition_values_fixed")))
+            touched.write.mode("overwrite").format("parquet").saveAsTable(f"{staging}__touched")
+            touched = spark.table(f"{staging}__touched")
+            tgt = in_partitions(tgt, touched, stored_parts)
         merged = ingest.merge_snapshot(data, tgt, pk, "record_hash", soft_delete=soft, change_col="_change")
         obs = Observation(f"merge_{oid}")
         c = F.col("_change")
         merged = merged.observe(obs, F.count_if(c == ingest.INSERT).alias("ins"),
                                 F.count_if(c == ingest.UPDATE).alias("upd"),
                                 F.count_if(c == ingest.ABSENT).alias("absent")).drop("_change")
-        if scope is not None:
-            overwrite_via_staging(merged, target, staging, partition_cols=stored_parts, **layout)
+        if confined:
+            overwrite_via_staging(merged, target, staging, partition_cols=stored_parts, dynamic=True, touched=touched, **layout)
+            spark.sql(f"DROP TABLE IF EXISTS {staging}__touched")
         else:
             replace_table(merged, target, staging, **layout)
         m, loaded = obs.get, obs_src.get
@@ -205,13 +230,9 @@ def ingest_object(cp: ControlPlane, obj: Mapping, run_id: str, settings: Mapping
     return result
 
 
-# More touched partitions than this and the merge covers the whole target.
-MAX_TOUCHED_PARTITIONS = 10_000
-
-
 def touched_partitions(batch: DataFrame, target: DataFrame, pk: list[str], part_cols: list[str],
-                       values_fixed: bool = False):
-    """Filter selecting the target partitions a merge of ``batch`` must rewrite, or None for all.
+                       values_fixed: bool = False) -> DataFrame:
+    """The partitions a merge of ``batch`` must rewrite, one row each.
 
     Those are the partitions holding batch rows, plus the partitions where a batch key
     lives today (a key whose partition value changed must leave its old partition).
@@ -220,30 +241,20 @@ def touched_partitions(batch: DataFrame, target: DataFrame, pk: list[str], part_
     partition value can never change (``values_fixed``, e.g. the date of an immutable
     event) that check is skipped and untouched partitions are not read at all.
     """
-    if not all(c in batch.columns for c in part_cols):
-        return None
-    found = batch.select(*part_cols).distinct()
+    types = {f.name: f.dataType for f in target.schema.fields}
+    found = batch.select(*[F.col(c).cast(types[c]).alias(c) for c in part_cols])
     if not values_fixed:
-        there = target.select(*pk, *part_cols).join(batch.select(*pk), pk, "left_semi").select(*part_cols)
-        found = found.unionByName(there).distinct()
-    values = found.limit(MAX_TOUCHED_PARTITIONS + 1).collect()
-    if len(values) > MAX_TOUCHED_PARTITIONS:
-        return None
-    if not values:
-        return F.lit(False)
-    if len(part_cols) == 1:
-        c = part_cols[0]
-        vals = [r[c] for r in values]
-        cond = F.col(c).isin([v for v in vals if v is not None])
-        return cond | F.col(c).isNull() if None in vals else cond
-    cond = None
-    for row in values:
-        term = None
-        for c in part_cols:
-            t = F.col(c).eqNullSafe(F.lit(row[c]))
-            term = t if term is None else term & t
-        cond = term if cond is None else cond | term
-    return cond
+        found = found.unionByName(target.select(*pk, *part_cols).join(batch.select(*pk), pk, "left_semi").select(*part_cols))
+    return found.distinct()
+
+
+def in_partitions(target: DataFrame, partitions: DataFrame, part_cols: list[str]) -> DataFrame:
+    """The target's rows in the listed partitions: a semi-join on the partition columns, which prunes the scan."""
+    same = None
+    for c in part_cols:
+        term = target[c].eqNullSafe(partitions[c])
+        same = term if same is None else same & term
+    return target.join(partitions, same, "left_semi")
 
 
 def apply_control_updates(cp: ControlPlane, results: list[ObjectResult]) -> None:
@@ -264,6 +275,7 @@ def run_pipeline(cp: ControlPlane, read: Callable[[Mapping], DataFrame] | None =
     cp.buffer_logs()  # metric, DQ and drift rows of all objects go out in one append per table
     results: list[ObjectResult] = []
     objects: list[dict] = []
+    kept_books = True
     try:
         settings = cp.get_pipeline_config()
         objects = [r.asDict() for r in cp.get_source_objects().collect()]  # config rows of one pipeline
@@ -277,9 +289,9 @@ def run_pipeline(cp: ControlPlane, read: Callable[[Mapping], DataFrame] | None =
                     return ingest_object(cp, obj, run_id, settings, read, parents, defer_control_updates=True)
                 except Exception as e:
                     halted = isinstance(e, (RunHalted, ingest.MergeKeyError))
-                    kind = e.error_type if isinstance(e, RunHalted) else (
+                    kind = e.error_type if isinstance(e, (RunHalted, SourceError)) else (
                         "MERGE_ERROR" if isinstance(e, ingest.MergeKeyError) else "UNKNOWN")
-                    cp.log_error(run_id, obj["object_id"], kind, str(e).splitlines()[0] if str(e) else repr(e),
+                    cp.log_error(run_id, obj["object_id"], kind, str(e) or repr(e),
                                  traceback.format_exc(), retry_attempt=attempt)
                     if halted or attempt == attempts:  # halts are decisions, not transient faults
                         cp.log_metrics(run_id, obj["object_id"], status="FAILED")
@@ -300,15 +312,18 @@ def run_pipeline(cp: ControlPlane, read: Callable[[Mapping], DataFrame] | None =
             apply_control_updates(cp, results)
         except Exception as e:  # the loads are done; report the bookkeeping failure, do not lose the run
             log.error("control table update failed: %s", e)
-            cp.log_error(run_id, objects[0]["object_id"] if objects else "-", "UNKNOWN", str(e).splitlines()[0],
+            cp.log_error(run_id, objects[0]["object_id"] if objects else "-", "UNKNOWN", str(e) or repr(e),
                          traceback.format_exc())
+            kept_books = False
     finally:
         cp.flush_logs()
     ok = sum(r.status == "SUCCESS" for r in results)
     bad = len(results) - ok
     status = "SUCCESS" if bad == 0 else ("FAILED" if ok == 0 else "PARTIAL")
-    cp.log_run_end(run_id, status, (len(results), ok, bad), triggered_by, triggered_mode)
+    if not kept_books and status == "SUCCESS":
+        status = "PARTIAL"  # the data is loaded, but watermarks or schemas lag behind
+    cp.log_run_end(run_id, status, (len(results), ok, bad))
     return {"run_id": run_id, "status": status, "objects": results}
 
 
-__all__ = ["run_pipeline", "ingest_object", "apply_control_updates", "touched_partitions", "RunHalted", "ObjectResult"]
+__all__ = ["run_pipeline", "ingest_object", "apply_control_updates", "touched_partitions", "in_partitions", "RunHalted", "ObjectResult"]

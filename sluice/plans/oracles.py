@@ -55,11 +55,23 @@ SELECT t.o_orderkey, s.o_orderkey IS NULL AS is_deleted FROM t LEFT JOIN s ON s.
     "merge_soft_delete": f"""WITH {_SRC_TGT}
 SELECT coalesce(s.o_orderkey, t.o_orderkey) AS o_orderkey, CASE WHEN t.o_orderkey IS NULL OR (s.o_orderkey IS NOT NULL AND s.record_hash <> t.record_hash) THEN 'run_2' ELSE 'run_1' END AS load_run_id, s.o_orderkey IS NULL AS is_deleted, CASE WHEN t.o_orderkey IS NULL THEN 'INSERT' WHEN s.o_orderkey IS NULL THEN 'ABSENT' WHEN s.record_hash <> t.record_hash THEN 'UPDATE' ELSE 'UNCHANGED' END AS change_type FROM s FULL OUTER JOIN t ON s.o_orderkey = t.o_orderkey""",
 
-    "watermark_advance": "SELECT user_id AS object_id, max(ts) AS last_run_ts, max_by(event_id, ts) AS last_run_id, count(*) AS rows_last_loaded FROM events WHERE event_type <> 'error' GROUP BY user_id",
+    "watermark_advance": "SELECT user_id AS object_id, max(ts) AS last_run_ts, max_by(event_id, (ts, event_id)) AS last_run_id, count(*) AS rows_last_loaded FROM events WHERE event_type <> 'error' GROUP BY user_id",
 
     "incremental_extract": """WITH wm AS (SELECT user_id, max(ts) AS w FROM events WHERE event_type = 'purchase' AND user_id % 5 <> 0 GROUP BY user_id)
 SELECT e.event_id, e.user_id, e.ts FROM events e LEFT JOIN wm ON e.user_id = wm.user_id WHERE wm.w IS NULL OR e.ts >= wm.w""",
 
+    "incremental_extract_nulls": """WITH e AS (SELECT event_id, user_id, CASE WHEN event_type <> 'error' THEN ts END AS ts FROM events),
+  wm AS (SELECT user_id, max(ts) AS w FROM e GROUP BY user_id)
+SELECT e.event_id, e.user_id, e.ts FROM e LEFT JOIN wm ON e.user_id = wm.user_id WHERE e.ts IS NULL OR wm.w IS NULL OR e.ts >= wm.w""",
+
+    "merge_dropped_column": f"""WITH {_SRC_TGT}
+SELECT coalesce(s.o_orderkey, t.o_orderkey) AS o_orderkey, CASE WHEN s.o_orderkey IS NULL OR s.record_hash = t.record_hash THEN t.o_orderpriority END AS o_orderpriority FROM s FULL OUTER JOIN t ON s.o_orderkey = t.o_orderkey""",
+
+    "soft_delete_counts": f"""WITH {_SRC_TGT}
+SELECT CASE WHEN t.o_orderkey IS NULL THEN 'INSERT' WHEN s.o_orderkey IS NULL THEN CASE WHEN t.o_custkey % 3 = 0 THEN 'UNCHANGED' ELSE 'ABSENT' END WHEN s.record_hash <> t.record_hash THEN 'UPDATE' ELSE 'UNCHANGED' END AS change_type, s.o_orderkey IS NULL AS is_deleted, count(*) AS n FROM s FULL OUTER JOIN t ON s.o_orderkey = t.o_orderkey GROUP BY 1, 2""",
+
+    "resolve_null_id": """SELECT l.l_suppkey, count(*) AS n, CASE WHEN s.s_acctbal > 0 THEN 'resolved' ELSE 'dropped' END AS outcome FROM lineitem l LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey GROUP BY 1, 3""",
+
     "incremental_extract_single": "SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-15 12:00:00'",
 
     "watermark_hash": "SELECT o_custkey AS object_id, max(o_orderdate) AS watermark_value, sha256(CAST(max(o_orderdate) AS VARCHAR)) AS watermark_hash FROM orders GROUP BY o_custkey",
@@ -176,7 +188,7 @@ SELECT CAST(k AS BIGINT) AS halted_rules, k = 0 AS may_write FROM h""",
 
     "evolve_align": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate, o_totalprice, CAST(NULL AS INTEGER) AS o_shippriority, o_orderstatus FROM orders",
 
-    "run_latest_status": "SELECT user_id AS run_id, min(ts) AS start_time, max(ts) AS end_time, max_by(event_type, ts) AS status, CAST(floor(epoch(max(ts)) - epoch(min(ts))) AS BIGINT) AS duration_seconds FROM events GROUP BY user_id",
+    "run_latest_status": "SELECT user_id AS run_id, min(ts) AS start_time, max(ts) AS end_time, max_by(event_type, (ts, event_id)) AS status, min_by(props, (ts, event_id)) AS started_by, CAST(floor(epoch(max(ts)) - epoch(min(ts))) AS BIGINT) AS duration_seconds FROM events GROUP BY user_id",
 
     "table_counts": """SELECT 'orders' AS table_name, count(*) AS n FROM orders
   UNION ALL SELECT 'lineitem', count(*) FROM lineitem

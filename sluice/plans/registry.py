@@ -97,6 +97,21 @@ def merge_soft_delete(spark, sf_dir):
     return m.select("o_orderkey", "load_run_id", "is_deleted", "change_type")
 
 
+@register("merge_dropped_column")
+def merge_dropped_column(spark, sf_dir):
+    """The source no longer has o_orderpriority: NULL on new and changed rows, kept on the others."""
+    src = sc.orders_source(spark, sf_dir).drop("o_orderpriority")
+    return ingest.merge_snapshot(src, sc.orders_target(spark, sf_dir), ["o_orderkey"]).select("o_orderkey", "o_orderpriority")
+
+
+@register("soft_delete_counts")
+def soft_delete_counts(spark, sf_dir):
+    """Keys flagged by an earlier run are not deleted again: every third target row was flagged before."""
+    tgt = sc.orders_target(spark, sf_dir).withColumn("is_deleted", F.col("o_custkey") % 3 == 0)
+    m = ingest.merge_snapshot(sc.orders_source(spark, sf_dir), tgt, ["o_orderkey"], soft_delete=True, change_col="change_type")
+    return m.groupBy("change_type", "is_deleted").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---- N7-N12: watermarks, metadata, full load -------------------------------
 
 @register("watermark_advance")
@@ -122,6 +137,15 @@ def incremental_extract_single(spark, sf_dir):
     return ingest.extract_since(e, "ts", watermark=dt.datetime(2024, 1, 15, 12, 0, 0)).select("event_id", "ts")
 
 
+@register("incremental_extract_nulls")
+def incremental_extract_nulls(spark, sf_dir):
+    """Events without a time are loaded whatever the watermark is."""
+    e = _t(spark, sf_dir, "events").withColumn("ts", F.when(F.col("event_type") != "error", F.col("ts")))
+    wm = e.groupBy("user_id").agg(F.max("ts").alias("watermark_value"))
+    out = ingest.extract_since(e, "ts", watermarks=wm, object_keys=["user_id"])
+    return out.select("event_id", "user_id", "ts")
+
+
 @register("watermark_hash")
 def watermark_hash(spark, sf_dir):
     w = ingest.watermark_values(_t(spark, sf_dir, "orders"), ["o_custkey"], "o_orderdate")
@@ -174,6 +198,16 @@ def resolve_object_id(spark, sf_dir):
     return resolved.select("l_orderkey", "l_linenumber", "l_partkey", "object_id")
 
 
+@register("resolve_null_id")
+def resolve_null_id(spark, sf_dir):
+    """Lookup rows without an id resolve nothing."""
+    lookup = _t(spark, sf_dir, "supplier").withColumn("id", F.when(F.col("s_acctbal") > 0, F.col("s_suppkey")))
+    resolved, dropped = config.resolve_ids(_t(spark, sf_dir, "lineitem"), lookup, {"l_suppkey": "s_suppkey"}, "id")
+    counted = [df.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n")).withColumn("outcome", F.lit(name))
+               for df, name in ((resolved, "resolved"), (dropped, "dropped"))]
+    return counted[0].unionByName(counted[1])
+
+
 @register("resolve_dropped")
 def resolve_dropped(spark, sf_dir):
     lookup = _t(spark, sf_dir, "supplier").filter(F.col("s_nationkey") < 10)
@@ -387,7 +421,8 @@ def run_lifecycle(spark, sf_dir):
 
 @register("run_latest_status")
 def run_latest_status(spark, sf_dir):
-    return audit.run_state(_t(spark, sf_dir, "events"), "user_id", "ts", status_col="event_type")
+    e = _t(spark, sf_dir, "events").withColumn("started_by", F.col("props"))
+    return audit.run_state(e, "user_id", "ts", status_col="event_type", identity_cols=["started_by"], tie_col="event_id")
 
 
 @register("object_metrics")

@@ -62,7 +62,7 @@ def seed_from_document(spark: SparkSession, database: str, path: str, target_cat
     A failed row never stops the other rows or tables.  With
     ``raise_on_failure`` the job still fails at the end when any row failed.
     """
-    run_ts = run_ts or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    run_ts = run_ts or dt.datetime.now(dt.timezone.utc)
     sections = load_config_document(spark, path)
     report: dict = {}
     failures = 0
@@ -77,7 +77,11 @@ def seed_from_document(spark: SparkSession, database: str, path: str, target_cat
             resolved, dropped = config.resolve_ids(
                 batch.drop("object_id"), lookup, {"pipeline_id": "pipeline_id", "source_object": "source_object"},
                 "object_id", out_col="object_id", order_cols=["created_at"])
-            n_dropped = dropped.count()
+            # a rule that names no object is a failed row (its key is NULL), not one whose object is unknown
+            nameless = F.col("pipeline_id").isNull() | F.col("source_object").isNull()
+            n_nameless, n_dropped = dropped.agg(F.count_if(nameless), F.count_if(~nameless)).first()
+            if n_nameless:
+                extra[seed.FAILED] = n_nameless
             if n_dropped:
                 log.warning("%d rule rows dropped: no source object for their pipeline/source_object", n_dropped)
                 extra[seed.DROPPED] = n_dropped
@@ -87,7 +91,8 @@ def seed_from_document(spark: SparkSession, database: str, path: str, target_cat
         except Exception as e:
             log.error("seeding %s failed: %s", table, str(e).splitlines()[0])
             outcome = {seed.FAILED: batch.count()}
-        outcome.update(extra)
+        for k, v in extra.items():
+            outcome[k] = outcome.get(k, 0) + v
         failures += outcome.get(seed.FAILED, 0)
         report[table] = outcome
     report["failed"] = failures

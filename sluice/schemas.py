@@ -125,16 +125,9 @@ TIMESTAMP_COLUMNS = {
 SEED_ORDER = ["source_object_config", "pipeline_config", "metadata_column_config",
               "connection_config", "dq_rule_config"]
 
-CONFIG_TABLES = SEED_ORDER
-RUNTIME_TABLES = ["watermark_control", "job_run_audit", "job_run_error", "ingestion_metrics",
-                  "object_schema_registry", "schema_drift_log", "dq_check_results"]
 
 # Closed vocabularies.
 ERROR_TYPES = ["JDBC_ERROR", "SCHEMA_MISMATCH", "MERGE_ERROR", "VALIDATION_ERROR", "DQ_ERROR", "UNKNOWN"]
-DRIFT_TYPES = ["NEW_COLUMN", "DROPPED_COLUMN", "TYPE_CHANGE", "NULLABLE_CHANGE"]
-RULE_TYPES = ["NOT_NULL", "UNIQUE", "ROW_COUNT", "VALUE_RANGE", "RANGE", "REGEX", "REFERENTIAL"]
-LOAD_TYPES = ["full_load", "hash_incremental"]
-RUN_STATUSES = ["RUNNING", "SUCCESS", "FAILED", "PARTIAL"]
 
 
 def _parse(ddl: str) -> T.StructType:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -25,12 +24,10 @@ def get_spark(master: str | None = None, app: str = "sluice",
               conf: dict[str, str] | None = None) -> SparkSession:
     """Build (or fetch) a session with sluice defaults.
 
-    ``master`` defaults to ``local[$SLUICE_CPUS]`` (8) for tests and benches;
-    on a cluster pass ``None`` and let ``spark-submit`` decide.
+    A master set here would override the one a job was submitted with, so none is set unless the caller
+    names it (tests, benches and tools do).
     """
     builder = SparkSession.builder.appName(app)
-    if master is None and "SPARK_MASTER" not in os.environ:
-        master = f"local[{os.environ.get('SLUICE_CPUS', '8')}]"
     if master:
         builder = builder.master(master)
         if master.startswith("local"):

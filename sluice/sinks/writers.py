@@ -39,28 +39,42 @@ def conform(df: DataFrame, schema, required: Sequence[str] = ()) -> DataFrame:
     return df.select(*cols)
 
 
+def by_name(df: DataFrame, table: str) -> DataFrame:
+    """``df`` in the order and types of an existing table, which first gets the columns it does not have yet."""
+    spark = df.sparkSession
+    have = {f.name.lower() for f in spark.table(table).schema.fields}
+    new = [f for f in df.schema.fields if f.name.lower() not in have]
+    if new:
+        spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in new)})")
+        spark.catalog.refreshTable(table)
+    return conform(df, spark.table(table).schema)
+
+
 def write_table(df: DataFrame, table: str, mode: str = "append", partition_cols: Sequence[str] = (),
                 rebalance: bool = True, bucket_cols: Sequence[str] = (), buckets: int | None = None) -> None:
-    """Write to a catalog table: insert when it exists, create otherwise.
+    """Write to a catalog table: insert by column name when it exists, create otherwise.
 
     ``REBALANCE`` lets AQE size the output files (fewer, fuller files instead
-    of one per shuffle partition); partitioned overwrites replace only the
-    partitions written (dynamic partition overwrite).
+    of one per shuffle partition).  An overwrite of a partitioned table replaces the
+    partitions written.
 
     ``bucket_cols``/``buckets`` create the table bucketed by its primary key.
     A merge then joins the stored target without shuffling it: only the
-    incoming batch moves, not the whole target.  Bucketed output is
-    not rebalanced, since the buckets already fix the file layout.
+    incoming batch moves, not the whole target.  A first bucketed write deals the rows by the same
+    hash, so each bucket is one file of one task.
     """
     spark = df.sparkSession
     exists = spark.catalog.tableExists(table)
     bucketed = bool(bucket_cols and buckets) or (exists and _is_bucketed(spark, table))
-    if bucketed or not rebalance:
+    if exists:
+        df = by_name(df, table)
+    if bucketed and not exists:
+        out = df.repartition(int(buckets), *bucket_cols)
+    elif bucketed or not rebalance:
         out = df
     else:
         out = df.hint("rebalance", *partition_cols) if partition_cols else df.hint("rebalance")
     if exists:
-        # partitioned tables: replace only the partitions present in ``df``
         out.write.option("partitionOverwriteMode", "dynamic").insertInto(table, overwrite=(mode == "overwrite"))
     else:
         w = out.write.mode(mode).format("parquet")
@@ -99,25 +113,63 @@ def insert_columns(df: DataFrame, database: str, table: str) -> None:
     conform(df, stored, required).write.insertInto(name)
 
 
-def overwrite_via_staging(df: DataFrame, target: str, staging: str,
-                          partition_cols: Sequence[str] = (), bucket_cols: Sequence[str] = (),
-                          buckets: int | None = None) -> None:
+_COMPLETE = "sluice.complete"
+
+
+def overwrite_via_staging(df: DataFrame, target: str, staging: str, partition_cols: Sequence[str] = (),
+                          bucket_cols: Sequence[str] = (), buckets: int | None = None, dynamic: bool = False,
+                          touched: DataFrame | None = None) -> None:
     """Replace ``target`` with ``df`` when ``df`` reads ``target`` itself (a merge).
 
     Spark refuses to overwrite a table it is reading, and a Parquet target
     has no MERGE.  So the result goes to ``staging`` first, then staging
-    overwrites the target.  If a crash comes between the two steps the
-    staging copy is complete, and a rerun finishes from it.
+    overwrites the target: all of it, or with ``dynamic`` the partitions in ``touched`` (default: those that ``df``
+    has rows in).  A touched partition that is left without rows is dropped.
+
+    Staging is marked when it is complete.  If a crash comes after that, ``recover`` finishes from it; if one
+    comes before, the target is untouched and a rerun starts over.
     """
     spark: SparkSession = df.sparkSession
-    spark.sql(f"DROP TABLE IF EXISTS {staging}")  # staging always takes the shape of this result
-    write_table(df, staging, mode="overwrite", partition_cols=partition_cols, bucket_cols=bucket_cols,
-                buckets=buckets)
-    write_table(spark.table(staging), target, mode="overwrite", partition_cols=partition_cols,
-                bucket_cols=bucket_cols, buckets=buckets)
+    parts = f"{staging}__parts"
+    for t in (staging, parts):
+        spark.sql(f"DROP TABLE IF EXISTS {t}")
+    write_table(df, staging, mode="overwrite", partition_cols=partition_cols, bucket_cols=bucket_cols, buckets=buckets)
+    if dynamic and touched is not None:
+        touched.select(*partition_cols).distinct().write.format("parquet").saveAsTable(parts)
+    spark.sql(f"ALTER TABLE {staging} SET TBLPROPERTIES ('{_COMPLETE}' = '{'partitions' if dynamic else 'table'}')")
+    _finish_staging(spark, target, staging)
+
+
+def _finish_staging(spark: SparkSession, target: str, staging: str) -> None:
+    how = {r.key: r.value for r in spark.sql(f"SHOW TBLPROPERTIES {staging}").collect()}[_COMPLETE]
+    columns = _partition_columns(spark, target)
+    write_table(spark.table(staging), target, mode="overwrite", partition_cols=columns)
+    touched = spark.table(f"{staging}__parts") if spark.catalog.tableExists(f"{staging}__parts") else None
+    if columns and how == "table":
+        touched = spark.table(target).select(*columns).distinct()
+    if touched is not None:
+        left, right = touched, spark.table(staging).select(*columns).distinct()
+        same = None
+        for c in columns:
+            term = left[c].eqNullSafe(right[c])
+            same = term if same is None else same & term
+        for row in left.join(right, same, "left_anti").collect():  # emptied partitions: catalog entries, not data
+            spec = ", ".join(f"`{c}` = " + ("null" if row[c] is None else "'" + str(row[c]).replace("'", "\\'") + "'") for c in columns)
+            spark.sql(f"ALTER TABLE {target} DROP IF EXISTS PARTITION ({spec})")
+    for t in (staging, f"{staging}__parts"):
+        spark.sql(f"DROP TABLE IF EXISTS {t}")
     spark.catalog.refreshTable(target)
 
 
+def recover(spark: SparkSession, target: str, staging: str) -> None:
+    """Finish what a crashed write left: a target that was moved aside comes back, a complete staging copy is applied."""
+    if not spark.catalog.tableExists(target) and spark.catalog.tableExists(f"{target}__prev"):
+        spark.sql(f"ALTER TABLE {target}__prev RENAME TO {target.split('.')[-1]}")
+    if spark.catalog.tableExists(staging) and spark.catalog.tableExists(target):
+        if any(r.key == _COMPLETE for r in spark.sql(f"SHOW TBLPROPERTIES {staging}").collect()):
+            _finish_staging(spark, target, staging)
+
+
 def table_location(spark: SparkSession, table: str) -> str:
     rows = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").filter("col_name = 'Location'").collect()
     return rows[0].data_type
@@ -152,9 +204,10 @@ def replace_table(df: DataFrame, target: str, staging: str, bucket_cols: Sequenc
 
     A changed schema (new column, widened type) must reach the catalog too:
     the new version is then created as ``<target>__next`` in the target's
-    database and renamed over the target.  A partitioned target with an
-    unchanged schema keeps the staged copy with dynamic partition overwrite
-    (its partitions are catalogued one by one).
+    database, the target is renamed to ``<target>__prev`` and the new version to the target, and only then is
+    the old one dropped; ``recover`` puts it back if a crash comes between the two renames.  A partitioned
+    target with an unchanged schema takes the staged copy (its partitions are catalogued one by one); the
+    whole table is replaced, partitions without new rows included.
     """
     import uuid
     spark: SparkSession = df.sparkSession
@@ -164,7 +217,7 @@ def replace_table(df: DataFrame, target: str, staging: str, bucket_cols: Sequenc
     parts = _partition_columns(spark, target)
     evolved = schema_changed(df, target)
     if parts and not evolved:
-        overwrite_via_staging(df, target, staging, partition_cols=parts, bucket_cols=bucket_cols, buckets=buckets)
+        overwrite_via_staging(df, target, staging, partition_cols=parts)
         return
     old = table_location(spark, target)
     parent, name = old.rstrip("/").rsplit("/", 1)
@@ -186,8 +239,12 @@ def replace_table(df: DataFrame, target: str, staging: str, bucket_cols: Sequenc
         w = w.bucketBy(int(buckets), *bucket_cols)
     w.saveAsTable(staging)
     if evolved:
-        spark.sql(f"DROP TABLE {target}")
+        aside = f"{target}__prev"
+        spark.sql(f"DROP TABLE IF EXISTS {aside}")
+        spark.sql(f"ALTER TABLE {target} RENAME TO {aside.split('.')[-1]}")
         spark.sql(f"ALTER TABLE {staging} RENAME TO {target.split('.')[-1]}")
+        old = table_location(spark, aside)
+        spark.sql(f"DROP TABLE {aside}")
     else:
         spark.sql(f"ALTER TABLE {target} SET LOCATION '{new}'")
         spark.sql(f"DROP TABLE {staging}")  # external: the folder stays, now the target's

@@ -26,14 +26,14 @@ def load_config_document(spark: SparkSession, path: str) -> dict[str, DataFrame]
     """
     doc = spark.read.option("multiLine", "true").json(path)
     if "_corrupt_record" in doc.columns:
-        raise ConfigDocumentError(f"invalid JSON in config document {path}")
+        raise ConfigDocumentError(f"{path} cannot be parsed as JSON")
     fields = {f.name: f.dataType for f in doc.schema.fields}
     missing = sorted(set(NATURAL_KEYS) - set(fields))
     if missing:
-        raise ConfigDocumentError(f"config document missing table sections: {', '.join(missing)}")
+        raise ConfigDocumentError(f"{path} has no section for: {', '.join(missing)}")
     for name, dtype in fields.items():
         if not isinstance(dtype, T.ArrayType):
-            raise ConfigDocumentError(f"config document section '{name}' must be a JSON array")
+            raise ConfigDocumentError(f"{path}: the rows of {name} are not given as a list")
     out = {}
     for table in NATURAL_KEYS:
         elem = fields[table].elementType
@@ -56,4 +56,4 @@ def load_fixture(spark: SparkSession, path: str) -> DataFrame:
         return spark.read.option("multiLine", "true").json(path)
     if suffix == ".csv":
         return spark.read.option("header", "true").csv(path)
-    raise ValueError(f"Unsupported fixture type for: {os.path.basename(path)}")
+    raise ValueError(f"{suffix or 'no suffix'}: fixtures are .json or .csv files")

@@ -90,7 +90,7 @@ def compare(spark, name: str, sf_dir: str, con=None) -> dict:
 def main(argv):
     from sluice.session import get_spark
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
-    spark = get_spark(shuffle_partitions=8)
+    spark = get_spark(master="local[8]", shuffle_partitions=8)
     import __spark_entry__ as entry
     names = argv[2:] or sorted(entry.queries())
     con = duck(sf_dir)

@@ -48,15 +48,14 @@ def test_override_by_inactive_row_suppresses_default(spark):
     assert got == {("p1", "extra"), ("p2", "ts")}
 
 
-def test_override_salted_path_same_result(spark, monkeypatch):
+def test_override_of_inherited_defaults(spark):
     cfg = spark.createDataFrame(
         [("default", f"c{i}", "all", i, True) for i in range(5)] + [("p1", "c1", "all", 9, True)],
         "pipeline_id string, column_name string, applies_to string, column_order int, active_flag boolean")
     pipes = spark.createDataFrame([("p1",), ("p2",)], "pipeline_id string")
-    inline = sorted(map(tuple, config.effective_metadata(cfg, pipes).collect()))
-    monkeypatch.setattr(config, "_INLINE_DEFAULTS_MAX", 1)
-    salted = sorted(map(tuple, config.effective_metadata(cfg, pipes).collect()))
-    assert inline == salted and len(inline) == 10
+    got = {(r.pipeline_id, r.column_name): r.column_order for r in config.effective_metadata(cfg, pipes).collect()}
+    assert got == {**{(p, f"c{i}"): i for p in ("p1", "p2") for i in range(5)}, ("p1", "c1"): 9}
+    assert config.effective_metadata(cfg.where("pipeline_id = 'p1'"), pipes).count() == 1  # no defaults at all
 
 
 def test_settings_pivot_try_cast(spark):
@@ -122,7 +121,7 @@ def test_sequence_matches_row_number_on_hot_group(spark):
     assert spread > 1
 
 
-def test_resolve_ids_large_lookup_path_same_result(spark, monkeypatch):
+def test_resolve_ids_same_result_broadcast_or_shuffled(spark):
     rows = spark.createDataFrame([("p", "a", 1), ("p", "b", 2), ("p", None, 3), ("q", "a", 4)] +
                                  [("p", "a", 10 + i) for i in range(30)],
                                  "pipeline_id string, source_object string, n int")
@@ -135,8 +134,9 @@ def test_resolve_ids_large_lookup_path_same_result(spark, monkeypatch):
         res, dropped = config.resolve_ids(rows, lookup, on, "object_id", order_cols=["created_at"])
         return sorted(map(tuple, res.select("n", "object_id").collect())), sorted(r.n for r in dropped.collect())
     small = run()
-    monkeypatch.setattr(config, "CONFIG_BROADCAST_MAX_ROWS", 1)
-    from sluice.functions import joins
-    monkeypatch.setattr(joins, "HOT_KEY_ROWS", 5)
-    assert run() == small
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert run() == small
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert small[1] == [2, 3]

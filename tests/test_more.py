@@ -89,11 +89,13 @@ def test_stream_front_end_merges_files(spark, db, tmp_path):
                      ["o_orderkey"], str(tmp_path / "ckpt"))
     q.awaitTermination(120)
     assert spark.table(f"{db}.orders").count() == orders.filter("o_orderkey % 2 = 0").count()
-    orders.write.parquet(str(inbox / "b2"))
+    newer = orders.withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    orders.unionByName(newer).write.parquet(str(inbox / "b2"))  # two versions of every key
     q = merge_stream(spark, str(inbox / "*"), orders.schema, f"{db}.orders", f"{db}.orders_stg",
-                     ["o_orderkey"], str(tmp_path / "ckpt"))
+                     ["o_orderkey"], str(tmp_path / "ckpt"), order_cols=["o_totalprice"])
     q.awaitTermination(120)
-    assert spark.table(f"{db}.orders").count() == orders.count()
+    got = spark.table(f"{db}.orders")
+    assert got.count() == orders.count() and got.select(orders.columns).exceptAll(newer).count() == 0
 
 
 def test_watermark_run_narrows_second_extract(spark, db):
@@ -222,10 +224,10 @@ def test_command_line(spark, tmp_path, capsys):
 
 
 def test_touched_partitions_fixed_values_reads_batch_only(spark):
-    from sluice.plans.ingestion_run import touched_partitions
+    from sluice.plans.ingestion_run import in_partitions, touched_partitions
     tgt = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, p string")
     batch = spark.createDataFrame([(2, "c")], "k int, p string")  # key 2 moved from b to c
-    moved = tgt.filter(touched_partitions(batch, tgt, ["k"], ["p"]))
+    moved = in_partitions(tgt, touched_partitions(batch, tgt, ["k"], ["p"]), ["p"])
     assert sorted(r.p for r in moved.collect()) == ["b", "c"]
-    fixed = tgt.filter(touched_partitions(batch, tgt, ["k"], ["p"], values_fixed=True))
+    fixed = in_partitions(tgt, touched_partitions(batch, tgt, ["k"], ["p"], values_fixed=True), ["p"])
     assert [r.p for r in fixed.collect()] == ["c"]

@@ -59,7 +59,7 @@ def test_run_rerun_and_halt(spark, db):
     states = {r.run_id: r.status for r in cp.run_states().collect()}
     assert states[r1["run_id"]] == "SUCCESS" and states[r2["run_id"]] == "SUCCESS"
     assert spark.table(f"{db}.ingestion_metrics").filter("status = 'SUCCESS'").count() == 2
-    assert spark.table(f"{db}.object_schema_registry").filter("active_flag").count() == 6
+    assert cp.registry().filter("active_flag").count() == 6
     assert spark.table(f"{db}.dq_check_results").count() == 10
 
     # drift: a new column EVOLVES; a NULL key is rejected by an ERROR rule -> run halts

@@ -87,9 +87,9 @@ def main(sf_dir: str = "/root/testdata/sf0.1", out: str = os.path.join(ROOT, "SK
         "resolve_ids (lookup join)": lambda: config.resolve_ids(rows, supplier, {"l_suppkey": "s_suppkey"},
                                                                 "s_suppkey")[0],
         "quarantine UNIQUE join-back": lambda: dq.quarantine(
-            rows, [dq.Rule("u", "UNIQUE", column_name="l_suppkey")], hot_rows=HOT)[1],
+            rows, [dq.Rule("u", "UNIQUE", column_name="l_suppkey")])[1],
         "quarantine UNIQUE join-back, broadcast off (shuffle join)": lambda: dq.quarantine(
-            rows, [dq.Rule("u", "UNIQUE", column_name="l_suppkey")], hot_rows=HOT)[1],
+            rows, [dq.Rule("u", "UNIQUE", column_name="l_suppkey")])[1],
         "next_watermarks (per-object max)": lambda: rows.groupBy("l_suppkey").agg(
             F.max("l_shipdate").alias("w"), F.max_by("l_orderkey", "l_shipdate").alias("r")),
     }
@@ -120,12 +120,9 @@ def main(sf_dir: str = "/root/testdata/sf0.1", out: str = os.path.join(ROOT, "SK
               "small part of it:", "",
               "- partial aggregation sends one row per task and key across the shuffle;",
               "- the sort-based numbering splits the hot group over range partitions;",
-              "- the lookup join broadcasts the size-checked supplier table, so its hot key is never shuffled;",
-              "- the UNIQUE join-back (`functions.joins.join_per_key`) serves keys above a row threshold (here "
-              f"{HOT:,}, scaled like the partitions; default 1,000,000) from a broadcast table and shuffles only "
-              "the other keys.  A plain shuffle join with broadcasting off is not split by AQE here (the count side "
-              "is an aggregate, not a plain shuffle stage), so the hot path is handled explicitly.  With broadcasting "
-              "off, the largest task above holds rows of cold keys only: one coalesced partition, no hot-key row.",
+              "- lookups and join-backs (`functions.joins.join_per_key`) use a NULL-safe join, whose two sides are both "
+              "shuffled for it, so adaptive execution broadcasts the per-key side if it is small and else splits the "
+              "hot key's partition.",
               ""]
     with open(out, "w") as f:
         f.write("\n".join(lines))
