@@ -15,7 +15,7 @@ from sluice.llm.line_dedup import line_dedup
 from sluice.llm.ngram_join import ngram_components
 from sluice.llm.packing import pack_documents
 from sluice.llm.pu_quality import with_score
-from sluice.llm.scratch import Scratch
+from sluice.llm.scratch import Scratch, fresh
 from sluice.llm.source_mix import draw
 
 KEEP_SCORE = 0.7
@@ -35,8 +35,9 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without blocks of lines that an earlier document has.  A document that loses all its words goes."""
-    had, out = F.col("text").rlike(r"[^\x20\x09-\x0D]"), line_dedup(docs.withColumn("__had", F.col("text").rlike(r"[^\x20\x09-\x0D]")))
-    return out.where(~F.coalesce("__had", F.lit(False)) | had).drop("__had")
+    words, had = F.col("text").rlike(r"[^\x20\x09-\x0D]"), fresh("had_words", docs)
+    out = line_dedup(docs.withColumn(had, F.coalesce(words, F.lit(False))))
+    return out.where(~F.col(had) | words).drop(had)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

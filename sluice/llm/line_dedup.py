@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.arrays import binary, lists
-from sluice.llm.scratch import Scratch
+from sluice.llm.scratch import Scratch, fresh
 
 RARE = 6
 #: A line of fewer words tells nothing about an overlap; it is still deleted inside an aligned block.
@@ -162,10 +162,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A block goes if it is aligned with a block of a document with a smaller id; blocks are judged on the input.  Null texts stay
     null, rows without id and empty texts stay as they are, and repeated rows under one id are treated alike.  Lines are joined by "\\n" again.
     """
-    masks = line_masks(docs, id_col, text_col, rare, least).select(
-        F.col("id").alias("__id"), F.col("d1").alias("__d1"), F.col("keep").alias("__keep"))
+    own, digest, keep = (fresh(c, docs) for c in ("id", "d1", "keep"))
+    masks = line_masks(docs, id_col, text_col, rare, least).select(F.col("id").alias(own), F.col("d1").alias(digest), F.col("keep").alias(keep))
     text = F.col(text_col)
-    joined = docs.join(masks, (docs[id_col].cast("long") == F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__d1")), "left")
-    stays = F.filter(F.split(text, "\n", -1), lambda line, i: F.get("__keep", i))
+    joined = docs.join(masks, (F.col(id_col).cast("long") == F.col(own)) & (F.xxhash64(text) == F.col(digest)), "left")
+    stays = F.filter(F.split(text, "\n", -1), lambda line, i: F.get(keep, i))
     return joined.select(*[
-        F.when(F.col("__keep").isNull(), text).otherwise(F.array_join(stays, "\n")).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+        F.when(F.col(keep).isNull(), text).otherwise(F.array_join(stays, "\n")).alias(c) if c == text_col else F.col(c) for c in docs.columns])

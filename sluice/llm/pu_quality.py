@@ -126,9 +126,7 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     above_p = 1 - np.searchsorted(p, at, side="left") / len(p)
     above_u = 1 - np.searchsorted(u, at, side="left") / len(u)
     margin = np.sqrt(np.log(20) / (2 * len(p))) + np.sqrt(np.log(20) / (2 * len(u)))
-    ok = above_p > 8 * margin
-    if not ok.any():
-        return 0.5
+    ok = above_p >= min(8 * margin, 0.5)
     best = np.argmin(((above_u + margin) / above_p)[ok])
     return float(np.clip(above_u[ok][best] / above_p[ok][best], 0.05, 0.98))
 
@@ -141,7 +139,7 @@ def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return class_prior(rest_p @ w, rest_u @ w)
 
 
-def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
+def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, rate: float = 0.05, decay: float = 1e-2) -> np.ndarray:
     """Weights that minimise the non-negative unbiased risk with the sigmoid loss (Adam, whole batches)."""
     a, b = np.c_[positive, np.ones(len(positive))], np.c_[unlabelled, np.ones(len(unlabelled))]
     w = np.zeros(a.shape[1])

@@ -25,6 +25,14 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name like ``name`` that none of the frames has."""
+    used = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
 class Scratch:
     """One run's tables, each written once and read back."""
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.labelled import chance, sample, trained
-from sluice.llm.scratch import Scratch
+from sluice.llm.scratch import Scratch, fresh
 
 #: Token shares of the domains.
 TARGETS = {"clean": 0.90, "toxic": 0.07, "junk": 0.03}
@@ -142,7 +142,8 @@ def draw(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS
     Rows without id are mixed as one more id; rows that share an id are drawn alike, by the mean of their rates.
     """
     rates = mixing_rates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, targets)
-    copies = rates.groupBy(F.col("doc_id").alias("__id")).agg(
-        F.floor(F.avg("rate") + chance(F.coalesce("doc_id", F.lit(-1)), 31)).cast("int").alias("__copies"))
-    drawn = docs.join(copies, docs["doc_id"].cast("long").eqNullSafe(F.col("__id"))).where("__copies > 0")
-    return drawn.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+    own, times = fresh("id", docs), fresh("copies", docs)
+    copies = rates.groupBy(F.col("doc_id").alias(own)).agg(
+        F.floor(F.avg("rate") + chance(F.coalesce("doc_id", F.lit(-1)), 31)).cast("int").alias(times))
+    drawn = docs.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col(own))).where(F.col(times) > 0)
+    return drawn.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(fresh("copy", docs))).select(docs.columns)

@@ -125,7 +125,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, label:
     in_toxic, in_plain = (F.sum((F.col("label") == k).cast("int")) for k in (1, 0))
     lift = F.log((F.col("a") + 0.5) / (total[1] + 1) / ((F.col("b") + 0.5) / (total[0] + 1)))
     per_word = texts.select("label", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(in_toxic.alias("a"), in_plain.alias("b"))
-    apart = per_word.where((F.col("a") >= max(2, SHARE * total[1])) & (lift > LIFT)).orderBy((F.col("a") * lift).desc(), "word").limit(VOCABULARY)
+    apart = per_word.where((F.col("a") >= max(4, SHARE * total[1])) & (lift > LIFT)).orderBy((F.col("a") * lift).desc(), "word").limit(VOCABULARY)
     apart = [r["word"] for r in apart.select("word").collect()]
     marked = texts.where("label = 1").select(F.array_join(F.filter("words", lambda w: w.isin(apart) if apart else F.lit(False)), " ").alias("s"))
     toxic_samples = sorted(f" {r['s']} ".encode() for r in marked.where("s != ''").toLocalIterator())
