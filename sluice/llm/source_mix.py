@@ -1,7 +1,7 @@
 """Mixing sources to target weights with soft domain membership.
 
 The labelled table names a domain for some documents (toxic, junk or clean).  A naive Bayes
-classifier over the presence of words and over the shape of the text learns from a sample of them and gives every document
+classifier over the words that speak for a domain and over the shape of the text learns from a sample of them and gives every document
 a posterior over the domains.  A document then counts for each domain with its tokens times that posterior.  Wanted are
 nonnegative rates under which the expected token shares of the domains match the targets: least squares, solved by
 projected gradient steps.  Each step is one distributed aggregate of as many sums as there are domains.
@@ -25,7 +25,7 @@ from sluice.llm.scratch import Scratch, fresh
 
 #: Token shares of the domains.
 TARGETS = {"clean": 0.90, "toxic": 0.07, "junk": 0.03}
-LABELLED, VOCABULARY, PRIOR_ROWS, STEPS, FOLD, CLOSE = 12_000, 512, 4, 24, 6, 1e-5
+LABELLED, VOCABULARY, APART, PRIOR_ROWS, STEPS, FOLD, CLOSE = 12_000, 256, 60.0, 4, 24, 6, 1e-5
 
 
 def _words(text: str) -> Column:
@@ -39,15 +39,23 @@ def _tenths(name: str, words: str, holds) -> Column:
     return F.concat(F.lit(f"={name}"), share.cast("string"))
 
 
-def _signed(texts: DataFrame, *others: str) -> DataFrame:
-    """``others``, tokens (the number of words) and signs: the distinct words of a text, and its shape as tenths of them that
-    end in a mark or are in capitals, and of words that are distinct."""
+def _read(texts: DataFrame, *others: str) -> DataFrame:
+    """``others``, tokens (the number of words), the distinct words of a text, and its shape as signs: tenths of the distinct words
+    that end in a mark or are in capitals, and of words that are distinct."""
     words = texts.select(*others, _words("text").alias("words"))
     distinct = words.select(*others, F.size("words").cast("long").alias("tokens"), F.array_distinct("words").alias("distinct"))
     marked = _tenths("marks", "distinct", lambda w: F.ascii(F.right(w, F.lit(1))) < 48)
     capital = _tenths("capitals", "distinct", lambda w: (F.lower(w) != w) & (F.upper(w) == w))
     level = F.concat(F.lit("=distinct"), F.floor(10 * F.size("distinct") / F.greatest(F.col("tokens"), F.lit(1))).cast("string"))
-    return distinct.select(*others, "tokens", F.concat("distinct", F.array(marked, capital, level)).alias("signs"))
+    return distinct.select(*others, "tokens", "distinct", F.array(marked, capital, level).alias("shape"))
+
+
+def _signs(lists: dict[str, list[str]]) -> Column:
+    """A text's shape, and for each domain how many of the words that speak for it the text holds (up to five, or more)."""
+    def held(d):
+        known = F.lit(lists[d]) if lists[d] else F.array().cast("array<string>")
+        return F.concat(F.lit(f"={d}"), F.least(F.size(F.array_intersect("distinct", known)), F.lit(5)).cast("string"))
+    return F.concat("shape", F.array(*[held(d) for d in sorted(lists)]))
 
 
 def domains_of(labels: DataFrame) -> DataFrame:
@@ -56,34 +64,44 @@ def domains_of(labels: DataFrame) -> DataFrame:
     return q.join(t, "doc_id").select("doc_id", F.when(F.col("t") == 1, "toxic").when(F.col("q") == 0, "junk").otherwise("clean").alias("domain"))
 
 
-def _classifier(docs: DataFrame, labels: DataFrame, domains: list[str], keep: Scratch) -> tuple[DataFrame, list[float]]:
-    """(sign, w: its log-odds weight under each domain) of the signs that tell domains apart best, and each domain's constant."""
-    chosen = sample(domains_of(labels).where(F.col("domain").isin(domains)), LABELLED, 23)
-    texts = keep.keep(_signed(docs.join(F.broadcast(chosen), "doc_id"), "domain"))
+def _shares(texts: DataFrame, sign: Column, domains: list[str]) -> tuple[DataFrame, list[int]]:
+    """(sign, every, p0, p1, ...): the share of all texts, and of each domain's, that hold a sign; the domains' numbers of texts.
+
+    A domain's share leans on that of all texts, as if PRIOR_ROWS more of its texts had it: a rare domain claims little.
+    """
     of = {r["domain"]: r["count"] for r in texts.groupBy("domain").count().collect()}
-    total = max(sum(of.values()), 1)
-    n = [of.get(d, 0) for d in domains]
-    held = texts.select("domain", F.explode("signs").alias("sign")).groupBy("sign").agg(
+    n, total = [of.get(d, 0) for d in domains], sum(of.values())
+    held = texts.select("domain", F.explode(sign).alias("sign")).groupBy("sign").agg(
         *[F.sum((F.col("domain") == d).cast("long")).alias(f"n{k}") for k, d in enumerate(domains)])
-    # Shares lean on the share in all domains, as if PRIOR_ROWS more texts had that: a rare domain claims little.
     every = (sum((F.col(f"n{k}") for k in range(1, len(domains))), F.col("n0")) + 0.5) / (total + 1.0)
-    share = [(F.col(f"n{k}") + PRIOR_ROWS * every) / (n[k] + PRIOR_ROWS) for k in range(len(domains))]
-    apart = sum((n[k] * F.pow(share[k] - every, 2) for k in range(len(domains))), F.lit(0.0)) / (every * (1 - every) + 1.0 / total)
-    known = held.select("sign", apart.alias("apart"), every.alias("every"), *[s.alias(f"p{k}") for k, s in enumerate(share)])
-    known = keep.keep(known.orderBy(F.col("apart").desc(), "sign").limit(VOCABULARY))
-    base = [float(np.log((n[k] + 0.5) / (total + 1))) for k in range(len(domains))]
-    # Only what a text holds counts: the words of another language are no evidence when they are missing.
-    weights = known.select("sign", F.array(*[F.log(F.col(f"p{k}") / F.col("every")) for k in range(len(domains))]).alias("w"))
-    return weights, base
+    return held.select("sign", every.alias("every"), *[
+        ((F.col(f"n{k}") + PRIOR_ROWS * every) / (n[k] + PRIOR_ROWS)).alias(f"p{k}") for k in range(len(domains))]), n
+
+
+def _classifier(docs: DataFrame, labels: DataFrame, domains: list[str], keep: Scratch):
+    """The words that speak for each domain, (sign, w: its weight under each domain), and each domain's constant.
+
+    A word speaks for a domain if it is twice as frequent there as anywhere and its shares differ more than chance
+    explains (chi-square ``APART``).  How many of them a text holds is one sign, so their number is calibrated, none included.
+    """
+    chosen = sample(domains_of(labels).where(F.col("domain").isin(domains)), LABELLED, 23)
+    texts = keep.keep(_read(docs.join(F.broadcast(chosen), "doc_id"), "domain"))
+    words, n = _shares(texts, F.col("distinct"), domains)
+    k, total = range(len(domains)), sum(n)
+    apart = sum((n[i] * F.pow(F.col(f"p{i}") - F.col("every"), 2) for i in k), F.lit(0.0)) / (F.col("every") * (1 - F.col("every")) + 1.0 / (total + 1))
+    words = keep.keep(words.withColumn("apart", apart).where(F.col("apart") > APART))
+    lists = {d: [r["sign"] for r in words.where(F.col(f"p{i}") > 2 * F.col("every")).orderBy(F.col("apart").desc(), "sign").limit(VOCABULARY).select("sign").collect()]
+             for i, d in enumerate(domains)}
+    signs, _ = _shares(texts, _signs(lists), domains)
+    base = [float(np.log((x + 0.5) / (total + 1))) for x in n]
+    return lists, keep.keep(signs.select("sign", F.array(*[F.log(F.col(f"p{i}") / F.col("every")) for i in k]).alias("w"))), base
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str], keep: Scratch) -> DataFrame:
     """(row, doc_id, tokens, p): each row's word count and its posterior over ``domains``."""
     docs = docs.select("doc_id", "text")
-    weights, base = _classifier(docs, labels, domains, keep)
-    vocabulary = [r["sign"] for r in weights.select("sign").collect()]  # VOCABULARY at most
-    known = F.array_intersect("signs", F.lit(vocabulary) if vocabulary else F.array().cast("array<string>"))
-    signs = keep.keep(_signed(docs, "doc_id").select("doc_id", "tokens", known.alias("signs"), F.monotonically_increasing_id().alias("row")))
+    lists, weights, base = _classifier(docs, labels, domains, keep)
+    signs = keep.keep(_read(docs, "doc_id").select("doc_id", "tokens", _signs(lists).alias("signs"), F.monotonically_increasing_id().alias("row")))
     k = range(len(domains))
     sums = signs.select("row", F.explode("signs").alias("sign")).join(F.broadcast(weights), "sign").groupBy("row").agg(
         *[F.sum(F.col("w")[i]).alias(f"s{i}") for i in k])
