@@ -22,7 +22,6 @@ import tempfile
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 # Hot-key threshold scaled like the partition size: 1 MB partitions here, so 10,000 rows instead of 1,000,000.
-HOT = 10_000
 sys.path.insert(0, ROOT)
 
 
@@ -65,11 +64,15 @@ def main(sf_dir: str = "/root/testdata/sf0.1", out: str = os.path.join(ROOT, "SK
         "spark.eventLog.compress": "false", "spark.eventLog.rolling.enabled": "false",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2m",
+        "spark.sql.files.maxPartitionBytes": "1m", "spark.sql.files.openCostInBytes": "512k",
         "spark.checkpoint.dir": os.path.join(scratch, "ckpt"),
         "spark.sql.warehouse.dir": os.path.join(scratch, "wh"),
     })
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     rows = li.withColumn("l_suppkey", F.when(F.col("l_orderkey") % 3 == 0, F.lit(0)).otherwise(F.col("l_suppkey")))
+    # Sixteen files, as a large table has many: adaptive execution splits a partition between the tasks that wrote it.
+    rows.repartition(16).write.parquet(os.path.join(scratch, "rows"))
+    rows = spark.read.parquet(os.path.join(scratch, "rows"))
     total = rows.count()
     hot = rows.filter("l_suppkey = 0").count()
     supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
