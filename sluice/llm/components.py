@@ -1,7 +1,7 @@
 """Connected components of a link table by alternating star steps.
 
-Every step is a partial aggregate and an equi-join.  Both sides of a join are plain scans or shuffles,
-so adaptive execution can split a node with very many links.  No neighbour list is ever built.
+Every step is a partial aggregate and a join of the links to each node's least neighbour.  The joins are NULL-safe, for which
+Spark shuffles both sides, so adaptive execution can split a node with very many links.  No neighbour list is ever built.
 """
 
 from __future__ import annotations
@@ -28,14 +28,12 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     seen = None
     for _ in range(MAX_ROUNDS):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = scratch.keep(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")))
-        large = (both.where(F.col("b") > F.col("a")).join(low, "a")
-                 .select(F.col("b").alias("a"), F.col("low").alias("b")).distinct())
-        large = scratch.keep(large)
-        low = scratch.keep(large.groupBy("a").agg(F.min("b").alias("low")))
-        joined = large.join(low, "a")
-        small = low.select("a", F.col("low").alias("b")).unionByName(
-            joined.where(F.col("b") != F.col("low")).select(F.col("b").alias("a"), F.col("low").alias("b")))
+        low = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("k"), F.least("a", "low").alias("low"))
+        large = scratch.keep(both.where(F.col("b") > F.col("a")).join(low, F.col("a").eqNullSafe(F.col("k")))
+                             .select(F.col("b").alias("a"), F.col("low").alias("b")).distinct())
+        low = large.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("k"), "low")
+        small = low.select(F.col("k").alias("a"), F.col("low").alias("b")).unionByName(
+            large.join(low, F.col("a").eqNullSafe(F.col("k"))).where(F.col("b") != F.col("low")).select(F.col("b").alias("a"), F.col("low").alias("b")))
         edges = scratch.keep(small.distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
@@ -43,3 +41,13 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(own)
         seen = now
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+
+
+def extended(labels: DataFrame, joins: DataFrame, scratch: Scratch) -> DataFrame:
+    """``labels`` (node, component) after further links (a, b) between components; a node without links is its own component.
+
+    Only the components that ``joins`` names go through the star steps again.
+    """
+    top = scratch.keep(components(joins, scratch)).select(F.col("node").alias("n"), F.col("component").alias("c"))
+    moved = labels.join(top, F.col("component") == F.col("n"), "left").select("node", F.coalesce("c", "component").alias("component"))
+    return moved.unionByName(top.join(labels, F.col("n") == F.col("node"), "left_anti").select(F.col("n").alias("node"), F.col("c").alias("component")))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.arrays import lists, mix, signed
-from sluice.llm.components import components
+from sluice.llm.components import components, extended
 from sluice.llm.scratch import Scratch
 
 HASHES, TABLES, PROBES, SEED = 3, 8, 8, 20240229
@@ -196,8 +196,7 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.95, id_col: st
     rest = member.join(keep.keep(mixed), "key").join(points.select("id", "vec"), "id")
     rest = keep.keep(rest)
     more = _tile_pairs(rest, "key", keep, ("own", "true")).groupBy("key", "t0", "t1").applyInPandas(_join_labels(threshold), "a long, b long")
-    links = keep.keep(links.unionByName(more).distinct())
-    labels = keep.keep(components(links, keep))
+    labels = keep.keep(extended(labels, keep.keep(more.distinct()), keep))
 
     family = keep.keep(points.join(labels, points["id"] == labels["node"]).select("component", "id", "copies", "vec"))
     counted = _tile_pairs(family, "component", keep, None).groupBy("component", "t0", "t1").applyInPandas(
