@@ -76,20 +76,20 @@ _TABLE_DDL = {
         updated_at TIMESTAMP NOT NULL""",
 }
 
-# What each control table holds (table comments).
+# Who writes and who reads each control table (table comments).
 TABLE_COMMENTS = {
-    "source_object_config": "One row per source object and pipeline: what to load, where, and how.",
-    "watermark_control": "High-water mark of the last successful load per object and pipeline.",
-    "pipeline_config": "Key-value settings per pipeline; values are text, typed by the reader.",
-    "job_run_audit": "Append-only run events; the latest event per run is its state.",
-    "job_run_error": "Errors per object and run, one row per attempt.",
-    "ingestion_metrics": "Row counts per object and run.",
-    "object_schema_registry": "Registered schema per object, one row per column.",
-    "schema_drift_log": "Detected schema changes and the action taken.",
-    "dq_rule_config": "Data-quality rules per object; expressions are Spark SQL.",
-    "dq_check_results": "Result of every rule per object and run.",
-    "metadata_column_config": "Metadata columns added to loaded rows; 'default' rows apply to every pipeline.",
-    "connection_config": "Connection settings per pipeline and source system; credentials by secret key.",
+    "source_object_config": "Seeded; a run loads the active rows of its pipeline by load_order.",
+    "watermark_control": "Appended after a load; extracts start from the latest row of an object.",
+    "pipeline_config": "Seeded; read as one typed row of settings a pipeline.",
+    "job_run_audit": "Appended at start and end; the first event names who ran it, the last its status.",
+    "job_run_error": "Appended by every failed attempt, with the whole message.",
+    "ingestion_metrics": "Appended once a run with the counts observed during its writes.",
+    "object_schema_registry": "Appended after a load; drift compares with the latest row of each column.",
+    "schema_drift_log": "Appended before the write that a drift halts or changes.",
+    "dq_rule_config": "Seeded; expressions become columns of the check before a write.",
+    "dq_check_results": "Appended by every check; HALTED rows stopped a write.",
+    "metadata_column_config": "Seeded; a pipeline's row replaces the default of its name.",
+    "connection_config": "Seeded; names the secrets of a JDBC source, and how to read it in parallel.",
 }
 
 # Tables partitioned by environment (the drift log has the column but is not partitioned).
