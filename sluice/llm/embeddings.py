@@ -29,6 +29,8 @@ from sluice.llm.scratch import Scratch
 HASHES, TABLES, PROBES, SEED = 3, 8, 8, 20240229
 #: Vectors on one side of a tile.
 TILE = 512
+#: Members of a bucket up to which its pairs are listed.
+FEW = 16
 _RUNNERS = 4
 
 
@@ -185,18 +187,26 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.95, id_col: st
         "id", F.col("k.keys").alias("key"), F.col("k.own").alias("own")))
     shared = keys.groupBy("key").agg(F.min(F.when(F.col("own"), F.col("id"))).alias("hub"), F.min("id").alias("lo"), F.max("id").alias("hi"))
     blocks = keep.keep(keys.join(keep.keep(shared.where("hub IS NOT NULL AND lo < hi").select("key", "hub")), "key"))
-    star = blocks.where("id != hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    star = keep.keep(blocks.where("id != hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
     va, vb = (points.select(F.col("id").alias(c), F.col("vec").alias(f"v{c}")) for c in "ab")
     links = keep.keep(star.join(va, "a").join(vb, "b").select("a", "b", "va", "vb").mapInPandas(_close(threshold), "a long, b long"))
     labels = keep.keep(components(links, keep))
 
     member = keep.keep(blocks.join(labels, blocks["id"] == labels["node"], "left").select(
         "key", "id", "own", F.coalesce("component", "id").alias("label")))
-    mixed = member.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    rest = member.join(keep.keep(mixed), "key").join(points.select("id", "vec"), "id")
-    rest = keep.keep(rest)
-    more = _tile_pairs(rest, "key", keep, ("own", "true")).groupBy("key", "t0", "t1").applyInPandas(_join_labels(threshold), "a long, b long")
-    labels = keep.keep(extended(labels, keep.keep(more.distinct()), keep))
+    mixed = member.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi")
+    rest = keep.keep(member.join(keep.keep(mixed.select("key", "size")), "key"))
+    # Buckets of a few vectors, mostly chance meetings, give their pairs; larger ones go tile against tile.
+    few = rest.where(F.col("size") <= FEW)
+    mine = few.where("own").select("key", F.col("id").alias("a"), F.col("label").alias("la"))
+    met = mine.join(few.select("key", F.col("id").alias("b"), F.col("label").alias("lb")), "key").where("la != lb")
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    close = keep.keep(met.join(va, "a").join(vb, "b").select("a", "b", "va", "vb").mapInPandas(_close(threshold), "a long, b long"))
+    name = {c: labels.select(F.col("node").alias(c), F.col("component").alias(f"l{c}")) for c in "ab"}
+    joins = close.join(name["a"], "a", "left").join(name["b"], "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    many = rest.where(F.col("size") > FEW).drop("size").join(points.select("id", "vec"), "id")
+    more = _tile_pairs(keep.keep(many), "key", keep, ("own", "true")).groupBy("key", "t0", "t1").applyInPandas(_join_labels(threshold), "a long, b long")
+    labels = keep.keep(extended(labels, keep.keep(joins.unionByName(more).distinct()), keep))
 
     family = keep.keep(points.join(labels, points["id"] == labels["node"]).select("component", "id", "copies", "vec"))
     counted = _tile_pairs(family, "component", keep, None).groupBy("component", "t0", "t1").applyInPandas(
