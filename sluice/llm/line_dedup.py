@@ -1,10 +1,17 @@
 """Line dedup by pairwise alignment.
 
-Documents overlap if they share line hashes.  A rare line (held by up to ``RARE`` documents) pairs each of its documents
-with every earlier one; a frequent line pairs each with its first holder alone, so its pairs grow with its
-documents, not with their square, and no line is left out.  The two documents of a pair are aligned by patience diff
-on their line hashes, and aligned blocks of at least ``BLOCK_WORDS`` words are deleted from the later document.  Only line
-hashes travel to the pairs; texts move once, for the deletion.
+Of two documents that share a block the later one loses it: the documents are aligned by patience diff on their line hashes,
+and aligned blocks of at least ``BLOCK_WORDS`` words are deleted.  The result is that of aligning all pairs of documents, but
+pairs grow with the documents, not with their square.  Every line of a block lies in a run, the fewest neighbouring lines from
+some line on, or up to it, that have ``BLOCK_WORDS`` words.  Each document is aligned
+
+1. with the first holder of each of its runs;
+2. where a run is still there (it is repeated, or its holder has another order), with the first holder of each shape that the
+   run has in a document: the places of its lines, all other lines being gaps;
+3. where it is still there, with all holders that share a further line with it, and, if a shape alone would align, with all of that
+   shape.  No other document can align the run: one that shares nothing else is, to this document, its shape.
+
+Only line hashes travel to the pairs; texts move once, for the deletion.
 """
 
 from __future__ import annotations
@@ -20,10 +27,9 @@ from pyspark.sql import functions as F
 from sluice.llm.arrays import binary, lists
 from sluice.llm.scratch import Scratch, fresh
 
-RARE = 6
-#: A line of fewer words tells nothing about an overlap; it is still deleted inside an aligned block.
-ANCHOR_WORDS = 3
 BLOCK_WORDS = 8
+#: Stands for other lines in a run's shape.
+GAP = -1
 
 
 def _rising(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -89,6 +95,41 @@ def common_blocks(a: list[int], b: list[int], size: list[int], least: int = BLOC
     return out
 
 
+def minimal_runs(size: list[int], least: int = BLOCK_WORDS) -> list[tuple[int, int]]:
+    """(start, stop) of the shortest runs of lines that begin or end at some line and have ``least`` words or more."""
+    out, stop, start, words, back = set(), 0, 0, 0, 0
+    for i, n in enumerate(size):
+        while stop < len(size) and words < least:
+            words += size[stop]
+            stop += 1
+        if words >= least and i < stop:
+            out.add((i, stop))
+        words -= n
+        back += n
+        while start < i and back - size[start] >= least:
+            back -= size[start]
+            start += 1
+        if back >= least:
+            out.add((start, i + 1))
+    return sorted(out)
+
+
+def shape(lines: list[int], run: list[int]) -> list[int]:
+    """``lines`` with all but those of ``run``, and blank ones beside them, put together to gaps."""
+    own = [x != 0 and x in run for x in lines]
+    for places in (range(1, len(lines)), range(len(lines) - 2, -1, -1)):
+        step = -1 if places.step > 0 else 1
+        for i in places:
+            own[i] = own[i] or (lines[i] == 0 and own[i + step])
+    out: list[int] = []
+    for x, mine in zip(lines, own, strict=True):
+        if mine:
+            out.append(x)
+        elif not out or out[-1] != GAP:
+            out.append(GAP)
+    return out
+
+
 def _lines(batches):
     """(id, d1, hashes, sizes): each line's hash without the blanks around it (a blank line's is 0), and its number of words."""
     for batch in batches:
@@ -121,49 +162,126 @@ def _aligned(least):
     return run
 
 
+def _runs(least):
+    def run(batches):
+        for batch in batches:
+            rows: list[tuple] = []
+            for i, d1, hashes, size in zip(*(batch.column(c).to_pylist() for c in ("id", "d1", "hashes", "sizes")), strict=True):
+                whole = np.array(hashes, dtype=np.int64)
+                rows += [(i, d1, xxhash.xxh3_64_intdigest(whole[p:q].tobytes()), p, q) for p, q in minimal_runs(size, least)]
+            c = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(np.array(c[2], dtype=np.uint64).view(np.int64)), pa.array(c[3], pa.int32()), pa.array(c[4], pa.int32())],
+                names=["id", "d1", "key", "start", "stop"])
+    return run
+
+
+def _open(batches):
+    """Of each run (key, start, stop) that is not all gone the places that are left."""
+    for batch in batches:
+        ids, d1s, keys, places = [], [], [], []
+        for i, d1, runs, gone in zip(*(batch.column(c).to_pylist() for c in ("id", "d1", "runs", "gone")), strict=True):
+            lost = set(gone or [])
+            for r in runs:
+                if left := [k for k in range(r["start"], r["stop"]) if k not in lost]:
+                    ids.append(i)
+                    d1s.append(d1)
+                    keys.append(r["key"])
+                    places.append(left)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(d1s, pa.int64()), pa.array(keys, pa.int64()), pa.array(places, pa.list_(pa.int32()))], names=["id", "d1", "key", "places"])
+
+
+def _shapes(batches):
+    for batch in batches:
+        found = [shape(hashes, hashes[p:q]) for hashes, p, q in zip(*(batch.column(c).to_pylist() for c in ("hashes", "start", "stop")), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("d1"), batch.column("key"), pa.array(found, pa.list_(pa.int64()))], names=["id", "d1", "key", "shape"])
+
+
+def _fitting(least):
+    """The rows whose shape alone would align some of the places."""
+    def run(batches):
+        for batch in batches:
+            fits = [not set(places).isdisjoint(common_blocks(a, b, size, least))
+                    for a, b, size, places in zip(*(batch.column(c).to_pylist() for c in ("shape", "hashes", "sizes", "places")), strict=True)]
+            yield batch.select(["id", "key", "shape"]).filter(pa.array(fits, pa.bool_()))
+    return run
+
+
 def _masks(batches):
     """(id, d1, n, gone) to (id, d1, keep): of each line whether it stays."""
     for batch in batches:
         keep = []
         for n, gone in zip(batch.column("n").to_pylist(), batch.column("gone").to_pylist(), strict=True):
             stay = np.ones(n, dtype=bool)
-            for part in gone:
-                stay[part] = False
+            stay[gone] = False
             keep.append(stay.tolist())
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("d1"), pa.array(keep, pa.list_(pa.bool_()))], names=["id", "d1", "keep"])
 
 
-def line_masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, least: int = BLOCK_WORDS) -> DataFrame:
+def line_masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = BLOCK_WORDS) -> DataFrame:
     """(id, d1, keep): of each text that loses lines which of them stay; d1 is the text's xxhash64."""
     keep = Scratch(docs.sparkSession, "lines")
     source = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("d1"), F.col(text_col).alias("text"))
     lines = source.mapInArrow(_lines, "id long, d1 long, hashes array<long>, sizes array<int>")
     lines = keep.keep(lines.dropDuplicates(["id", "d1"]))
-    anchor = lines.select("id", F.explode(F.arrays_zip("hashes", "sizes")).alias("l")).where(F.col("l.sizes") >= ANCHOR_WORDS)
-    anchor = keep.keep(anchor.select("id", F.col("l.hashes").alias("h")).distinct())
-    held = keep.keep(anchor.groupBy("h").agg(F.count("*").alias("held"), F.min("id").alias("first")).where("held > 1"))
-    mine = anchor.join(held, "h")
-    few = mine.where(F.col("held") <= rare)
-    pairs = mine.where((F.col("held") > rare) & (F.col("id") > F.col("first"))).select(F.col("first").alias("a"), F.col("id").alias("b"))
-    pairs = pairs.unionByName(few.select("h", F.col("id").alias("b")).join(few.select("h", F.col("id").alias("a")), "h").where("a < b").select("a", "b"))
-    pairs = keep.keep(pairs.distinct())
+    runs = keep.keep(lines.mapInArrow(_runs(least), "id long, d1 long, key long, start int, stop int"))
+    held = runs.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
+    mine = keep.keep(runs.join(held, "key").where("id > first"))
+
     one = lines.select(F.col("id").alias("a"), F.col("hashes").alias("ha"))
     other = lines.select(F.col("id").alias("b"), "d1", F.col("hashes").alias("hb"), F.col("sizes").alias("size"))
-    gone = pairs.join(one, "a").join(other, "b").select("b", "d1", "ha", "hb", "size").mapInArrow(_aligned(least), "id long, d1 long, gone array<int>")
-    gone = keep.keep(gone.groupBy("id", "d1").agg(F.collect_list("gone").alias("gone")))
+
+    def aligned(pairs):
+        found = pairs.join(one, "a").join(other, "b").select("b", "d1", "ha", "hb", "size").mapInArrow(_aligned(least), "id long, d1 long, gone array<int>")
+        return keep.keep(found.groupBy("id", "d1").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")))
+
+    def still_there(among, gone):
+        listed = among.groupBy("id", "d1").agg(F.collect_list(F.struct("key", "start", "stop")).alias("runs")).join(gone, ["id", "d1"], "left")
+        return keep.keep(listed.mapInArrow(_open, "id long, d1 long, key long, places array<int>"))
+
+    def both(a, b):
+        return a.unionByName(b).groupBy("id", "d1").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+
+    pairs = keep.keep(mine.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
+    gone = aligned(pairs)
+    left = still_there(mine, gone)
+    if not left.isEmpty():
+        holders = runs.join(left.select("key").distinct(), "key", "left_semi").dropDuplicates(["id", "d1", "key"])
+        shapes = keep.keep(holders.join(lines, ["id", "d1"]).mapInArrow(_shapes, "id long, d1 long, key long, shape array<long>"))
+        firsts = keep.keep(shapes.groupBy("key", "shape").agg(F.min("id").alias("a")))
+        further = left.join(firsts, "key").where("a < id").select("a", F.col("id").alias("b")).distinct()
+        further = keep.keep(further.join(pairs, ["a", "b"], "left_anti"))
+        gone = keep.keep(both(gone, aligned(further)))
+        pairs = pairs.unionByName(further)
+        left = still_there(mine.join(left.select("id", "d1", "key").distinct(), ["id", "d1", "key"], "left_semi"), gone)
+        if not left.isEmpty():
+            gone = both(gone, aligned(_last_pairs(left, lines, shapes, firsts, least).join(pairs, ["a", "b"], "left_anti")))
     sized = lines.select("id", "d1", F.size("hashes").alias("n")).join(gone, ["id", "d1"])
     return keep.keep(sized.mapInArrow(_masks, "id long, d1 long, keep array<boolean>"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, least: int = BLOCK_WORDS) -> DataFrame:
+def _last_pairs(left: DataFrame, lines: DataFrame, shapes: DataFrame, firsts: DataFrame, least: int) -> DataFrame:
+    """(a, b): the earlier holders of each run in ``left`` that share a further line, or whose shape would align it."""
+    whole = left.join(lines, ["id", "d1"])
+    held = shapes.join(left.select("key").distinct(), "key", "left_semi").join(lines, ["id", "d1"])
+    held = held.select("key", F.col("id").alias("a"), F.explode(F.array_except("hashes", F.array_append("shape", F.lit(0).cast("long")))).alias("y"))
+    mine = whole.select("key", F.col("id").alias("b"), F.explode(F.array_distinct("hashes")).alias("y")).distinct()
+    sharing = mine.join(held, ["key", "y"]).where("a < b").select("a", "b")
+    fitting = whole.join(firsts, "key").where("a < id").select("id", "key", "shape", "hashes", "sizes", "places")
+    fitting = fitting.mapInArrow(_fitting(least), "id long, key long, shape array<long>").withColumnRenamed("id", "b").distinct()
+    alike = fitting.join(shapes.select("key", "shape", F.col("id").alias("a")), ["key", "shape"]).where("a < b").select("a", "b")
+    return sharing.unionByName(alike).distinct()
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with the text's duplicate blocks deleted; other columns stay as they are.
 
     A block goes if it is aligned with a block of a document with a smaller id; blocks are judged on the input.  Null texts stay
     null, rows without id and empty texts stay as they are, and repeated rows under one id are treated alike.  Lines are joined by "\\n" again.
     """
     own, digest, keep = (fresh(c, docs) for c in ("id", "d1", "keep"))
-    masks = line_masks(docs, id_col, text_col, rare, least).select(F.col("id").alias(own), F.col("d1").alias(digest), F.col("keep").alias(keep))
+    masks = line_masks(docs, id_col, text_col, least).select(F.col("id").alias(own), F.col("d1").alias(digest), F.col("keep").alias(keep))
     text = F.col(text_col)
     joined = docs.join(masks, (F.col(id_col).cast("long") == F.col(own)) & (F.xxhash64(text) == F.col(digest)), "left")
     stays = F.filter(F.split(text, "\n", -1), lambda line, i: F.get(keep, i))
