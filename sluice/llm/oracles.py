@@ -70,4 +70,31 @@ SELECT part.page_id, host, path, rule, coalesce(v, CASE WHEN regexp_matches(host
 FROM part LEFT JOIN fit ON part.page_id = fit.page_id
 """
 
-ORACLE_SQL = {"op5_url_filter": OP5, "op1_embedding_dedup": OP1, "op3_substring_dedup": OP3, "op4_ngram_join": OP4}
+OP13 = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+  FROM documents
+), line AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece),
+total AS (SELECT lang, sum(len(w)) AS n FROM line GROUP BY lang),
+sized AS (SELECT lang, w, unnest([1, 2, 3, 4, 5]) AS k FROM line WHERE len(w) > 0),
+placed AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM sized WHERE len(w) >= k),
+found AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM placed GROUP BY ALL HAVING count(*) >= 100
+), open_one AS (
+  SELECT * FROM found s WHERE k >= 2 AND NOT EXISTS (
+    SELECT 1 FROM found t WHERE t.lang = s.lang AND t.k > s.k AND 100 * t.f >= 100 * s.f AND contains(' ' || t.phrase || ' ', ' ' || s.phrase || ' '))
+), cut AS (
+  SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS c FROM open_one
+), scored AS (
+  SELECT cut.lang, cut.phrase, a, c, l.f AS l, r.f AS r, n, (1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f) AS score
+  FROM cut JOIN total ON total.lang = cut.lang
+  JOIN found l ON l.lang = cut.lang AND l.phrase = array_to_string(w[:c], ' ')
+  JOIN found r ON r.lang = cut.lang AND r.phrase = array_to_string(w[c + 1:], ' ')
+), lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""
+
+ORACLE_SQL = {"op5_url_filter": OP5, "op1_embedding_dedup": OP1, "op3_substring_dedup": OP3, "op4_ngram_join": OP4,
+              "op13_phrase_mining": OP13}

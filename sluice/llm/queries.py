@@ -13,11 +13,14 @@ from sluice.llm.embeddings import embedding_components
 from sluice.llm.line_dedup import line_dedup
 from sluice.llm.ngram_join import ngram_components
 from sluice.llm.packing import pack_documents
+from sluice.llm.phrases import collocations
 from sluice.llm.pu_quality import quality
+from sluice.llm.secrets import scan_secrets
 from sluice.llm.source_mix import mixing_rates
 from sluice.llm.substrings import substring_dedup
 from sluice.llm.toxicity import toxicity
 from sluice.llm.url_rules import Rule, judge_urls
+from sluice.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -88,3 +91,18 @@ def op6_line_dedup(spark, sf_dir):
 @register
 def op7_source_mixing(spark, sf_dir):
     return mixing_rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("row")
+
+
+@register
+def op11_secret_scan(spark, sf_dir):
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
+@register
+def op12_embedding_whitening(spark, sf_dir):
+    return whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+@register
+def op13_phrase_mining(spark, sf_dir):
+    return collocations(_table(spark, sf_dir, "documents"))

@@ -35,9 +35,9 @@ def _docs(spark, sf=SF001):
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
-def test_all_eleven_are_registered():
+def test_all_fourteen_are_registered():
     names = set(entry.queries())
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13
     assert "pipeline" in names and entry.LLM_QUERIES["pipeline"] is corpus_pipeline.run
 
 
