@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.functions.ranking import sequence_within_groups
+from sluice.functions.cells import numbered
+from sluice.functions.joins import join_per_key
 from sluice.schemas import ERROR_TYPES, schema_of
 
 SUCCESS, FAILED, PARTIAL, RUNNING = "SUCCESS", "FAILED", "PARTIAL", "RUNNING"
@@ -46,12 +47,17 @@ def run_state(events: DataFrame, run_col: str, ts_col: str, status_col: str | No
                         F.expr("timestampdiff(SECOND, start_time, end_time)").cast("long"))
 
 
-def object_metrics(rows: DataFrame, keys: Mapping[str, str], rejected: Column) -> DataFrame:
-    """Rows read and rejected per (run, object); FAILED when any row is rejected."""
+def object_metrics(rows: DataFrame, keys: Mapping[str, str], rejected: Column, objects: DataFrame | None = None,
+                   config_cols: Sequence[str] = ("target_table", "load_type")) -> DataFrame:
+    """Rows read and rejected per (run, object); FAILED when any row is rejected.
+
+    With ``objects`` (``source_object_config``) each row also has its object's ``config_cols``, NULL for an unknown object.
+    """
     g = rows.groupBy(*[F.col(c).alias(a) for a, c in keys.items()]).agg(
         F.count(F.lit(1)).alias("rows_read"),
         F.count_if(F.coalesce(rejected, F.lit(False))).alias("rows_rejected"))
-    return g.withColumn("status", F.when(F.col("rows_rejected") == 0, F.lit(SUCCESS)).otherwise(F.lit(FAILED)))
+    g = g.withColumn("status", F.when(F.col("rows_rejected") == 0, F.lit(SUCCESS)).otherwise(F.lit(FAILED)))
+    return g if objects is None else join_per_key(g, objects.select("object_id", *config_cols), ["object_id"])
 
 
 def normalise_error_type(c: Column) -> Column:
@@ -60,13 +66,13 @@ def normalise_error_type(c: Column) -> Column:
 
 
 def error_attempts(errors: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
-                   out_col: str = "retry_attempt") -> DataFrame:
+                   out_col: str = "retry_attempt", grain: str = "MINUTE") -> DataFrame:
     """1-based attempt number of each error within its (run, object), by time.
 
-    Uses the sort-based numbering of ``sequence_within_groups``, so a
-    run/object with a huge number of errors is spread over many tasks.
+    ``order_cols`` begins with the error's time.  Errors are numbered inside cells of one ``grain`` of time, which split a
+    run/object with a huge number of errors; nothing runs or is written while the plan is built.
     """
-    return sequence_within_groups(errors, group_cols, order_cols, out_col=out_col)
+    return numbered(errors, group_cols, order_cols, F.date_trunc(grain, F.col(order_cols[0])), out_col)
 
 
 def table_counts(frames: Mapping[str, DataFrame]) -> DataFrame:

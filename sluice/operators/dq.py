@@ -5,15 +5,18 @@ Column expressions; the data is scanned by Spark:
 
 - every row-level rule (NOT_NULL, VALUE_RANGE/RANGE, REGEX, free SQL) and
   ROW_COUNT fold into **one** aggregate, so one scan serves them all;
-- UNIQUE is one ``groupBy(keys).count()`` per key set; partial aggregation
+- UNIQUE is one ``groupBy(keys).count()`` per rule; partial aggregation
   means a key held by a third of the rows still ships one row per task;
 - REFERENTIAL counts the child per value first, then joins those counts to
   the parent's distinct values.  Both sides are unique per value, so a hot
   child value is one row in the join.
+
+``rule_table`` judges the rules of all objects as rows, without a column per rule.
 """
 
 from __future__ import annotations
 
+import json
 import logging
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
@@ -102,13 +105,22 @@ def pass_predicate(rule: Rule, df: DataFrame) -> Column:
     raise ValueError(f"rule {rule.rule_id}: no expression and no default for {kind}")
 
 
-def _analyses(df: DataFrame, col: Column) -> str | None:
-    """Analyse one expression alone (no job runs); the error text or None."""
+def broken_columns(df: DataFrame, columns: Mapping[int, Column], aggregated: bool = False) -> dict[int, str]:
+    """The reasons why some of the columns are no boolean over ``df``; analysis only, no job runs.
+
+    All are analysed in one projection.  Only if that fails are the columns halved, so a few bad ones among many cost a few analyses.
+    """
+    if not columns:
+        return {}
     try:
-        dtype = df.select(col.alias("_x")).schema["_x"].dataType.simpleString()
+        named = [c.alias(f"_x{i}") for i, c in columns.items()]
+        schema = (df.agg(*named) if aggregated else df.select(*named)).schema
     except Exception as e:  # analysis errors come in several classes
-        return str(e)
-    return None if dtype == "boolean" else f"expression is {dtype}, not boolean"
+        if len(columns) == 1:
+            return {next(iter(columns)): str(e)}
+        keys, half = list(columns), len(columns) // 2
+        return {**broken_columns(df, {k: columns[k] for k in keys[:half]}, aggregated), **broken_columns(df, {k: columns[k] for k in keys[half:]}, aggregated)}
+    return {i: f"expression is {f.dataType.simpleString()}, not boolean" for i, f in zip(columns, schema.fields, strict=True) if f.dataType.simpleString() != "boolean"}
 
 
 def _unique_keys(rule: Rule) -> list[str]:
@@ -133,10 +145,15 @@ def _min_rows(rule: Rule) -> int | None:
         return None
 
 
+_META = ["rule_id", "rule_name", "rule_type", "column_name", "severity"]
+
+
+def _meta_values(rule: Rule) -> list[str | None]:
+    return [rule.rule_id, rule.name, rule.kind, rule.column_name, rule.severity.upper()]
+
+
 def _meta(rule: Rule) -> list[Column]:
-    return [F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.name).alias("rule_name"),
-            F.lit(rule.kind).alias("rule_type"), F.lit(rule.column_name).cast("string").alias("column_name"),
-            F.lit(rule.severity.upper()).alias("severity")]
+    return [F.lit(v).cast("string").alias(c) for c, v in zip(_META, _meta_values(rule), strict=True)]
 
 
 def evaluate_rules(df: DataFrame, rules: Sequence[Rule], parents: Mapping[str, DataFrame] | None = None,
@@ -147,46 +164,31 @@ def evaluate_rules(df: DataFrame, rules: Sequence[Rule], parents: Mapping[str, D
     """
     parents = parents or {}
     spark = df.sparkSession
-    structs, broken = [], []
-    aggs = [F.count(F.lit(1)).alias("_n")]
+    broken, by_row, by_table, reasons = [], {}, {}, {}
     for i, r in enumerate(rules):
-        kind = r.kind
-        if kind in ("UNIQUE", "REFERENTIAL"):
-            continue
-        if kind == "ROW_COUNT":
-            need = _min_rows(r)
-            if need is not None:
-                ok = F.count(F.lit(1)) >= F.lit(need)
-            else:
-                try:
-                    ok = F.expr(r.rule_expression)
-                    dtype = df.agg(ok.alias("_x")).schema["_x"].dataType.simpleString()  # analysis only
-                    err = None if dtype == "boolean" else f"expression is {dtype}, not boolean"
-                except Exception as e:
-                    err = str(e)
-                if err:
-                    broken.append((r, err))
-                    continue
-            aggs.append(ok.alias(f"_ok{i}"))
-            structs.append(F.struct(*_meta(r), F.col("_n").alias("rows_checked"),
-                                    F.when(F.col(f"_ok{i}"), F.col("_n")).otherwise(F.lit(0)).cast("long").alias("rows_passed"),
-                                    F.col(f"_ok{i}").alias("_ok")))
+        if r.kind in ("UNIQUE", "REFERENTIAL"):
             continue
         try:
-            pred = pass_predicate(r, df)
-            err = _analyses(df, pred)
+            if r.kind == "ROW_COUNT":
+                need = _min_rows(r)
+                by_table[i] = F.count(F.lit(1)) >= F.lit(need) if need is not None else F.expr(r.rule_expression)
+            else:
+                by_row[i] = pass_predicate(r, df)
         except Exception as e:
-            err = str(e)
-        if err:
-            broken.append((r, err))
-            continue
-        aggs.append(F.count_if(F.coalesce(pred, F.lit(False))).alias(f"_p{i}"))
-        structs.append(F.struct(*_meta(r), F.col("_n").alias("rows_checked"),
-                                F.col(f"_p{i}").alias("rows_passed"),
-                                (F.col(f"_p{i}") == F.col("_n")).alias("_ok")))
+            reasons[i] = str(e)
+    reasons |= broken_columns(df, by_row) | broken_columns(df, by_table, aggregated=True)
+    broken += [(rules[i], reason) for i, reason in sorted(reasons.items())]
+    # One aggregate and one list of rules beside it: rows that pass each rule, -1 where a rule of the whole table does not hold.
+    judged = [i for i in sorted(by_row | by_table) if i not in reasons]
+    passed = [F.count_if(by_row[i]) if i in by_row else F.when(by_table[i], F.count(F.lit(1))).otherwise(F.lit(-1)) for i in judged]
     parts = []
-    if structs:
-        parts.append(df.agg(*aggs).select(F.inline(F.array(*structs))))
+    if judged:
+        listed = json.dumps([dict(zip(_META, _meta_values(rules[i]), strict=True)) for i in judged])
+        named = F.from_json(F.lit(listed), "array<struct<" + ", ".join(f"{c}: string" for c in _META) + ">>")
+        one = df.agg(F.count(F.lit(1)).alias("_n"), F.array(*passed).alias("_p"))
+        each = one.select("_n", F.explode(F.arrays_zip(named.alias("rule"), F.col("_p").alias("passed"))).alias("_r"))
+        parts.append(each.select("_r.rule.*", F.col("_n").alias("rows_checked"), F.greatest(F.col("_r.passed"), F.lit(0)).alias("rows_passed"),
+                                 (F.col("_r.passed") == F.col("_n")).alias("_ok")))
     for r in rules:
         if r.kind not in ("UNIQUE", "REFERENTIAL"):
             continue
@@ -206,7 +208,7 @@ def evaluate_rules(df: DataFrame, rules: Sequence[Rule], parents: Mapping[str, D
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return _finish(out, failure_action)
+    return finish(out, failure_action)
 
 
 def _unique_result(df: DataFrame, r: Rule) -> DataFrame:
@@ -240,7 +242,8 @@ def _referential_result(df: DataFrame, r: Rule, parents: Mapping[str, DataFrame]
                       (F.col("rows_checked") == F.col("rows_passed")).alias("_ok"))
 
 
-def _finish(out: DataFrame, failure_action: str) -> DataFrame:
+def finish(out: DataFrame, failure_action: str, extra: Sequence[str] = ()) -> DataFrame:
+    """Status and action of each rule from its counts and ``_ok``; ``extra`` columns are passed on."""
     halt = failure_action.strip().upper() == "HALT"
     ok = F.coalesce(F.col("_ok"), F.lit(False))
     status = (F.when(ok, F.lit(PASSED)).when(F.col("severity") == "WARN", F.lit(WARNING))
@@ -253,7 +256,7 @@ def _finish(out: DataFrame, failure_action: str) -> DataFrame:
         F.col("rows_passed").cast("long").alias("rows_passed"),
         (F.col("rows_checked") - F.col("rows_passed")).cast("long").alias("rows_failed"),
         F.round(F.try_divide(F.col("rows_passed") * F.lit(100.0), F.col("rows_checked")), 4).alias("pass_rate"),
-        status.alias("status"), action.alias("action_taken"))
+        status.alias("status"), action.alias("action_taken"), *extra)
 
 
 def quarantine(df: DataFrame, rules: Sequence[Rule], parents: Mapping[str, DataFrame] | None = None,
