@@ -3,8 +3,12 @@
 Documents become word ids in shards of about ``SHARD_WORDS`` words, each with its own vocabulary; pieces of text are kept apart by breaks.
 Per shard a bidirectional FM-index enumerates the phrases of up to ``LONGEST`` words with their counts, and
 counts are summed across shards by the phrase's words, so sums are exact.  A phrase can only be frequent if all its parts are, so shards are
-indexed twice: first over the words that are frequent in the whole table, for pairs; then over the stretches whose
-neighbouring words all are frequent pairs, for longer phrases.  What does not take part is never emitted.
+indexed twice: first over the words that are frequent in the whole table, for pairs, of which only a hash and a count leave the shard;
+then over the stretches whose neighbouring words all may be frequent pairs, for all phrases.  What does not take part is never emitted, and a
+pair that only shares a hash with a frequent one falls to its exact count.
+
+Frequent words and pairs are handed to the tasks while they are few (``WORDS``, ``PAIRS``: a bound, checked by counting); beyond that each
+shard is sent those that it has.
 
 A phrase inside a longer one that is as frequent is dropped.  The phrases that an index reaches by one more word to the left or right are
 enough to tell: whatever holds a phrase any longer way is no more frequent than the step between.
@@ -15,15 +19,19 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.arrays import chunks, fold, lists
+from sluice.llm.arrays import chunks, fold, mix, signed
 from sluice.llm.fm_index import BidirectionalIndex
 from sluice.llm.scratch import Scratch
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 22
+#: Frequent words and pairs handed to every task (some 40 and 64 MB).
+WORDS, PAIRS = 2_000_000, 8_000_000
 #: Parts that each language's phrases are ranked in before the last ranking.
 PARTS = 64
 
@@ -31,8 +39,19 @@ _KIND = np.zeros(256, dtype=np.uint8)  # 1 between words, 2 between pieces
 _KIND[[0x20, 0x09]] = 1
 _KIND[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = 2
 
-SHARD = "lang array<string>, word array<string>, count array<long>, ids array<int>"
-COUNTED = "shard long, lang string, phrase string, count long, ids array<int>"
+SHARD = "lang array<string>, word array<string>, count array<long>, ids binary"
+COUNTED = "lang string, phrase string, size int, count long"
+HASHED = "shard long, pair long, count long"
+
+
+def packed(ids: np.ndarray) -> bytes:
+    """Ids below 2^32 byte by byte, all lowest bytes first, compressed: a third of their plain size."""
+    return zstandard.ZstdCompressor(level=3).compress(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
 
 
 def split_words(data: np.ndarray, starts: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -70,7 +89,7 @@ def _shards(size: int):
         cells = [pa.array(np.array(names, dtype=object)[pair // len(vocabulary)], pa.string()), vocabulary.take(pa.array(pair % len(vocabulary))).cast(pa.string()),
                  pa.array(count, pa.int64())]
         return pa.RecordBatch.from_arrays([*(pa.ListArray.from_arrays(pa.array(whole, pa.int32()), c) for c in cells),
-                                           lists(text, np.array([0, len(text)]), pa.int32())], names=["lang", "word", "count", "ids"])
+                                           pa.array([packed(text)], pa.binary())], names=["lang", "word", "count", "ids"])
 
     def run(batches):
         found, lang, new, words, names = [], [], [], 0, {}
@@ -97,23 +116,45 @@ def _shards(size: int):
     return run
 
 
-def _counted(shard: int, lang: pa.Array, word: pa.Array, many: list) -> pa.Table:
-    """The rows of the phrases of several sets of nodes."""
-    out = []
-    for nodes in many:
-        ids = nodes.words - 1
-        spelled = [word.take(pa.array(c)) for c in ids.T]
-        at = np.arange(len(nodes) + 1) * ids.shape[1]
-        out.append(pa.table({
-            "shard": pa.array(np.full(len(nodes), shard)), "lang": lang.take(pa.array(ids[:, 0])), "phrase": pc.binary_join_element_wise(*spelled, " "),
-            "count": pa.array(nodes.count), "ids": lists(nodes.words.reshape(-1), at, pa.int32())}))
-    return pa.concat_tables(out)
+class Shard:
+    """One row of the table of shards."""
 
+    def __init__(self, row: pa.Table | pa.RecordBatch):
+        def cells(name):
+            column = row.column(name)
+            return (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()
+        self.lang, self.word = cells("lang"), cells("word")
+        self.text = unpacked(row.column("ids")[0].as_py())
+        self.shard = row.column("shard")[0].as_py()
 
-def joined_stretches(text: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """``text`` without the words that stand in none of the ``pairs`` (first id << 32 | second id), cut wherever neighbours are no such pair."""
-    linked = np.zeros(len(text), dtype=bool)
-    linked[:-1] = np.isin((text[:-1] << np.int64(32)) | text[1:], pairs)
+    def hashes(self) -> np.ndarray:
+        """A hash of each id's language and word; of a break 0."""
+        found = [xxhash.xxh3_64_intdigest(f"{a} {w}") for a, w in zip(self.lang.to_pylist(), self.word.to_pylist(), strict=True)]
+        return np.array([0, *found], dtype=np.uint64)
+
+    def frequent(self, lang: pa.Array, word: pa.Array) -> np.ndarray:
+        """Of each id whether its language and word are listed; breaks are not."""
+        def joined(a, b):
+            return pc.binary_join_element_wise(a.cast(pa.large_string()), b.cast(pa.large_string()), pa.scalar(" ", pa.large_string()))
+        return np.append(False, pc.is_in(joined(self.lang, self.word), value_set=joined(lang, word)).to_numpy(zero_copy_only=False))
+
+
+def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(first * np.uint64(0x9E3779B97F4A7C15) + second)
+
+
+def _pairs(shard: Shard, frequent: np.ndarray) -> pa.RecordBatch:
+    """(shard, pair, count) of each pair of frequent words."""
+    text = np.where(frequent[shard.text], shard.text, 0)
+    text = np.append(text[(text > 0) | (np.append(1, text[:-1]) > 0)], 0)  # one break is enough
+    _, pairs = BidirectionalIndex(text, 2).phrases()
+    h = shard.hashes()
+    found = signed(pair_hash(h[pairs.words[:, 0]], h[pairs.words[:, 1]]))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), shard.shard)), pa.array(found), pa.array(pairs.count)], names=["shard", "pair", "count"])
+
+
+def joined_stretches(text: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """``text`` without the words that are linked to no neighbour (``linked``: to the next one), cut wherever neighbours are not linked."""
     stays = linked.copy()
     stays[1:] |= linked[:-1]
     kept, cut = text[stays], ~linked[stays]
@@ -122,27 +163,48 @@ def joined_stretches(text: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     return out
 
 
-def _enumerate(known: int, deepest: int):
-    """A shard and its frequent phrases of ``known`` words (1 or 2) to its phrases of more words, up to ``deepest``."""
-    def run(key, shards: pa.Table, frequent: pa.Table) -> pa.Table:
-        lang, word = (shards.column(c).combine_chunks().flatten() for c in ("lang", "word"))
-        text = shards.column("ids").combine_chunks().flatten().to_numpy().astype(np.int64)
-        ids = frequent.column("ids").combine_chunks().flatten().to_numpy().astype(np.int64).reshape(-1, known)
-        if known == 1:
-            allowed = np.zeros(len(word) + 1, dtype=bool)
-            allowed[ids[:, 0]] = True
-            text = np.where(allowed[text], text, 0)
-            text = np.append(text[(text > 0) | (np.append(1, text[:-1]) > 0)], 0)  # one break is enough
-        else:
-            text = joined_stretches(text, np.sort((ids[:, 0] << np.int64(32)) | ids[:, 1]))
-        levels = BidirectionalIndex(text, deepest).phrases()
-        many = [nodes for size, nodes in enumerate(levels, 1) if size > known]
-        return _counted(int(key[0].as_py()), lang, word, many)
+def _phrases(shard: Shard, pairs: np.ndarray, deepest: int) -> pa.RecordBatch:
+    """(lang, phrase, size, count) of the phrases of 2 to ``deepest`` words whose neighbouring words all are listed ``pairs`` (sorted hashes)."""
+    text, h = shard.text, shard.hashes()
+    linked = np.zeros(len(text), dtype=bool)
+    linked[:-1] = (text[:-1] > 0) & (text[1:] > 0)
+    at = np.flatnonzero(linked)
+    found = signed(pair_hash(h[text[at]], h[text[at + 1]]))
+    place = np.minimum(np.searchsorted(pairs, found), max(len(pairs) - 1, 0))
+    linked[at] = pairs[place] == found if len(pairs) else False
+    parts = []
+    for size, nodes in enumerate(BidirectionalIndex(joined_stretches(text, linked), deepest).phrases(), 1):
+        if size > 1:
+            ids = nodes.words - 1
+            spelled = [shard.word.take(pa.array(c)) for c in ids.T]
+            parts.append(pa.table([shard.lang.take(pa.array(ids[:, 0])), pc.binary_join_element_wise(*spelled, " "), pa.array(np.full(len(nodes), size, dtype=np.int32)),
+                                   pa.array(nodes.count)], names=["lang", "phrase", "size", "count"]))
+    return pa.concat_tables(parts)
+
+
+def _each_shard(work):
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                out = work(Shard(batch.slice(row, 1)))
+                yield from out.to_batches() if isinstance(out, pa.Table) else [out]
+    return run
+
+
+def _with_own(work):
+    """For ``applyInArrow``: a shard and the rows that it was sent."""
+    def run(key, shards: pa.Table, own: pa.Table) -> pa.Table:
+        out = work(Shard(shards), own)
+        return out if isinstance(out, pa.Table) else pa.Table.from_batches([out])
     return run
 
 
+def _sorted(pairs) -> np.ndarray:
+    return np.sort(np.asarray(pairs, dtype=np.int64))
+
+
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shard_words: int = SHARD_WORDS,
-                     lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+                     lang_col: str = "lang", text_col: str = "text", words: int = WORDS, pairs: int = PAIRS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, f) of the phrases of 1 to ``longest`` words that occur ``least`` times or more, and (lang, n), its words.
 
     A null text has no words; a null language is ``und``.  Rows are counted each by itself, repeated ones too.
@@ -150,42 +212,47 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     keep = Scratch(docs.sparkSession, "phrases")
     source = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     shards = keep.keep(source.mapInArrow(_shards(shard_words), SHARD).select(F.monotonically_increasing_id().alias("shard"), "*"))
-    counted = shards.select("shard", F.posexplode(F.arrays_zip("lang", "word", "count")).alias("id", "w")).select(
-        "shard", "w.lang", F.col("w.word").alias("phrase"), "w.count", F.array(F.col("id") + 1).alias("ids"))
+    counted = shards.select("shard", F.explode(F.arrays_zip("lang", "word", "count")).alias("w")).select("shard", "w.lang", F.col("w.word").alias("phrase"), "w.count")
     totals = keep.keep(counted.groupBy("lang").agg(F.sum("count").alias("n")))
+    ones = keep.keep(counted.groupBy("lang", "phrase").agg(F.sum("count").alias("f")).where(F.col("f") >= least))
+    found = ones.select("lang", "phrase", F.lit(1).alias("size"), "f")
+    if longest < 2:
+        return found, totals
+    if ones.count() <= words:
+        listed = ones.select("lang", "phrase").toArrow()  # no more than ``words`` rows
+        lang, word = (listed.column(c).combine_chunks() for c in ("lang", "phrase"))
+        hashed = shards.drop("count").mapInArrow(_each_shard(lambda s: _pairs(s, s.frequent(lang, word))), HASHED)
+    else:
+        own = keep.keep(counted.join(ones, ["lang", "phrase"], "left_semi").select("shard", "lang", "phrase")).groupBy("shard")
+        hashed = shards.drop("count").groupBy("shard").cogroup(own).applyInArrow(_with_own(
+            lambda s, own: _pairs(s, s.frequent(own.column("lang").combine_chunks(), own.column("phrase").combine_chunks()))), HASHED)
 
-    def frequent(rows):  # a shard has one row a phrase, so a phrase has no more rows than there are shards
-        whole = F.sum("count").over(Window.partitionBy("lang", "phrase"))
-        return keep.keep(rows.withColumn("f", whole).where(F.col("f") >= least))
-
-    def extended(found, known, deepest):
-        by = found.select("shard", "ids").groupBy("shard")
-        return shards.select("shard", "lang", "word", "ids").groupBy("shard").cogroup(by).applyInArrow(_enumerate(known, deepest), COUNTED)
+    def often(rows):
+        return rows.groupBy("pair").agg(F.sum("count").alias("f")).where(F.col("f") >= least).select("pair")
 
-    ones = frequent(counted)
-    found = ones.groupBy("lang", "phrase").agg(F.max("f").alias("f")).withColumn("size", F.lit(1))
-    if longest > 1:
-        twos = frequent(keep.keep(extended(ones, 1, 2)))
-        found = found.unionByName(twos.groupBy("lang", "phrase").agg(F.max("f").alias("f")).withColumn("size", F.lit(2)))
-    if longest > 2:
-        more = extended(twos, 2, longest).groupBy("lang", "phrase", F.size("ids").alias("size")).agg(F.sum("count").alias("f"))
-        found = found.unionByName(more.where(F.col("f") >= least))
-    return keep.keep(found.select("lang", "phrase", "size", "f")), totals
+    twos = keep.keep(often(hashed))
+    if twos.count() <= pairs:
+        listed = _sorted(twos.toArrow().column("pair"))  # no more than ``pairs`` numbers
+        more = shards.drop("count").mapInArrow(_each_shard(lambda s: _phrases(s, listed, longest)), COUNTED)
+    else:
+        own = keep.keep(hashed.join(twos, "pair", "left_semi").select("shard", "pair")).groupBy("shard")
+        more = shards.drop("count").groupBy("shard").cogroup(own).applyInArrow(_with_own(lambda s, own: _phrases(s, _sorted(own.column("pair")), longest)), COUNTED)
+    more = more.groupBy("lang", "phrase", "size").agg(F.sum("count").alias("f")).where(F.col("f") >= least)
+    return keep.keep(found.unionByName(more)), totals
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, shard_words: int = SHARD_WORDS,
-                 lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+                 lang_col: str = "lang", text_col: str = "text", words: int = WORDS, pairs: int = PAIRS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): of each language the first ``top`` phrases of 2 to ``longest`` words.
 
     ``a`` is the phrase's count, ``l`` and ``r`` those of the two parts of its lowest-scoring cut, ``n`` the language's words, and score
     floor(1000 * a * n / (l * r)), in decimals.  Phrases inside a longer one that occurs as often are left out.  Ties go to
     the greater count, then to the lesser phrase in byte order.  An empty table, or one without frequent phrases, gives no rows.
     """
-    found, totals = frequent_phrases(docs, least, longest, shard_words, lang_col, text_col)
-    words = F.split("phrase", " ", -1)
+    found, totals = frequent_phrases(docs, least, longest, shard_words, lang_col, text_col, words, pairs)
 
     def part(first, size):
-        return F.array_join(F.slice(words, first, size), " ")
+        return F.array_join(F.slice(F.split("phrase", " ", -1), first, size), " ")
 
     many = found.where("size >= 2")
     inside = many.where("size >= 3").select("lang", F.explode(F.array(part(F.lit(1), F.col("size") - 1), part(F.lit(2), F.col("size") - 1))).alias("phrase"), "f")

@@ -106,11 +106,12 @@ def mined(rows, least, longest, top):
     return rows
 
 
-@pytest.mark.parametrize("shard_words,longest,top", [(1 << 20, 5, 2000), (700, 5, 20), (300, 3, 7), (50, 2, 2000)])
-def test_phrases_against_counting(spark, shard_words, longest, top):
+@pytest.mark.parametrize("shard_words,longest,top,few", [(1 << 22, 5, 2000, 10**6), (700, 5, 20, 10**6), (300, 3, 7, 10**6), (50, 2, 2000, 10**6), (2000, 5, 2000, 0)])
+def test_phrases_against_counting(spark, shard_words, longest, top, few):
+    """``few`` of 0 sends each shard its own frequent words and pairs."""
     docs = spark.read.parquet(f"{SF001}/documents.parquet").repartition(3)
     rows = [(r["lang"], r["text"]) for r in docs.collect()]
-    got = sorted(map(tuple, collocations(docs, least=8, longest=longest, top=top, shard_words=shard_words).collect()))
+    got = sorted(map(tuple, collocations(docs, least=8, longest=longest, top=top, shard_words=shard_words, words=few, pairs=few).collect()))
     assert got == sorted(mined(rows, 8, longest, top)) and len(got) > 20
 
 
