@@ -4,13 +4,16 @@ Documents become pieces of at most ``SIZE`` tokens.  Pieces are dealt to partiti
 each is packed by best-fit decreasing, and dual feasible functions bound from below how many bins its pieces need.
 A partition that meets its bound is certified and done.  One with a gap keeps its full bins and hands the pieces of its
 other bins to the next round, where partitions with gaps exchange documents: the pieces are dealt anew, over fewer
-partitions.  Rounds end when no partition has a gap, when the bound of all pieces together is met, or when a
+partitions.  A partition that has no other to exchange with, and every one from the second round on, also tries other orders than the
+decreasing one.  Rounds go on until no partition has a gap, the bound of all pieces together is met, or a
 round saves no bin.  Only lengths travel; the tokens stay behind as a checksum.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 
 import numpy as np
@@ -23,7 +26,10 @@ from sluice.llm.scratch import Scratch
 
 SIZE = 2048
 SHARE = 10_000
-ROUNDS = 6
+#: Orders that a partition with a gap tries besides the decreasing one.
+TRIES = 12
+#: The two libraries give the same ids but for added tokens; the faster one cannot take longer runs of blanks than some 10^5.
+BLANKS = 10_000
 
 
 def lower_bound(count: np.ndarray) -> int:
@@ -48,12 +54,12 @@ def lower_bound(count: np.ndarray) -> int:
     return best
 
 
-def best_fit(sizes: np.ndarray, capacity: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best-fit decreasing: the bin of each size, its offset there, and the free room of each bin."""
+def best_fit(sizes: np.ndarray, capacity: int = SIZE, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best fit in the given order (else decreasing): the bin of each size, its offset there, and the free room of each bin."""
     open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]  # by free room
     rooms, free = 0, []  # rooms: bit r is set if a bin has room r
     bins, offsets = np.zeros(len(sizes), dtype=np.int64), np.zeros(len(sizes), dtype=np.int64)
-    for i in np.argsort(-sizes, kind="stable").tolist():
+    for i in (np.argsort(-sizes, kind="stable") if order is None else order).tolist():
         size = int(sizes[i])
         fits = rooms >> size
         if fits:
@@ -71,19 +77,34 @@ def best_fit(sizes: np.ndarray, capacity: int = SIZE) -> tuple[np.ndarray, np.nd
     return bins, offsets, np.array(free, dtype=np.int64)
 
 
-def _pack_part(capacity: int, last_round: int):
+def best_orders(sizes: np.ndarray, capacity: int, bound: int, tries: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best-fit decreasing, and while it misses the bound best fit by sizes that are stretched at random, a little more at each try."""
+    best, rng = best_fit(sizes, capacity), np.random.default_rng(seed)
+    for t in range(tries):
+        if len(best[2]) <= bound:
+            break
+        stretched = sizes * (1 + rng.uniform(-0.5, 0.5, len(sizes)) * (t + 1) / tries)
+        found = best_fit(sizes, capacity, np.argsort(-stretched, kind="stable"))
+        # Of equally many bins the ones with more full bins: fewer pieces go to the next round.
+        if (len(found[2]), -(found[2] == 0).sum()) < (len(best[2]), -(best[2] == 0).sum()):
+            best = found
+    return best
+
+
+def _pack_part(capacity: int, tries: int, seed: int):
     """A partition's pieces with bin and offset.  ``gap``: its bins over its bound; ``done``: the piece's bin stands."""
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "piece_id"])
         sizes = rows["length"].to_numpy()
-        bins, offsets, free = best_fit(sizes, capacity)
-        gap = len(free) - lower_bound(np.bincount(sizes, minlength=capacity + 1))
+        bound = lower_bound(np.bincount(sizes, minlength=capacity + 1))
+        bins, offsets, free = best_orders(sizes, capacity, bound, tries, seed)
+        gap = len(free) - bound
         return pd.DataFrame({"piece_id": rows["piece_id"].to_numpy(), "length": sizes, "part": key[0], "bin": bins, "offset": offsets,
                              "gap": gap, "done": (free[bins] == 0) | (gap == 0)})
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = SIZE, share: int = SHARE, rounds: int = ROUNDS) -> tuple[DataFrame, dict]:
+def pack(pieces: DataFrame, capacity: int = SIZE, share: int = SHARE, tries: int = TRIES) -> tuple[DataFrame, dict]:
     """(piece_id, sequence_id, offset) of each piece (piece_id unique, 0 < length <= capacity), and what certifies it:
     ``bins``, ``lower_bound`` of all pieces together, and ``rounds``, the bins after each round.
     """
@@ -95,12 +116,12 @@ def pack(pieces: DataFrame, capacity: int = SIZE, share: int = SHARE, rounds: in
     bound, settled, n = lower_bound(count), int(count[capacity]), int(count[1:capacity].sum())
     # A piece of full length is a bin of its own.
     out = [todo.where(F.col("length") == capacity).select("piece_id", F.xxhash64(F.lit(-1), "piece_id").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
-    todo, loose, kept, history = todo.where(F.col("length") < capacity), None, None, []
-    for k in range(rounds):
+    todo, loose, kept, history, k = todo.where(F.col("length") < capacity), None, None, [], 0
+    while True:
         parts = max(1, -(-n // share))
         dealt = todo.withColumn("part", F.pmod(F.xxhash64("piece_id", F.lit(k)), F.lit(parts)))
         packed = keep.keep(dealt.groupBy("part").applyInPandas(
-            _pack_part(capacity, k), "piece_id long, length long, part long, bin long, offset long, gap long, done boolean"))
+            _pack_part(capacity, tries if k or parts == 1 else 0, k), "piece_id long, length long, part long, bin long, offset long, gap long, done boolean"))
         total, closed, gaps = packed.select("part", "bin", "gap", "done").distinct().agg(
             F.count("*"), F.coalesce(F.sum(F.col("done").cast("long")), F.lit(0)), F.coalesce(F.max("gap"), F.lit(0))).first()
         place = packed.select("piece_id", F.xxhash64(F.lit(k), "part", "bin").alias("sequence_id"), "offset", "length", "done")
@@ -110,11 +131,11 @@ def pack(pieces: DataFrame, capacity: int = SIZE, share: int = SHARE, rounds: in
         if kept is not None:
             out.append(kept.where("done"))
         kept, loose = place, total - closed
-        if gaps == 0 or settled + total <= bound or parts == 1:
+        if gaps == 0 or settled + total <= bound:
             break
         settled += closed
         todo = place.where("NOT done").select("piece_id", "length")
-        n = max(1, todo.count())
+        n, k = max(1, todo.count()), k + 1
     if kept is not None:
         out.append(kept)
     placed = out[0]
@@ -123,18 +144,36 @@ def pack(pieces: DataFrame, capacity: int = SIZE, share: int = SHARE, rounds: in
     return placed, {"bins": history[-1] if history else settled, "lower_bound": bound, "rounds": history}
 
 
-def _cut(ranks_file: bytes, pattern: str, end_id: int, capacity: int):
+def encoder(tokenizer_json: str, ranks_file: bytes = b"", pattern: str = ""):
+    """Text to ids as ``tokenizers`` gives them with add_special_tokens=False.
+
+    With the ranks of the same vocabulary, texts take the faster library, but for those that hold an added token or a long run of blanks.
+    """
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_str(tokenizer_json)
+
+    def slow(text: str) -> list[int]:
+        return exact.encode(text, add_special_tokens=False).ids
+    if not ranks_file:
+        return slow
+    import tiktoken
+
+    ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ranks_file.splitlines())}
+    fast = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    added = [t["content"] for t in json.loads(tokenizer_json).get("added_tokens", [])]
+    unlike = re.compile("|".join([r"(?<!\s)\s{%d}" % BLANKS, *map(re.escape, added)]))
+    return lambda text: slow(text) if unlike.search(text) else fast(text)
+
+
+def _cut(tokenizer_json: str, ranks_file: bytes, pattern: str, end_id: int, capacity: int):
     """(doc_id, piece, start, length, ids_crc32) of the pieces of each document."""
     def run(batches):
-        import tiktoken
-
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ranks_file.splitlines())}
-        encode = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encode = encoder(tokenizer_json, ranks_file, pattern)
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                tokens = encode(text.as_py() or "")
-                tokens.append(end_id)
+                tokens = [*encode(text.as_py() or ""), end_id]
                 data, n = memoryview(np.array(tokens, dtype="<u4").tobytes()), len(tokens)
                 # Only the first piece may be shorter than the capacity.
                 start, end, piece = 0, n % capacity or min(n, capacity), 0
@@ -147,19 +186,26 @@ def _cut(ranks_file: bytes, pattern: str, end_id: int, capacity: int):
     return run
 
 
-def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, end_id: int = 0, capacity: int = SIZE,
+def pack_documents(docs: DataFrame, tokenizer_path: str, ranks_path: str = "", pattern: str = "", end_id: int = 0, capacity: int = SIZE,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of each piece of each row of ``docs``.
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset, bins, bins_at_least) of each piece of each row of ``docs``.
 
-    A document's ids are those of the byte-level BPE whose ranks file is at ``ranks_path`` (read once, on the driver; about 1 MB
-    goes to each task) and ``pattern``, and then ``end_id``.  Longer ones than ``capacity`` are cut, the first piece taking the odd length.
-    A null or empty text is the end id alone.  Repeated rows and rows without id are packed each by itself.
+    A document's ids are those that ``tokenizers`` gives by the file at ``tokenizer_path``, without adding any, and then ``end_id``.  ``ranks_path`` and
+    ``pattern`` may name the same vocabulary for tiktoken, which is faster (both files are read once, on the driver; about 2 MB go to
+    each task).  Documents longer than ``capacity`` are cut, the first piece taking the odd length.  ``bins`` is the number of
+    sequences, ``bins_at_least`` the certified lower bound.  A null or empty text is the end id alone.  Repeated rows
+    and rows without id are packed each by itself.
     """
-    with open(ranks_path, "rb") as f:
-        ranks = f.read()
+    with open(tokenizer_path, encoding="utf-8") as f:
+        tokenizer_json = f.read()
+    ranks = b""
+    if ranks_path:
+        with open(ranks_path, "rb") as f:
+            ranks = f.read()
     keep = Scratch(docs.sparkSession, "pieces")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = source.mapInArrow(_cut(ranks, pattern, end_id, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    pieces = source.mapInArrow(_cut(tokenizer_json, ranks, pattern, end_id, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
     pieces = keep.keep(pieces.withColumn("piece_id", F.monotonically_increasing_id()))
-    placed, _ = pack(pieces, capacity)
-    return pieces.join(placed, "piece_id").drop("piece_id")
+    placed, sure = pack(pieces, capacity)
+    return pieces.join(placed, "piece_id").drop("piece_id").withColumns(
+        {"bins": F.lit(sure["bins"]).cast("long"), "bins_at_least": F.lit(sure["lower_bound"]).cast("long")})

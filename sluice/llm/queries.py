@@ -69,7 +69,7 @@ def op8_chunk_fingerprints(spark, sf_dir):
 @register
 def op9_best_fit_packing(spark, sf_dir, documents: DataFrame | None = None):
     docs = _table(spark, sf_dir, "documents") if documents is None else documents
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 @register

@@ -15,11 +15,12 @@ from sluice.llm import chunk_prints, queries
 from sluice.llm.chunk_prints import compare_fingerprints
 from sluice.llm.components import components
 from sluice.llm.embeddings import embedding_components
-from sluice.llm.line_dedup import common_blocks, line_dedup
+from sluice.llm.labelled import sample, texts_of, trained
+from sluice.llm.line_dedup import line_dedup
 from sluice.llm.ngram_join import ngram_components
-from sluice.llm.packing import pack, pack_documents
-from sluice.llm.pu_quality import quality
-from sluice.llm.scratch import Scratch
+from sluice.llm.packing import encoder, pack, pack_documents
+from sluice.llm.pu_quality import fit_quality, quality
+from sluice.llm.scratch import Scratch, passing
 from sluice.llm.source_mix import TARGETS, draw, mixing_rates
 from sluice.llm.substrings import longest_repeats, substring_dedup
 from sluice.llm.toxicity import toxicity
@@ -28,7 +29,7 @@ from tests.conftest import SF001, SF01
 from tests.oracle_compare import compare, duck
 
 SF1 = "/root/testdata/sf0.1"
-RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+BPE = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def _docs(spark, sf=SF001):
@@ -98,10 +99,10 @@ def _check_packing(rows, capacity=2048):
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
     encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    encode.encode_special_tokens = True
     rows = queries.QUERIES["op9_best_fit_packing"](spark, SF001).collect()
     total = sum(r["length"] for r in rows)
     assert _check_packing(rows) <= -(-total // 2048) + 1  # 97 bins; no bound says more than 96
+    assert {(r["bins"], r["bins_at_least"]) for r in rows} == {(_check_packing(rows), -(-total // 2048))}
     pieces: dict = {}
     for r in rows:
         pieces.setdefault(r["doc_id"], []).append(r)
@@ -124,23 +125,36 @@ def test_partitions_with_gaps_exchange_documents(spark):
     assert sure["rounds"][-1] < sure["rounds"][0]
 
 
-def test_line_dedup_against_brute_force(spark):
-    rows = sorted((r["doc_id"], r["text"]) for r in _docs(spark).collect())
-    lines = {i: [x.strip(" \t\n\r\x0b\f") for x in t.split("\n")] for i, t in rows}
-    held: dict = {}
-    for i, _ in rows:
-        for x in {x for x in lines[i] if len(x.split()) >= 3}:
-            held.setdefault(x, []).append(i)
-    pairs = set()
-    for h in held.values():
-        pairs |= {(h[0], x) for x in h[1:]} if len(h) > 6 else {(a, b) for a in h for b in h if a < b}
-    gone: dict = {}
-    for a, b in pairs:
-        code = {i: [hash(x) or 1 if x else 0 for x in lines[i]] for i in (a, b)}
-        gone.setdefault(b, set()).update(common_blocks(code[a], code[b], [len(x.split()) for x in lines[b]]))
-    want = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, ())) for i, t in rows}
-    got = {r["doc_id"]: r["text"] for r in queries.QUERIES["op6_line_dedup"](spark, SF001).collect()}
-    assert got == want and want != dict(rows)
+def test_lone_partition_tries_other_orders(spark):
+    sizes = np.random.default_rng(9).integers(200, 1000, 3000).tolist()
+    placed, sure = pack(spark.createDataFrame([(i, int(s)) for i, s in enumerate(sizes)], "piece_id long, length long"))
+    assert _check_packing(placed.join(spark.createDataFrame(list(enumerate(sizes)), "piece_id long, length long"), "piece_id").collect()) == sure["bins"]
+    assert sure["lower_bound"] == 884 and sure["bins"] < 897 and sure["rounds"] == sorted(sure["rounds"], reverse=True)  # best-fit decreasing alone needs 897
+
+
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>" * 3, " " * 2_000_000, "x" + "\n" * 20_000 + " y", "\u2003" * 10_001 + "z", "<|endoftext|" + "\x1c" * 10_000])
+def test_ids_are_those_of_the_contract(text):
+    from tokenizers import Tokenizer
+    with open(BPE[0], encoding="utf-8") as f:
+        whole = f.read()
+    with open(BPE[1], "rb") as f:
+        ranks = f.read()
+    want = Tokenizer.from_file(BPE[0]).encode(text, add_special_tokens=False).ids
+    assert encoder(whole, ranks, BPE[2])(text) == want == encoder(whole)(text)
+    assert text != "a <|endoftext|> b" or want == [64, 220, 50256, 275]
+
+
+def test_both_libraries_agree_on_every_character():
+    import base64
+
+    import tiktoken
+    from tokenizers import Tokenizer
+    with open(BPE[1], "rb") as f:
+        ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
+    fast = tiktoken.Encoding("bpe", pat_str=BPE[2], mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    exact = Tokenizer.from_file(BPE[0])
+    texts = ["".join(f"a{c}{c} {c}1{c}  " for c in map(chr, range(k, k + 64)) if not 0xD800 <= ord(c) < 0xE000) for k in range(0, 0x30000, 64)]
+    assert [fast(t) for t in texts] == [e.ids for e in exact.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 # Toxic rows are rare: at sf0.01 some thirty can be learned from, too few for a dictionary; at sf0.1 a third of those of check_s.
@@ -174,6 +188,59 @@ def test_pipeline_stages_take_effect(spark):
     _check_packing(docs.collect())
 
 
+@pytest.mark.parametrize("share", ["far id", "no ids", "one id", "one row"])
+def test_fingerprint_ranges_are_even(spark, share):
+    n = 4000
+    docs = spark.range(n).select(
+        {"far id": F.when(F.col("id") == 7, F.lit(10 ** 15)).otherwise(F.col("id")), "no ids": F.when(F.col("id") % 5 > 0, F.col("id")),
+         "one id": F.when(F.col("id") % 3 > 0, F.col("id")).otherwise(F.lit(50)), "one row": F.when(F.col("id") % 3 > 0, F.col("id")).otherwise(F.lit(50))}[share].alias("doc_id"),
+        F.concat(F.lit("some text of document "), F.when((F.lit(share) != "one row") | (F.col("id") % 3 > 0), F.col("id")).otherwise(F.lit(1)).cast("string")).alias("text"))
+    texts = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["h"]), r["text"], r["doc_id"]) for r in docs.withColumn("h", F.xxhash64("text")).collect())
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = compare_fingerprints(docs).collect()
+        sizes = [r["count"] for r in chunk_prints.in_ranges(docs.select("doc_id", "text")).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+    assert len(sizes) == 8 and max(sizes) < 2 * n / 8
+    want = sorted((doc is not None, *map(str, chunk_prints.compared(doc, text, texts[(k + 1) % n][1]))) for k, (_, text, doc) in enumerate(texts))
+    assert sorted((r[0] is not None, *map(str, r)) for r in rows) == want
+
+
+def test_samples_hold_one_row_an_id(spark):
+    """20,000 rows under one id send no more than the stated sample to the driver."""
+    docs = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("a text "), F.col("id").cast("string")).alias("text"))
+    docs = docs.unionByName(spark.range(2, 40).select(F.col("id").alias("doc_id"), F.concat(F.lit("some other text "), F.col("id").cast("string")).alias("text"))).withColumn("x", F.lit(1))
+    labels = spark.range(1, 40).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("quality"), (F.col("id") % 2).alias("toxic")).crossJoin(spark.range(3).select("id"))
+    known = trained(labels, "quality")
+    chosen = sample(known, 100, 3)
+    assert texts_of(docs, chosen, "label").count() == chosen.count() == known.count() <= 39
+    assert texts_of(docs, chosen, "label").where("doc_id = 1").first()["text"] == "a text 0"
+    seen = {}
+    from sluice.llm import pu_quality
+    before, pu_quality._collected = pu_quality._collected, lambda rows: seen.setdefault("rows", rows.count()) and {}
+    try:
+        fit_quality(docs, labels)
+    finally:
+        pu_quality._collected = before
+    assert seen["rows"] <= 39 * 3
+    assert len(quality(docs, labels).select("score").distinct().collect()) >= 1
+    assert {r["score"] for r in toxicity(docs.limit(500), labels).where("doc_id = 1").collect()} != set()
+
+
+def test_passing_removes_the_tables_made_inside(spark):
+    import os
+    outer = Scratch(spark, "t")
+    kept = outer.keep(spark.range(5).toDF("a"))
+    with passing(spark):
+        inner = Scratch(spark, "t")
+        result = outer.keep(inner.keep(spark.range(3).toDF("a")))
+        with passing(spark):
+            Scratch(spark, "t").keep(kept)
+    assert not os.path.exists(inner.folder) and (kept.count(), result.count()) == (5, 3)
+
+
 # ---- awkward rows ----------------------------------------------------------------------------------
 
 CLASH = ["id", "d1", "label", "words", "n_words", "n_shingles", "component_id", "score", "predicted", "piece", "offset", "rate", "copies", "key",
@@ -245,10 +312,10 @@ def test_fingerprints_on_awkward_rows(spark):
 
 
 def test_packing_on_awkward_rows(spark):
-    rows = pack_documents(_awkward(spark), RANKS, public_tokenizers.PATTERN).collect()
+    rows = pack_documents(_awkward(spark), *BPE).collect()
     assert sum(r["piece"] == 0 for r in rows) == 11 and {r["length"] for r in rows if r["doc_id"] in (1, 2)} == {1}
     assert _check_packing(rows) >= -(-sum(r["length"] for r in rows) // 2048)
-    assert pack_documents(_awkward(spark, True), RANKS, public_tokenizers.PATTERN).collect() == []
+    assert pack_documents(_awkward(spark, True), *BPE).collect() == []
 
 
 def test_lines_on_awkward_rows(spark):
