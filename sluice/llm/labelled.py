@@ -2,7 +2,8 @@
 
 Labels are learned only from rows whose crc32(doc_id as text) mod 4 is not 2.  A sample takes the rows whose
 hashed id falls below ``size / rows`` of the hash range, so about ``size`` rows however large the table is, chosen alike at every size.
-Only sampled ids are broadcast; the documents' texts are never shuffled for it.
+Only sampled ids are broadcast, and only the sampled documents' texts travel.  Ids are sampled, not rows: of the rows under one id the
+least text stands for it, so a sample is no larger than stated however many rows share an id.
 """
 
 from __future__ import annotations
@@ -26,7 +27,13 @@ def trained(labels: DataFrame, label: str, id_col: str = "doc_id") -> DataFrame:
     return rows.groupBy(F.col(id_col).alias("doc_id")).agg((F.max(F.col(label)) > 0).cast("int").alias("label"))
 
 
-def sample(rows: DataFrame, size: int, seed: int, doc_id: str = "doc_id") -> DataFrame:
-    """About ``size`` of the rows, or all if there are fewer."""
-    n = rows.count()
-    return rows.where(chance(F.col(doc_id), seed) < size / max(n, 1))
+def sample(ids: DataFrame, size: int, seed: int, doc_id: str = "doc_id") -> DataFrame:
+    """About ``size`` of the rows (one an id), or all if there are fewer."""
+    n = ids.count()
+    return ids.where(chance(F.col(doc_id), seed) < size / max(n, 1))
+
+
+def texts_of(docs: DataFrame, chosen: DataFrame, kind: str) -> DataFrame:
+    """(doc_id, ``kind``, text) of the chosen ids, one row for each row of ``chosen``; ids that ``docs`` lacks are left out."""
+    # ``chosen`` is bounded by the sizes of its samples.
+    return docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", kind).agg(F.min("text").alias("text"))

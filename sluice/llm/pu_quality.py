@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.llm.arrays import chunks, lists, words
-from sluice.llm.labelled import held_out, sample, trained
+from sluice.llm.labelled import held_out, sample, texts_of, trained
 
 #: Rows sampled to fit: trusted positives, unlabelled texts, labelled rows for the scale.
 POSITIVES, UNLABELLED, SCALED = 12_000, 24_000, 12_000
@@ -168,9 +168,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", seed
     known = trained(labels, label)
     good = sample(known.where("label = 1").select("doc_id"), POSITIVES, seed).withColumn("kind", F.lit("positive"))
     scaled = sample(known, SCALED, seed + 1).select("doc_id", F.when(F.col("label") == 1, "scale1").otherwise("scale0").alias("kind"))
-    web = sample(docs.where("doc_id IS NOT NULL").select("doc_id"), UNLABELLED, seed + 2).withColumn("kind", F.lit("unlabelled"))
+    web = sample(docs.where("doc_id IS NOT NULL").select("doc_id").distinct(), UNLABELLED, seed + 2).withColumn("kind", F.lit("unlabelled"))
     chosen = good.unionByName(scaled).unionByName(web)  # bounded by the three sample sizes
-    got = _collected(docs.join(F.broadcast(chosen), "doc_id").select("kind", "text"))
+    got = _collected(texts_of(docs, chosen, "kind").select("kind", "text"))
     p, u = got.get("positive"), got.get("unlabelled")
     if p is None or u is None:
         return (lambda f: np.zeros(len(f))), 0.0
@@ -201,7 +201,8 @@ def with_score(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = No
     """``docs`` with a score from 0 to 1 for every row, learned from ``corpus`` (else ``docs``) and ``labels``, and the new column's
     name (``score``, with underscores in front while ``docs`` has such a column).
 
-    A null text scores as an empty one.  Rows without id are scored and never learned from; repeated rows score alike.
+    A null text scores as an empty one.  Rows without id are scored and never learned from; repeated rows score alike, and of the
+    rows under one id the least text alone is learned from.
     """
     corpus = docs if corpus is None else corpus
     score, _ = fit_quality(corpus.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, label)

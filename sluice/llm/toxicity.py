@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.arrays import binary, lists
-from sluice.llm.labelled import chance, held_out, sample, trained
+from sluice.llm.labelled import chance, held_out, sample, texts_of, trained
 from sluice.llm.pu_quality import logistic, sigmoid
 
 WINDOW = 2
@@ -108,14 +108,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, label:
 
     A null text scores as an empty one, which saves nothing.  Without toxic or without ordinary rows to learn from, every score is 0.
     Rows without id are scored and never learned from; repeated rows score alike.  Equal whole texts of one label train the
-    dictionaries once; texts that only begin or end alike all do.  Scores do not depend on the order of rows.
+    dictionaries once; texts that only begin or end alike all do.  Of the rows under one id the least text alone is learned from.  Scores do not depend on the order of rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     known = trained(labels, label).withColumn("half", chance(F.col("doc_id"), seed) < 0.5)
     chosen = sample(known.where("half AND label = 1"), TOXIC, seed + 1).unionByName(
         sample(known.where("half AND label = 0"), ORDINARY, seed + 2)).select("doc_id", "label")
     # Bounded by the sample sizes.  Equal whole texts of one label count once.
-    texts = docs.join(F.broadcast(chosen), "doc_id").select("text", "label").distinct()
+    texts = texts_of(docs, chosen, "label").select("text", "label").distinct()
     split = F.filter(F.split(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     texts = texts.select("text", "label", split.alias("words")).cache()
     total = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
@@ -136,7 +136,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, label:
     texts.unpersist()
 
     rest = sample(known.where("NOT half"), CALIBRATION, seed + 3).select("doc_id", "label")
-    rows = docs.join(F.broadcast(rest), "doc_id").select("text", "label").mapInArrow(_features(plain, toxic), "label int, f array<double>")
+    rows = texts_of(docs, rest, "label").select("text", "label").mapInArrow(_features(plain, toxic), "label int, f array<double>")
     rows = sorted((r["label"], r["f"]) for r in rows.toLocalIterator())  # sums in one order, whatever the tasks' order
     if len({y for y, _ in rows}) < 2:
         return out.select("*", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
