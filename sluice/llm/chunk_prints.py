@@ -15,15 +15,16 @@ from bisect import bisect_left
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.arrays import mix
+from sluice.llm.scratch import Scratch
 
 SHORTEST, AVERAGE, LONGEST = 32, 128, 512
 #: Zero bits that end a chunk below and above the expected length.
 STRICT, LOOSE = 9, 5
-CELLS = 4096
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -77,80 +78,84 @@ def printed(s: dict[int, int]) -> str:
     return " ".join(f"{d:016x}{n:x}" for d, n in s.items())
 
 
-def _compare(batches):
-    """Rows (bucket, tail, doc_id, text) in order: each document against its edited text and the next document."""
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    held = None
+RESULT = [("doc_id", pa.int64(), "long"), ("n_chars", pa.int64(), "long"), ("edited_sha256", pa.string(), "string"), ("fingerprint", pa.string(), "string"),
+          ("edited_fingerprint", pa.string(), "string"), ("near_edited", pa.float64(), "double"), ("near_next", pa.float64(), "double")]
+#: Which end of which range a row is (0 none, 1 first, 2 last), and that row's text.
+ENDS = [("part", pa.int32(), "int"), ("border", pa.int32(), "int"), ("text", pa.string(), "string")]
+
+
+def _schema(columns) -> str:
+    return ", ".join(f"{name} {spark}" for name, _, spark in columns)
+
+
+def _batch(rows: list[tuple], columns) -> pa.RecordBatch:
+    cells = list(zip(*rows, strict=True)) or [()] * len(columns)
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind, _) in zip(cells, columns, strict=True)], names=[name for name, _, _ in columns])
+
+
+def compared(doc: int | None, old: str, after: str, old_prints: dict | None = None, after_prints: dict | None = None) -> tuple:
+    """A document's result row, given the text of the next one."""
+    old_prints = chunk_set(old) if old_prints is None else old_prints
+    after_prints = chunk_set(after) if after_prints is None else after_prints
+    n = len(old)
+    k = n // 4
+    edited = old[:n - k] + after[:k]
+    edited_prints = chunk_set(edited)
+    return (doc, n, hashlib.sha256(edited.encode()).hexdigest(), printed(old_prints), printed(edited_prints),
+            likeness(old_prints, edited_prints), likeness(old_prints, after_prints))
+
+
+def _compare_range(batches):
+    """A range of rows in order: each document against the next one; the range's first and last row are handed on."""
+    part, held, rows = TaskContext.get().partitionId(), None, []
+    none = (None,) * len(RESULT)
     for batch in batches:
-        rows = []
-        columns = [batch.column(c) for c in ("bucket", "tail", "doc_id")]
-        for bucket, tail, doc, text in zip(*(c.to_pylist() for c in columns), batch.column("text"), strict=True):
-            if held is not None and held[0] == bucket and held[1] is None:
-                continue  # a further tail row: only the first document after the bucket counts
+        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
             text = text.as_py()
             prints = chunk_set(text)
-            if held is not None and held[0] == bucket:
-                _, (before, old, old_prints) = held
-                n = len(old)
-                k = n // 4
-                edited = old[:n - k] + text[:k]
-                edited_prints = chunk_set(edited)
-                rows.append((before, n, hashlib.sha256(edited.encode()).hexdigest(), printed(old_prints), printed(edited_prints),
-                             likeness(old_prints, edited_prints), likeness(old_prints, prints)))
-            held = (bucket, None if tail else (doc, text, prints))
+            if held is None:
+                rows.append((*none, part, 1, text))
+            else:
+                rows.append((*compared(held[0], held[1], text, held[2], prints), part, 0, None))
+            held = (doc, text, prints)
             if len(rows) >= 500:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                yield _batch(rows, RESULT + ENDS)
                 rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    if held is not None:
+        rows.append((held[0], *none[1:], part, 2, held[1]))
+        yield _batch(rows, RESULT + ENDS)
 
 
-def _in_order(docs: DataFrame) -> DataFrame | None:
-    """(bucket, tail, doc_id, text): ranges of ids as buckets, each with a copy of the first document after it as its tail.
+def _compare_borders(batches):
+    for batch in batches:
+        rows = [compared(*r) for r in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "after")), strict=True)]
+        yield _batch(rows, RESULT)
 
-    Ranges are cut from counts over ``CELLS`` even cells of the id range, so the driver sees bounded counts only.
-    """
-    spark = docs.sparkSession
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    if not n:
-        return None
-    low, high = (0, 0) if low is None else (low, high)
-    width = max((float(high) - float(low)) / CELLS, 1e-9)
-    cell = F.coalesce(F.least(F.lit(CELLS - 1), F.floor((F.col("doc_id").cast("double") - float(low)) / width)), F.lit(-1)).cast("int") + 2
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    count = np.zeros(CELLS + 2, dtype=np.int64)
-    for r in docs.groupBy(cell.alias("cell")).count().collect():
-        count[r["cell"]] = r["count"]
-    of = np.minimum((np.cumsum(count) - count) * buckets // n, buckets - 1)
-    bucket = F.element_at(F.lit(of.tolist()), cell)
-    # Rows without id come first, in a bucket of the least ids.
-    first = {r["bucket"]: r["first"] for r in docs.groupBy(bucket.alias("bucket")).agg(
-        F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("least")).select("bucket", F.col("least.doc_id").alias("first")).collect()}
-    used = sorted(first)
-    starts = [first.get(b) for b in range(buckets)]
-    before = [-1] * buckets
-    for prev, b in zip([used[-1], *used], used, strict=False):
-        before[b] = prev
-    own = docs.withColumn("bucket", bucket)
-    at = F.col("bucket") + 1
-    is_first = F.col("doc_id").eqNullSafe(F.element_at(F.lit(starts) if any(s is not None for s in starts) else F.lit(None).cast("array<long>"), at.cast("int")))
-    here = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("tail"))
-    there = F.struct(F.element_at(F.lit(before), at.cast("int")).cast("long").alias("bucket"), F.lit(True).alias("tail"))
-    return own.select(F.explode(F.when(is_first, F.array(here, there)).otherwise(F.array(here))).alias("p"), "doc_id", "text").select(
-        F.col("p.bucket").cast("long").alias("bucket"), "p.tail", "doc_id", "text")
+
+def in_ranges(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) in order, in ranges cut at quantiles; rows that are alike may part anywhere."""
+    order = ["doc_id", "h", "row"]  # ascending, nulls first
+    rows = docs.withColumns({"h": F.xxhash64("text"), "row": F.xxhash64(F.monotonically_increasing_id())})
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
 
 
 def compare_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each row.
 
-    The next document is the one with the next higher id (after the last: the first); of equal ids the lesser text
-    comes first, rows without id come before all.  The edited text has its last floor(n_chars / 4) code points
+    The next document is the one with the next higher id (after the last: the first); equal ids go by the texts' xxhash64,
+    rows without id come before all.  The edited text has its last floor(n_chars / 4) code points
     replaced by the first as many of the next document (all, if it is shorter).  A null text is empty; its fingerprint is the empty string.
+
+    Rows are sorted into ranges that Spark cuts at quantiles of (id, text hash, a number of the row), so neither ids far apart nor
+    many rows under one id, without id, or alike fill one range.  A range compares its own neighbours and hands on its first and last row.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = _in_order(docs)
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    if rows is None:
-        return docs.sparkSession.createDataFrame([], schema)
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "tail", "doc_id", "text").mapInArrow(_compare, schema)
+    keep = Scratch(spark, "fingerprints")
+    found = keep.keep(in_ranges(docs).mapInArrow(_compare_range, _schema(RESULT + ENDS)))
+    parts = sorted(r["part"] for r in found.where("border = 1").select("part").collect())  # one number a range
+    follows = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "part int, following int")
+    firsts = found.where("border = 1").select(F.col("part").alias("following"), F.col("text").alias("after"))
+    lasts = found.where("border = 2").select("part", "doc_id", "text").join(follows, "part").join(firsts, "following")
+    borders = lasts.select("doc_id", "text", "after").mapInArrow(_compare_borders, _schema(RESULT))
+    return found.where("border = 0").select(*(name for name, _, _ in RESULT)).unionByName(borders)
