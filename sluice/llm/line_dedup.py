@@ -9,7 +9,8 @@ some line on, or up to it, that have ``BLOCK_WORDS`` words.  Each document is al
 2. where a run is still there (it is repeated, or its holder has another order), with the first holder of each shape that the
    run has in a document: the places of its lines, all other lines being gaps;
 3. where it is still there, with all holders that share a further line with it, and, if a shape alone would align, with all of that
-   shape.  No other document can align the run: one that shares nothing else is, to this document, its shape.
+   shape.  No other document can align the run: one that shares nothing else is, to this document, its shape.  Holders that are alike but for lines
+   that no other holder has align alike, so the first of each such form stands for the rest: pairs grow with documents times forms.
 
 Only line hashes travel to the pairs; texts move once, for the deletion.
 """
@@ -256,21 +257,46 @@ def line_masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         pairs = pairs.unionByName(further)
         left = still_there(mine.join(left.select("id", "d1", "key").distinct(), ["id", "d1", "key"], "left_semi"), gone)
         if not left.isEmpty():
-            gone = both(gone, aligned(_last_pairs(left, lines, shapes, firsts, least).join(pairs, ["a", "b"], "left_anti")))
+            holders = shapes.join(left.select("key").distinct(), "key", "left_semi").select("id", "d1", "key")
+            reps = keep.keep(representatives(holders, lines))
+            further = keep.keep(_last_pairs(left, lines, shapes, firsts, reps, least).join(pairs, ["a", "b"], "left_anti"))
+            gone = both(gone, aligned(further))
     sized = lines.select("id", "d1", F.size("hashes").alias("n")).join(gone, ["id", "d1"])
     return keep.keep(sized.mapInArrow(_masks, "id long, d1 long, keep array<boolean>"))
 
 
-def _last_pairs(left: DataFrame, lines: DataFrame, shapes: DataFrame, firsts: DataFrame, least: int) -> DataFrame:
-    """(a, b): the earlier holders of each run in ``left`` that share a further line, or whose shape would align it."""
+def _forms(batches):
+    """(id, d1, form): a digest of each document with all lines but the listed ones put together to gaps."""
+    for batch in batches:
+        found = [xxhash.xxh3_128_hexdigest(np.array(shape(hashes, set(shared or [])), dtype=np.int64).tobytes())
+                 for hashes, shared in zip(*(batch.column(c).to_pylist() for c in ("hashes", "shared")), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("d1"), pa.array(found, pa.string())], names=["id", "d1", "form"])
+
+
+def representatives(holders: DataFrame, lines: DataFrame) -> DataFrame:
+    """(key, a): of the holders (id, d1, key) of each run the first of each form.
+
+    A document's form is what is left of it when lines that no other holder has become gaps.  Such lines align with nothing, so documents of one
+    form align alike with any other, and the first of them stands for all.
+    """
+    whole = holders.select("id", "d1").distinct().join(lines.select("id", "d1", "hashes"), ["id", "d1"])
+    each = whole.select("id", "d1", F.explode(F.array_distinct("hashes")).alias("y")).where("y != 0")
+    common = each.groupBy("y").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("y")
+    shared = each.join(common, "y").groupBy("id", "d1").agg(F.collect_list("y").alias("shared"))
+    forms = whole.join(shared, ["id", "d1"], "left").mapInArrow(_forms, "id long, d1 long, form string")
+    return holders.join(forms, ["id", "d1"]).groupBy("key", "form").agg(F.min("id").alias("a")).select("key", "a").distinct()
+
+
+def _last_pairs(left: DataFrame, lines: DataFrame, shapes: DataFrame, firsts: DataFrame, reps: DataFrame, least: int) -> DataFrame:
+    """(a, b): the earlier representatives of each run in ``left`` that share a further line, or whose shape would align it."""
     whole = left.join(lines, ["id", "d1"])
-    held = shapes.join(left.select("key").distinct(), "key", "left_semi").join(lines, ["id", "d1"])
+    held = shapes.join(reps.select("key", F.col("a").alias("id")), ["key", "id"], "left_semi").join(lines, ["id", "d1"])
     held = held.select("key", F.col("id").alias("a"), F.explode(F.array_except("hashes", F.array_append("shape", F.lit(0).cast("long")))).alias("y"))
     mine = whole.select("key", F.col("id").alias("b"), F.explode(F.array_distinct("hashes")).alias("y")).distinct()
     sharing = mine.join(held, ["key", "y"]).where("a < b").select("a", "b")
     fitting = whole.join(firsts, "key").where("a < id").select("id", "key", "shape", "hashes", "sizes", "places")
     fitting = fitting.mapInArrow(_fitting(least), "id long, key long, shape array<long>").withColumnRenamed("id", "b").distinct()
-    alike = fitting.join(shapes.select("key", "shape", F.col("id").alias("a")), ["key", "shape"]).where("a < b").select("a", "b")
+    alike = fitting.join(shapes.select("key", "shape", F.col("id").alias("a")).join(reps, ["key", "a"], "left_semi"), ["key", "shape"]).where("a < b").select("a", "b")
     return sharing.unionByName(alike).distinct()
 
 

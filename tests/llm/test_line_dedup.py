@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from sluice.llm import line_dedup as module
 from sluice.llm.line_dedup import common_blocks, line_dedup, minimal_runs
 from tests.conftest import SF01
 
@@ -57,3 +58,25 @@ def test_lines_that_the_first_holder_does_not_align(spark):
 
 def test_all_pairs_of_the_documents(spark):
     _check(spark, {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF01}/documents.parquet").collect()})
+
+
+def test_pairs_grow_with_the_documents(spark):
+    """Documents that share a header and hold one long line twice: the last step pairs each with the first of its form."""
+    counts = []
+    for n in (100, 200, 400):
+        rng = np.random.default_rng(n)
+        long = "this line of eight words is repeated inside"
+        texts = {i: "\n".join(["header", f"own {i}", long, *[f"x{i} {k}" for k in range(int(rng.integers(1, 4)))], long, f"end {i}"]) for i in range(n)}
+        last, real = [], module._last_pairs
+
+        def counted(*args, real=real, last=last):
+            found = real(*args)
+            last.append(found.count())
+            return found
+        module._last_pairs = counted
+        try:
+            _check(spark, texts)
+        finally:
+            module._last_pairs = real
+        counts.append(sum(last))
+    assert counts[2] <= 2.2 * counts[1] <= 4.84 * counts[0] and counts[2] <= 5 * 400
