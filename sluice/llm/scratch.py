@@ -5,6 +5,7 @@ A table written there cuts lineage: a lost executor never makes the steps before
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -33,14 +34,36 @@ def fresh(name: str, *frames: DataFrame) -> str:
     return name
 
 
+_open_blocks: list[list[str]] = []
+
+
 class Scratch:
-    """One run's tables, each written once and read back."""
+    """One run's tables, each written once and read back.
+
+    A result reads some of them when it runs, so they stay until whoever has written that result removes them: see ``passing``.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.folder, self.n = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+        for block in _open_blocks:
+            block.append(self.folder)
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.folder}/{self.n}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession):
+    """Removes, at its end, the folders of all ``Scratch`` made inside: for steps whose result is written by then."""
+    made: list[str] = []
+    _open_blocks.append(made)
+    try:
+        yield
+    finally:
+        _open_blocks.pop()
+        for folder in made:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
