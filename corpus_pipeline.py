@@ -15,7 +15,7 @@ from sluice.llm.line_dedup import line_dedup
 from sluice.llm.ngram_join import ngram_components
 from sluice.llm.packing import pack_documents
 from sluice.llm.pu_quality import with_score
-from sluice.llm.scratch import Scratch, fresh
+from sluice.llm.scratch import Scratch, fresh, passing
 from sluice.llm.source_mix import draw
 
 KEEP_SCORE = 0.7
@@ -55,7 +55,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the training sequences."""
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES = [("quality classifier", quality_filter), ("line dedup", line_filter), ("n-gram Jaccard join", one_of_each_group),
@@ -68,5 +68,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
     for _, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir))
+        with passing(spark):  # the stage's own tables go once its result is written
+            docs = scratch.keep(stage(spark, docs, sf_dir))
     return docs
