@@ -108,19 +108,20 @@ def pass_predicate(rule: Rule, df: DataFrame) -> Column:
 def broken_columns(df: DataFrame, columns: Mapping[int, Column], aggregated: bool = False) -> dict[int, str]:
     """The reasons why some of the columns are no boolean over ``df``; analysis only, no job runs.
 
-    All are analysed in one projection.  Only if that fails are the columns halved, so a few bad ones among many cost a few analyses.
+    All are analysed in one array of one projection.  Only if that fails are the columns halved, so a few bad ones among many cost a few analyses.
     """
     if not columns:
         return {}
     try:
-        named = [c.alias(f"_x{i}") for i, c in columns.items()]
-        schema = (df.agg(*named) if aggregated else df.select(*named)).schema
+        whole = F.array(*columns.values())
+        found = (df.agg(whole.alias("_x")) if aggregated else df.select(whole.alias("_x"))).schema["_x"].dataType.elementType.simpleString()
+        reason = None if found == "boolean" else f"expression is {found}, not boolean"
     except Exception as e:  # analysis errors come in several classes
-        if len(columns) == 1:
-            return {next(iter(columns)): str(e)}
-        keys, half = list(columns), len(columns) // 2
-        return {**broken_columns(df, {k: columns[k] for k in keys[:half]}, aggregated), **broken_columns(df, {k: columns[k] for k in keys[half:]}, aggregated)}
-    return {i: f"expression is {f.dataType.simpleString()}, not boolean" for i, f in zip(columns, schema.fields, strict=True) if f.dataType.simpleString() != "boolean"}
+        reason = str(e)
+    if reason is None or len(columns) == 1:
+        return {} if reason is None else {next(iter(columns)): reason}
+    keys, half = list(columns), len(columns) // 2
+    return {**broken_columns(df, {k: columns[k] for k in keys[:half]}, aggregated), **broken_columns(df, {k: columns[k] for k in keys[half:]}, aggregated)}
 
 
 def _unique_keys(rule: Rule) -> list[str]:
@@ -160,7 +161,7 @@ def evaluate_rules(df: DataFrame, rules: Sequence[Rule], parents: Mapping[str, D
                    failure_action: str = "HALT") -> DataFrame:
     """One result row per rule: rows checked / passed / failed, pass rate,
     status and action.  NULL predicate results count as failed; a rule whose
-    expression does not analyse is FAILED with NULL counts, the others still run.
+    expression does not analyse is FAILED with NULL counts and a ``reason``, the others still run.
     """
     parents = parents or {}
     spark = df.sparkSession
@@ -202,13 +203,15 @@ def evaluate_rules(df: DataFrame, rules: Sequence[Rule], parents: Mapping[str, D
         log.warning("rule %s cannot be evaluated: %s", r.rule_id, reason)
         parts.append(spark.range(1).select(*_meta(r), F.lit(None).cast("long").alias("rows_checked"),
                                            F.lit(None).cast("long").alias("rows_passed"),
-                                           F.lit(False).alias("_ok")))
+                                           F.lit(False).alias("_ok"), F.lit(reason).alias("reason")))
     if not parts:
         raise ValueError("no rules to evaluate")
     out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return finish(out, failure_action)
+        out = out.unionByName(p, allowMissingColumns=True)
+    if "reason" not in out.columns:
+        out = out.withColumn("reason", F.lit(None).cast("string"))
+    return finish(out, failure_action, extra=["reason"])
 
 
 def _unique_result(df: DataFrame, r: Rule) -> DataFrame:

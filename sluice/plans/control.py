@@ -31,7 +31,7 @@ log = logging.getLogger(__name__)
 SETTING_TYPES = {
     "max_retry": "int", "retry_delay_seconds": "int", "batch_size": "int", "max_parallel_objects": "int",
     "schema_drift_action": "string", "dq_failure_action": "string", "alert_on_failure": "boolean",
-    "alert_email": "string", "target_buckets": "int", "soft_delete": "boolean", "land_extract": "boolean",
+    "alert_email": "string", "target_buckets": "int", "soft_delete": "boolean", "land_extract": "boolean", "declared_schema": "boolean",
     "schema_drift_ignore": "string", "target_partition_columns": "string",
     "partition_values_fixed": "boolean",
 }
@@ -219,7 +219,7 @@ class ControlPlane:
             message = error_message if kind == (error_type or "").upper() else f"[{error_type}] {error_message}"
             if retry_attempt is None:
                 prior = self.table("job_run_error").filter(
-                    (F.col("run_id") == run_id) & (F.col("object_id") == obj["object_id"])).count()
+                    (F.col("run_id") == run_id) & (F.col("object_id") == obj["object_id"]) & (F.col("retry_attempt") > 0)).count()
                 retry_attempt = prior + 1
             row = (str(uuid.uuid4()), run_id, self.pipeline_id, obj["object_id"], obj["source_object"], kind,
                    message, stack_trace, int(retry_attempt), utcnow(), self.environment)

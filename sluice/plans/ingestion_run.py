@@ -13,6 +13,7 @@ from __future__ import annotations
 import itertools
 import logging
 import time
+import uuid
 import traceback
 from concurrent.futures import ThreadPoolExecutor
 from collections.abc import Callable, Mapping
@@ -26,7 +27,8 @@ from sluice.functions.lists import parse_list
 from sluice.operators import dq, drift, ingest
 from sluice.plans.control import ControlPlane, utcnow
 from sluice.sinks.writers import overwrite_via_staging, recover, replace_table, schema_changed, write_table
-from sluice.sources.objects import read_object
+from sluice.sources.declared import read_registered_files, schema_from_registry
+from sluice.sources.objects import CLOUD_STORAGE, read_object
 
 log = logging.getLogger(__name__)
 
@@ -74,6 +76,18 @@ def _land(src: DataFrame, table: str) -> DataFrame:
     return src.sparkSession.table(table)
 
 
+def _read_files_or_table(cp: ControlPlane, obj: Mapping, settings: Mapping) -> tuple[DataFrame, DataFrame | None]:
+    """An object's rows and, with the setting ``declared_schema``, the records of its CSV or JSON files that do not fit the registered schema."""
+    path = f"{str(obj['source_schema']).rstrip('/')}/{obj['source_object']}"
+    fmt = next((f for f in ("csv", "json") if path.lower().endswith(f".{f}")), None)
+    if fmt and settings.get("declared_schema") and str(obj["source_type"]).strip().lower() == CLOUD_STORAGE:
+        registered = [r.asDict() for r in cp.registered(obj["object_id"]).select("column_name", "data_type", "is_nullable", "column_order").collect()]
+        got = read_registered_files(cp.spark, path, fmt, schema_from_registry(registered)) if registered else None
+        if got:
+            return got
+    return read_object(cp.spark, obj), None
+
+
 def ingest_object(cp: ControlPlane, obj: Mapping, run_id: str, settings: Mapping,
                   read: Callable[[Mapping], DataFrame] | None = None,
                   parents: Mapping[str, DataFrame] | None = None,
@@ -90,6 +104,7 @@ def ingest_object(cp: ControlPlane, obj: Mapping, run_id: str, settings: Mapping
     recover(spark, target, staging)
     wm_col = obj.get("watermark_column")
     t0 = time.time()
+    misfits = None
 
     if read:
         src = read(obj)
@@ -100,7 +115,7 @@ def ingest_object(cp: ControlPlane, obj: Mapping, run_id: str, settings: Mapping
         except Exception as e:
             raise SourceError(str(e)) from e
     else:
-        src = read_object(spark, obj)
+        src, misfits = _read_files_or_table(cp, obj, settings)
 
     # N7/N8: narrow by the stored watermark (literal cast to the column type -> pushed to the scan)
     if load_type == "hash_incremental" and wm_col:
@@ -138,6 +153,9 @@ def ingest_object(cp: ControlPlane, obj: Mapping, run_id: str, settings: Mapping
         results = dq.evaluate_rules(src, rules, parents, failure_action=action)
         got = results.collect()
         cp.log_dq_results(run_id, oid, spark.createDataFrame(got, results.schema))
+        for r in got:
+            if r.reason:
+                cp.log_error(run_id, oid, "DQ_ERROR", f"rule {r.rule_id} cannot be judged: {r.reason}", retry_attempt=0)
         if any(r.action_taken == dq.HALTED for r in got):
             raise RunHalted("DQ_ERROR", f"data-quality ERROR rule failed for {name}: "
                             + ", ".join(r.rule_id for r in got if r.action_taken == dq.HALTED))
@@ -217,6 +235,8 @@ def ingest_object(cp: ControlPlane, obj: Mapping, run_id: str, settings: Mapping
         counts = {"rows_inserted": m["ins"], "rows_updated": m["upd"], "rows_deleted": m["absent"] if soft else 0}
     clean_rows = loaded["rows"]
     counts["rows_read"] = rows_read if rows_read is not None else clean_rows
+    if misfits is not None:
+        counts["rows_read"] += _set_misfits_aside(misfits, f"{target}__unreadable", run_id)
     counts["rows_rejected"] = counts["rows_read"] - clean_rows
     duration = int(time.time() - t0)
     cp.log_metrics(run_id, oid, counts["rows_read"], counts["rows_inserted"], counts["rows_updated"],
@@ -230,6 +250,13 @@ def ingest_object(cp: ControlPlane, obj: Mapping, run_id: str, settings: Mapping
     return result
 
 
+def _set_misfits_aside(misfits: DataFrame, table: str, run_id: str) -> int:
+    """Append the records that did not fit their declared schema; how many they were."""
+    seen = Observation(f"misfits_{uuid.uuid4().hex}")
+    write_table(misfits.withColumn("load_run_id", F.lit(run_id)).observe(seen, F.count(F.lit(1)).alias("n")), table, mode="append")
+    return seen.get["n"]
+
+
 def touched_partitions(batch: DataFrame, target: DataFrame, pk: list[str], part_cols: list[str],
                        values_fixed: bool = False) -> DataFrame:
     """The partitions a merge of ``batch`` must rewrite, one row each.

@@ -92,6 +92,35 @@ TABLE_COMMENTS = {
     "connection_config": "Seeded; names the secrets of a JDBC source, and how to read it in parallel.",
 }
 
+# What a column holds, by name; (table, name) where a name means something else in one table.
+COLUMN_COMMENTS = {
+    "object_id": "Id of the source object.", "pipeline_id": "The pipeline that the row belongs to.", "source_system": "Name of the system that the object comes from.",
+    "source_type": "How the object is read: from the catalog, by JDBC, or from files.", "source_schema": "Schema, or folder, of the object.", "source_object": "Table or file name of the object.",
+    "target_catalog": "Catalog of the target, where one is configured.", "target_schema": "Schema of the target.", "target_table": "Table that loads write.",
+    "staging_table": "Table for copies on the way to the target; named after the target if empty.", "load_type": "Whole loads, or changed rows found by hash.", "write_mode": "How a load writes its rows.",
+    "primary_key": "Comma list of the columns that name a row.", "watermark_column": "Column whose greatest value says what was loaded.", "hash_columns": "Comma list of the columns that the record hash covers; empty: all.",
+    "active_flag": "Only rows with true are used.", "load_order": "Objects of a lower number are loaded first.", "created_at": "When the row was written.", "updated_at": "When the row was written last.",
+    "created_by": "Who wrote the row.", "updated_by": "Who wrote the row last.", "last_run_ts": "Time of the load that set the mark.", "last_run_id": "Run that set the mark.",
+    "rows_last_loaded": "Rows of that load.", "watermark_col": "Column of the mark.", "watermark_col_value": "The mark, as text.", "watermark_col_hash": "SHA-256 of the mark's text.",
+    "config_id": "Id of the row.", "config_key": "Name of the setting.", "config_value": "Value of the setting, as text.", "description": "What the setting is for.", "run_id": "Id of the run.",
+    "job_id": "Id of the job in the scheduler.", "job_run_id": "Id of the job's run in the scheduler.", "triggered_by": "Who or what started the run.", "triggered_mode": "By hand or by schedule.",
+    "start_time": "When the run started.", "end_time": "When the run ended; NULL while it runs.", "duration_seconds": "Whole seconds from start to end.", "status": "Outcome; RUNNING before there is one.",
+    "total_objects": "Objects that the run took on.", "success_objects": "Those that were loaded.", "failed_objects": "Those that were not.", "environment": "Deployment that the row comes from.",
+    "error_id": "Id of the row.", "error_type": "One of the listed kinds of error.", "error_message": "The message, whole.", "stack_trace": "Where it was raised, if known.",
+    "retry_attempt": "Number of the object's failed attempt in the run; 0 for a rule that could not be judged.", "error_ts": "When it happened.", "metric_id": "Id of the row.", "rows_read": "Rows that the source gave.",
+    "rows_inserted": "Rows that were new.", "rows_updated": "Rows that had changed.", "rows_deleted": "Rows newly marked as deleted.", "rows_rejected": "Rows that were set aside.", "metric_ts": "When the load was measured.",
+    "schema_id": "Id of the row.", "column_name": "Name of the column.", "data_type": "Type of the column.", "is_nullable": "Whether the column may be NULL.", "is_primary_key": "Whether the column is part of the key.",
+    "column_order": "Place of the column, from 1.", "registered_at": "When the column was seen first.", "drift_id": "Id of the row.", "drift_type": "What changed.", "old_value": "Registered before; NULL for a new column.",
+    "new_value": "Seen now; NULL for a dropped column.", "action_taken": "What the run did about it.", "detected_at": "When the change was seen.", "rule_id": "Id of the rule.", "rule_name": "Name of the rule.",
+    "rule_type": "Kind of rule.", "rule_expression": "SQL of the rule, or the columns it is about.", "expected_value": "Bounds, pattern, count or parent that the rule compares with.", "severity": "ERROR rules can stop a write, WARN rules cannot.",
+    "result_id": "Id of the row.", "rows_checked": "Rows that the rule judged.", "rows_passed": "Rows that passed.", "rows_failed": "Rows that did not.", "pass_rate": "Passed rows in per cent.", "checked_at": "When the rule was judged.",
+    "applies_to": "Load types that get the column.", "computation": "How the value is computed.", "is_merge_key": "Whether merges match by the column.", "connection_id": "Id of the row.", "connection_name": "Name of the connection.",
+    "secret_scope": "Where the secrets are kept.", "jdbc_url_secret_key": "Secret with the address.", "jdbc_user_secret_key": "Secret with the user.", "jdbc_password_secret_key": "Secret with the password.",
+    "driver_class": "JDBC driver.", "extra_jdbc_options": "Further reader options, as JSON.",
+    ("metadata_column_config", "column_order"): "Metadata columns of a lower number come first.", ("metadata_column_config", "column_name"): "Name of the metadata column.",
+    ("dq_rule_config", "column_name"): "Column, or comma list of columns, that the rule is about.", ("dq_check_results", "column_name"): "Column that the rule was about.",
+}
+
 # Tables partitioned by environment (the drift log has the column but is not partitioned).
 PARTITION_COLUMNS = {
     "job_run_audit": ["environment"],

@@ -9,7 +9,7 @@ from collections.abc import Mapping
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
-from sluice.schemas import PARTITION_COLUMNS, TABLE_COMMENTS, TABLES
+from sluice.schemas import COLUMN_COMMENTS, PARTITION_COLUMNS, TABLE_COMMENTS, TABLES
 
 log = logging.getLogger(__name__)
 _IDENT = re.compile(r"^[A-Za-z0-9_]+$")
@@ -44,7 +44,10 @@ def create_namespaces(spark: SparkSession, names: Mapping[str, str] | None = Non
 def table_ddl(database: str, table: str, schema: T.StructType | None = None,
               partition_cols: list[str] | None = None, location: str | None = None) -> str:
     schema = schema or TABLES[table]
-    cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}{'' if f.nullable else ' NOT NULL'}"
+    def comment(name: str) -> str:
+        text = COLUMN_COMMENTS.get((table, name), COLUMN_COMMENTS.get(name)) if table in TABLES else None
+        return f" COMMENT {_quote(text)}" if text else ""
+    cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}{'' if f.nullable else ' NOT NULL'}{comment(f.name)}"
                      for f in schema.fields)
     parts = PARTITION_COLUMNS.get(table, []) if partition_cols is None else partition_cols
     sql = f"CREATE TABLE IF NOT EXISTS `{check_identifier(database)}`.`{check_identifier(table)}` ({cols}) USING parquet"

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.functions.types import type_name
+from sluice.sources.objects import read_files
 
 
 def schema_from_registry(rows: list[Mapping]) -> T.StructType:
@@ -21,6 +22,29 @@ def schema_from_registry(rows: list[Mapping]) -> T.StructType:
     return T.StructType([T.StructField(r["column_name"], T._parse_datatype_string(r["data_type"]), bool(r["is_nullable"])) for r in ordered])
 
 
+def read_registered_files(spark: SparkSession, path: str, fmt: str, schema: T.StructType,
+                          options: Mapping[str, str] | None = None) -> tuple[DataFrame, DataFrame] | None:
+    """(good rows, records that do not fit) of CSV or JSON files by their registered schema: no pass for inference, the same types every time.
+
+    Records that do not fit have the columns as far as they parsed, and the whole record as ``record``.  None for CSV files whose header has other
+    columns than the schema: those have drifted, and must be read as they are.
+    """
+    record = "record"
+    while record in schema.names:
+        record = f"_{record}"
+    fields = {f.name.lower(): T.StructField(f.name, f.dataType) for f in schema.fields}
+    names = list(fields)
+    if fmt == "csv":
+        header = spark.read.options(**(options or {})).option("header", "true").csv(path).columns  # the first line alone
+        names = [c.lower() for c in header]
+        if set(names) != set(fields):
+            return None
+    whole = T.StructType([*(fields[n] for n in names), T.StructField(record, T.StringType())])
+    opts = {**(options or {}), "mode": "PERMISSIVE", "columnNameOfCorruptRecord": record}
+    df = read_files(spark, path, fmt, whole, opts)
+    return df.where(F.col(record).isNull()).drop(record), df.where(F.col(record).isNotNull())
+
+
 def _fields(text: Column, fmt: str, schema: T.StructType, options: Mapping[str, str]) -> Column:
     """Each declared field's text, by name."""
     if fmt == "json":
