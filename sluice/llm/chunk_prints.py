@@ -15,6 +15,7 @@ from bisect import bisect_left
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,6 +81,8 @@ def printed(s: dict[int, int]) -> str:
 
 RESULT = [("doc_id", pa.int64(), "long"), ("n_chars", pa.int64(), "long"), ("edited_sha256", pa.string(), "string"), ("fingerprint", pa.string(), "string"),
           ("edited_fingerprint", pa.string(), "string"), ("near_edited", pa.float64(), "double"), ("near_next", pa.float64(), "double")]
+#: The result as it is written: both fingerprints together, which share most chunks, compressed.
+STORED = [c for c in RESULT if "fingerprint" not in c[0]] + [("prints", pa.binary(), "binary")]
 #: Which end of which range a row is (0 none, 1 first, 2 last), and that row's text.
 ENDS = [("part", pa.int32(), "int"), ("border", pa.int32(), "int"), ("text", pa.string(), "string")]
 
@@ -93,6 +96,19 @@ def _batch(rows: list[tuple], columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind, _) in zip(cells, columns, strict=True)], names=[name for name, _, _ in columns])
 
 
+def _stored(row: tuple, zipped) -> tuple:
+    doc, n, digest, prints, edited, near_edited, near_next = row
+    return doc, n, digest, near_edited, near_next, zipped(f"{prints}\n{edited}".encode())
+
+
+def _readable(batches):
+    unzipped = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        both = [unzipped(p).decode().split("\n") for p in batch.column("prints").to_pylist()]
+        cells = {"fingerprint": pa.array([b[0] for b in both], pa.string()), "edited_fingerprint": pa.array([b[1] for b in both], pa.string())}
+        yield pa.RecordBatch.from_arrays([cells[name] if name in cells else batch.column(name) for name, _, _ in RESULT], names=[name for name, _, _ in RESULT])
+
+
 def compared(doc: int | None, old: str, after: str, old_prints: dict | None = None, after_prints: dict | None = None) -> tuple:
     """A document's result row, given the text of the next one."""
     old_prints = chunk_set(old) if old_prints is None else old_prints
@@ -108,7 +124,7 @@ def compared(doc: int | None, old: str, after: str, old_prints: dict | None = No
 def _compare_range(batches):
     """A range of rows in order: each document against the next one; the range's first and last row are handed on."""
     part, held, rows = TaskContext.get().partitionId(), None, []
-    none = (None,) * len(RESULT)
+    none, zipped = (None,) * len(STORED), zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
             text = text.as_py()
@@ -116,14 +132,14 @@ def _compare_range(batches):
             if held is None:
                 rows.append((*none, part, 1, text))
             else:
-                rows.append((*compared(held[0], held[1], text, held[2], prints), part, 0, None))
+                rows.append((*_stored(compared(held[0], held[1], text, held[2], prints), zipped), part, 0, None))
             held = (doc, text, prints)
             if len(rows) >= 500:
-                yield _batch(rows, RESULT + ENDS)
+                yield _batch(rows, STORED + ENDS)
                 rows = []
     if held is not None:
         rows.append((held[0], *none[1:], part, 2, held[1]))
-        yield _batch(rows, RESULT + ENDS)
+        yield _batch(rows, STORED + ENDS)
 
 
 def _compare_borders(batches):
@@ -152,10 +168,10 @@ def compare_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keep = Scratch(spark, "fingerprints")
-    found = keep.keep(in_ranges(docs).mapInArrow(_compare_range, _schema(RESULT + ENDS)))
+    found = keep.keep(in_ranges(docs).mapInArrow(_compare_range, _schema(STORED + ENDS)))
     parts = sorted(r["part"] for r in found.where("border = 1").select("part").collect())  # one number a range
     follows = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "part int, following int")
     firsts = found.where("border = 1").select(F.col("part").alias("following"), F.col("text").alias("after"))
     lasts = found.where("border = 2").select("part", "doc_id", "text").join(follows, "part").join(firsts, "following")
     borders = lasts.select("doc_id", "text", "after").mapInArrow(_compare_borders, _schema(RESULT))
-    return found.where("border = 0").select(*(name for name, _, _ in RESULT)).unionByName(borders)
+    return found.where("border = 0").select(*(name for name, _, _ in STORED)).mapInArrow(_readable, _schema(RESULT)).unionByName(borders)
