@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.functions.hashing import record_hash
-from sluice.operators import audit, digests, ingest, observed, rule_table, timeline
+from sluice.operators import audit, digests, ingest, observed, rule_table, sections, timeline
 from sluice.plans import scenarios as sc
 from sluice.plans.ingestion_run import in_partitions, touched_partitions
 from sluice.sources.declared import read_declared
@@ -283,3 +283,31 @@ def object_metrics_config(spark, sf_dir):
     objects = e.where("event_type <> 'view'").groupBy(F.col("event_type").alias("object_id")).agg(
         F.max("props").alias("target_table"), F.when(F.max("value") > 100, "hash_incremental").otherwise("full_load").alias("load_type"))
     return audit.object_metrics(e, {"run_id": "user_id", "object_id": "event_type"}, F.col("value") <= 0.05, objects)
+
+
+# ---- S4, S5: configuration documents ---------------------------------------------------------------
+
+def _documents(spark, sf_dir):
+    """One config document per customer: its orders as source objects; some lack a section, hold an empty or a wrong one, or are cut off."""
+    o, key = _t(spark, sf_dir, "orders"), F.col("o_custkey")
+    entry = F.struct(F.col("o_orderkey").alias("source_object"), F.col("o_orderpriority").alias("load_type"), F.round("o_totalprice", 2).alias("load_order"))
+    g = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(entry)).alias("objects"))
+    objects = F.concat(F.lit('"source_objects": '), F.to_json("objects"))
+    settings = (F.when(key % 5 == 0, F.lit("")).when(key % 7 == 0, F.lit(', "pipeline_config": []')).when(key % 11 == 0, F.lit(', "pipeline_config": {"a": 1}'))
+                .otherwise(F.lit(', "pipeline_config": [{"config_key": "batch_size"}, {"config_key": "max_retry"}]')))
+    return g.select("o_custkey", F.concat(F.lit("{"), objects, settings, F.when(key % 13 == 0, F.lit("")).otherwise(F.lit("}"))).alias("document"))
+
+
+@register("config_document_sections", """WITH c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)
+SELECT o_custkey, 'source_objects' AS section, CASE WHEN o_custkey % 13 = 0 THEN 'MALFORMED' ELSE 'PRESENT' END AS status, CASE WHEN o_custkey % 13 <> 0 THEN n END AS n_entries FROM c
+UNION ALL SELECT o_custkey, 'pipeline_config', CASE WHEN o_custkey % 13 = 0 THEN 'MALFORMED' WHEN o_custkey % 5 = 0 THEN 'MISSING' WHEN o_custkey % 7 = 0 THEN 'EMPTY' WHEN o_custkey % 11 = 0 THEN 'NO_LIST' ELSE 'PRESENT' END,
+  CASE WHEN o_custkey % 13 = 0 OR o_custkey % 5 = 0 THEN NULL WHEN o_custkey % 7 = 0 THEN 0 WHEN o_custkey % 11 = 0 THEN NULL ELSE 2 END FROM c""")
+def config_document_sections(spark, sf_dir):
+    return sections.section_check(_documents(spark, sf_dir), "o_custkey", "document", ["source_objects", "pipeline_config"])
+
+
+@register("config_document_entries", """SELECT o_custkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INTEGER AS position, o_orderkey AS source_object, o_orderpriority AS load_type,
+  round(o_totalprice, 2) AS load_order FROM orders WHERE o_custkey % 13 <> 0""")
+def config_document_entries(spark, sf_dir):
+    return sections.section_entries(_documents(spark, sf_dir), "o_custkey", "document", "source_objects",
+                                    {"source_object": "bigint", "load_type": "string", "load_order": "double"})
