@@ -29,7 +29,9 @@ from sluice.llm.fm_index import BidirectionalIndex
 from sluice.llm.scratch import Scratch
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-SHARD_WORDS = 1 << 22
+SHARD_WORDS = 1 << 20
+#: Shards (some 6 MB each) that a task is handed at once.
+AT_ONCE = 4
 #: Frequent words and pairs handed to every task (some 40 and 64 MB).
 WORDS, PAIRS = 2_000_000, 8_000_000
 #: Parts that each language's phrases are ranked in before the last ranking.
@@ -218,10 +220,12 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     found = ones.select("lang", "phrase", F.lit(1).alias("size"), "f")
     if longest < 2:
         return found, totals
+    # A scan hands a task all shards of its files in one batch: dealt anew, tasks hold a few at a time.
+    spread = shards.drop("count").repartition(max(1, -(-shards.count() // AT_ONCE)))
     if ones.count() <= words:
         listed = ones.select("lang", "phrase").toArrow()  # no more than ``words`` rows
         lang, word = (listed.column(c).combine_chunks() for c in ("lang", "phrase"))
-        hashed = shards.drop("count").mapInArrow(_each_shard(lambda s: _pairs(s, s.frequent(lang, word))), HASHED)
+        hashed = spread.mapInArrow(_each_shard(lambda s: _pairs(s, s.frequent(lang, word))), HASHED)
     else:
         own = keep.keep(counted.join(ones, ["lang", "phrase"], "left_semi").select("shard", "lang", "phrase")).groupBy("shard")
         hashed = shards.drop("count").groupBy("shard").cogroup(own).applyInArrow(_with_own(
@@ -233,7 +237,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     twos = keep.keep(often(hashed))
     if twos.count() <= pairs:
         listed = _sorted(twos.toArrow().column("pair"))  # no more than ``pairs`` numbers
-        more = shards.drop("count").mapInArrow(_each_shard(lambda s: _phrases(s, listed, longest)), COUNTED)
+        more = spread.mapInArrow(_each_shard(lambda s: _phrases(s, listed, longest)), COUNTED)
     else:
         own = keep.keep(hashed.join(twos, "pair", "left_semi").select("shard", "pair")).groupBy("shard")
         more = shards.drop("count").groupBy("shard").cogroup(own).applyInArrow(_with_own(lambda s, own: _phrases(s, _sorted(own.column("pair")), longest)), COUNTED)
