@@ -29,9 +29,9 @@ from sluice.llm.fm_index import BidirectionalIndex
 from sluice.llm.scratch import Scratch
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-SHARD_WORDS = 1 << 20
-#: Shards (some 6 MB each) that a task is handed at once.
-AT_ONCE = 4
+SHARD_WORDS = 1 << 19
+#: Shards (some 3 MB each) that a task is handed at once.
+AT_ONCE = 8
 #: Frequent words and pairs handed to every task (some 40 and 64 MB).
 WORDS, PAIRS = 2_000_000, 8_000_000
 #: Parts that each language's phrases are ranked in before the last ranking.
@@ -165,7 +165,7 @@ def joined_stretches(text: np.ndarray, linked: np.ndarray) -> np.ndarray:
     return out
 
 
-def _phrases(shard: Shard, pairs: np.ndarray, deepest: int) -> pa.RecordBatch:
+def _phrases(shard: Shard, pairs: np.ndarray, deepest: int) -> pa.Table:
     """(lang, phrase, size, count) of the phrases of 2 to ``deepest`` words whose neighbouring words all are listed ``pairs`` (sorted hashes)."""
     text, h = shard.text, shard.hashes()
     linked = np.zeros(len(text), dtype=bool)
@@ -188,8 +188,18 @@ def _each_shard(work):
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                out = work(Shard(batch.slice(row, 1)))
-                yield from out.to_batches() if isinstance(out, pa.Table) else [out]
+                yield work(Shard(batch.slice(row, 1)))
+    return run
+
+
+def _summed(work):
+    """As ``_each_shard``, the counts of the shards that come together added up before they leave the task."""
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                found = pa.concat_tables([work(Shard(batch.slice(row, 1))) for row in range(batch.num_rows)])
+                whole = found.group_by(["lang", "phrase", "size"]).aggregate([("count", "sum")])
+                yield from whole.select(["lang", "phrase", "size", "count_sum"]).rename_columns(["lang", "phrase", "size", "count"]).to_batches()
     return run
 
 
@@ -237,7 +247,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     twos = keep.keep(often(hashed))
     if twos.count() <= pairs:
         listed = _sorted(twos.toArrow().column("pair"))  # no more than ``pairs`` numbers
-        more = spread.mapInArrow(_each_shard(lambda s: _phrases(s, listed, longest)), COUNTED)
+        more = spread.mapInArrow(_summed(lambda s: _phrases(s, listed, longest)), COUNTED)
     else:
         own = keep.keep(hashed.join(twos, "pair", "left_semi").select("shard", "pair")).groupBy("shard")
         more = shards.drop("count").groupBy("shard").cogroup(own).applyInArrow(_with_own(lambda s, own: _phrases(s, _sorted(own.column("pair")), longest)), COUNTED)
