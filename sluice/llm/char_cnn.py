@@ -50,10 +50,10 @@ class Network:
     def logits(self, x: np.ndarray, batch: int = 512) -> np.ndarray:
         return np.concatenate([self._forward(x[k:k + batch])[-1] for k in range(0, len(x), batch)]) if len(x) else np.zeros(0)
 
-    def _slopes(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    def _slopes(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | float = 1.0) -> dict[str, np.ndarray]:
         w = self.weights
         columns, answer, inside, size, value, context, pooled, logit = self._forward(x)
-        off = (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y) / len(x)
+        off = (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y) * weight / len(x)
         back = off[:, None] * w["out"]
         high, mean, around = back[:, :FILTERS], back[:, FILTERS:2 * FILTERS], back[:, 2 * FILTERS:]
         slope = np.zeros_like(answer)
@@ -75,17 +75,37 @@ class Network:
         embed[PAD] = 0
         return {"embed": embed, "filter": columns.reshape(-1, WIDTH * EMBEDDED).T @ flat, "bias": flat.sum(axis=0), "out": pooled.T @ off, "constant": np.array([off.sum()])}
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 3e-3, decay: float = 1e-4, seed: int = 7) -> Network:
-        """Minimise the logistic loss by Adam over shuffled batches."""
-        rng, t = np.random.default_rng(seed), 0
+    def vector(self, *moments: dict[str, np.ndarray]) -> np.ndarray:
+        """The weights, and after them the moments, as one array."""
+        return np.concatenate([part[name].reshape(-1) for part in (self.weights, *moments) for name in self.weights])
+
+    @classmethod
+    def from_vector(cls, vector: np.ndarray) -> tuple[Network, list[dict[str, np.ndarray]]]:
+        """What ``vector`` made one array of."""
+        network, at, parts = cls(), 0, []
+        while at < len(vector):
+            parts.append({})
+            for name, old in network.weights.items():
+                parts[-1][name] = vector[at:at + old.size].reshape(old.shape).copy()
+                at += old.size
+        network.weights = parts[0]
+        return network, parts[1:]
+
+    def moments(self) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
         first, second = ({k: np.zeros_like(v) for k, v in self.weights.items()} for _ in range(2))
-        for _ in range(epochs):
-            order = rng.permutation(len(x))
-            for k in range(0, len(x), batch):
-                t += 1
-                for name, slope in self._slopes(x[order[k:k + batch]], y[order[k:k + batch]]).items():
-                    slope = slope + decay * self.weights[name]
-                    first[name] = 0.9 * first[name] + 0.1 * slope
-                    second[name] = 0.999 * second[name] + 0.001 * slope ** 2
-                    self.weights[name] -= rate * (first[name] / (1 - 0.9 ** t)) / (np.sqrt(second[name] / (1 - 0.999 ** t)) + 1e-8)
-        return self
+        return first, second
+
+    def learn(self, epoch: int, x: np.ndarray, y: np.ndarray, weight: np.ndarray, first: dict[str, np.ndarray], second: dict[str, np.ndarray],
+              batch: int = 64, rate: float = 3e-3, decay: float = 1e-4, seed: int = 7) -> None:
+        """One epoch (from 0) of Adam over shuffled batches, towards the least weighted logistic loss; ``first`` and ``second`` are its moments."""
+        rng = np.random.default_rng(seed)
+        order = [rng.permutation(len(x)) for _ in range(epoch + 1)][-1]
+        t = epoch * -(-len(x) // batch)
+        for k in range(0, len(x), batch):
+            t += 1
+            part = order[k:k + batch]
+            for name, slope in self._slopes(x[part], y[part], weight[part]).items():
+                slope = slope + decay * self.weights[name]
+                first[name] = 0.9 * first[name] + 0.1 * slope
+                second[name] = 0.999 * second[name] + 0.001 * slope ** 2
+                self.weights[name] -= rate * (first[name] / (1 - 0.9 ** t)) / (np.sqrt(second[name] / (1 - 0.999 ** t)) + 1e-8)

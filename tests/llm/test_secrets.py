@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm import queries, secrets
 from sluice.llm.char_cnn import BEFORE, Network, encode
+from sluice.llm.pu_quality import logistic, sigmoid
 from sluice.llm.secrets import candidates, rule_spans, scan_secrets, views, written
 from tests.conftest import SF01
 from tests.llm.test_queries import LONG, _awkward
@@ -102,6 +103,63 @@ def test_network_finds_values_that_no_rule_reaches(spark):
     assert sum(got[i]["n_model"] for i, t in rows if "bare" not in t) <= 0.01 * len(rows)
 
 
+def test_detector_learns_from_every_finding(spark, monkeypatch):
+    """More findings than one block: each is taught once an epoch, and calibration and threshold are those of all the others."""
+    rng, rows = random.Random(5), []
+    for i in range(4000):
+        parts = [f"see x{rng.randint(10**7, 10**8)} or call {rng.randint(10**8, 10**9)} and item-{rng.randint(10**5, 10**6)}-{rng.choice('abcd')} of"]
+        if i % 4 == 0:
+            parts.append(f"token={rng.randbytes(9).hex()}1 end")
+        rows.append((i, " ".join(parts)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    half = {r["doc_id"]: r["half"] for r in docs.select("doc_id", (secrets.chance(F.col("doc_id"), 17) < 0.6).alias("half")).collect()}
+    train, rest = set(), set()
+    for i, text in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            for a, b, hit in candidates(text, rule_spans(text)):
+                (train if half[i] else rest).update((int(hit), *v) for v in views(text, a, b))
+    assert len(train) > 5000 and sum(r[0] == 0 for r in rest) > 3000
+    states = []
+    monkeypatch.setattr(secrets, "EPOCHS", 2)
+    monkeypatch.setattr(secrets, "BLOCK", 1500)
+    monkeypatch.setattr(secrets, "averaged", lambda s, real=secrets.averaged: (states.append(s), real(s))[1])
+    detector = secrets.fit_detector(docs)
+    counts = [r["n"] for r in states[0].collect()]
+    assert len(states) == 2 and sum(counts) == len(train) and len(counts) == -(-len(train) // 1500)
+    rest = sorted(rest)
+    y = np.array([r[0] for r in rest])
+    logit, alone = (detector.network.logits(encode([r[1:] for r in rest], blank)) for blank in (False, True))
+    slope, constant = logistic(np.concatenate([logit, alone])[:, None], np.concatenate([y, y]), ridge=1e-3)
+    assert np.allclose([detector.slope, detector.constant], [slope, constant], rtol=1e-6)
+    want = sigmoid(np.array([secrets.constrained_threshold(alone * slope + constant, y)]))[0]
+    assert abs(detector.threshold - want) < 1e-6
+
+
+def test_one_block_learns_as_one_network(spark):
+    rng = random.Random(2)
+    rows = [(k % 2, f"before {k}", f"{rng.randint(10**8, 10**9)}" if k % 2 else f"a{rng.randint(10**6, 10**7)}-x", " after") for k in range(150)]
+    dealt = spark.createDataFrame([(0, *r) for r in rows], "block long, label int, before string, value string, after string").repartition(4)
+    network, weights = Network(), {0: 0.5, 1: 1.5}
+    state, (first, second) = network.vector(*network.moments()), network.moments()
+    for epoch in range(2):
+        state = secrets.averaged(secrets.taught(dealt, state, epoch, weights))
+        network.learn(epoch, *secrets._lessons(sorted(rows), weights), first, second)
+    assert np.abs(state - network.vector(first, second)).max() < 1e-12
+    assert np.abs(state[:100] - Network().vector()[:100]).max() > 1e-3
+
+
+def test_threshold_of_a_table(spark):
+    rng = np.random.default_rng(4)
+    for size, values in [(30_000, rng.normal(0, 2, 30_000)), (25_000, rng.integers(0, 4, 25_000).astype(float)), (5, np.arange(5.0))]:
+        y = rng.integers(0, 2, size)
+        y[-1] = 1
+        rows = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, values, strict=True)], "label int, x double")
+        for recall in (1.0, 0.99, 0.5):
+            assert secrets.table_threshold(rows, recall) == secrets.constrained_threshold(values, y, recall)
+    ordered, frame = sorted(values), rows.select("x")
+    assert [secrets.value_at(frame, k, few=1, bins=2) for k in range(size)] == ordered
+
+
 def test_recall_of_held_out_findings(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     detector = secrets.fit_detector(docs)
