@@ -90,7 +90,8 @@ def _scored(ordinary: bytes, toxic: bytes, mean, spread, weights):
         for batch in batches:
             rows = [savings(t.as_py(), plain, both) for t in binary(batch.column("text"))]
             f = (np.array(rows).reshape(len(rows), 8) - mean) / spread
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sigmoid(f @ weights[:-1] + weights[-1]))], names=["doc_id", "score"])
+            # Row by row: a matrix product may round a row by its place in the batch.
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sigmoid((f * weights[:-1]).sum(axis=1) + weights[-1]))], names=["doc_id", "score"])
     return run
 
 
