@@ -15,6 +15,9 @@ from functools import cached_property
 
 import numpy as np
 
+#: Occurrences that are extended at once.
+BLOCK = 1 << 16
+
 
 def dense(keys: np.ndarray) -> np.ndarray:
     """The rank of each key among the distinct keys."""
@@ -61,6 +64,13 @@ class Index:
 
     def extend(self, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(node, word, start here, offset in the other index, count) of each extension of each node."""
+        block = (np.cumsum(count) - count) // BLOCK  # nodes whose occurrences begin in the same block go together
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(block)) + 1, [len(count)]))
+        parts = [(a, self._extend(start[a:b], count[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        node, *rest = (np.concatenate(x) for x in zip(*((a + found[0], *found[1:]) for a, found in parts), strict=True))
+        return node, *rest
+
+    def _extend(self, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         total = int(count.sum())
         node = np.repeat(np.arange(len(count)), count)
         place = np.arange(total) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start, count)

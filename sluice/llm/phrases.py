@@ -30,8 +30,10 @@ from sluice.llm.scratch import Scratch
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 SHARD_WORDS = 1 << 19
-#: Shards (some 3 MB each) that a task is handed at once.
-AT_ONCE = 8
+#: Shards (some 3 MB each) that a task is handed at once: for pairs, which shards hardly share, and for phrases, whose counts are added up.
+PAIRS_AT_ONCE, AT_ONCE = 4, 8
+#: Phrases that leave a task in one Arrow batch.
+ROWS = 1 << 14
 #: Frequent words and pairs handed to every task (some 40 and 64 MB).
 WORDS, PAIRS = 2_000_000, 8_000_000
 #: Parts that each language's phrases are ranked in before the last ranking.
@@ -118,6 +120,11 @@ def _shards(size: int):
     return run
 
 
+def joined(lang: pa.Array, word: pa.Array) -> pa.Array:
+    """Language and word as one text; words hold no blank."""
+    return pc.binary_join_element_wise(lang.cast(pa.large_string()), word.cast(pa.large_string()), pa.scalar(" ", pa.large_string()))
+
+
 class Shard:
     """One row of the table of shards."""
 
@@ -136,8 +143,6 @@ class Shard:
 
     def frequent(self, lang: pa.Array, word: pa.Array) -> np.ndarray:
         """Of each id whether its language and word are listed; breaks are not."""
-        def joined(a, b):
-            return pc.binary_join_element_wise(a.cast(pa.large_string()), b.cast(pa.large_string()), pa.scalar(" ", pa.large_string()))
         return np.append(False, pc.is_in(joined(self.lang, self.word), value_set=joined(lang, word)).to_numpy(zero_copy_only=False))
 
 
@@ -165,8 +170,8 @@ def joined_stretches(text: np.ndarray, linked: np.ndarray) -> np.ndarray:
     return out
 
 
-def _phrases(shard: Shard, pairs: np.ndarray, deepest: int) -> pa.Table:
-    """(lang, phrase, size, count) of the phrases of 2 to ``deepest`` words whose neighbouring words all are listed ``pairs`` (sorted hashes)."""
+def _found(shard: Shard, pairs: np.ndarray, deepest: int):
+    """(words by their place in the shard's vocabulary, counts) of the phrases of each length from 2 to ``deepest`` whose neighbouring words all are listed ``pairs`` (sorted hashes)."""
     text, h = shard.text, shard.hashes()
     linked = np.zeros(len(text), dtype=bool)
     linked[:-1] = (text[:-1] > 0) & (text[1:] > 0)
@@ -174,14 +179,20 @@ def _phrases(shard: Shard, pairs: np.ndarray, deepest: int) -> pa.Table:
     found = signed(pair_hash(h[text[at]], h[text[at + 1]]))
     place = np.minimum(np.searchsorted(pairs, found), max(len(pairs) - 1, 0))
     linked[at] = pairs[place] == found if len(pairs) else False
-    parts = []
-    for size, nodes in enumerate(BidirectionalIndex(joined_stretches(text, linked), deepest).phrases(), 1):
-        if size > 1:
-            ids = nodes.words - 1
-            spelled = [shard.word.take(pa.array(c)) for c in ids.T]
-            parts.append(pa.table([shard.lang.take(pa.array(ids[:, 0])), pc.binary_join_element_wise(*spelled, " "), pa.array(np.full(len(nodes), size, dtype=np.int32)),
-                                   pa.array(nodes.count)], names=["lang", "phrase", "size", "count"]))
-    return pa.concat_tables(parts)
+    for nodes in BidirectionalIndex(joined_stretches(text, linked), deepest).phrases():
+        if nodes.words.shape[1] > 1:
+            yield (nodes.words - 1).astype(np.int32), nodes.count
+
+
+def _spelled(ids: np.ndarray, count: np.ndarray, lang: pa.Array, word: pa.Array) -> pa.Table:
+    """(lang, phrase, size, count) of phrases given by their words' places in ``word``."""
+    phrase = pc.binary_join_element_wise(*(word.take(pa.array(c)) for c in ids.T), " ")
+    return pa.table([lang.take(pa.array(ids[:, 0])), phrase, pa.array(np.full(len(ids), ids.shape[1], dtype=np.int32)), pa.array(count)],
+                    names=["lang", "phrase", "size", "count"])
+
+
+def _phrases(shard: Shard, pairs: np.ndarray, deepest: int) -> pa.Table:
+    return pa.concat_tables([_spelled(ids, count, shard.lang, shard.word) for ids, count in _found(shard, pairs, deepest)])
 
 
 def _each_shard(work):
@@ -192,14 +203,39 @@ def _each_shard(work):
     return run
 
 
-def _summed(work):
-    """As ``_each_shard``, the counts of the shards that come together added up before they leave the task."""
+def _added_up(ids: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows of ``ids`` and the sum of each one's counts."""
+    if not len(ids):
+        return ids, count
+    order = np.lexsort(ids.T)
+    ids, count = ids[order], count[order]
+    first = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]).any(axis=1)))
+    return ids[first], np.add.reduceat(count, first)
+
+
+def _summed(pairs: np.ndarray, deepest: int):
+    """``_phrases`` of the shards that come together, their counts added up before they leave the task.
+
+    Until then a phrase is its words' places in a vocabulary of all these shards; it is spelled in batches of ``ROWS``, so no task ever holds the text of all.
+    """
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                found = pa.concat_tables([work(Shard(batch.slice(row, 1))) for row in range(batch.num_rows)])
-                whole = found.group_by(["lang", "phrase", "size"]).aggregate([("count", "sum")])
-                yield from whole.select(["lang", "phrase", "size", "count_sum"]).rename_columns(["lang", "phrase", "size", "count"]).to_batches()
+            lang, word = batch.column("lang").flatten(), batch.column("word").flatten()
+            code = joined(lang, word).dictionary_encode().indices.to_numpy()
+            place = np.zeros(len(code), dtype=np.int32)  # of each code's last place: all spell the same
+            place[code] = np.arange(len(code), dtype=np.int32)
+            place, at, sizes = place[code], 0, {}
+            for row in range(batch.num_rows):
+                shard = Shard(batch.slice(row, 1))
+                own = place[at:at + len(shard.word)]
+                at += len(shard.word)
+                for ids, count in _found(shard, pairs, deepest):
+                    sizes.setdefault(ids.shape[1], []).append((own[ids], count))
+            while sizes:
+                _, parts = sizes.popitem()
+                ids, count = _added_up(*map(np.concatenate, zip(*parts, strict=True)))
+                for k in range(0, len(ids), ROWS):
+                    yield from _spelled(ids[k:k + ROWS], count[k:k + ROWS], lang, word).combine_chunks().to_batches()
     return run
 
 
@@ -231,11 +267,15 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     if longest < 2:
         return found, totals
     # A scan hands a task all shards of its files in one batch: dealt anew, tasks hold a few at a time.
-    spread = shards.drop("count").repartition(max(1, -(-shards.count() // AT_ONCE)))
+    many = shards.count()
+
+    def spread(at_once):
+        return shards.drop("count").repartition(max(1, -(-many // at_once)))
+
     if ones.count() <= words:
         listed = ones.select("lang", "phrase").toArrow()  # no more than ``words`` rows
         lang, word = (listed.column(c).combine_chunks() for c in ("lang", "phrase"))
-        hashed = spread.mapInArrow(_each_shard(lambda s: _pairs(s, s.frequent(lang, word))), HASHED)
+        hashed = spread(PAIRS_AT_ONCE).mapInArrow(_each_shard(lambda s: _pairs(s, s.frequent(lang, word))), HASHED)
     else:
         own = keep.keep(counted.join(ones, ["lang", "phrase"], "left_semi").select("shard", "lang", "phrase")).groupBy("shard")
         hashed = shards.drop("count").groupBy("shard").cogroup(own).applyInArrow(_with_own(
@@ -247,7 +287,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     twos = keep.keep(often(hashed))
     if twos.count() <= pairs:
         listed = _sorted(twos.toArrow().column("pair"))  # no more than ``pairs`` numbers
-        more = spread.mapInArrow(_summed(lambda s: _phrases(s, listed, longest)), COUNTED)
+        more = spread(AT_ONCE).mapInArrow(_summed(listed, longest), COUNTED).repartition("lang", "phrase", "size")
     else:
         own = keep.keep(hashed.join(twos, "pair", "left_semi").select("shard", "pair")).groupBy("shard")
         more = shards.drop("count").groupBy("shard").cogroup(own).applyInArrow(_with_own(lambda s, own: _phrases(s, _sorted(own.column("pair")), longest)), COUNTED)

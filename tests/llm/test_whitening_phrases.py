@@ -5,10 +5,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.llm import queries
+from sluice.llm import fm_index, phrases, queries
 from sluice.llm.fm_index import BidirectionalIndex
 from sluice.llm.phrases import collocations, frequent_phrases
 from sluice.llm.whitening import LIMIT, SHIFT, cross_products, integers, whiten
@@ -69,6 +70,30 @@ def test_index_enumerates_every_phrase():
             assert dict(zip(map(tuple, nodes.words.tolist()), nodes.count.tolist(), strict=True)) == want and len(nodes) == len(want)
 
 
+def test_index_extends_in_blocks(monkeypatch):
+    monkeypatch.setattr(fm_index, "BLOCK", 7)
+    test_index_enumerates_every_phrase()
+    assert [len(n) for n in BidirectionalIndex(np.zeros(3, dtype=np.int64), 3).phrases()] == [0, 0, 0]
+
+
+def test_a_task_adds_up_its_shards_and_hands_on_small_batches(monkeypatch):
+    """Seven shards of one task: each phrase leaves it once, with the sum, never more than ``ROWS`` at a time."""
+    monkeypatch.setattr(phrases, "ROWS", 10)
+    rng = random.Random(4)
+    rows = [(rng.choice(["en", "de", "e n"]), " ".join(rng.choice("abcdefg") for _ in range(40))) for _ in range(20)]
+    texts = pa.RecordBatch.from_pydict({"lang": [r[0] for r in rows], "text": [r[1] for r in rows]})
+    shards = pa.Table.from_batches(phrases._shards(120)([texts])).combine_chunks()
+    batch = shards.append_column("shard", pa.array(range(len(shards)))).to_batches()[0]
+    assert batch.num_rows == 7
+    want, _ = counted(rows, 1, 4)
+    each = [phrases.Shard(batch.slice(k, 1)) for k in range(7)]
+    pairs = {p for s in each for p in phrases._pairs(s, np.arange(len(s.word) + 1) > 0).column("pair").to_pylist()}
+    got = list(phrases._summed(phrases._sorted(list(pairs)), 4)([batch]))
+    found = [((r["lang"], *r["phrase"].split(" ")), r["count"]) for b in got for r in b.to_pylist()]
+    assert max(b.num_rows for b in got) == 10 and len(found) == len(dict(found)) and dict(found) == {k: v for k, v in want.items() if len(k) > 2}
+    assert list(phrases._summed(phrases._sorted([]), 4)([batch, batch.slice(0, 0)])) == []
+
+
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
