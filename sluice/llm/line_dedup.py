@@ -262,7 +262,7 @@ def line_masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             further = keep.keep(_last_pairs(left, lines, shapes, firsts, reps, least).join(pairs, ["a", "b"], "left_anti"))
             gone = both(gone, aligned(further))
     sized = lines.select("id", "d1", F.size("hashes").alias("n")).join(gone, ["id", "d1"])
-    return keep.keep(sized.mapInArrow(_masks, "id long, d1 long, keep array<boolean>"))
+    return keep.last(sized.mapInArrow(_masks, "id long, d1 long, keep array<boolean>"))
 
 
 def _forms(batches):
